@@ -150,7 +150,7 @@ def is_private_url(url: Column) -> Column:
     host = url_host(url)
     octets = F.transform(F.split(host, r"\."), lambda p: F.when(p.rlike("^[0-9]{1,3}$"), p.cast("int")))
     ipv4 = (F.size(octets) == 4) & F.forall(octets, lambda o: F.coalesce(o.between(0, 255), F.lit(False)))
-    first, second = octets[0], octets[1]
+    first, second = F.get(octets, F.lit(0)), F.get(octets, F.lit(1))
     private = (
         (first == 10)
         | ((first == 172) & second.between(16, 31))

@@ -1,0 +1,40 @@
+"""Reading source trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayline.operators.context import ALWAYS_READ, TEXT_EXTENSIONS, ignore_paths
+
+
+def scan_source_files(
+    spark: SparkSession, root: str, ignore: list[str] | None = None, repo_depth: int = 1
+) -> DataFrame:
+    """``source_files`` below ``root``: one folder level (``repo_depth``) names the repository.
+
+    Text extensions and a few root files are read, one row per file.  The path
+    filter is applied to the file listing column, before any content is used.
+    A file is listed once by Spark, so no de-duplication shuffle is needed.
+    """
+    raw = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("wholetext", "true")
+        .text(root)
+        .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("_uri"))
+    )
+    base = root.rstrip("/") + "/"
+    rel = F.substring_index(F.replace("_uri", F.lit("%20"), F.lit(" ")), base, -1)
+    parts = F.split(F.replace(rel, F.lit("\\"), F.lit("/")), "/")
+    repo = F.array_join(F.slice(parts, 1, repo_depth), "/") if repo_depth else F.lit("")
+    path = F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.size(parts)), "/")
+    files = raw.select(repo.alias("repo_id"), path.alias("path"), "content")
+    wanted = F.col("path").rlike(r"\.(?:" + "|".join(TEXT_EXTENSIONS) + ")$") | F.col("path").isin(ALWAYS_READ)
+    return ignore_paths(files.where(wanted), ignore or [])
+
+
+def with_file_facts(files: DataFrame) -> DataFrame:
+    """Add ``ext`` and ``n_lines``."""
+    return files.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))).withColumn(
+        "n_lines", F.size(F.split("content", "\n", -1))
+    )
