@@ -340,7 +340,7 @@ def _in_toto(docs: DataFrame) -> DataFrame:
     is_dsse = F.col("e.payloadType").isNotNull() & F.col("e.payload").isNotNull() & F.col("e.signatures").isNotNull()
     payload = F.col("e.payload")
     canonical = (F.length(payload) > 0) & payload.rlike(_BASE64) & (
-        F.base64(F.try_to_binary(payload, F.lit("base64"))) == payload
+        F.regexp_replace(F.base64(F.try_to_binary(payload, F.lit("base64"))), r"\s", "") == payload
     )
     opened = F.decode(F.try_to_binary(payload, F.lit("base64")), "UTF-8")
     wrapped = F.get_json_object("raw", "$.payload")
