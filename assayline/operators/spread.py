@@ -141,3 +141,18 @@ def chunked(df: DataFrame, keys: list[str], row_id: Column, per_chunk: int) -> D
         .withColumn("chunk", F.pmod(F.xxhash64(row_id), F.col("_chunks")))
         .drop("_chunks")
     )
+
+
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 4096) -> DataFrame:
+    """Running sum of ``value`` per key along a numeric ``order``, in blocks of ``width`` positions."""
+    seg = df.withColumn("_seg", F.floor(F.col(order) / width))
+    inner = Window.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = seg.groupBy(*keys, "_seg").agg(F.sum(value).alias("_s"))
+    across = Window.partitionBy(*keys).orderBy("_seg")
+    before = sums.select(*keys, "_seg", (F.sum("_s").over(across) - F.col("_s")).alias("_before"))
+    return (
+        seg.withColumn("_in", F.sum(value).over(inner))
+        .join(before, [*keys, "_seg"])
+        .withColumn(out, F.col("_in") + F.col("_before"))
+        .drop("_seg", "_in", "_before")
+    )
