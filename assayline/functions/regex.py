@@ -64,6 +64,28 @@ def any_match(col: Column, patterns: list[str], ignore_case: bool = False) -> Co
     return matches(col, "|".join(f"(?:{p})" for p in patterns), ignore_case)
 
 
+_PREFIXES = [r"(^|/)", r"(?:^|/)", r"\."]
+
+
+def factored(patterns: list[str]) -> str:
+    """One alternation with common prefixes pulled out.
+
+    ``(^|/)docs/`` and fifty like it cost fifty attempts at every character of a path;
+    behind one shared ``(?:^|/)`` they are tried at segment starts only.
+    """
+    rest: list[str] = []
+    shared: dict[str, list[str]] = {}
+    for p in patterns:
+        prefix = next((x for x in _PREFIXES if p.startswith(x)), None)
+        tail = p[len(prefix) :] if prefix else p
+        if prefix is None:
+            rest.append(f"(?:{p})")
+        else:
+            key = r"\." if prefix == r"\." else r"(?:^|/)"
+            shared.setdefault(key, []).append(f"(?:{tail})")
+    return "|".join([f"{key}(?:{'|'.join(tails)})" for key, tails in shared.items()] + rest)
+
+
 def group(col: Column, pattern: str, index: int = 1, ignore_case: bool = False) -> Column:
     """Capture group, or NULL when the pattern does not match."""
     found = F.regexp_extract(col, portable(pattern, ignore_case), index)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.functions.regex import matches
+from assayline.functions.regex import factored, matches
 from assayline.functions.severity import DEFAULT_MIN_CONFIDENCE, resolved_confidence
 from assayline.functions.text import globs_to_regex
+from assayline.operators.spread import evaluate_once
 
 # Path shapes that decide how a finding counts.
 TEST_PATHS = [
@@ -164,13 +165,14 @@ PRIVATE_KEY_HINT = r"private key|begin .*private key"
 
 
 def is_test_path(path: Column) -> Column:
-    return F.coalesce(path.rlike("|".join(TEST_PATHS)), F.lit(False))
+    return F.coalesce(path.rlike(factored(TEST_PATHS)), F.lit(False))
 
 
 def tag_pattern(tag: str) -> str:
+    """One pattern per tag, common prefixes shared."""
     insensitive, sensitive = CONTEXT_TAGS[tag]
-    parts = [f"(?i:{p})" for p in insensitive] + [f"(?:{p})" for p in sensitive]
-    return "|".join(parts)
+    parts = [f"(?i:{factored(insensitive)})"] if insensitive else []
+    return "|".join(parts + ([factored(sensitive)] if sensitive else []))
 
 
 def context_tag(path: Column) -> Column:
@@ -197,7 +199,7 @@ def classify_test_context(findings: DataFrame, strict: bool = False) -> DataFram
     kept = F.when(F.col("context").isin("placeholder", "enum"), F.col("context")).otherwise(
         F.coalesce("context", F.lit("production"))
     )
-    out = findings.withColumn("_test", test)
+    out = evaluate_once(findings, findings.columns, _test=test)
     if not strict:
         out = out.withColumn("severity", F.when(F.col("_test"), "info").otherwise(F.col("severity")))
     return (
@@ -210,7 +212,7 @@ def classify_test_context(findings: DataFrame, strict: bool = False) -> DataFram
 def apply_context_tags(findings: DataFrame, strict: bool = False) -> DataFrame:
     """Stamp ``context_tag`` and ``original_severity``; outside strict mode drop to info."""
     tag = F.when(~F.coalesce(F.col("rule").isin(TAG_EXEMPT_RULES), F.lit(False)), context_tag(F.col("file")))
-    tagged = findings.withColumn("_tag", tag)
+    tagged = evaluate_once(findings, findings.columns, _tag=tag)
     tagged = tagged.withColumn(
         "original_severity", F.when(F.col("_tag").isNotNull(), F.col("severity")).otherwise(F.col("original_severity"))
     ).withColumn("context_tag", F.coalesce("_tag", "context_tag"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline import schemas
@@ -72,6 +72,46 @@ def _bit(mask: Column, i: int) -> Column:
     return mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
 
 
+_COMPILED: dict[tuple[str, tuple[str, ...]], Column] = {}
+
+
+def _hits(spark: SparkSession, rule_ids: tuple[str, ...]) -> Column:
+    """All hits of a file as one array expression over ``_lines`` and ``_mask``.
+
+    Building it takes thousands of small calls into the JVM and depends on the rule
+    selection only, so it is kept per application.
+    """
+    key = (spark.sparkContext.applicationId, rule_ids)
+    if key in _COMPILED:
+        return _COMPILED[key]
+    chosen = [R.BY_ID[r] for r in rule_ids]
+    mask, n = F.col("_mask"), len(chosen)
+
+    def _hit(rule: Rule, i: int, ln: Line) -> Column:
+        snippet = trimmed_snippet(ln.text, rule.snippet)
+        if rule.mask is not None:
+            snippet = rule.mask(snippet)
+        value = F.struct(
+            F.lit(i).alias("k"),
+            (ln.index + 1).alias("line"),
+            snippet.alias("snippet"),
+            (rule.severity(ln) if callable(rule.severity) else F.lit(rule.severity)).alias("severity"),
+            (rule.confidence(ln) if callable(rule.confidence) else F.lit(rule.confidence)).alias("confidence"),
+            (rule.label(ln) if rule.label else F.lit(None).cast("string")).alias("label"),
+        )
+        return F.when(_bit(mask, i) & rule.when(ln), value)
+
+    def hits_of(line: Column, index: Column) -> Column:
+        facts = {"rate_limited": _bit(mask, n), "timing_safe": _bit(mask, n + 1), "has_auth": _bit(mask, n + 2)}
+        ln = Line(line, index, F.col("_lines"), facts)
+        kept = F.filter(F.array(*[_hit(rule, i, ln) for i, rule in enumerate(chosen)]), lambda h: h.isNotNull())
+        return F.when(~matches(line, R.METADATA_LINE), kept)
+
+    per_line = F.filter(F.transform("_lines", hits_of), lambda hs: hs.isNotNull() & (F.size(hs) > 0))
+    _COMPILED[key] = F.flatten(per_line)
+    return _COMPILED[key]
+
+
 def scan_files(
     files: DataFrame,
     detectors: list[str] | None = None,
@@ -114,36 +154,10 @@ def scan_files(
     mask, n = F.col("_mask"), len(chosen)
     rule_bits = F.lit((1 << n) - 1).cast("bigint")
 
-    def hits_of(line: Column, index: Column) -> Column:
-        ln = Line(
-            line,
-            index,
-            F.col("_lines"),
-            {"rate_limited": _bit(mask, n), "timing_safe": _bit(mask, n + 1), "has_auth": _bit(mask, n + 2)},
-        )
-        found = F.array(*[_hit(rule, i, ln) for i, rule in enumerate(chosen)])
-        kept = F.filter(found, lambda h: h.isNotNull())
-        return F.when(~matches(line, R.METADATA_LINE), kept)
-
-    def _hit(rule: Rule, i: int, ln: Line) -> Column:
-        snippet = trimmed_snippet(ln.text, rule.snippet)
-        if rule.mask is not None:
-            snippet = rule.mask(snippet)
-        value = F.struct(
-            F.lit(i).alias("k"),
-            (ln.index + 1).alias("line"),
-            snippet.alias("snippet"),
-            (rule.severity(ln) if callable(rule.severity) else F.lit(rule.severity)).alias("severity"),
-            (rule.confidence(ln) if callable(rule.confidence) else F.lit(rule.confidence)).alias("confidence"),
-            (rule.label(ln) if rule.label else F.lit(None).cast("string")).alias("label"),
-        )
-        return F.when(_bit(mask, i) & rule.when(ln), value)
-
-    per_line = F.filter(F.transform("_lines", hits_of), lambda hs: hs.isNotNull() & (F.size(hs) > 0))
     hits = prepared.select(
         "repo_id",
         "path",
-        F.inline(F.when(mask.bitwiseAND(rule_bits) != 0, F.flatten(per_line))),
+        F.inline(F.when(mask.bitwiseAND(rule_bits) != 0, _hits(files.sparkSession, tuple(r.rule for r in chosen)))),
     )
 
     def by_rule(attribute: str) -> Column:

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from assayline.operators.evidence import labels
 from assayline.operators.rules import RULES
@@ -91,7 +92,6 @@ def resolution_after_reviews(reviews: DataFrame, resolutions: DataFrame) -> Data
 
 
 # --------------------------------------------------------------------------- answers
-@F.pandas_udf("string")
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -103,8 +103,9 @@ def normalize_term(text: Column) -> Column:
     Spark has no Unicode normalisation; only texts outside ASCII go through the
     Arrow helper.
     """
+    nfkc = F.pandas_udf(_nfkc, StringType())
     wide = F.when(text.rlike(r"[^\x00-\x7f]"), text)
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(_nfkc(wide), text)), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(nfkc(wide), text)), r"\s+", " "))
 
 
 def plain_term(term: str) -> str:

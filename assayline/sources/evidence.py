@@ -19,6 +19,7 @@ from assayline.functions.digest import sha256_tag, uuid_from_text
 from assayline.functions.regex import js_trim
 from assayline.functions.severity import SEVERITIES, SEVERITY_SYNONYMS, lookup
 from assayline.functions.text import safe_relative_path
+from assayline.operators.spread import evaluate_once
 
 _CONTROL = r"[\x00-\x1f\x7f]"
 
@@ -157,7 +158,7 @@ def _unsafe_uri(uri: Column) -> Column:
 
 def _sarif(docs: DataFrame) -> DataFrame:
     doc = F.from_json("raw", schemas.SARIF)
-    parsed = docs.select("doc_id", "subject_id", "raw", doc.alias("d"))
+    parsed = evaluate_once(docs, ["doc_id", "subject_id", "raw"], d=doc)
     results = F.flatten(F.transform("d.runs", lambda r: F.coalesce(r["results"], F.array())))
     uris = F.flatten(
         F.transform(
@@ -168,7 +169,7 @@ def _sarif(docs: DataFrame) -> DataFrame:
             ),
         )
     )
-    out = parsed.withColumn("_r", results)
+    out = evaluate_once(parsed, ["doc_id", "subject_id", "raw", "d"], _r=results)
     return out.withColumn(
         "_issue",
         F.when(F.col("d").isNull() | F.col("d.runs").isNull(), "MALFORMED_RUN")
@@ -194,9 +195,9 @@ def _sarif_rows(docs: DataFrame) -> DataFrame:
     )
     first = F.get(F.filter(places, lambda p: p["path"].isNotNull()), F.lit(0))
     rule = _text(F.col("r.ruleId"), 256)
-    return rows.select(
-        "doc_id", "subject_id", "raw_digest", (F.col("_i") + 1).alias("examined"), rule.alias("_rule"),
-        first.alias("_loc"), F.coalesce(_text(F.col("r.level"), 512), F.lit("unknown")).alias("_level"),
+    return evaluate_once(
+        rows, ["doc_id", "subject_id", "raw_digest", (F.col("_i") + 1).alias("examined")],
+        _rule=rule, _loc=first, _level=F.coalesce(_text(F.col("r.level"), 512), F.lit("unknown")),
     )
 
 
@@ -239,7 +240,7 @@ def observation_rows(df: DataFrame, **given: Column | str | None) -> DataFrame:
 # --------------------------------------------------------------------------- CycloneDX, VEX, SPDX
 def _cyclonedx(docs: DataFrame) -> DataFrame:
     d = F.from_json("raw", schemas.CYCLONEDX)
-    out = docs.select("doc_id", "subject_id", d.alias("d"))
+    out = evaluate_once(docs, ["doc_id", "subject_id"], d=d)
     bad_component = F.exists(
         "d.components",
         lambda c: c.isNull() | c["type"].isNull() | (c["name"].isNull() & c["bom-ref"].isNull())
@@ -284,7 +285,7 @@ def vex_assertions(docs: DataFrame) -> DataFrame:
 
 def _spdx(docs: DataFrame) -> DataFrame:
     d = F.from_json("raw", schemas.SPDX)
-    out = docs.select("doc_id", d.alias("d"))
+    out = evaluate_once(docs, ["doc_id"], d=d)
 
     def bad(field: str, *members: str) -> Column:
         test = F.exists(
@@ -336,7 +337,7 @@ _BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
 def _in_toto(docs: DataFrame) -> DataFrame:
     """Envelope opened: ``doc_id, envelope_type, signatures, s`` (statement) and ``_issue``."""
     dsse = F.from_json("raw", schemas.DSSE)
-    base = docs.select("doc_id", "raw", dsse.alias("e"))
+    base = evaluate_once(docs, ["doc_id", "raw"], e=dsse)
     is_dsse = F.col("e.payloadType").isNotNull() & F.col("e.payload").isNotNull() & F.col("e.signatures").isNotNull()
     payload = F.col("e.payload")
     canonical = (F.length(payload) > 0) & payload.rlike(_BASE64) & (
@@ -346,9 +347,9 @@ def _in_toto(docs: DataFrame) -> DataFrame:
     wrapped = F.get_json_object("raw", "$.payload")
     kind = F.when(is_dsse, "dsse").when(wrapped.startswith("{"), "legacy-wrapper").otherwise("statement")
     text = F.when(is_dsse, opened).when(wrapped.startswith("{"), wrapped).otherwise(F.col("raw"))
-    out = base.select(
-        "doc_id", kind.alias("envelope_type"), "e", is_dsse.alias("_dsse"), canonical.alias("_canonical"),
-        F.from_json(F.when(~is_dsse | canonical, text), schemas.IN_TOTO).alias("s"),
+    out = evaluate_once(
+        base, ["doc_id", "e"], envelope_type=kind, _dsse=is_dsse, _canonical=canonical,
+        s=F.from_json(F.when(~is_dsse | canonical, text), schemas.IN_TOTO),
     )
     subjects = F.col("s.subject")
     bad_subject = F.exists(
@@ -409,7 +410,7 @@ _TRIVY_RULE = r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,255}$"
 
 def _trivy_items(docs: DataFrame) -> DataFrame:
     d = F.from_json("raw", schemas.TRIVY)
-    base = docs.select("doc_id", "subject_id", sha256_tag(F.col("raw")).alias("raw_digest"), d.alias("d")).where(
+    base = evaluate_once(docs, ["doc_id", "subject_id"], raw_digest=sha256_tag(F.col("raw")), d=d).where(
         F.col("d.Results").isNotNull()
     )
     null = F.lit(None).cast("string")

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.operators.spread import spread_small
+
 FILE_BLOCK = 2048
 
 #: one-line snippets, ours: things rules report, near misses, and plain code
@@ -151,7 +153,8 @@ PACKAGES = [
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table, read with all cores even when it is one small file."""
+    return spread_small(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def pick(items: list[str], index: F.Column) -> F.Column:

@@ -23,7 +23,8 @@ from workloads.rule_pack import ALL_RULES, rules_sql, scanned
 
 TEST_RX = rx("|".join(context.TEST_PATHS))
 TAG_SQL = "(CASE " + " ".join(
-    f"WHEN regexp_matches(file, {rx(context.tag_pattern(t))}) THEN '{t}'" for t in context.CONTEXT_TAGS
+    f"WHEN regexp_matches(file, {rx('|'.join([f'(?i:{p})' for p in ci] + [f'(?:{p})' for p in cs]))}) THEN '{t}'"
+    for t, (ci, cs) in context.CONTEXT_TAGS.items()
 ) + " END)"
 
 # --------------------------------------------------------------------------- findings from lineitem
