@@ -13,6 +13,7 @@ from assayline.operators import context, project, provenance, scan, score, suppl
 from assayline.operators.rules import DEFAULT_DETECTORS, OPTIONAL_DETECTORS
 from assayline.plans.extension import Detector, Lookups
 from assayline.sources import packages
+from assayline.sources.files import AGENT_CONFIGS
 
 LINE_DETECTORS = {"secrets", "injection", "misconfig", "ai-patterns", "api-hardening", "deep-auth"}
 
@@ -43,7 +44,9 @@ class ProjectScan:
         return project.auth_facts(self.manifest_dependencies(files), files)
 
     # ------------------------------------------------------------------ findings
-    def raw_findings(self, files: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+    def raw_findings(
+        self, files: DataFrame, diffs: DataFrame | None = None, agent_configs: DataFrame | None = None
+    ) -> DataFrame:
         """All detectors before any filter, in one union."""
         facts = self.repo_facts(files)
         chosen = set(self.detectors)
@@ -56,7 +59,7 @@ class ProjectScan:
         if "git-history" in chosen and diffs is not None:
             parts.append(scan.history_secrets(diffs))
         if "agent-surface" in chosen:
-            configs = files.where(F.col("path").rlike(r"(?:^|/)(?:mcp|mcp_config|settings)\.json$"))
+            configs = files.where(F.col("path").rlike(AGENT_CONFIGS)) if agent_configs is None else agent_configs
             parts.append(supply.agent_findings_of_servers(packages.read_agent_configs(configs)))
         advisories, registry = self.lookups.advisories, self.lookups.registry
         if advisories is not None:
@@ -75,9 +78,11 @@ class ProjectScan:
         parts += [d.run(files, facts) for d in self.extra]
         return scan.union_findings(parts)
 
-    def findings(self, files: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+    def findings(
+        self, files: DataFrame, diffs: DataFrame | None = None, agent_configs: DataFrame | None = None
+    ) -> DataFrame:
         """Filter, then classify test files, then tag: the order is part of the result."""
-        kept = context.min_confidence(self.raw_findings(files, diffs), self.min_confidence)
+        kept = context.min_confidence(self.raw_findings(files, diffs, agent_configs), self.min_confidence)
         return context.apply_context_tags(context.classify_test_context(kept, self.strict), self.strict)
 
     # ------------------------------------------------------------------ roll-ups

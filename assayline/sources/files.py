@@ -2,35 +2,92 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.operators.context import ALWAYS_READ, TEXT_EXTENSIONS, ignore_paths
 
+# Paths ignored unless a project says otherwise, and folders never walked.
+DEFAULT_IGNORES = [
+    "**/node_modules/**", "**/dist/**", "**/.next/**", "**/coverage/**", "**/build/**", "**/.git/**", "**/.turbo/**",
+    "**/.vercel/**", "**/.pnpm-store/**", "**/.claude/**", "**/.clerk/**", "**/.cursor/**", "**/.playwright-mcp/**",
+]
+AGENT_CONFIGS = r"(?:^|/)(?:\.cursor/mcp\.json|\.claude/mcp\.json|\.codeium/windsurf/mcp_config\.json|\.vscode/settings\.json)$"
+NEVER_ENTERED = ["node_modules", ".git"]
+_WANTED = re.compile(
+    r"\.(?:" + "|".join(TEXT_EXTENSIONS) + ")$|^(?:" + "|".join(re.escape(name) for name in ALWAYS_READ) + ")$"
+)
+
+
+_FILE = "repo_id string, path string, content string"
+
+
+def _hidden(segment: str) -> bool:
+    return segment.startswith((".", "_"))
+
+
+def hidden_files(repos: DataFrame, root: str, prune: list[str], depth: int) -> DataFrame:
+    """Files below ``root`` with a dot or underscore segment, which Spark's file source never lists.
+
+    ``repos`` holds one ``repo_id`` per repository; each is walked where its row is
+    processed, so listing and reading are spread over the cluster.  ``prune`` names
+    folders that are not entered.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            for repo in batch["repo_id"]:
+                top = f"{base.rstrip('/')}/{repo}" if depth else base.rstrip("/")
+                todo = [top]
+                while todo:
+                    for info in fs.get_file_info(pafs.FileSelector(todo.pop())):
+                        rel = info.path[len(top) + 1 :]
+                        if info.type == pafs.FileType.Directory:
+                            if info.base_name not in prune:
+                                todo.append(info.path)
+                        elif any(_hidden(part) for part in rel.split("/")) and _WANTED.search(rel):
+                            with fs.open_input_stream(info.path) as handle:
+                                text = handle.read().decode("utf-8", "replace")
+                            yield pd.DataFrame({"repo_id": [repo], "path": [rel], "content": [text]})
+
+    return repos.mapInPandas(walk, _FILE)
+
 
 def scan_source_files(
-    spark: SparkSession, root: str, ignore: list[str] | None = None, repo_depth: int = 1
+    spark: SparkSession, root: str, ignore: list[str] | None = None, repo_depth: int = 1, include_hidden: bool = True
 ) -> DataFrame:
     """``source_files`` below ``root``: one folder level (``repo_depth``) names the repository.
 
-    Text extensions and a few root files are read, one row per file.  The path
-    filter is applied to the file listing column, before any content is used.
-    A file is listed once by Spark, so no de-duplication shuffle is needed.
+    Text extensions and a few root files are read, one row per file, dot files
+    included.  A file is listed once, so no de-duplication shuffle is needed.
     """
+    uri = root if "://" in root else "file://" + root
     raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("wholetext", "true")
-        .text(root)
-        .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("_uri"))
+        spark.read.text(uri, wholetext=True, recursiveFileLookup=True)
+        .select(F.col("value").alias("content"), F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("_uri"))
     )
-    base = root.rstrip("/") + "/"
-    rel = F.substring_index(F.replace("_uri", F.lit("%20"), F.lit(" ")), base, -1)
-    parts = F.split(F.replace(rel, F.lit("\\"), F.lit("/")), "/")
+    base = uri.split("://", 1)[1].rstrip("/") + "/"
+    rel = F.substring_index(F.replace("_uri", F.lit("\\"), F.lit("/")), base, -1)
+    parts = F.split(rel, "/")
     repo = F.array_join(F.slice(parts, 1, repo_depth), "/") if repo_depth else F.lit("")
     path = F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.size(parts)), "/")
-    files = raw.select(repo.alias("repo_id"), path.alias("path"), "content")
-    wanted = F.col("path").rlike(r"\.(?:" + "|".join(TEXT_EXTENSIONS) + ")$") | F.col("path").isin(ALWAYS_READ)
-    return ignore_paths(files.where(wanted), ignore or [])
+    files = raw.select(repo.alias("repo_id"), path.alias("path"), "content").where(F.col("path").rlike(_WANTED.pattern))
+    if include_hidden:
+        repos = raw.select(repo.alias("repo_id")).distinct()
+        files = files.unionByName(hidden_files(repos, uri, NEVER_ENTERED, repo_depth))
+    return ignore_paths(files, [*DEFAULT_IGNORES, *(ignore or [])])
+
+
+def agent_config_files(repos: DataFrame, root: str, repo_depth: int = 1) -> DataFrame:
+    """Agent configuration files of each repository; they are read even though scans ignore their folders."""
+    found = hidden_files(repos, root if "://" in root else "file://" + root, NEVER_ENTERED, repo_depth)
+    return found.where(F.col("path").rlike(AGENT_CONFIGS))
 
 
 def with_file_facts(files: DataFrame) -> DataFrame:
