@@ -5,8 +5,8 @@ line, its neighbours and the file's and repository's facts.  The scan compiles a
 selected rules into one higher-order expression over the file's line array, so a
 file is read once and nothing is shuffled.
 
-``needles`` are lower-case literals of which one must occur in the file for the
-rule to be worth evaluating; they are necessary conditions of the pattern, so the
+``needles`` are lower-case literals of which one must occur in the line for the rule's
+pattern to be worth trying; they are necessary conditions of the pattern, so the
 result does not depend on them.
 """
 

@@ -76,7 +76,10 @@ _COMPILED: dict[tuple[str, tuple[str, ...]], Column] = {}
 
 
 def _hits(spark: SparkSession, rule_ids: tuple[str, ...]) -> Column:
-    """All hits of a file as one array expression over ``_lines`` and ``_mask``.
+    """All hits of a file as one array expression over ``_lines``, ``_low`` and ``_mask``.
+
+    A rule's pattern is tried on a line only if the rule's bit is set for the file
+    and the lower-cased line holds one of its literals; both are plain byte searches.
 
     Building it takes thousands of small calls into the JVM and depends on the rule
     selection only, so it is kept per application.
@@ -99,7 +102,11 @@ def _hits(spark: SparkSession, rule_ids: tuple[str, ...]) -> Column:
             (rule.confidence(ln) if callable(rule.confidence) else F.lit(rule.confidence)).alias("confidence"),
             (rule.label(ln) if rule.label else F.lit(None).cast("string")).alias("label"),
         )
-        return F.when(_bit(mask, i) & rule.when(ln), value)
+        possible = _bit(mask, i)
+        if rule.needles:
+            low = F.get(F.col("_low"), ln.index)
+            possible = possible & reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in rule.needles])
+        return F.when(possible & rule.when(ln), value)
 
     def hits_of(line: Column, index: Column) -> Column:
         facts = {"rate_limited": _bit(mask, n), "timing_safe": _bit(mask, n + 1), "has_auth": _bit(mask, n + 2)}
@@ -149,6 +156,7 @@ def scan_files(
             "path",
             _mask([wanted(r) for r in chosen] + [rate_limited, timing_safe, F.col("_auth")]).alias("_mask"),
             F.split("content", "\n", -1).alias("_lines"),
+            F.split("_lc", "\n", -1).alias("_low"),
         )
     )
     mask, n = F.col("_mask"), len(chosen)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,12 +140,9 @@ def nearest_popular(name: Column, popular: list[str] | None = None, limit: int =
     """
     names = popular or POPULAR_PACKAGES
     lower = F.lower(name)
-    entries = F.array(
-        *[
-            F.struct(F.lit(i).alias("pos"), F.lit(p).alias("top"), F.lit(p.lower()).alias("low"), F.lit(len(p)).alias("n"))
-            for i, p in enumerate(names)
-        ]
-    )
+    rows = [{"pos": i, "top": p, "low": p.lower(), "n": len(p)} for i, p in enumerate(names)]
+    # one foldable literal instead of hundreds of column objects
+    entries = F.from_json(F.lit(json.dumps(rows)), "array<struct<pos:int,top:string,low:string,n:int>>")
     in_band = F.filter(entries, lambda e: F.abs(F.length(lower) - e["n"]) <= limit)
     scored = F.transform(
         in_band,
