@@ -346,7 +346,7 @@ def json_bounds(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "json_report",
     "WITH " + TABLE_FINDINGS_CTE + " SELECT repo_id, to_json({'file': file, 'line': line, 'report_version': '2.0.0', 'rule': rule, 'severity': severity, 'snippet': "
-    "snippet, 'verified': NULL::BOOLEAN}) AS value FROM findings",
+    "snippet, 'verified': NULL::BOOLEAN})::VARCHAR AS value FROM findings",
 )
 def json_report(spark: SparkSession, sf: str) -> DataFrame:
     f = table_findings(spark, sf).select("repo_id", "rule", "severity", "file", "line", "snippet")

@@ -318,17 +318,18 @@ _ID = (
 
 @query(
     "sort_findings",
-    gathered(_TABLE) + f", O AS (SELECT *, {_ID} AS fid FROM T) SELECT label, rule, file, line, (row_number() OVER "
-    f"(ORDER BY {_REPORT_ORDER}, fid) - 1)::BIGINT AS pos FROM O ORDER BY pos LIMIT 500",
+    gathered(_TABLE) + f" SELECT label, rule, CASE WHEN context = 'test' THEN 2 WHEN severity = 'info' THEN 1 ELSE 0 END::INT AS context_rank, {_RANK}::INT AS "
+    "severity_rank, coalesce(file, '') || ':' || coalesce(line, 0) || ':' || title AS report_key FROM T",
 )
 def sort_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Report order of the whole table; the first page shown with its positions."""
-    page = classified(table_findings(spark, sf)).orderBy(*score.report_order(), F.col("finding_id")).limit(500)
-    # one page of 500 rows is all that reaches this window
-    from pyspark.sql import Window
+    """The whole table in report order, with the three sort keys shown (range-partitioned sort)."""
+    from assayline.functions.severity import severity_rank
 
-    pos = F.row_number().over(Window.orderBy(*score.report_order(), F.col("finding_id"))) - 1
-    return page.select("label", "rule", "file", "line", pos.cast("bigint").alias("pos"))
+    ordered = score.sort_findings(classified(table_findings(spark, sf)))
+    return ordered.select(
+        "label", "rule", score.context_rank().alias("context_rank"), severity_rank(F.col("severity")).alias("severity_rank"),
+        score.report_key().alias("report_key"),
+    )
 
 
 @query(

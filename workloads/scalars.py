@@ -301,7 +301,7 @@ def schema_compatibility(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "canonical_json",
     "SELECT o_orderkey, to_json({'customer': o_custkey, 'flag': CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END, "
-    "'id': o_orderkey, 'status': o_orderstatus}) AS doc FROM orders",
+    "'id': o_orderkey, 'status': o_orderstatus})::VARCHAR AS doc FROM orders",
 )
 def canonical_json(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
