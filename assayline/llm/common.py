@@ -8,6 +8,7 @@ words in Spark, in Python and in the tests.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,3 +114,28 @@ def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def runs(x: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal neighbours."""
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+
+
+#: A-Z to a-z; every other ASCII byte but digits and letters to a space.
+ALNUM = bytes((c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else c + 32 if 65 <= c < 91 else 32) for c in range(256))
+
+
+def map_texts(
+    docs: DataFrame, fn: Callable[[list[bytes]], dict[str, pa.Array]], schema: str, text: str = "text", keep: tuple[str, ...] = (), chunk_bytes: int = 4 << 20
+) -> DataFrame:
+    """The ``keep`` columns of every row and the columns that ``fn`` makes of the texts (null: empty), some megabytes of text at a time."""
+    types = dict(docs.dtypes)
+    rows = docs.select(F.col(text).cast("binary").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+
+    def each(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in record_batches:
+            sizes = np.cumsum([0, *(len(t) if (t := x.as_buffer()) is not None else 0 for x in batch.column("_text"))])
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + chunk_bytes, "right")) - 1)
+                part = batch.slice(at, to - at)
+                made = fn([t or b"" for t in part.column("_text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made.values()], [*keep, *made])
+                at = to
+
+    return rows.mapInArrow(each, ", ".join([*(f"`{c}` {types[c]}" for c in keep), schema]))

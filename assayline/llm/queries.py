@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import mixing, substring_dedup, url_filter
+from assayline.llm import decontam, mixing, quality, simhash, substring_dedup, toxicity, url_filter
 from assayline.llm.common import table
 
 
@@ -40,11 +40,59 @@ FROM ruled
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.judge_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    named = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named, "contaminated")
+
+
+OP5_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP5_SQL = rf"""
+WITH items AS (
+  SELECT item_id, w, least(13, len(w)) AS k FROM (SELECT item_id, {OP5_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), phrases AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items)
+), sizes AS (
+  SELECT DISTINCT k FROM phrases
+), docs AS (
+  SELECT doc_id, {OP5_WORDS} AS w FROM documents
+), windows AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, sizes WHERE len(w) >= k)
+), hits AS (
+  SELECT doc_id, i, k, item_id FROM windows JOIN phrases USING (k, phrase)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, k)) AS j FROM hits) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -75,7 +123,11 @@ FROM words LEFT JOIN lost USING (doc_id) LEFT JOIN stay USING (doc_id)
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_quality": op2_quality,
     "op4_mix_sources": op4_mix_sources,
+    "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op5_decontamination": OP5_SQL, "op10_substring_dedup": OP10_SQL}
