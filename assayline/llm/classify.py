@@ -13,7 +13,7 @@ from assayline.llm.common import map_texts, remainder
 
 #: Labelled rows that a model is fitted on at most (as expected size of a hash sample), and rows per shard.
 SAMPLE_ROWS = 24_000
-SHARD_ROWS = 3_000
+SHARD_ROWS = 6_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int = SAMPLE_ROWS, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import decontam, mixing, quality, simhash, substring_dedup, toxicity, url_filter
+from assayline.llm import decontam, language_model, mixing, quality, simhash, substring_dedup, toxicity, url_filter
 from assayline.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -124,6 +128,7 @@ FROM words LEFT JOIN lost USING (doc_id) LEFT JOIN stay USING (doc_id)
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
+    "op3_language_model": op3_language_model,
     "op4_mix_sources": op4_mix_sources,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,

@@ -15,7 +15,7 @@ from assayline.llm.common import ALNUM, mixed, word_hashes
 
 #: Hashed features; the bias comes after them.
 SIZE = 1 << 20
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.0, 0.1, 6
+ALPHA, BETA, L1, L2, EPOCHS = 3.0, 1.0, 20.0, 0.0, 10
 #: A feature is learned once this many documents of the shard have it.
 MIN_DOCS = 4
 THRESHOLD = 0.7
