@@ -300,7 +300,7 @@ def search(graph: DataFrame, n_buckets: int, wanted: DataFrame, k: int = K, beam
 
     def opened(st: dict) -> tuple[np.ndarray, ...]:
         ids, sims, done = np.frombuffer(st["ids"], np.int64), np.frombuffer(st["sims"], np.float32), np.frombuffer(st["done"], bool)
-        return ids, sims, done, np.frombuffer(st["lists"], np.int64).reshape(len(ids), -1), np.frombuffer(st["seen"], np.int64)
+        return ids, sims, done, np.frombuffer(st["lists"], np.int64).reshape(-1, k), np.frombuffer(st["seen"], np.int64)
 
     def next_nodes(st: dict) -> tuple[np.ndarray, np.ndarray]:
         """Places in the beam to expand, and their neighbours not asked for so far."""
@@ -379,7 +379,7 @@ def search(graph: DataFrame, n_buckets: int, wanted: DataFrame, k: int = K, beam
     return state.mapInArrow(found, "q long, node long").where("node >= 0")
 
 
-def nearest(vectors: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", vec: str = "embedding", **settings: int) -> DataFrame:
+def nearest(vectors: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", vec: str = "embedding", k: int = K, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
     """For rows whose id is divisible by ``every``: query_id, rank, vec_id and score of the ``top`` nearest found, by inner product.
 
     Candidates are all rows but the query's own; score is the inner product of the
@@ -401,8 +401,8 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, vec_id: str = "v
     if nodes.isEmpty():
         return nodes.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
     queries = pin(rows.where(F.col("vec_id") % every == 0).join(nodes.select("vec", "node"), "vec").select(F.col("vec_id").alias("query_id"), "node"))
-    graph, n_buckets = build_graph(nodes.select("node", "vec"), **settings)
-    pairs = search(graph, n_buckets, queries.select("node").distinct())
+    graph, n_buckets = build_graph(nodes.select("node", "vec"), k, bucket_nodes)
+    pairs = search(graph, n_buckets, queries.select("node").distinct(), k)
     asked = queries.select(F.col("node").alias("q")).distinct()
     pairs = pairs.union(asked.select("q", F.col("q").alias("node")))  # a vector's copies are candidates too
     left = nodes.select(F.col("node").alias("q"), F.col("vec").alias("u"))

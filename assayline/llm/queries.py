@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import decontam, language_model, mixing, quality, simhash, substring_dedup, toxicity, url_filter
+from assayline.llm import decontam, language_model, mixing, nn_descent, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 from assayline.llm.common import table
 
 
@@ -93,6 +93,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -104,16 +113,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS_SQL = r"""list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"""
 
-OP10_SQL = rf"""
+REPEATS_SQL = r"""
 WITH words AS (
-  SELECT doc_id, {WORDS_SQL} AS w FROM documents
+  SELECT doc_id, WORDS AS w FROM documents
 ), windows AS (
-  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20)
+  SELECT doc_id, i, array_to_string(w[i:i + LENGTH - 1], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - LENGTH + 2)) AS i FROM words WHERE len(w) >= LENGTH)
 ), late AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, i + j AS pos FROM late, range(0, 20) AS t(j)
+  SELECT DISTINCT doc_id, i + j AS pos FROM late, range(0, LENGTH) AS t(j)
 ), lost AS (
   SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
 ), tokens AS (
@@ -123,7 +132,8 @@ WITH words AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM words LEFT JOIN lost USING (doc_id) LEFT JOIN stay USING (doc_id)
-"""
+""".replace("WORDS", WORDS_SQL)
+OP10_SQL, OP7_SQL = REPEATS_SQL.replace("LENGTH", "20"), REPEATS_SQL.replace("LENGTH", "50")
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -132,7 +142,9 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_nearest": op8_nearest,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op5_decontamination": OP5_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op5_decontamination": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op10_substring_dedup": OP10_SQL}

@@ -34,7 +34,7 @@ class Windows:
         each = [word_hashes(t.split()) for t in self.texts]
         self.n_words = np.array([len(h) for h in each], np.int64)
         self.ends = np.cumsum(self.n_words)
-        words = np.concatenate(each) if each else np.empty(0, np.uint64)
+        self.words = words = np.concatenate(each) if each else np.empty(0, np.uint64)
         doc = np.repeat(np.arange(len(each)), self.n_words)
         inside = np.flatnonzero(np.arange(len(words)) + length <= self.ends[doc]) if len(words) else np.empty(0, np.int64)
         self.starts, self.docs = inside, doc[inside]
