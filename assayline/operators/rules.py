@@ -293,6 +293,8 @@ class Rule:
     snippet: int = 120
     mask: Callable[[Column], Column] | None = None
     needles: tuple[str, ...] = field(default=())
+    #: reported only for repositories that use (True) or do not use (False) an authentication library
+    auth: bool | None = None
 
 
 def _m(pattern: str, ignore_case: bool = False) -> Expr:
@@ -450,8 +452,7 @@ RULES: list[Rule] = [
     Rule("D9-002", "injection", "D9", _INPUT, "SSRF (user-controlled fetch)", _m(USER_FETCH, True), "high",
          needles=("fetch",)),
     Rule("AI-001", "ai-patterns", "D5", _CONF, "Wildcard CORS on an app with authentication",
-         lambda ln: ln.facts["has_auth"] & matches(ln.text, AUTH_APP_CORS, True), "critical",
-         needles=("origin",)),
+         _m(AUTH_APP_CORS, True), "critical", needles=("origin",), auth=True),
     Rule("AI-002", "ai-patterns", "D4", _CRYPTO, "Predictable secret", _predictable_secret, "critical", "certain",
          label=_sink, needles=("math.random", "date.now")),
     Rule("AI-003", "ai-patterns", "D3", _AUTHZ, "Record looked up by user-supplied id without ownership check",
@@ -475,8 +476,7 @@ RULES: list[Rule] = [
          & ~matches(ln.window(-15, 29), AUTHZ_CHECK, True),
          "medium", "medium", needles=("delete", "destroy", "remove", "drop", "updatemany")),
     Rule("D5-002", "misconfig", "D5", _CONF, "Wildcard CORS configuration",
-         lambda ln: ~ln.facts["has_auth"] & matches(ln.text, OPEN_CORS, True), "high", "certain", snippet=100,
-         needles=("origin",)),
+         _m(OPEN_CORS, True), "high", "certain", snippet=100, needles=("origin",), auth=False),
     Rule("D5-003", "misconfig", "D5", _CONF, "Use of eval()", _m(EVAL_CALL, True), "high", "certain", snippet=100,
          needles=("eval",)),
     Rule("D4-003", "misconfig", "D4", _CRYPTO, "Math.random() used for security-sensitive value",

@@ -3,7 +3,7 @@
 Every file row is scanned where it lies.  The file's lines are an array; one
 higher-order expression walks it and yields hits, with neighbouring lines read
 by ``slice`` only once the line itself has matched.  ``inline`` turns the hits into
-rows.  The only exchange is the optional join with per-repository facts.
+rows.  The only exchange is the optional join of hits with per-repository facts.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def _hits(spark: SparkSession, rule_ids: tuple[str, ...]) -> Column:
         return F.when(possible & rule.when(ln), value)
 
     def hits_of(line: Column, index: Column) -> Column:
-        facts = {"rate_limited": _bit(mask, n), "timing_safe": _bit(mask, n + 1), "has_auth": _bit(mask, n + 2)}
+        facts = {"rate_limited": _bit(mask, n), "timing_safe": _bit(mask, n + 1)}
         ln = Line(line, index, F.col("_lines"), facts)
         kept = F.filter(F.array(*[_hit(rule, i, ln) for i, rule in enumerate(chosen)]), lambda h: h.isNotNull())
         return F.when(~matches(line, R.METADATA_LINE), kept)
@@ -125,13 +125,12 @@ def scan_files(
     rules: list[str] | None = None,
     repo_facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Line rules over ``source_files``; ``repo_facts`` holds ``repo_id, has_auth``."""
+    """Line rules over ``source_files``; ``repo_facts`` holds ``repo_id, has_auth``, one row per repository.
+
+    Rules that depend on a fact are scanned as candidates, and their hits, not the
+    files, meet the facts.  A repository without facts has no authentication.
+    """
     chosen = select_rules(detectors, rules)
-    if repo_facts is not None:
-        files = files.join(repo_facts.select("repo_id", "has_auth"), "repo_id", "left")
-        has_auth = F.coalesce(F.col("has_auth"), F.lit(False))
-    else:
-        has_auth = F.lit(False)
 
     text = F.col("_lc")
 
@@ -150,11 +149,11 @@ def scan_files(
     if any(r.rule == "AUTH-003" for r in chosen):
         timing_safe = matches(content, R.TIMING_SAFE)
     prepared = (
-        files.select("repo_id", "path", "content", F.lower("content").alias("_lc"), has_auth.alias("_auth"))
+        files.select("repo_id", "path", "content", F.lower("content").alias("_lc"))
         .select(
             "repo_id",
             "path",
-            _mask([wanted(r) for r in chosen] + [rate_limited, timing_safe, F.col("_auth")]).alias("_mask"),
+            _mask([wanted(r) for r in chosen] + [rate_limited, timing_safe]).alias("_mask"),
             F.split("content", "\n", -1).alias("_lines"),
             F.split("_lc", "\n", -1).alias("_low"),
         )
@@ -168,6 +167,16 @@ def scan_files(
         F.inline(F.when(mask.bitwiseAND(rule_bits) != 0, _hits(files.sparkSession, tuple(r.rule for r in chosen)))),
     )
 
+    needed = {i: r.auth for i, r in enumerate(chosen) if r.auth is not None}
+    if repo_facts is None:
+        hits = hits.where(~F.col("k").isin([i for i, auth in needed.items() if auth]))
+    elif needed:
+        depends = F.col("k").isin(*needed)
+        facts = repo_facts.select(F.col("repo_id").alias("_repo"), F.coalesce("has_auth", F.lit(False)).alias("_auth"))
+        hits = hits.join(facts, depends & (F.col("repo_id") == F.col("_repo")), "left")
+        wants_auth = F.col("k").isin(*[i for i, auth in needed.items() if auth])
+        hits = hits.where(~depends | (F.coalesce("_auth", F.lit(False)) == wants_auth))
+
     def by_rule(attribute: str) -> Column:
         return F.element_at(F.array(*[F.lit(getattr(r, attribute)) for r in chosen]), F.col("k") + 1)
 

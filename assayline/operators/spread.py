@@ -25,19 +25,6 @@ def evaluate_once(df: DataFrame, keep: list[str | Column], **computed: Column) -
     return df.select(*keep, F.inline(F.array(fields)))
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that arrives in fewer pieces than there are cores.
-
-    A table in one small file is one partition, and everything narrow after it one
-    task.  An input with enough partitions, which any large table has, is returned
-    as it is, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def top_n(
     df: DataFrame,
     keys: list[str],

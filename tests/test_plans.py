@@ -119,3 +119,21 @@ def test_score_floor_without_criticals(spark):
 
 def test_ignore_file_lines():
     assert context.ignore_lines("# note\n\n dist/** \n*.tmp") == ["dist/**", "*.tmp"]
+
+
+def test_facts_meet_hits_and_never_file_content(spark):
+    from assayline.operators.scan import scan_files
+
+    files = spark.createDataFrame([("r", "a.js", "app.use(cors({ origin: '*' }))")], "repo_id string, path string, content string")
+    facts = spark.createDataFrame([("r", True)], "repo_id string, has_auth boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = scan_files(files, detectors=["ai-patterns", "misconfig"], repo_facts=facts)
+        moved = [x for x in found._jdf.queryExecution().executedPlan().treeString().splitlines() if "Exchange" in x]
+        text = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        inputs = [b for b in text.split("\n\n") if ") Exchange" in b]
+        assert moved and inputs and not any("content" in b or "_lines" in b or "_low" in b for b in inputs)
+        assert {r.rule for r in found.collect()} == {"AI-001"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

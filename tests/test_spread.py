@@ -86,9 +86,3 @@ def test_chunks_keep_every_row(df, rows):
     for r in out:
         sizes[(r.k, r.chunk)] = sizes.get((r.k, r.chunk), 0) + 1
     assert max(sizes.values()) < 120
-
-
-def test_spread_small_leaves_large_inputs_alone(spark):
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism)
-    assert spread.spread_small(many) is many
-    assert spread.spread_small(spark.range(100).coalesce(1)).rdd.getNumPartitions() >= 2
