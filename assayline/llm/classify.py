@@ -51,11 +51,11 @@ def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], np.ndarray]
     def shard(group: pa.Table) -> pa.Table:
         w = fit(*shard_rows(group))
         at = np.flatnonzero(w)
-        return pa.table({"at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "w": pa.array([w[at].astype(np.float64).tobytes()], pa.binary())})
+        return pa.table({"at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "w": pa.array([w[at].astype(np.float32).tobytes()], pa.binary())})
 
     total, n = np.zeros(size), 0
     for r in rows.groupBy("shard").applyInArrow(shard, "at binary, w binary").toLocalIterator():
-        total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["w"], np.float64)
+        total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["w"], np.float32)
         n += 1
     return total / max(n, 1)
 
@@ -63,7 +63,7 @@ def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], np.ndarray]
 def scored(docs: DataFrame, weights: np.ndarray, features: Callable[[bytes], np.ndarray], threshold: float, keep: tuple[str, ...], unit_length: bool = False) -> DataFrame:
     """The columns of ``keep``, score (logistic of the weights of the text's distinct features and of the last weight, the bias) and predicted."""
     at = np.flatnonzero(weights).astype(np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((len(weights), at, weights[at]))
+    shared = docs.sparkSession.sparkContext.broadcast((len(weights), at, weights[at].astype(np.float32)))
 
     def judge(texts: list[bytes]) -> dict[str, pa.Array]:
         size, where, values = shared.value

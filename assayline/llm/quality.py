@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame
 from assayline.llm import classify
 from assayline.llm.common import mixed, word_hashes
 
-SIZE = 1 << 20
+SIZE = 1 << 18
 #: Smoothing of class counts, cost of a margin violation, passes.
 SMOOTH, COST, EPOCHS = 1.0, 1.0, 15
+#: A feature counts once this many documents of the shard have it.
+MIN_DOCS = 3
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 5, 0
 
@@ -57,6 +59,9 @@ def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def fit(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
     """Log-odds weights of unit-length indicator vectors; the last is the bias."""
     rows = [np.unique(features(t)) for t in texts]
+    lengths = [classify.length(r) for r in rows]
+    often = np.bincount(np.concatenate([*rows, np.empty(0, np.int64)]), minlength=SIZE) >= MIN_DOCS
+    rows = [r[often[r]] for r in rows]
     y = np.where(labels == 1, 1.0, -1.0)
     rest = np.arange(len(rows)) % 5 == 4
     learn, held = np.flatnonzero(~rest), np.flatnonzero(rest)
@@ -64,7 +69,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
     for i in learn:
         counts[y[i]][rows[i]] += 1
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
-    values = [ratio[r] / classify.length(r) for r in rows]
+    values = [ratio[r] / n for r, n in zip(rows, lengths, strict=True)]
     norm = np.array([v @ v + 1 for v in values])  # 1: the bias
     rare = np.where(y < 0, (y[learn] > 0).sum() / max((y[learn] < 0).sum(), 1), 1.0)  # both classes weigh the same
     w, bias, alpha = np.zeros(SIZE), 0.0, np.zeros(len(rows))
@@ -81,7 +86,7 @@ def fit(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
                 alpha[i] = new
     w *= ratio
     if len(held):
-        a, b = platt(np.array([w[rows[i]].sum() / classify.length(rows[i]) + bias for i in held]), labels[held])
+        a, b = platt(np.array([w[rows[i]].sum() / lengths[i] + bias for i in held]), labels[held])
         w, bias = w * a, bias * a + b
     return np.append(w, bias)
 
