@@ -135,39 +135,50 @@ def correlate(observations: DataFrame, payload: Column, keys: list[str] | None =
     """
     keys = keys or []
     rows = observations.select(*keys, "fingerprint", "producer_id", F.sha2(payload, 256).alias("_p"))
-    return rows.groupBy(*keys, "fingerprint").agg(
+    return rows.groupBy(*keys, "fingerprint").agg(*correlation_aggregates(F.col("_p")))
+
+
+def correlation_aggregates(payload_digest: Column) -> list[Column]:
+    """What :func:`correlate` says of a group."""
+    return [
         F.array_sort(F.collect_set("producer_id")).alias("producer_ids"),
         F.count(F.lit(1)).alias("n_payloads"),
-        (F.min("_p") != F.max("_p")).alias("disagreement"),
-    )
+        (F.min(payload_digest) != F.max(payload_digest)).alias("disagreement"),
+    ]
+
 
+def risk_aggregates() -> list[Column]:
+    """What :func:`with_risk` needs of a group; invalid rows count, and teach no severity."""
+    sev = F.when(F.col("is_valid"), F.col("severity"))
+    text = F.when(F.col("is_valid"), F.col("remediation"))
+    return [
+        F.count_if(~F.col("is_valid")).alias("n_invalid"), F.min(sev).alias("_lo"), F.max(sev).alias("_hi"),
+        F.count_distinct(text).alias("n_remediations"),
+    ]
+
+
+def with_risk(groups: DataFrame) -> DataFrame:
+    """``severity_status`` known / mixed / unavailable and ``severity_value``; a group with invalid evidence is unavailable."""
+    whole = F.col("n_invalid") == 0
+    known = whole & (F.col("_lo") == F.col("_hi")) & (F.col("_lo") != "unknown")
+    status = F.when(known, "known").when(whole & (F.col("_lo") != F.col("_hi")), "mixed").otherwise("unavailable")
+    return groups.withColumns({"severity_status": status, "severity_value": F.when(known, F.col("_lo"))}).drop("_lo", "_hi")
 
-def risk_projection(
-    observations: DataFrame, keys: list[str] | None = None, max_payloads: int = 32, max_texts: int = 8
-) -> DataFrame:
-    """Severity known / mixed / unavailable and the first remediation texts per fingerprint.
 
-    ``observations`` has ``fingerprint, severity, remediation, is_valid``.  Texts are
-    made distinct and cut to ``max_texts`` per fingerprint before anything is
-    collected; a group with more payloads than ``max_payloads`` counts as unavailable.
+def risk_projection(observations: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Severity known / mixed / unavailable, and counts of payloads, invalid ones and remediation texts, per fingerprint.
+
+    ``observations`` has ``fingerprint, severity, remediation, is_valid``.  Any number of
+    payloads is assessed; the texts are the rows of :func:`remediation_texts`.
     """
     keys = [*(keys or []), "fingerprint"]
-    sev = F.when(F.col("is_valid"), F.col("severity"))
-    base = observations.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if("is_valid").alias("_valid"), F.min(sev).alias("_lo"), F.max(sev).alias("_hi")
-    )
-    texts = observations.where(F.col("is_valid") & F.col("remediation").isNotNull()).select(*keys, "remediation").distinct()
-    first = top_n(texts, keys, [F.col("remediation").asc()], max_texts, spread=F.col("remediation"))
-    texts = first.groupBy(*keys).agg(F.array_sort(F.collect_list("remediation")).alias("remediation"))
-    whole = (F.col("_n") == F.col("_valid")) & (F.col("_n") <= max_payloads)
-    known = whole & (F.col("_lo") == F.col("_hi")) & (F.col("_lo") != "unknown")
-    return base.join(texts, keys, "left").select(
-        *keys,
-        F.when(known, "known").when(whole & (F.col("_lo") != F.col("_hi")), "mixed").otherwise("unavailable")
-        .alias("severity_status"),
-        F.when(known, F.col("_lo")).alias("severity_value"),
-        F.coalesce("remediation", F.array().cast("array<string>")).alias("remediation"),
-    )
+    groups = observations.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_payloads"), *risk_aggregates())
+    return with_risk(groups).select(*keys, "severity_status", "severity_value", "n_payloads", "n_invalid", "n_remediations")
+
+
+def remediation_texts(observations: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per fingerprint and distinct remediation text of valid rows."""
+    return observations.where(F.col("is_valid") & F.col("remediation").isNotNull()).select(*(keys or []), "fingerprint", "remediation").distinct()
 
 
 def evidence_with_runs(observations: DataFrame, tool_runs: DataFrame) -> DataFrame:
@@ -191,7 +202,7 @@ def evidence_with_runs(observations: DataFrame, tool_runs: DataFrame) -> DataFra
         *observations.columns,
         F.when(seen, "available").otherwise("unavailable").alias("timestamp_status"),
         "started_at", "completed_at",
-        F.slice(F.array_sort(F.array_distinct(limits)), 1, 32).alias("limitations"),
+        F.array_sort(F.array_distinct(limits)).alias("limitations"),
     )
 
 

@@ -12,8 +12,8 @@ from assayline.functions.text import package_from_specifier
 IMPORT_SHAPE = (
     r"(?:from\s*[\"'`]|import\s*[\"'`]|require\s*\(\s*[\"'`]|import\s*\(\s*[\"'`])([^\"'`\r\n]+)"
 )
-ROUTE_SHAPE = r"\.(get|post|put|patch|delete|head|options|use)\s*\(\s*[\"'`]([^\"'`\r\n]{1,512})[\"'`]"
-TOOL_SHAPE = r"\.(?:tool|registerTool|addTool)\s*\(\s*[\"'`]([^\"'`\r\n]{1,512})[\"'`]"
+ROUTE_SHAPE = r"\.(get|post|put|patch|delete|head|options|use)\s*\(\s*[\"'`]([^\"'`\r\n]+)[\"'`]"
+TOOL_SHAPE = r"\.(?:tool|registerTool|addTool)\s*\(\s*[\"'`]([^\"'`\r\n]+)[\"'`]"
 SINK_SHAPES = [
     ("command-execution", r"\b(?:exec|execFile|spawn|fork)\s*\("),
     ("network-request", r"\b(?:fetch|axios(?:\.[A-Za-z]+)?|https?\.request)\s*\("),
@@ -29,7 +29,7 @@ SOURCE_FILE = r"\.(?:cjs|js|jsx|mjs|ts|tsx)$"
 
 
 def _safe(text: Column) -> Column:
-    return (F.length(text) > 0) & (F.length(text) <= 512) & ~text.rlike(r"[\x00-\x1f\x7f]")
+    return (F.length(text) > 0) & ~text.rlike(r"[\x00-\x1f\x7f]")
 
 
 def _lines_with(content: Column, pattern: str) -> Column:

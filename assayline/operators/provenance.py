@@ -102,15 +102,15 @@ def recent_n_per_key(rows: DataFrame, keys: list[str], n: int, time: str = "ts",
     return top_n(rows, keys, [F.col(time).desc(), F.col(tie).desc()], n, spread=F.col(tie))
 
 
-def file_trailers(commits: DataFrame, commit_files: DataFrame, n: int = 20) -> DataFrame:
-    """Per file, over its newest ``n`` commits: how many carry a trailer, which agents, bot, header.
+def file_trailers(commits: DataFrame, commit_files: DataFrame, n: int | None = None) -> DataFrame:
+    """Per file, over all its commits or its newest ``n``: how many carry a trailer, which agents, bot, header.
 
     Bodies are reduced to a label before the join, so text is never shuffled; agents
     come from a fixed list, so the collected set is bounded.
     """
     labels = commits.select("repo_id", "sha", "ts", trailer_label(F.col("body")).alias("label"))
     touched = commit_files.select("repo_id", "sha", "path").distinct().join(labels, ["repo_id", "sha"])
-    newest = recent_n_per_key(touched, ["repo_id", "path"], n)
+    newest = touched if n is None else recent_n_per_key(touched, ["repo_id", "path"], n)
     return (
         newest.groupBy("repo_id", "path")
         .agg(

@@ -290,7 +290,6 @@ class Rule:
     severity: str | Expr = "high"
     confidence: str | Expr = "high"
     label: Expr | None = None
-    snippet: int = 120
     mask: Callable[[Column], Column] | None = None
     needles: tuple[str, ...] = field(default=())
     #: reported only for repositories that use (True) or do not use (False) an authentication library
@@ -476,14 +475,13 @@ RULES: list[Rule] = [
          & ~matches(ln.window(-15, 29), AUTHZ_CHECK, True),
          "medium", "medium", needles=("delete", "destroy", "remove", "drop", "updatemany")),
     Rule("D5-002", "misconfig", "D5", _CONF, "Wildcard CORS configuration",
-         _m(OPEN_CORS, True), "high", "certain", snippet=100, needles=("origin",), auth=False),
-    Rule("D5-003", "misconfig", "D5", _CONF, "Use of eval()", _m(EVAL_CALL, True), "high", "certain", snippet=100,
+         _m(OPEN_CORS, True), "high", "certain", needles=("origin",), auth=False),
+    Rule("D5-003", "misconfig", "D5", _CONF, "Use of eval()", _m(EVAL_CALL, True), "high", "certain",
          needles=("eval",)),
     Rule("D4-003", "misconfig", "D4", _CRYPTO, "Math.random() used for security-sensitive value",
-         lambda ln: matches(ln.text, MATH_RANDOM) & _random_class(ln).isNotNull(), _random_class, snippet=100,
+         lambda ln: matches(ln.text, MATH_RANDOM) & _random_class(ln).isNotNull(), _random_class,
          needles=("math.random",)),
-    Rule("D8-001", "misconfig", "D8", _EXPOSE, "Sensitive data logged to console", _sensitive_log, "medium",
-         snippet=100, needles=("console.log",)),
+    Rule("D8-001", "misconfig", "D8", _EXPOSE, "Sensitive data logged to console", _sensitive_log, "medium", needles=("console.log",)),
     Rule("API-001", "api-hardening", "D7", _API, "Auth-adjacent route with no rate limit", _auth_route, "high",
          label=lambda ln: F.regexp_extract(ln.text, portable(AUTH_ROUTE, True), 1), needles=("post", "put", "patch", "all")),
     Rule("API-002", "api-hardening", "D7", _API, "Unbounded or oversized request-body limit",
@@ -546,8 +544,14 @@ def select_rules(detectors: list[str] | None = None, rules: list[str] | None = N
     return chosen
 
 
-def trimmed_snippet(line: Column, length: int) -> Column:
-    return F.substring(js_trim(line), 1, length)
+def trimmed_snippet(line: Column) -> Column:
+    """The whole line; reports that want less cut it with :func:`shortened`."""
+    return js_trim(line)
 
 
-__all__ = ["Line", "RULES", "Rule", "group", "select_rules", "trimmed_snippet"]
+def shortened(snippet: Column, length: int = 120) -> Column:
+    """A snippet for display."""
+    return F.when(F.length(snippet) > length, F.concat(F.substring(snippet, 1, length), F.lit("…"))).otherwise(snippet)
+
+
+__all__ = ["Line", "RULES", "Rule", "group", "select_rules", "shortened", "trimmed_snippet"]

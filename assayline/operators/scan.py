@@ -91,7 +91,7 @@ def _hits(spark: SparkSession, rule_ids: tuple[str, ...]) -> Column:
     mask, n = F.col("_mask"), len(chosen)
 
     def _hit(rule: Rule, i: int, ln: Line) -> Column:
-        snippet = trimmed_snippet(ln.text, rule.snippet)
+        snippet = trimmed_snippet(ln.text)
         if rule.mask is not None:
             snippet = rule.mask(snippet)
         value = F.struct(

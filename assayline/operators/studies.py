@@ -234,39 +234,37 @@ def missing_surfaces(stories: DataFrame, executed: DataFrame) -> DataFrame:
     return need.join(executed.select("label").distinct(), "label", "left_anti").select("story_id", "label")
 
 
-def flatten_targets(manifests: DataFrame, depth: int = 8) -> DataFrame:
+def flatten_targets(manifests: DataFrame) -> DataFrame:
     """``package, field, target`` of every string under ``main``, ``types``, ``bin`` and ``exports``.
 
-    Nested objects and lists are opened level by level inside the row; ``depth`` levels
-    suffice for conditions inside subpaths, and anything deeper is returned with
-    its JSON text as target, which no file matches, so it is reported and not lost.
+    Nested objects and lists are opened level by level until none is left; a text
+    that only looks like one stays a target.  Manifests are as deep as their authors
+    nest conditions, so a few rounds do.
     """
     fields = F.array(
         *[F.struct(F.lit(f).alias("field"), F.get_json_object("content", f"$.{f}").alias("v")) for f in ("main", "types", "bin", "exports")]
     )
     rows = manifests.select("package", F.inline(fields)).where(F.col("v").isNotNull())
-    for _ in range(depth):
-        as_map = F.from_json("v", "map<string,string>")
-        as_list = F.from_json("v", "array<string>")
+    as_map = F.from_json("v", "map<string,string>")
+    as_list = F.from_json("v", "array<string>")
+    nested = (F.col("v").startswith("{") & as_map.isNotNull()) | (F.col("v").startswith("[") & as_list.isNotNull())
+    while not rows.where(nested).isEmpty():
 
         def named(key: Column, value: Column) -> Column:
             return F.struct(key.alias("field"), value.alias("v"))
 
         opened = (
-            F.when(F.col("v").startswith("{"), F.transform(F.map_entries(as_map), lambda e: named(F.concat("field", F.lit("."), e["key"]), e["value"])))
-            .when(
-                F.col("v").startswith("["),
-                F.transform(as_list, lambda x, i: named(F.concat("field", F.lit("["), i.cast("string"), F.lit("]")), x)),
-            )
-            .otherwise(F.array(named(F.col("field"), F.col("v"))))
+            F.when(~F.coalesce(nested, F.lit(False)), F.array(named(F.col("field"), F.col("v"))))
+            .when(F.col("v").startswith("{"), F.transform(F.map_entries(as_map), lambda e: named(F.concat("field", F.lit("."), e["key"]), e["value"])))
+            .otherwise(F.transform(as_list, lambda x, i: named(F.concat("field", F.lit("["), i.cast("string"), F.lit("]")), x)))
         )
         rows = rows.select("package", F.inline(opened)).where(F.col("v").isNotNull())
     return rows.select("package", "field", F.col("v").alias("target"))
 
 
-def missing_entrypoints(manifests: DataFrame, files: DataFrame, depth: int = 8) -> DataFrame:
+def missing_entrypoints(manifests: DataFrame, files: DataFrame) -> DataFrame:
     """``package, field, issue`` for manifest targets that are not relative, escape, or do not exist."""
-    t = flatten_targets(manifests, depth)
+    t = flatten_targets(manifests)
     path = F.substring("target", F.lit(3), F.length("target"))
     segments = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
     shape = (

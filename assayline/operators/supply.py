@@ -177,31 +177,37 @@ def lookalike_packages(
     )
 
 
-def deletion_keys(name: Column) -> Column:
-    """All strings reachable by at most two deletions, the name itself included."""
-    def cut(s: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
-        )
-
-    once = cut(name)
-    return F.array_distinct(F.concat(F.array(name), once, F.flatten(F.transform(once, cut))))
+def _segment(length: Column, i: int) -> tuple[Column, Column]:
+    """Start (from 0) and width of the i-th third of a text."""
+    start = F.floor(length * i / 3)
+    return start, F.floor(length * (i + 1) / 3) - start
 
 
-def lookalikes_by_key(names: DataFrame, popular: DataFrame, max_length: int = 64) -> DataFrame:
+def lookalikes_by_key(names: DataFrame, popular: DataFrame) -> DataFrame:
     """``name, top, distance`` against a popular *table* of any size.
 
-    Two strings within two edits share a string that both reach by at most two
-    deletions, so an equality join on those keys finds every candidate and the
-    distance only has to confirm it; no pair outside a shared key is formed.
-    ``popular`` has ``top, pos`` (position decides ties); longer names cannot match.
+    Two edits leave at least one third of a text intact, moved by at most two places.
+    So a popular name is keyed by its length and each of its thirds, a name by the
+    pieces that could be such a third of a text at most two characters longer or
+    shorter: some seventy keys, whatever its length.  The distance only confirms.
+    ``popular`` has ``top, pos`` (position decides ties).
     """
-    left = names.select("name").distinct().where(F.length("name") <= max_length + 2)
-    left = left.select("name", F.explode(deletion_keys(F.lower("name"))).alias("_k"))
-    right = popular.select("top", "pos", F.explode(deletion_keys(F.lower("top"))).alias("_k"))
+    top = F.lower("top")
+    thirds = [F.struct(F.length(top).alias("n"), F.lit(i).alias("i"), F.substring(top, (p := _segment(F.length(top), i))[0].cast("int") + 1, p[1].cast("int")).alias("s")) for i in range(3)]
+    right = popular.select("top", "pos", F.explode(F.array(*thirds)).alias("_k"))
+    name, pieces = F.lower("name"), []
+    for more in range(-2, 3):
+        length = F.length(name) + more
+        for i in range(3):
+            start, width = _segment(length, i)
+            for move in range(-2, 3):
+                at = (start + move).cast("int")
+                piece = F.struct(length.alias("n"), F.lit(i).alias("i"), F.substring(name, at + 1, width.cast("int")).alias("s"))
+                pieces.append(F.when((length > 0) & (at >= 0) & (at + width <= F.length(name)), piece))
+    keys = F.array_distinct(F.filter(F.array(*pieces), lambda k: k.isNotNull()))
+    left = names.select("name").distinct().select("name", F.explode(keys).alias("_k"))
     scored = (
-        left.join(right, "_k")
+        left.join(right, "_k").select("name", "top", "pos").distinct()
         .select("name", "top", "pos", F.levenshtein(F.lower("name"), F.lower("top"), 2).alias("distance"))
         .where(F.col("distance") >= 0)
     )

@@ -34,13 +34,19 @@ def observe(documents: DataFrame, producers: dict[str, Normalizer]) -> DataFrame
 
 
 def group(observations: DataFrame) -> DataFrame:
-    """Valid observations, fingerprinted and correlated: one row per subject and fingerprint."""
-    valid = evidence.valid_rows(evidence.validate_rows(observations))
-    named = valid.withColumn("fingerprint", evidence.observation_fingerprint())
+    """Observations, fingerprinted and correlated: one row per subject and fingerprint, in one aggregate.
+
+    Invalid observations stay in their group: they count as payloads and in ``n_invalid``,
+    and make its severity unavailable.
+    """
+    checked = evidence.validate_rows(observations).withColumn("is_valid", F.size("issues") == 0)
     payload = canonical_json(**{c: F.col(c) for c in ("rule", "severity", "confidence_level", "title", "package", "advisory")})
-    groups = evidence.correlate(named, payload, ["subject_id"])
-    risk = evidence.risk_projection(named.withColumn("is_valid", F.lit(True)), ["subject_id"])
-    return groups.join(risk, ["subject_id", "fingerprint"])
+    named = checked.select(
+        "subject_id", "producer_id", "severity", "remediation", "is_valid",
+        evidence.observation_fingerprint().alias("fingerprint"), F.sha2(payload, 256).alias("_p"),
+    )
+    groups = named.groupBy("subject_id", "fingerprint").agg(*evidence.correlation_aggregates(F.col("_p")), *evidence.risk_aggregates())
+    return evidence.with_risk(groups)
 
 
 def snapshot(groups: DataFrame) -> DataFrame:

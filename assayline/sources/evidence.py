@@ -24,9 +24,9 @@ from assayline.operators.spread import evaluate_once
 _CONTROL = r"[\x00-\x1f\x7f]"
 
 
-def _text(col: Column, limit: int) -> Column:
-    """The text when it is non-empty, short enough and free of control characters."""
-    return F.when((F.length(col) > 0) & (F.length(col) <= limit) & ~col.rlike(_CONTROL), col)
+def _text(col: Column) -> Column:
+    """The text when it is non-empty and free of control characters."""
+    return F.when((F.length(col) > 0) & ~col.rlike(_CONTROL), col)
 
 
 def canonical_document(raw: Column) -> Column:
@@ -194,17 +194,17 @@ def _sarif_rows(docs: DataFrame) -> DataFrame:
         ),
     )
     first = F.get(F.filter(places, lambda p: p["path"].isNotNull()), F.lit(0))
-    rule = _text(F.col("r.ruleId"), 256)
+    rule = _text(F.col("r.ruleId"))
     return evaluate_once(
         rows, ["doc_id", "subject_id", "raw_digest", (F.col("_i") + 1).alias("examined")],
-        _rule=rule, _loc=first, _level=F.coalesce(_text(F.col("r.level"), 512), F.lit("unknown")),
+        _rule=rule, _loc=first, _level=F.coalesce(_text(F.col("r.level")), F.lit("unknown")),
     )
 
 
 def import_sarif(docs: DataFrame) -> DataFrame:
     """Observations of SARIF results that have a rule id and a safe relative location."""
     ok = _sarif_rows(docs).where(F.col("_rule").isNotNull() & F.col("_loc").isNotNull())
-    safe_rule = F.substring(F.regexp_replace("_rule", r"[^A-Za-z0-9._:/-]", "_"), 1, 240)
+    safe_rule = F.regexp_replace("_rule", r"[^A-Za-z0-9._:/-]", "_")
     line = F.when(F.col("_loc.line") > 0, F.col("_loc.line"))
     run = F.concat(F.lit("sarif:"), "raw_digest")
     return observation_rows(
@@ -423,11 +423,11 @@ def _trivy_items(docs: DataFrame) -> DataFrame:
             F.lit(kind).alias("kind"),
             F.when(safe_relative_path(decoded), decoded).alias("target"),
             F.when(rule.rlike(_TRIVY_RULE), rule).alias("rule"),
-            _text(title, 512).alias("title"),
+            _text(title).alias("title"),
             F.when(F.lower(severity).isin(SEVERITIES), F.lower(severity)).otherwise("unknown").alias("severity"),
-            _text(pkg, 512).alias("package"),
-            _text(version, 512).alias("version"),
-            _text(fixed, 512).alias("fixed"),
+            _text(pkg).alias("package"),
+            _text(version).alias("version"),
+            _text(fixed).alias("fixed"),
             F.when(line > 0, line).alias("line"),
         )
 

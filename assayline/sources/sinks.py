@@ -49,7 +49,7 @@ def sarif_result(rule: Column, level: Column, message: Column, uri: Column, line
     return canonical_json_present(
         ruleId=rule,
         level=F.coalesce(level, F.lit("warning")),
-        message=F.struct(F.substring(message, 1, 4096).alias("text")),
+        message=F.struct(message.alias("text")),
         locations=place,
         properties=F.struct(subject.alias("assayline.subjectId")),
     )

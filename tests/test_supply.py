@@ -76,3 +76,11 @@ def test_lockfile_layouts(spark):
 def test_latest_stable(spark):
     v = spark.createDataFrame([("p", x) for x in ("1.9.0", "1.10.0", "2.0.0-rc.1", "junk")], "name string, version string")
     assert supply.latest_stable_version(v).collect()[0].version == "1.10.0"
+
+
+def test_long_names_find_their_lookalike(spark):
+    long = "@scope/" + "averylongpackagename" * 4
+    names = spark.createDataFrame([(long[:40] + "x" + long[41:],), (long[:-1],), ("q" + long,), ("ab",), (long,)], "name string")
+    popular = spark.createDataFrame([(long, 1), ("abc", 2), ("a", 3)], "top string, pos int")
+    got = {r.name: (r.top, r.distance) for r in supply.lookalikes_by_key(names, popular).collect()}
+    assert got == {long[:40] + "x" + long[41:]: (long, 1), long[:-1]: (long, 1), "q" + long: (long, 1), "ab": ("abc", 1)}

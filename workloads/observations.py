@@ -60,22 +60,30 @@ def correlate(spark: SparkSession, sf: str) -> DataFrame:
     return E.correlate(observations(spark, sf), S.canonical_document(F.col("payload")))
 
 
-_RISK = """risk AS (SELECT repo_id, fingerprint, count(*) = count(*) FILTER (is_valid) AND count(*) <= 32 AS whole,
+_RISK = """risk AS (SELECT repo_id, fingerprint, count(*) = count(*) FILTER (is_valid) AS whole, count(*)::BIGINT AS n_payloads, count(*) FILTER (NOT is_valid)::BIGINT AS n_invalid,
  count(DISTINCT severity) FILTER (is_valid) AS k, min(severity) FILTER (is_valid) AS lo,
- (list_sort(list(DISTINCT remediation) FILTER (is_valid AND remediation IS NOT NULL)))[1:8] AS rem FROM {src} GROUP BY ALL),
+ count(DISTINCT remediation) FILTER (is_valid)::BIGINT AS n_remediations FROM {src} GROUP BY ALL),
 snap AS (SELECT repo_id, fingerprint, CASE WHEN whole AND k = 1 AND lo <> 'unknown' THEN 'known' WHEN whole AND k > 1 THEN 'mixed'
  ELSE 'unavailable' END AS severity_status, CASE WHEN whole AND k = 1 AND lo <> 'unknown' THEN lo END AS severity_value,
- coalesce(rem, []::VARCHAR[]) AS remediation FROM risk)"""
+ n_payloads, n_invalid, n_remediations FROM risk)"""
 
 
 @query(
     "risk_projection",
-    f"WITH {OBS_CTE}, {_RISK.format(src='obs')} SELECT fingerprint, severity_status, severity_value, remediation FROM snap",
+    f"WITH {OBS_CTE}, {_RISK.format(src='obs')} SELECT fingerprint, severity_status, severity_value, n_payloads, n_invalid, n_remediations FROM snap",
 )
 def risk_projection(spark: SparkSession, sf: str) -> DataFrame:
     return E.risk_projection(observations(spark, sf))
 
 
+@query(
+    "remediation_texts",
+    f"WITH {OBS_CTE} SELECT DISTINCT fingerprint, remediation FROM obs WHERE is_valid AND remediation IS NOT NULL",
+)
+def remediation_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return E.remediation_texts(observations(spark, sf))
+
+
 def _risk(spark: SparkSession, sf: str, head: bool) -> DataFrame:
     o = observations(spark, sf)
     late = F.col("l_shipdate") >= F.lit(SPLIT).cast("timestamp_ntz")
@@ -139,13 +147,11 @@ def fuzzy_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "fuzzy_duplicate_groups",
     f"WITH {OBS_CTE} SELECT DISTINCT a.producer_id || a.rule AS \"left\", b.producer_id || b.rule AS \"right\" FROM obs a JOIN obs b ON a.subject_id = "
-    "b.subject_id AND a.pos < b.pos AND a.location <> b.location WHERE a.severity <> 'unknown' AND b.severity <> 'unknown' AND a.remediation IS "
-    "NOT NULL AND b.remediation IS NOT NULL",
+    "b.subject_id AND a.pos < b.pos AND a.location <> b.location ",
 )
 def fuzzy_duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with finer producers and one rule, on part of the observations."""
-    o = observations(spark, sf).where((F.col("severity") != "unknown") & F.col("remediation").isNotNull())
-    o = o.withColumn("producer_id", F.concat("producer_id", "rule")).withColumn("rule", F.lit("any"))
+    """The same with finer producers and one rule."""
+    o = observations(spark, sf).withColumn("producer_id", F.concat("producer_id", "rule")).withColumn("rule", F.lit("any"))
     return E.fuzzy_duplicates(o)
 
 

@@ -171,7 +171,7 @@ def rule_select(rule: str) -> str:
     pred, severity, confidence, label, _ = SQL_RULES[rule]
     sev = severity or quote(str(spec.severity))
     conf = confidence or quote(str(spec.confidence))
-    snippet = f"left(trimmed, {spec.snippet})"
+    snippet = "trimmed"
     if rule == "AI-007":
         snippet = (
             f"regexp_replace({snippet}, '\\b((?:sk|pk|rk)_test_)[A-Za-z0-9]{{16,}}([A-Za-z0-9]{{4}})', "
@@ -397,7 +397,7 @@ def diff_added_lines(spark: SparkSession, sf: str) -> DataFrame:
     + " "
     + " UNION ALL ".join(
         f"SELECT repo_id, CASE WHEN file = '' THEN 'git-history' ELSE file END AS file, line_no AS line, "
-        f"{quote(name)} AS label, regexp_replace(left(raw, 80), '[A-Za-z0-9+/=_\\-]{{8,}}', '****', 'g') AS snippet "
+        f"{quote(name)} AS label, regexp_replace(raw, '[A-Za-z0-9+/=_\\-]{{8,}}', '****', 'g') AS snippet "
         f"FROM a WHERE {m(p, False, 'raw')}"
         for name, p in R.HISTORY_SECRETS
     ),

@@ -44,7 +44,7 @@ def synthesize_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "mask_snippet",
-    "SELECT doc_id, regexp_replace(left(text, 80), '[A-Za-z0-9+/=_\\-]{8,}', '****', 'g') AS masked FROM documents",
+    "SELECT doc_id, regexp_replace(text, '[A-Za-z0-9+/=_\\-]{8,}', '****', 'g') AS masked FROM documents",
 )
 def mask_snippet(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.mask_history_snippet(F.col("text")).alias("masked"))
