@@ -407,17 +407,25 @@ def compare_baseline(fingerprints: DataFrame, baselines: DataFrame, at: Column)
 
     ``fingerprints`` has ``subject_id, policy_digest, fingerprint``; ``baselines`` has
     ``subject_id, baseline_subject_id, policy_digest, expires_at`` and exploded
-    ``accepted`` rows.  Baseline facts are reduced to one row per subject, accepted
-    fingerprints meet the current ones on (subject, fingerprint).
+    ``accepted`` rows.  Of a subject's baselines the one that lasts longest counts, facts and
+    accepted fingerprints alike; a subject without any is ``unavailable`` and all new.
     """
-    facts = baselines.groupBy("subject_id").agg(
-        F.first("baseline_subject_id").alias("_bs"), F.first("policy_digest").alias("_bp"), F.first("expires_at").alias("_be")
+    fact = F.struct(
+        F.col("expires_at").isNull().alias("never"), F.col("expires_at").alias("be"), F.col("policy_digest").alias("bp"),
+        F.col("baseline_subject_id").alias("bs"),
+    )
+    rows = baselines.select("subject_id", fact.alias("_fact"), F.col("accepted").alias("fingerprint"))
+    facts = rows.groupBy("subject_id").agg(F.max("_fact").alias("_chosen"))
+    accepted = (
+        rows.join(facts, "subject_id").where(F.col("_fact").eqNullSafe(F.col("_chosen")))
+        .select("subject_id", "fingerprint", F.lit(True).alias("_ok")).distinct()
     )
-    accepted = baselines.select("subject_id", F.col("accepted").alias("fingerprint"), F.lit(True).alias("_ok")).distinct()
     current = fingerprints.select("subject_id", "policy_digest", "fingerprint").distinct()
-    joined = current.join(facts, "subject_id").join(accepted, ["subject_id", "fingerprint"], "left")
+    joined = current.join(facts, "subject_id", "left").join(accepted, ["subject_id", "fingerprint"], "left")
+    joined = joined.select("*", *[F.col(f"_chosen.{c}").alias(f"_{c}") for c in ("bs", "bp", "be")])
     status = (
-        F.when((F.col("_bs") != F.col("subject_id")) | (F.col("_bp") != F.col("policy_digest")), "mismatched")
+        F.when(F.col("_chosen").isNull(), "unavailable")
+        .when((F.col("_bs") != F.col("subject_id")) | (F.col("_bp") != F.col("policy_digest")), "mismatched")
         .when(at >= F.col("_be"), "stale")
         .otherwise("matched")
     )

@@ -195,15 +195,23 @@ def exception_reason(subject_id: Column, observation_id: Column, at: Column) ->
 
 
 def applicable_exceptions(requests: DataFrame, exceptions: DataFrame, approvals: DataFrame) -> DataFrame:
-    """``request_id, exception_id, applicable, reason`` for uses of exceptions.
+    """``request_id, exception_id, applicable, reason``, one row for every use of an exception.
 
-    ``requests``: ``request_id, exception_id, subject_id, observation_id, at``.
+    ``requests``: ``request_id, exception_id, subject_id, observation_id, at``; the request id
+    is unique.  Each approval is judged by itself: one that applies is enough, else
+    the newest decision (by time, then approval id) gives the reason.
     """
-    joined = requests.join(exceptions, "exception_id").join(approvals, "exception_id")
-    reason = exception_reason(F.col("subject_id"), F.col("observation_id"), F.col("at"))
-    return joined.select(
-        "request_id", "exception_id", (reason == "applicable").alias("applicable"), reason.alias("reason")
+    known = exceptions.withColumn("_exception", F.lit(True))
+    decided = approvals.withColumn("_approval", F.lit(True))
+    joined = requests.join(known, "exception_id", "left").join(decided, "exception_id", "left")
+    reason = (
+        F.when(F.col("_exception").isNull(), "exception-missing")
+        .when(F.col("_approval").isNull(), "approval-missing")
+        .otherwise(exception_reason(F.col("subject_id"), F.col("observation_id"), F.col("at")))
     )
+    best = F.max(F.struct((F.col("_r") == "applicable").alias("ok"), "decided_at", "approval_id", F.col("_r").alias("reason")))
+    judged = joined.withColumn("_r", reason).groupBy("request_id", "exception_id").agg(best.alias("b"))
+    return judged.select("request_id", "exception_id", F.col("b.ok").alias("applicable"), F.col("b.reason").alias("reason"))
 
 
 def exception_audit(exceptions: DataFrame, approvals: DataFrame) -> DataFrame:

@@ -226,10 +226,11 @@ def package_verdict(
     """
     covered = F.lit(True) if advisory_coverage is None else advisory_coverage
     version = F.when(F.col("version").isNull() | (F.col("version") == "latest"), F.col("latest")).otherwise(F.col("version"))
+    newest = F.struct("checked_at", "exists") if "checked_at" in registry.columns else F.col("exists")
     resolved = (
         requests.select("name", "version").distinct()
-        .join(registry.select("name", "exists"), "name", "left")
-        .join(latest.select("name", F.col("version").alias("latest")), "name", "left")
+        .join(registry.groupBy("name").agg(F.max_by("exists", newest).alias("exists")), "name", "left")
+        .join(latest.groupBy("name").agg(F.max("version").alias("latest")), "name", "left")
         .withColumn("resolved", F.coalesce(version, F.lit("latest")))
     )
     per_version = advisories.groupBy("name", F.col("version").alias("resolved")).agg(

@@ -37,13 +37,14 @@ def local_session(cores: str | int = "*", app: str = "assayline", **extra: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` wins.  Only when it is unset (unit tests, a single
-    machine) is a temporary folder made, because lost executors must be able to
-    read the files back.
+    ``spark.checkpoint.dir`` wins.  Only where it is unset and the master is local is a
+    temporary folder made: on a cluster, other hosts could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from assayline.operators.scan import scan_files
 from assayline.operators.spread import previous_value
 
 IMMEDIATE = ["critical", "high"]
+SEVERITIES = ["critical", "high", "medium", "low"]
 
 
 # --------------------------------------------------------------------------- stateless
@@ -27,8 +26,9 @@ def monitor_alerts(advisories: DataFrame, dependencies: DataFrame, delay: str =
 
     ``advisories`` (stream): ``name, version, vuln_id, severity, fixed_version, ts``;
     ``dependencies`` (static): ``repo_id, name, version``.  Critical and high alerts are
-    immediate, the rest goes to the digest.  A repeated (repository, package, advisory)
-    within the delay is dropped.
+    immediate, the rest goes to the digest.  A repeated (repository, package, version,
+    advisory, severity, fixed version) within the delay is dropped; a changed severity
+    or fix is an alert of its own, whatever the order of arrival.
     """
     hits = advisories.withWatermark("ts", delay).join(dependencies, ["name", "version"])
     alerts = hits.select(
@@ -36,116 +36,129 @@ def monitor_alerts(advisories: DataFrame, dependencies: DataFrame, delay: str =
         F.col("vuln_id").alias("cve_id"), "severity", F.col("ts").alias("discovered_at"),
         F.col("severity").isin(IMMEDIATE).alias("immediate"),
     )
-    return alerts.dropDuplicatesWithinWatermark(["repo_id", "package", "cve_id"])
+    return alerts.dropDuplicatesWithinWatermark(["repo_id", "package", "installed_version", "cve_id", "severity", "fixed_version"])
 
 
-def weekly_digest(alerts: DataFrame, delay: str = "1 day", late_rows: str | None = None) -> DataFrame:
-    """Counts per repository and week; a week starts on Sunday 09:00 UTC.
+def fresh_lookup(names: DataFrame, registry: DataFrame, hours: int = 24) -> DataFrame:
+    """State of each arriving name: exists, missing, or unknown when the newest fact is too old.
 
-    ``alerts`` has ``repo_id, severity, discovered_at``.  The alerts of a week stay rows
-    of the alert table; the digest carries their numbers, so a week of any size is
-    one row.  Rows later than ``delay`` behind the newest are dropped by the watermark.
+    ``names`` (stream): ``name, ts``; ``registry`` (static): ``name, exists, checked_at``.
     """
-    marked = alerts.withWatermark("discovered_at", delay)
-    week = F.window("discovered_at", "7 days", "7 days", "3 days 9 hours")
-    counts = [F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")]
-    return (
-        marked.groupBy("repo_id", week.alias("w")).agg(F.count(F.lit(1)).alias("alerts"), *counts)
-        .select("repo_id", F.col("w.start").alias("week_start"), F.col("w.end").alias("week_end"), "alerts", "critical", "high", "medium", "low")
-    )
+    newest = registry.groupBy("name").agg(F.max(F.struct("checked_at", "exists")).alias("_fact"))
+    joined = names.join(newest, "name", "left")
+    fresh = F.col("_fact.checked_at") > F.col("ts") - F.make_interval(hours=F.lit(hours))
+    state = F.when(~F.coalesce(fresh, F.lit(False)), "unknown").when(F.col("_fact.exists"), "exists").otherwise("missing")
+    return joined.select(*names.columns, state.alias("state"))
 
 
-def fresh_lookup(names: DataFrame, registry: DataFrame, hours: int = 24) -> DataFrame:
-    """State of each arriving name: exists, missing, or unknown when the fact is too old.
+# --------------------------------------------------------------------------- tables as state
+# A batch body keeps one row per key in a state table with a folder per batch: batch n
+# reads what batch n - 1 left and writes its own, so a batch costs what it brings
+# plus one row per key, however long the stream has run, and repeating a batch
+# rewrites the same folders.
+def _state(spark: SparkSession, out: str, schema: str, batch_id: int) -> DataFrame:
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out}_state/batch_id={batch_id - 1}")
 
-    ``names`` (stream): ``name, ts``; ``registry`` (static): ``name, exists, checked_at``.
+
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+Body = Callable[[DataFrame, int], None]
+
+
+def weekly_digest(out: str) -> Body:
+    """``foreachBatch`` body: what a batch adds to the counts per repository and week; :func:`digest_of` sums them.
+
+    The batch has ``repo_id, severity, discovered_at``; a week starts on Sunday 09:00 UTC.
+    A late row adds to its own week, so nothing is lost and the open week is there too.
     """
-    joined = names.join(registry, "name", "left")
-    fresh = F.col("checked_at") > F.col("ts") - F.make_interval(hours=F.lit(hours))
-    state = F.when(~F.coalesce(fresh, F.lit(False)), "unknown").when(F.col("exists"), "exists").otherwise("missing")
-    return joined.select(*names.columns, state.alias("state"))
+    week = F.window("discovered_at", "7 days", "7 days", "3 days 9 hours")
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
 
+    def body(batch: DataFrame, batch_id: int) -> None:
+        added = batch.groupBy("repo_id", week.alias("w")).agg(F.count(F.lit(1)).alias("alerts"), *counts)
+        _write(added.select("repo_id", F.col("w.start").alias("week_start"), F.col("w.end").alias("week_end"), "alerts", *SEVERITIES), out, batch_id)
 
-# --------------------------------------------------------------------------- keyed state
-_APPROVAL_OUT = "request_id bigint, receipt_id bigint, request_digest string, accepted boolean"
+    return body
 
 
-def _first_digest_wins(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first = state.get[0] if state.exists else None
-    for batch in batches:
-        rows = batch.sort_values(["ts", "receipt_id"], kind="stable")
-        if first is None and len(rows):
-            first = rows["request_digest"].iloc[0]
-            state.update((first,))
-        yield pd.DataFrame(
-            {
-                "request_id": rows["request_id"], "receipt_id": rows["receipt_id"], "request_digest": rows["request_digest"],
-                "accepted": rows["request_digest"] == first,
-            }
-        )
+def digest_of(added: DataFrame) -> DataFrame:
+    """One row per repository and week from the rows that :func:`weekly_digest` wrote."""
+    return added.groupBy("repo_id", "week_start", "week_end").agg(*[F.sum(c).alias(c) for c in ("alerts", *SEVERITIES)])
 
 
-def one_time_approval(receipts: DataFrame) -> DataFrame:
-    """Accept a receipt unless its request id was used before with another digest.
+def one_time_approval(out: str) -> Body:
+    """``foreachBatch`` body: accept a receipt unless its request id was used before with another digest.
 
-    State per request id is one digest.  A request's receipts are passed through in
-    Arrow batches and never held together, so replaying one id many times costs
-    time in one task but no memory.
+    The batch has ``request_id, receipt_id, request_digest, ts``.  The first receipt of an
+    id is the earliest by (ts, receipt_id) of the first batch that has the id; its
+    digest is found by an aggregate that combines on the map side and compared by
+    column, so an id that is replayed any number of times is not one task.
     """
-    return receipts.groupBy("request_id").applyInPandasWithState(
-        _first_digest_wins, _APPROVAL_OUT, "first string", "append", GroupStateTimeout.NoTimeout
-    )
+    schema = "request_id bigint, first string"
 
+    def body(batch: DataFrame, batch_id: int) -> None:
+        known = _state(batch.sparkSession, out, schema, batch_id)
+        own = batch.groupBy("request_id").agg(F.min_by("request_digest", F.struct("ts", "receipt_id")).alias("_own"))
+        firsts = own.join(known, "request_id", "full").select("request_id", F.coalesce("first", "_own").alias("first"))
+        _write(firsts, f"{out}_state", batch_id)
+        judged = batch.join(_read(batch, f"{out}_state", schema, batch_id), "request_id")
+        _write(judged.select("request_id", "receipt_id", "request_digest", (F.col("request_digest") == F.col("first")).alias("accepted")), out, batch_id)
 
-# --------------------------------------------------------------------------- tables as state
-def _table_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows that earlier batches wrote; a repeated batch does not see its own first try."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # type: ignore[union-attr]
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema + ", batch_id bigint")
-    return spark.read.schema(schema + ", batch_id bigint").parquet(path).where(F.col("batch_id") < batch_id)
+    return body
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _read(batch: DataFrame, path: str, schema: str, batch_id: int) -> DataFrame:
+    return batch.sparkSession.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
 
 
-def deliver_if_changed(out: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: write the payload of a key only when its digest differs from the last one.
+def _in_order(batch: DataFrame, out: str, batch_id: int, key: str, value: str, kind: str) -> DataFrame:
+    """The batch's rows of ``key, ts, value`` that are not older than their key's newest, with ``_prev``, the value before.
 
-    The batch is ``key, ts, digest``; each row is compared with its predecessor in the
-    batch, the first row of a key with the last delivery of earlier batches.
+    Older rows go to ``{out}_late``; the newest (ts, value) per key is the state.
+    """
+    schema = f"{key} string, _ts timestamp, _last {kind}"
+    known = _state(batch.sparkSession, out, schema, batch_id)
+    joined = batch.select(key, "ts", value).join(known, key, "left")
+    late = F.coalesce(F.col("ts") < F.col("_ts"), F.lit(False))
+    _write(joined.where(late).select(key, "ts", value), f"{out}_late", batch_id)
+    rows = joined.where(~late).select(key, "ts", value)
+    newest = rows.groupBy(key).agg(F.max(F.struct("ts", value)).alias("_n"))
+    state = newest.join(known, key, "full").select(key, F.coalesce("_n.ts", "_ts").alias("_ts"), F.when(F.col("_n").isNotNull(), F.col(f"_n.{value}")).otherwise(F.col("_last")).alias("_last"))
+    _write(state, f"{out}_state", batch_id)
+    first = F.struct(F.lit(False).alias("first"), F.col(value).alias("value"))
+    marked = previous_value(rows.withColumn("_v", first), [key], ["ts", value], "_v", F.to_date("ts"), "_p")
+    return marked.join(known.select(key, "_last"), key, "left").withColumn("_prev", F.when(F.col("_p").isNull(), F.col("_last")).otherwise(F.col("_p.value")))
+
+
+def deliver_if_changed(out: str) -> Body:
+    """``foreachBatch`` body: write the payload of a key only when its digest differs from the one before.
+
+    The batch is ``key, ts, digest``.  A row older than what its key had already is not
+    delivered over it, but written to ``{out}_late``.
     """
-    schema = "key string, ts timestamp, digest string"
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = _table_before(spark, out, schema, batch_id).groupBy("key").agg(
-            F.max_by("digest", F.struct("ts", "digest")).alias("_last")
-        )
-        rows = previous_value(batch.select("key", "ts", "digest"), ["key"], ["ts", "digest"], "digest", F.to_date("ts"), "_prev")
-        merged = rows.join(last, "key", "left").withColumn("_prev", F.coalesce("_prev", "_last"))
-        changed = merged.where(~F.col("_prev").eqNullSafe(F.col("digest"))).select("key", "ts", "digest")
-        _write_batch(changed, out, batch_id)
+        rows = _in_order(batch, out, batch_id, "key", "digest", "string")
+        _write(rows.where(~F.col("_prev").eqNullSafe(F.col("digest"))).select("key", "ts", "digest"), out, batch_id)
 
     return body
 
 
-def score_history(out: str) -> Callable[[DataFrame, int], None]:
+def score_history(out: str) -> Body:
     """``foreachBatch`` body: ``repo_id, ts, previous, current`` for every scored scan.
 
-    Within a batch the previous score comes from a day-wise lag; the first scan of a
-    repository in the batch looks at the newest earlier row.
+    The batch is ``repo_id, ts, score``; previous is the score before it, in the batch or
+    the newest of earlier batches.  A scan older than that newest has no previous one
+    to be read off, and is written to ``{out}_late``.
     """
-    schema = "repo_id string, ts timestamp, previous int, current int"
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = _table_before(spark, out, schema, batch_id).groupBy("repo_id").agg(
-            F.max_by("current", F.struct("ts", "current")).alias("_last")
-        )
-        _write_batch(score_momentum(batch).join(last, "repo_id", "left").select(
-            "repo_id", "ts", F.coalesce("previous", "_last").alias("previous"), "current"), out, batch_id)
+        rows = _in_order(batch, out, batch_id, "repo_id", "score", "int")
+        _write(rows.select("repo_id", "ts", F.col("_prev").alias("previous"), F.col("score").alias("current")), out, batch_id)
 
     return body
 

@@ -113,3 +113,30 @@ def test_archive_escapes(spark):
     df = spark.createDataFrame(rows, "archive_id string, pos int, path string, kind string, size bigint, link_target string")
     got = {r.archive_id: r.code for r in P.archive_issues(df, max_bytes=100).collect()}
     assert got == {"ok": None, "up": "LINK_ESCAPE", "dot": "TRAVERSAL", "dup": "DUPLICATE", "big": "LIMIT", "back": "LINK_ESCAPE"}
+
+
+def test_every_use_of_an_exception_is_answered(spark):
+    from assayline.operators import policy
+
+    t = lambda d: F.to_timestamp(F.lit(d))
+    requests = spark.createDataFrame([(1, "e1"), (2, "none"), (3, "bare"), (4, "two"), (5, "denied-last")], "request_id int, exception_id string")
+    requests = requests.select("*", F.lit("s").alias("subject_id"), F.lit("o").alias("observation_id"), t("2024-01-10").alias("at"))
+    exceptions = spark.createDataFrame([(e, "s", ["o"], "d") for e in ("e1", "bare", "two", "denied-last")], "exception_id string, scope_subject_id string, scope_observation_ids array<string>, request_digest string")
+    exceptions = exceptions.select("*", t("2024-01-01").alias("requested_at"), t("2024-01-02").alias("effective_from"), t("2024-02-01").alias("expires_at"))
+    approvals = spark.createDataFrame(
+        [("e1", "a", "approved", "2024-01-02"), ("two", "a", "approved", "2024-01-02"), ("two", "b", "denied", "2024-01-03"),
+         ("denied-last", "a", "approved", "2023-01-02"), ("denied-last", "b", "denied", "2024-01-03")],
+        "exception_id string, approval_id string, decision string, decided_at string",
+    ).select("*", F.col("exception_id").alias("target_exception_id"), F.lit("d").alias("target_digest"), t("2024-01-20").alias("valid_until"))
+    approvals = approvals.withColumn("decided_at", F.to_timestamp("decided_at"))
+    got = {r.request_id: (r.applicable, r.reason) for r in policy.applicable_exceptions(requests, exceptions, approvals).collect()}
+    assert got == {1: (True, "applicable"), 2: (False, "exception-missing"), 3: (False, "approval-missing"), 4: (True, "applicable"), 5: (False, "approval-denied")}
+
+
+def test_subject_without_baseline_is_all_new(spark):
+    from assayline.operators import evidence
+
+    current = spark.createDataFrame([("s", "p", "f1"), ("s", "p", "f2"), ("t", "p", "f1")], "subject_id string, policy_digest string, fingerprint string")
+    base = spark.createDataFrame([("s", "s", "p", None, "f1"), ("s", "s", "p", "2020-01-01", "f2")], "subject_id string, baseline_subject_id string, policy_digest string, expires_at string, accepted string")
+    got = {(r.subject_id, r.fingerprint): (r.baseline_status, r.verdict) for r in evidence.compare_baseline(current, base.withColumn("expires_at", F.to_timestamp("expires_at")), F.to_timestamp(F.lit("2024-01-01"))).collect()}
+    assert got == {("s", "f1"): ("matched", "accepted"), ("s", "f2"): ("matched", "new"), ("t", "f1"): ("unavailable", "new")}

@@ -50,6 +50,77 @@ def test_one_time_approval_keeps_the_first_digest(spark, tmp_path):
     write(spark, [(1, 1, "a", "2024-01-01"), (1, 2, "b", "2024-01-02"), (2, 3, "c", "2024-01-01")], schema, data, "1")
     write(spark, [(1, 4, "a", "2024-01-03"), (2, 5, "d", "2024-01-03")], schema, data, "2")
     src = spark.readStream.schema(schema.replace("ts string", "ts timestamp")).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(data))
-    flows.run_available(flows.one_time_approval(src), str(tmp_path / "cp"), str(tmp_path / "out"))
+    flows.run_available(src, str(tmp_path / "cp"), body=flows.one_time_approval(str(tmp_path / "out")))
     got = {r.receipt_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: True, 2: False, 3: True, 4: True, 5: False}
+
+
+def test_first_receipt_of_a_hot_id_is_the_earliest_of_all(spark, tmp_path):
+    schema = "request_id bigint, receipt_id bigint, request_digest string, ts timestamp"
+    late = spark.range(1, 25_000).select(F.lit(1).cast("bigint").alias("request_id"), F.col("id").alias("receipt_id"), F.lit("b").alias("request_digest"), F.to_timestamp(F.lit("2024-01-02")).alias("ts"))
+    first = spark.createDataFrame([(1, 0, "a", "2024-01-01")], "request_id bigint, receipt_id bigint, request_digest string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    late.union(first).coalesce(1).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    flows.run_available(src, str(tmp_path / "cp"), body=flows.one_time_approval(str(tmp_path / "out")))
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("accepted", "request_digest").count().collect()
+    assert {(r.accepted, r.request_digest, r["count"]) for r in got} == {(True, "a", 1), (False, "b", 24_999)}
+
+
+def test_late_rows_stand_aside_and_state_stays_one_row_per_key(spark, tmp_path):
+    out = str(tmp_path / "out")
+    body = flows.deliver_if_changed(out)
+    day = lambda rows: spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.to_timestamp("ts"))
+    body(day([("a", "2024-01-05", "x"), ("a", "2024-01-04", "y")]), 0)
+    for _ in range(2):  # a repeated batch changes nothing
+        body(day([("a", "2024-01-03", "z"), ("a", "2024-01-06", "x"), ("b", "2024-01-01", None)]), 1)
+    body(day([("a", "2024-01-07", "q")]), 2)
+    got = {(r.key, str(r.ts.date()), r.digest) for r in spark.read.parquet(out).collect()}
+    assert got == {("a", "2024-01-04", "y"), ("a", "2024-01-05", "x"), ("a", "2024-01-07", "q")}
+    assert [(r.key, r.digest) for r in spark.read.parquet(out + "_late").collect()] == [("a", "z")]
+    assert spark.read.parquet(out + "_state/batch_id=2").count() == 2
+
+
+def test_scores_follow_their_predecessor_across_batches(spark, tmp_path):
+    out = str(tmp_path / "out")
+    body = flows.score_history(out)
+    day = lambda rows: spark.createDataFrame(rows, "repo_id string, ts string, score int").withColumn("ts", F.to_timestamp("ts"))
+    body(day([("r", "2024-01-05", 5)]), 0)
+    body(day([("r", "2024-01-01", 1), ("r", "2024-01-09", 9), ("r", "2024-01-07", None)]), 1)
+    rows = sorted((str(r.ts.date()), r.previous, r.current) for r in spark.read.parquet(out).collect())
+    assert rows == [("2024-01-05", None, 5), ("2024-01-07", 5, None), ("2024-01-09", None, 9)]
+    assert [r.score for r in spark.read.parquet(out + "_late").collect()] == [1]
+
+
+def test_a_raised_severity_alerts_whatever_comes_first(spark, tmp_path):
+    schema = "name string, version string, vuln_id string, severity string, fixed_version string, ts string"
+    for i, order in enumerate((["medium", "critical"], ["critical", "medium"])):
+        data = tmp_path / f"in{i}"
+        write(spark, [("p", "1", "V", s, "2", "2024-01-01") for s in [*order, order[0]]], schema, data, "1")
+        src = spark.readStream.schema(schema.replace("ts string", "ts timestamp")).option("recursiveFileLookup", "true").parquet(str(data))
+        deps = spark.createDataFrame([("r", "p", "1")], "repo_id string, name string, version string")
+        flows.run_available(flows.monitor_alerts(src, deps), str(tmp_path / f"cp{i}"), str(tmp_path / f"out{i}"))
+        got = {(r.severity, r.immediate) for r in spark.read.parquet(str(tmp_path / f"out{i}")).collect()}
+        assert got == {("medium", False), ("critical", True)}
+
+
+def test_late_alerts_count_in_their_week(spark, tmp_path):
+    out = str(tmp_path / "out")
+    body = flows.weekly_digest(out)
+    day = lambda rows: spark.createDataFrame(rows, "repo_id string, severity string, ts string").select("repo_id", "severity", F.to_timestamp("ts").alias("discovered_at"))
+    body(day([("r", "high", "2024-03-20"), ("r", "low", "2024-03-20")]), 0)
+    body(day([("r", "high", "2024-01-10")]), 1)
+    body(day([("r", "critical", "2024-03-21")]), 2)
+    got = {(str(r.week_start.date()), r.alerts, r.critical, r.high) for r in flows.digest_of(spark.read.parquet(out)).collect()}
+    assert got == {("2024-03-17", 3, 1, 1), ("2024-01-07", 1, 0, 1)}
+
+
+def test_checkpoint_folder_is_not_made_up_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from assayline.session import checkpoint_dir
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError):
+        checkpoint_dir(far)

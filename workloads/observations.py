@@ -381,8 +381,8 @@ def create_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "compare_baseline",
     f"""WITH {OBS_CTE}, cur AS (SELECT DISTINCT repo_id AS subject_id, CASE WHEN repo_id = 's1' THEN 'other' ELSE 'pol' END AS policy_digest, fingerprint FROM obs),
-acc AS (SELECT DISTINCT repo_id AS subject_id, fingerprint FROM obs WHERE l_shipdate < TIMESTAMP '{SPLIT}')
-SELECT c.subject_id, c.fingerprint, CASE WHEN c.subject_id IN ('s1', 's2') THEN 'mismatched' WHEN c.subject_id = 's3' THEN 'stale' ELSE 'matched' END AS
+acc AS (SELECT DISTINCT repo_id AS subject_id, fingerprint FROM obs WHERE l_shipdate < TIMESTAMP '{SPLIT}' AND repo_id <> 's6')
+SELECT c.subject_id, c.fingerprint, CASE WHEN c.subject_id = 's6' THEN 'unavailable' WHEN c.subject_id IN ('s1', 's2') THEN 'mismatched' WHEN c.subject_id = 's3' THEN 'stale' ELSE 'matched' END AS
 baseline_status, CASE WHEN a.fingerprint IS NULL THEN 'new' ELSE 'accepted' END AS verdict FROM cur c LEFT JOIN acc a USING (subject_id, fingerprint)""",
 )
 def compare_baseline(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,13 +391,19 @@ def compare_baseline(spark: SparkSession, sf: str) -> DataFrame:
     current = o.select(
         repo.alias("subject_id"), F.when(repo == "s1", "other").otherwise("pol").alias("policy_digest"), "fingerprint"
     )
-    base = o.where(F.col("l_shipdate") < F.lit(SPLIT).cast("timestamp_ntz")).select(
+    # s6 has no baseline; s5 a second one, sooner over, that accepts everything.
+    early = F.col("l_shipdate") < F.lit(SPLIT).cast("timestamp_ntz")
+    second = o.where(repo == "s5").select(
+        repo.alias("subject_id"), repo.alias("baseline_subject_id"), F.lit("old").alias("policy_digest"), F.lit("2023-06-01").cast("timestamp").alias("expires_at"),
+        F.col("fingerprint").alias("accepted"),
+    )
+    base = o.where(early & (repo != "s6")).select(
         repo.alias("subject_id"), F.when(repo == "s2", "elsewhere").otherwise(repo).alias("baseline_subject_id"),
         F.lit("pol").alias("policy_digest"),
         F.when(repo == "s3", F.lit("2023-01-01").cast("timestamp")).when(repo == "s4", F.lit("2030-01-01").cast("timestamp")).alias("expires_at"),
         F.col("fingerprint").alias("accepted"),
     )
-    return E.compare_baseline(current, base, F.lit("2024-01-01").cast("timestamp"))
+    return E.compare_baseline(current, base.unionByName(second), F.lit("2024-01-01").cast("timestamp"))
 
 
 # --------------------------------------------------------------------------- admission and normalisation

@@ -219,19 +219,29 @@ _EX_ORDER = (
 
 @query(
     "applicable_exceptions",
-    f"WITH {_EX_CTE}, q AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_quantity AS request_id, l_orderkey AS k, l_shipdate AS at_t, l_partkey % 5 = 0 AS other, 'ob' || (l_partkey % 9) AS ob FROM lineitem), "
-    f"r AS (SELECT request_id, ex.k AS exception_id, CASE {_EX_ORDER.format(at='at_t')} WHEN other THEN 'subject-mismatch' WHEN NOT list_contains(['ob' || ((ex.k + 2) % 9), 'ob' || (ex.k % 9), 'ob' || ((ex.k + 1) % 9)], ob) "
-    "THEN 'observation-out-of-scope' ELSE 'applicable' END AS reason FROM q JOIN ex USING (k)) SELECT request_id, exception_id, reason = 'applicable' AS applicable, reason FROM r",
+    f"WITH {_EX_CTE}, q AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_quantity || ':' || l_suppkey || ':' || l_extendedprice AS request_id, l_orderkey AS k, l_shipdate AS at_t, l_partkey % 5 = 0 AS other, 'ob' || (l_partkey % 9) AS ob FROM lineitem), "
+    f"r AS (SELECT request_id, ex.k AS exception_id, decided_at, requested_at, CASE {_EX_ORDER.format(at='at_t')} WHEN other THEN 'subject-mismatch' WHEN NOT list_contains(['ob' || ((ex.k + 2) % 9), 'ob' || (ex.k % 9), 'ob' || ((ex.k + 1) % 9)], ob) "
+    "THEN 'observation-out-of-scope' ELSE 'applicable' END AS own FROM q JOIN ex USING (k)), f AS (SELECT request_id, exception_id, CASE WHEN exception_id % 19 = 0 THEN 'exception-missing' WHEN exception_id % 23 = 5 THEN CASE WHEN exception_id % 29 = 7 THEN 'approval-denied' ELSE "
+    "'approval-missing' END WHEN own = 'applicable' OR exception_id % 29 <> 7 OR decided_at > requested_at + INTERVAL 3 DAY THEN own ELSE 'approval-denied' END AS reason FROM r) SELECT DISTINCT request_id, exception_id, reason = 'applicable' AS applicable, reason FROM f",
 )
 def applicable_exceptions(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     requests = table(spark, sf, "lineitem").join(o, "l_orderkey").select(
-        F.concat_ws(":", F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_quantity")).alias("request_id"),
+        F.concat_ws(":", *[F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_suppkey", "l_extendedprice")]).alias("request_id"),
         F.col("l_orderkey").alias("exception_id"),
         F.when(F.col("l_partkey") % 5 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("o_custkey")).alias("subject_id"),
         F.concat(F.lit("ob"), (F.col("l_partkey") % 9).cast("string")).alias("observation_id"), F.col("l_shipdate").alias("at"),
     )
-    return P.applicable_exceptions(requests, _exceptions(spark, sf), _approvals(spark, sf))
+    # Some requests name no known exception, some exceptions have no approval, some two.
+    key = F.col("exception_id")
+    first, o = _approvals(spark, sf), table(spark, sf, "orders").where("o_orderkey % 29 = 7")
+    second = o.select(
+        F.col("o_orderkey").alias("exception_id"), F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("approval_id"),
+        F.col("o_orderkey").alias("target_exception_id"), F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("target_digest"),
+        F.expr("o_orderdate + INTERVAL 3 DAY").alias("decided_at"), F.expr("o_orderdate + INTERVAL 20 DAY").alias("valid_until"), F.lit("denied").alias("decision"),
+    )
+    approvals = first.where(key % 23 != 5).unionByName(second)
+    return P.applicable_exceptions(requests, _exceptions(spark, sf).where(key % 19 != 0), approvals)
 
 
 @query(

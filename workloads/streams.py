@@ -62,7 +62,7 @@ def _alert_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     adv = _events(spark, sf).select(
         F.concat(F.lit("pkg"), (F.col("user_id") % 30).cast("string")).alias("name"), F.lit("1.0").alias("version"),
         F.concat(F.lit("ADV-"), (F.col("event_id") % 400).cast("string")).alias("vuln_id"), pick(_SEV, F.col("user_id") % 4).alias("severity"),
-        F.lit("1.1").alias("fixed_version"), "ts",
+        F.concat(F.lit("1."), (F.col("user_id") % 3).cast("string")).alias("fixed_version"), "ts",
     )
     deps = table(spark, sf, "supplier").select(
         F.concat(F.lit("r"), F.col("s_suppkey").cast("string")).alias("repo_id"),
@@ -73,18 +73,18 @@ def _alert_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     "monitor_alerts",
-    f"""WITH a AS (SELECT DISTINCT 'pkg' || (user_id % 30) AS name, 'ADV-' || (event_id % 400) AS cve_id, {sql_pick(_SEV, 'user_id % 4')} AS severity FROM events), b AS (SELECT name, cve_id, count(*) AS variants FROM a GROUP BY ALL),
-d AS (SELECT 'r' || s_suppkey AS repo_id, 'pkg' || (s_suppkey % 45) AS name FROM supplier) SELECT repo_id, name AS package, cve_id, '1.0' AS installed_version FROM b JOIN d USING (name)""",
+    f"""WITH a AS (SELECT DISTINCT 'pkg' || (user_id % 30) AS name, 'ADV-' || (event_id % 400) AS cve_id, {sql_pick(_SEV, 'user_id % 4')} AS severity, '1.' || (user_id % 3) AS fixed_version FROM events),
+d AS (SELECT 'r' || s_suppkey AS repo_id, 'pkg' || (s_suppkey % 45) AS name FROM supplier) SELECT repo_id, name AS package, cve_id, '1.0' AS installed_version, fixed_version, severity, severity IN ('critical', 'high') AS immediate FROM a JOIN d USING (name)""",
 )
 def monitor_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """One alert per repository, package and advisory over the whole month (the delay exceeds it)."""
+    """One alert per repository, package, advisory, severity and fix over the whole month (the delay exceeds it)."""
     adv, deps = _alert_rows(spark, sf)
-    return _finish(spark, flows.monitor_alerts(adv, deps, "60 days")).select("repo_id", "package", "cve_id", "installed_version")
+    return _finish(spark, flows.monitor_alerts(adv, deps, "60 days")).drop("discovered_at")
 
 
 _DIGEST = (
     "SELECT repo_id, week_start, week_end, count(*)::BIGINT AS alerts, " + ", ".join(f"count(*) FILTER (severity = '{s}')::BIGINT AS {s}" for s in _SEV)
-    + " FROM w WHERE week_end <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL"
+    + " FROM w GROUP BY ALL"
 )
 
 
@@ -95,23 +95,24 @@ w AS (SELECT *, TIMESTAMP '1970-01-04 09:00:00' + to_days((7 * floor(epoch(ts -
  TIMESTAMP '1970-01-04 09:00:00' + to_days((7 * floor(epoch(ts - TIMESTAMP '1970-01-04 09:00:00') / 604800) + 7)::INT) AS week_end FROM e) {_DIGEST}""",
 )
 def weekly_digest(spark: SparkSession, sf: str) -> DataFrame:
-    """Closed weeks only: a week is emitted once the watermark has passed its end."""
+    """All weeks, the open one too."""
     alerts = _events(spark, sf).select(
         F.concat(F.lit("r"), (F.col("user_id") % 25).cast("string")).alias("repo_id"), pick(_SEV, F.col("event_id") % 4).alias("severity"),
         F.col("ts").alias("discovered_at"),
     )
-    out = _finish(spark, flows.weekly_digest(alerts, "1 day"))
+    schema = "repo_id string, week_start timestamp, week_end timestamp, alerts bigint, " + ", ".join(f"{s} bigint" for s in _SEV)
+    out = flows.digest_of(_through(spark, alerts, flows.weekly_digest, schema))
     return out.withColumn("week_start", F.col("week_start").cast("timestamp_ntz")).withColumn("week_end", F.col("week_end").cast("timestamp_ntz"))
 
 
 @query(
     "fresh_lookup",
-    "WITH r AS (SELECT 'pkg' || p_partkey AS name, p_size > 10 AS e, TIMESTAMP '2024-01-01' + to_days((p_partkey % 30)::INT) AS c FROM part WHERE p_partkey < 200) SELECT event_id, 'pkg' || (user_id % 250) AS name, CASE WHEN c IS NULL "
+    "WITH r AS (SELECT 'pkg' || p_partkey AS name, p_size > 10 AS e, TIMESTAMP '2024-01-01' + to_days((p_partkey % 30)::INT) AS c FROM part) SELECT event_id, 'pkg' || (user_id % 250) AS name, CASE WHEN c IS NULL "
     "OR NOT c > ts - INTERVAL 240 HOUR THEN 'unknown' WHEN e THEN 'exists' ELSE 'missing' END AS state FROM events LEFT JOIN r ON r.name = 'pkg' || (user_id % 250)",
 )
 def fresh_lookup(spark: SparkSession, sf: str) -> DataFrame:
     names = _events(spark, sf).select("event_id", F.concat(F.lit("pkg"), (F.col("user_id") % 250).cast("string")).alias("name"), "ts")
-    registry = table(spark, sf, "part").where("p_partkey < 200").select(
+    registry = table(spark, sf, "part").select(
         F.concat(F.lit("pkg"), F.col("p_partkey").cast("string")).alias("name"), (F.col("p_size") > 10).alias("exists"),
         F.expr("TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, CAST(p_partkey % 30 AS INT))").alias("checked_at"),
     )
@@ -127,7 +128,7 @@ def one_time_approval(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("request_id"), F.col("event_id").alias("receipt_id"),
         F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")).alias("request_digest"), "ts",
     )
-    return _finish(spark, flows.one_time_approval(receipts))
+    return _through(spark, receipts, flows.one_time_approval, "request_id bigint, receipt_id bigint, request_digest string, accepted boolean")
 
 
 def _through(spark: SparkSession, stream: DataFrame, body_of: object, schema: str) -> DataFrame:
