@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.operators.context import ALWAYS_READ, TEXT_EXTENSIONS, ignore_paths
+from assayline.session import checkpoint_dir
 
 # Paths ignored unless a project says otherwise, and folders never walked.
 DEFAULT_IGNORES = [
@@ -24,39 +26,84 @@ _WANTED = re.compile(
 )
 
 
+_FOUND = "rel string, is_dir boolean"
 _FILE = "repo_id string, path string, content string"
+#: Bytes of content that a reading task holds at a time.
+_FRAME_BYTES = 16 << 20
 
 
-def _hidden(segment: str) -> bool:
-    return segment.startswith((".", "_"))
+def _hidden(path: Column) -> Column:
+    return path.rlike(r"(?:^|/)[._]")
 
 
-def hidden_files(repos: DataFrame, root: str, prune: list[str], depth: int) -> DataFrame:
-    """Files below ``root`` with a dot or underscore segment, which Spark's file source never lists.
+def _uri(root: str) -> str:
+    return root if "://" in root else "file://" + root
 
-    ``repos`` holds one ``repo_id`` per repository; each is walked where its row is
-    processed, so listing and reading are spread over the cluster.  ``prune`` names
-    folders that are not entered.
+
+def list_files(spark: SparkSession, root: str, prune: list[str], repo_depth: int = 1) -> DataFrame:
+    """``repo_id, path, rel`` of every file below ``root``, hidden ones too, without opening any.
+
+    Folders are rows: each round lists the folders that the last one found, so one deep
+    repository is spread over all tasks by folder.  Folders named in ``prune`` are not
+    entered.  There are as many rounds as the tree has levels; each is written to the
+    checkpoint folder.  The root must be readable from every executor, by a path or an
+    object store's URI.
     """
+    uri = _uri(root)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = pafs.FileSystem.from_uri(uri)
+        top = base.rstrip("/")
+        for batch in batches:
+            for rel in batch["rel"]:
+                found = [
+                    (info.path[len(top) + 1 :], info.type == pafs.FileType.Directory)
+                    for info in fs.get_file_info(pafs.FileSelector(f"{top}/{rel}" if rel else top))
+                    if info.type != pafs.FileType.Directory or info.base_name not in prune
+                ]
+                yield pd.DataFrame(found, columns=["rel", "is_dir"])
+
+    checkpoint_dir(spark)
+    folders = spark.createDataFrame([("",)], "rel string")
+    levels = []
+    while True:
+        found = folders.repartition("rel").mapInPandas(walk, _FOUND).checkpoint()
+        levels.append(found.where(~F.col("is_dir")).select("rel"))
+        folders = found.where("is_dir").select("rel")
+        if folders.isEmpty():
+            break
+    files = reduce(lambda x, y: x.union(y), levels)
+    parts = F.split("rel", "/")
+    repo = F.array_join(F.slice(parts, 1, repo_depth), "/") if repo_depth else F.lit("")
+    path = F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.size(parts)), "/")
+    return files.where(F.size(parts) > repo_depth).select(repo.alias("repo_id"), path.alias("path"), "rel")
+
+
+def read_files(listed: DataFrame, root: str) -> DataFrame:
+    """``repo_id, path, content`` of listed files; undecodable bytes become replacement characters."""
+    uri = _uri(root)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        rows, size = [], 0
         for batch in batches:
-            for repo in batch["repo_id"]:
-                top = f"{base.rstrip('/')}/{repo}" if depth else base.rstrip("/")
-                todo = [top]
-                while todo:
-                    for info in fs.get_file_info(pafs.FileSelector(todo.pop())):
-                        rel = info.path[len(top) + 1 :]
-                        if info.type == pafs.FileType.Directory:
-                            if info.base_name not in prune:
-                                todo.append(info.path)
-                        elif any(_hidden(part) for part in rel.split("/")) and _WANTED.search(rel):
-                            with fs.open_input_stream(info.path) as handle:
-                                text = handle.read().decode("utf-8", "replace")
-                            yield pd.DataFrame({"repo_id": [repo], "path": [rel], "content": [text]})
-
-    return repos.mapInPandas(walk, _FILE)
+            for repo, path, rel in zip(batch["repo_id"], batch["path"], batch["rel"], strict=True):
+                with fs.open_input_stream(f"{base.rstrip('/')}/{rel}") as handle:
+                    raw = handle.read()
+                rows.append((repo, path, raw.decode("utf-8", "replace")))
+                size += len(raw)
+                if size >= _FRAME_BYTES:
+                    yield pd.DataFrame(rows, columns=["repo_id", "path", "content"])
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "content"])
+
+    return listed.select("repo_id", "path", "rel").repartition("rel").mapInPandas(read, _FILE)
+
+
+def _folder_names(patterns: list[str]) -> list[str]:
+    """Names from patterns of the form ``**/name/**``, whose folders need not be entered."""
+    return [m[1] for p in patterns if (m := re.fullmatch(r"\*\*/([^*?/\[{]+)/\*\*", p))]
 
 
 def scan_source_files(
@@ -64,30 +111,19 @@ def scan_source_files(
 ) -> DataFrame:
     """``source_files`` below ``root``: one folder level (``repo_depth``) names the repository.
 
-    Text extensions and a few root files are read, one row per file, dot files
-    included.  A file is listed once, so no de-duplication shuffle is needed.
+    Text extensions and a few root files, dot files included.  The tree is listed
+    first, paths are filtered, and only what is left is read.
     """
-    uri = root if "://" in root else "file://" + root
-    raw = (
-        spark.read.text(uri, wholetext=True, recursiveFileLookup=True)
-        .select(F.col("value").alias("content"), F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("_uri"))
-    )
-    base = uri.split("://", 1)[1].rstrip("/") + "/"
-    rel = F.substring_index(F.replace("_uri", F.lit("\\"), F.lit("/")), base, -1)
-    parts = F.split(rel, "/")
-    repo = F.array_join(F.slice(parts, 1, repo_depth), "/") if repo_depth else F.lit("")
-    path = F.array_join(F.slice(parts, F.lit(repo_depth + 1), F.size(parts)), "/")
-    files = raw.select(repo.alias("repo_id"), path.alias("path"), "content").where(F.col("path").rlike(_WANTED.pattern))
-    if include_hidden:
-        repos = raw.select(repo.alias("repo_id")).distinct()
-        files = files.unionByName(hidden_files(repos, uri, NEVER_ENTERED, repo_depth))
-    return ignore_paths(files, [*DEFAULT_IGNORES, *(ignore or [])])
+    patterns = [*DEFAULT_IGNORES, *(ignore or [])]
+    listed = list_files(spark, root, [*NEVER_ENTERED, *_folder_names(patterns)], repo_depth)
+    wanted = ignore_paths(listed.where(F.col("path").rlike(_WANTED.pattern)), patterns)
+    return read_files(wanted if include_hidden else wanted.where(~_hidden(F.col("path"))), root)
 
 
 def agent_config_files(repos: DataFrame, root: str, repo_depth: int = 1) -> DataFrame:
     """Agent configuration files of each repository; they are read even though scans ignore their folders."""
-    found = hidden_files(repos, root if "://" in root else "file://" + root, NEVER_ENTERED, repo_depth)
-    return found.where(F.col("path").rlike(AGENT_CONFIGS))
+    found = list_files(repos.sparkSession, root, NEVER_ENTERED, repo_depth).where(F.col("path").rlike(AGENT_CONFIGS))
+    return read_files(found.join(repos.select("repo_id").distinct(), "repo_id", "left_semi"), root)
 
 
 def with_file_facts(files: DataFrame) -> DataFrame:

@@ -137,3 +137,19 @@ def test_facts_meet_hits_and_never_file_content(spark):
         assert {r.rule for r in found.collect()} == {"AI-001"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_repository_of_hidden_files_is_found_and_ignored_folders_stay_closed(spark, tmp_path):
+    for name in ("hub/.github/workflows/ci.yml", "hub/node_modules/x/a.js", "mono/a/b/c/d/deep.ts", "mono/dist/out.js", "mono/skip/s.ts", "top.ts"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("eval(x)")
+    for closed in ("hub/node_modules", "mono/dist", "mono/skip"):
+        (tmp_path / closed).chmod(0)  # listing it would fail for anyone but root
+    try:
+        got = scan_source_files(spark, str(tmp_path), ignore=["**/skip/**"])
+        assert {(r.repo_id, r.path) for r in got.collect()} == {("hub", ".github/workflows/ci.yml"), ("mono", "a/b/c/d/deep.ts")}
+        assert {r.path for r in scan_source_files(spark, str(tmp_path), ["**/skip/**"], include_hidden=False).collect()} == {"a/b/c/d/deep.ts"}
+    finally:
+        for closed in ("hub/node_modules", "mono/dist", "mono/skip"):
+            (tmp_path / closed).chmod(0o755)
