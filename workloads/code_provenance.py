@@ -221,13 +221,13 @@ _ARTIFACTS = [
 @query(
     "repo_prior",
     "WITH p AS (SELECT DISTINCT source AS repo_id, " + sql_pick(_ARTIFACTS, f"(doc_id // 7) % {len(_ARTIFACTS)}") + " AS path FROM "
-    "documents WHERE lang <> 'en'), h AS (SELECT DISTINCT repo_id, CASE WHEN starts_with(path, '.cursor/') THEN 1 WHEN path = 'CLAUDE.md' THEN 2 "
+    "documents), h AS (SELECT DISTINCT repo_id, CASE WHEN starts_with(path, '.cursor/') THEN 1 WHEN path = 'CLAUDE.md' THEN 2 "
     "WHEN starts_with(path, '.aider') THEN 3 WHEN path = '.continue' THEN 4 WHEN path = '.continuerc' THEN 5 WHEN path = '.windsurfrules' "
     "THEN 6 WHEN path = '.codyrules' THEN 7 WHEN starts_with(path, '.claude/') THEN 8 END AS k FROM p) SELECT repo_id, count(k)::INT AS "
     "artifacts, least(count(k) * 0.1, 0.35)::DOUBLE AS prior FROM h WHERE k IS NOT NULL GROUP BY 1",
 )
 def repo_prior(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("lang <> 'en'")
+    docs = table(spark, sf, "documents")
     files = docs.select(
         F.col("source").alias("repo_id"),
         pick(_ARTIFACTS, F.pmod(F.expr("doc_id div 7"), F.lit(len(_ARTIFACTS)))).alias("path"),
@@ -239,20 +239,19 @@ def repo_prior(spark: SparkSession, sf: str) -> DataFrame:
 def _provenance(spark: SparkSession, sf: str) -> DataFrame:
     c, f = commits(spark, sf), commit_files(spark, sf)
     files = f.groupBy("repo_id", "path").agg(F.sum("lines_added").alias("n_lines"))
-    signals = P.trailer_signals(c.where(~F.col("body").startswith("Add")), f, 1).unionByName(
+    signals = P.trailer_signals(c, f, 1).unionByName(
         P.commit_shape_signals(c, f, max_gap=GAP)
     )
     prior = (
         table(spark, sf, "customer")
-        .where("c_nationkey % 4 = 1")
-        .select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("repo_id"), F.lit(0.1).alias("prior"))
+        .select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("repo_id"), F.expr("CASE WHEN c_nationkey % 4 = 1 THEN 0.1D ELSE 0D END").alias("prior"))
     )
     return P.combine_signals(files, signals, prior)
 
 
 _PROV = f"""{_CTE.replace("FROM orders),", "FROM orders),", 1)}, {_SHAPE},
 lab AS (SELECT repo_id, sha, ts, CASE WHEN regexp_matches(body, {_AGENT}) OR regexp_matches(body, {rx(P.BOT_TRAILER)}) OR
- regexp_matches(body, {rx(P.PROVENANCE_HEADER)}) THEN 1 END AS label FROM commits WHERE NOT starts_with(body, 'Add')),
+ regexp_matches(body, {rx(P.PROVENANCE_HEADER)}) THEN 1 END AS label FROM commits),
 t AS (SELECT DISTINCT repo_id, sha, path FROM commit_files),
 n AS (SELECT t.repo_id, path, label, row_number() OVER (PARTITION BY t.repo_id, path ORDER BY ts DESC, sha DESC) AS rn FROM t JOIN lab USING (repo_id, sha)),
 files AS (SELECT repo_id, path, sum(lines_added)::BIGINT AS n_lines FROM commit_files GROUP BY ALL),

@@ -163,15 +163,15 @@ _RUN = "l_suppkey"
     "evidence_with_runs",
     "WITH r AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_nationkey % 3 = 0 THEN 'incomplete' ELSE 'complete' END AS coverage, CASE WHEN "
     "s_nationkey % 4 = 0 THEN 'failed' ELSE 'complete' END AS st, CASE WHEN s_nationkey % 5 = 0 THEN ['timeout', 'db-stale', 'timeout'] ELSE [] "
-    "END AS reasons FROM supplier WHERE s_nationkey <> 7), j AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, r.* FROM lineitem LEFT JOIN r ON "
-    "l_suppkey = s_suppkey) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN coverage IS NULL THEN 'unavailable' ELSE 'available' END AS "
+    "END AS reasons FROM supplier), j AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, r.* FROM lineitem LEFT JOIN r ON "
+    "l_suppkey = s_suppkey AND s_nationkey <> 7) SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN coverage IS NULL THEN 'unavailable' ELSE 'available' END AS "
     "timestamp_status, list_sort(list_distinct(list_filter([CASE WHEN coverage IS NULL THEN 'tool-run-metadata-unavailable' END, CASE WHEN "
     "coverage <> 'complete' THEN 'tool-run-incomplete' END, CASE WHEN st <> 'complete' THEN 'producer-coverage-incomplete' END], lambda x: x IS NOT "
     "NULL) || coalesce(reasons, []::VARCHAR[]))) AS limitations FROM j",
 )
 def evidence_with_runs(spark: SparkSession, sf: str) -> DataFrame:
-    runs = table(spark, sf, "supplier").where("s_nationkey <> 7").select(
-        F.col("s_suppkey").alias("run_id"),
+    runs = table(spark, sf, "supplier").select(
+        F.expr("CASE WHEN s_nationkey = 7 THEN -s_suppkey ELSE s_suppkey END").alias("run_id"),
         F.lit("2024-01-01").alias("started_at"), F.lit("2024-01-02").alias("completed_at"),
         F.expr("CASE WHEN s_nationkey % 3 = 0 THEN 'incomplete' ELSE 'complete' END").alias("coverage"),
         F.expr("CASE WHEN s_nationkey % 4 = 0 THEN 'failed' ELSE 'complete' END").alias("producer_state"),
@@ -299,17 +299,17 @@ def lineage_delta(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "gap_delta",
     "WITH b AS (SELECT DISTINCT 'gap ' || p_brand || p_size AS gap FROM part WHERE p_size < 25), h AS (SELECT DISTINCT 'gap ' || p_brand || p_size FROM part WHERE p_size > "
-    "20 AND p_type = 'SMALL'), x AS (SELECT gap, 'removed' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM h) UNION ALL SELECT gap, 'added' FROM "
+    "20), x AS (SELECT gap, 'removed' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM h) UNION ALL SELECT gap, 'added' FROM "
     "(SELECT * FROM h EXCEPT SELECT * FROM b) t(gap)) SELECT 'sha256:' || sha256(gap) AS gap_digest, side FROM x",
 )
 def gap_delta(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").withColumn("gap", F.concat(F.lit("gap "), "p_brand", F.col("p_size").cast("string")))
-    return E.gap_delta(p.where("p_size < 25"), p.where("p_size > 20 AND p_type = 'SMALL'"))
+    return E.gap_delta(p.where("p_size < 25"), p.where("p_size > 20"))
 
 
 @query(
     "comparison_blockers",
-    f"""WITH {_DIFF}, e AS (SELECT DISTINCT 's' || (l_partkey % 10) AS repo_id, l_orderkey, l_linestatus AS st FROM lineitem WHERE l_linenumber < 2 AND l_linestatus <> 'O'),
+    f"""WITH {_DIFF}, e AS (SELECT DISTINCT 's' || (l_partkey % 10) AS repo_id, l_orderkey, l_linestatus AS st FROM lineitem WHERE l_linestatus <> 'O'),
 g AS (SELECT DISTINCT 's' || (p_partkey % 7) AS repo_id, p_brand FROM part),
 k AS (SELECT DISTINCT repo_id FROM diff), u AS (SELECT repo_id, count(*) FILTER (change = 'severity-unassessed') AS n FROM diff GROUP BY 1),
 l AS (SELECT repo_id, sum(n) AS n FROM (SELECT repo_id, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT repo_id, count(*) FROM g GROUP BY 1) GROUP BY 1)
@@ -326,7 +326,7 @@ def comparison_blockers(spark: SparkSession, sf: str) -> DataFrame:
         F.when(repo == "s5", "incomplete").otherwise("complete").alias("base_coverage"),
         F.when(repo == "s6", "incomplete").when(repo != "s4", "complete").alias("head_coverage"),
     )
-    edges = table(spark, sf, "lineitem").where("l_linenumber < 2").select(
+    edges = table(spark, sf, "lineitem").select(
         F.concat(F.lit("s"), (F.col("l_partkey") % 10).cast("string")).alias("repo_id"), "l_orderkey",
         F.when(F.col("l_linestatus") == "O", "matched").otherwise("unverifiable").alias("status"),
     )
@@ -583,20 +583,21 @@ def record_integrity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "redaction_coverage",
-    "WITH m AS (SELECT DISTINCT l_suppkey AS record_id, 'd' || l_partkey AS digest, CASE WHEN l_partkey % 3 = 0 THEN 'applied' ELSE 'none' END AS disposition FROM lineitem WHERE "
-    "l_linenumber > 1), e AS (SELECT DISTINCT l_suppkey, 'd' || l_partkey, CASE WHEN l_partkey % 3 = 0 AND l_partkey % 2 = 0 THEN 'applied' ELSE 'none' END FROM lineitem WHERE "
-    "l_linenumber < 7) SELECT *, 'undeclared' AS side FROM (SELECT * FROM m EXCEPT SELECT * FROM e) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM e EXCEPT SELECT * FROM m)",
+    "WITH m AS (SELECT DISTINCT l_suppkey AS record_id, 'd' || l_partkey || CASE WHEN l_linenumber = 1 THEN 'a' ELSE '' END AS digest, CASE WHEN l_partkey % 3 = 0 THEN 'applied' ELSE 'none' END AS disposition FROM lineitem"
+    "), e AS (SELECT DISTINCT l_suppkey, 'd' || l_partkey || CASE WHEN l_linenumber = 7 THEN 'b' ELSE '' END, CASE WHEN l_partkey % 3 = 0 AND l_partkey % 2 = 0 THEN 'applied' ELSE 'none' END FROM lineitem"
+    ") SELECT *, 'undeclared' AS side FROM (SELECT * FROM m EXCEPT SELECT * FROM e) UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM e EXCEPT SELECT * FROM m)",
 )
 def redaction_coverage(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     digest = F.concat(F.lit("d"), F.col("l_partkey").cast("string"))
     third = F.col("l_partkey") % 3 == 0
-    members = li.where("l_linenumber > 1").select(
-        F.col("l_suppkey").alias("record_id"), digest.alias("digest"), F.when(third, "applied").otherwise("none").alias("redaction"),
+    mark = lambda line, text: F.concat(digest, F.when(F.col("l_linenumber") == line, text).otherwise("")).alias("digest")
+    members = li.select(
+        F.col("l_suppkey").alias("record_id"), mark(1, "a"), F.when(third, "applied").otherwise("none").alias("redaction"),
         F.lit("policy").alias("kind"),
     )
-    entries = li.where("l_linenumber < 7").select(
-        F.col("l_suppkey").alias("record_id"), digest.alias("digest"),
+    entries = li.select(
+        F.col("l_suppkey").alias("record_id"), mark(7, "b"),
         F.when(third & (F.col("l_partkey") % 2 == 0), "applied").otherwise("none").alias("disposition"),
     )
     return E.redaction_coverage(members, entries)

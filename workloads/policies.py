@@ -102,17 +102,18 @@ def policy_input_issues(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "uncovered_policy_checks",
-    "SELECT DISTINCT c_nationkey AS policy_id, 'k' || (c_custkey % 40) AS check_id FROM customer EXCEPT SELECT c_nationkey, 'k' || (o_orderkey % 40) FROM orders JOIN customer ON "
-    "o_custkey = c_custkey WHERE o_orderstatus = 'P'",
+    "SELECT DISTINCT c_nationkey AS policy_id, 'k' || (c_custkey % 40) AS check_id FROM customer EXCEPT SELECT c_nationkey, CASE WHEN o_orderstatus = 'P' THEN 'k' ELSE 'other' END || (o_orderkey % 40) FROM orders JOIN customer ON "
+    "o_custkey = c_custkey",
 )
 def uncovered_policy_checks(spark: SparkSession, sf: str) -> DataFrame:
     cust = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     policies = cust.select(
         F.col("c_nationkey").alias("policy_id"), F.concat(F.lit("k"), (F.col("c_custkey") % 40).cast("string")).alias("check_id")
     )
-    got = table(spark, sf, "orders").where("o_orderstatus = 'P'").join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    got = table(spark, sf, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey"))
     checks = got.select(
-        F.col("c_nationkey").alias("policy_id"), F.concat(F.lit("k"), (F.col("o_orderkey") % 40).cast("string")).alias("check_id")
+        F.col("c_nationkey").alias("policy_id"),
+        F.concat(F.when(F.col("o_orderstatus") == "P", "k").otherwise("other"), (F.col("o_orderkey") % 40).cast("string")).alias("check_id"),
     )
     return P.uncovered_policy_checks(policies, checks)
 
@@ -121,7 +122,7 @@ def uncovered_policy_checks(spark: SparkSession, sf: str) -> DataFrame:
     "dangling_references",
     "WITH r AS (SELECT l_suppkey AS evaluation_id, l_orderkey % 100 AS subject_id, l_linenumber AS check_id, CASE WHEN l_linestatus = 'O' THEN 'observation' ELSE 'digest' END AS kind, 'r' || "
     "l_partkey AS ref FROM lineitem), o AS (SELECT DISTINCT 'r' || p_partkey AS ref, s AS subject_id FROM part, (SELECT unnest(range(0, 100)) AS s) WHERE p_size % 4 = s % 4), m AS (SELECT DISTINCT "
-    "s_suppkey AS e, 'r' || p_partkey AS ref FROM supplier JOIN part ON s_suppkey % 10 = p_partkey % 10 WHERE p_size > 5) SELECT evaluation_id, check_id, kind, ref FROM r WHERE (kind = "
+    "l_suppkey AS e, 'r' || CASE WHEN l_orderkey % 3 = 0 THEN 'x' ELSE '' END || l_partkey AS ref FROM lineitem WHERE l_tax > 0.02) SELECT evaluation_id, check_id, kind, ref FROM r WHERE (kind = "
     "'observation' AND NOT EXISTS (SELECT 1 FROM o WHERE o.ref = r.ref AND o.subject_id = r.subject_id)) OR (kind = 'digest' AND NOT EXISTS (SELECT 1 FROM m WHERE m.ref = r.ref AND m.e = "
     "r.evaluation_id))",
 )
@@ -137,10 +138,11 @@ def dangling_references(spark: SparkSession, sf: str) -> DataFrame:
     observations = part.select(
         name.alias("observation_id"), F.explode(F.sequence(F.pmod("p_size", F.lit(4)).cast("bigint"), F.lit(99).cast("bigint"), F.lit(4).cast("bigint"))).alias("subject_id")
     )
-    sup = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).alias("b"))
-    members = part.select((F.col("p_partkey") % 10).alias("b"), name.alias("digest"), F.when(F.col("p_size") > 5, "none").otherwise("omitted").alias("redaction")).join(
-        sup, "b"
-    ).select(F.col("s_suppkey").alias("evaluation_id"), "digest", "redaction")
+    members = li.select(
+        F.col("l_suppkey").alias("evaluation_id"),
+        F.concat(F.lit("r"), F.when(F.col("l_orderkey") % 3 == 0, "x").otherwise(""), F.col("l_partkey").cast("string")).alias("digest"),
+        F.when(F.col("l_tax") > 0.02, "none").otherwise("omitted").alias("redaction"),
+    )
     return P.dangling_references(references, observations, members)
 
 
@@ -598,8 +600,8 @@ _register_hypotheses_oracle()
     "audit_proof_binding",
     """WITH p AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 'confirmed' WHEN o_orderkey % 3 = 1 THEN 'not_reproduced' ELSE 'inconclusive' END AS v, o_orderstatus <> 'P' AS done,
  CASE WHEN o_orderpriority = '5-LOW' THEN 'failed' ELSE 'passed' END AS nc FROM orders),
-a AS (SELECT l_orderkey AS k, count(*) AS m FROM lineitem JOIN p ON p.k = l_orderkey WHERE l_linenumber <= 3 AND l_quantity > 15 AND l_discount > 0.02 AND v <> 'inconclusive' GROUP BY 1),
-o AS (SELECT c_custkey AS c, c_nationkey AS n FROM customer WHERE c_nationkey <> 9)
+a AS (SELECT l_orderkey AS k, count(*) AS m FROM lineitem JOIN p ON p.k = l_orderkey WHERE l_quantity > 15 AND l_discount > 0.02 AND v <> 'inconclusive' GROUP BY 1),
+o AS (SELECT CASE WHEN c_nationkey = 9 THEN -c_custkey ELSE c_custkey END AS c, c_nationkey AS n FROM customer)
 SELECT p.k AS proof_id, coalesce(m, 0)::BIGINT AS matches, l AS reasons, CASE WHEN len(l) = 0 THEN 'auditable' ELSE 'not-auditable' END AS status FROM (SELECT p.*, m, """ + _list([
         ("o.c IS NULL", "observation is not included"), ("n = 4", "observation does not bind the subject"), ("n = 5", "rule does not match the observation"),
         ("NOT done", "proof was not completed"), ("nc <> 'passed'", "negative control did not pass"), ("v = 'inconclusive'", "verdict is not release-grade"),
@@ -624,7 +626,7 @@ def audit_proof_binding(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "5-LOW", "failed").otherwise("passed").alias("negative_control"),
     )
     attempts = (
-        table(spark, sf, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount")
+        table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount")
         .join(o.select("o_orderkey", "o_custkey"), "o_orderkey")
         .select(
             *keys(F.col("o_custkey"), F.when(k % 3 == 2, "other").otherwise(verdict)), (F.col("l_quantity") > 15).alias("executed"),
@@ -632,8 +634,8 @@ def audit_proof_binding(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     n = F.col("c_nationkey")
-    observations = table(spark, sf, "customer").where("c_nationkey <> 9").select(
-        F.col("c_custkey").alias("observation_id"),
+    observations = table(spark, sf, "customer").select(
+        F.when(n == 9, -F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("observation_id"),
         F.concat(F.when(n == 4, "x").otherwise("s"), F.col("c_custkey").cast("string")).alias("subject_id"),
         F.when(n == 5, "D9").otherwise("D1-001").alias("rule"),
     )

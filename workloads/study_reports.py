@@ -63,7 +63,7 @@ def _reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _resolutions(spark: SparkSession, sf: str) -> DataFrame:
-    lab = table(spark, sf, "labels").where("doc_id % 5 <> 0")
+    lab = table(spark, sf, "labels")
     split = F.col("quality") != F.col("toxic")
     return lab.where(split | (F.col("doc_id") % 11 == 1)).select(
         F.col("doc_id").alias("sample_id"), F.lit("confirmed").alias("resolved_label"),
@@ -72,7 +72,7 @@ def _resolutions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _REV = f"""rev AS (SELECT doc_id, {sql_pick(_L, 'quality + doc_id % 3')} AS a, {sql_pick(_L, 'toxic + doc_id % 3')} AS b FROM labels),
-res AS (SELECT doc_id, doc_id * 10 + CASE WHEN doc_id % 7 = 1 THEN 2 ELSE 5 END AS at_t FROM labels WHERE doc_id % 5 <> 0 AND (quality <> toxic OR doc_id % 11 = 1)),
+res AS (SELECT doc_id, doc_id * 10 + CASE WHEN doc_id % 7 = 1 THEN 2 ELSE 5 END AS at_t FROM labels WHERE (quality <> toxic OR doc_id % 11 = 1)),
 adj AS (SELECT r.doc_id AS sample_id, CASE WHEN a <> b THEN CASE WHEN s.doc_id IS NOT NULL THEN 'confirmed' END ELSE a END AS final_label, a <> b AS disagreement, CASE WHEN a <> b AND s.doc_id IS NULL THEN 'unresolved disagreement'
  WHEN a <> b AND at_t <= r.doc_id * 10 + 2 THEN 'resolution before labels were frozen' WHEN a = b AND s.doc_id IS NOT NULL THEN 'resolution without disagreement' END AS issue FROM rev r LEFT JOIN res s USING (doc_id))"""
 
@@ -145,8 +145,8 @@ def score_participants(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "gate_reconcile",
     "WITH r AS (SELECT o_custkey AS k, count(*) FILTER (o_orderstatus = 'F' OR o_custkey % 2 = 0) AS a, count(*) FILTER (o_orderstatus = 'O' AND o_custkey % 2 = 1) AS b, count(*) FILTER (o_orderstatus = 'P' AND o_custkey % 2 = 1) AS c "
-    "FROM orders GROUP BY 1), g AS (SELECT c_custkey AS k, count(*) FILTER (c_mktsegment = 'BUILDING') AS n FROM customer GROUP BY 1), w AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND "
-    "o_totalprice > 400000 GROUP BY 1) SELECT r.k AS candidate, a::BIGINT AS shipped, b::BIGINT AS partial, c::BIGINT AS planned, coalesce(g.n, 0)::BIGINT AS open_gates, coalesce(w.n, 0)::BIGINT AS open_work, b = 0 AND c = 0 AND coalesce(g.n, "
+    "FROM orders GROUP BY 1), g AS (SELECT c_custkey AS k, count(*) FILTER (c_mktsegment = 'BUILDING') AS n FROM customer GROUP BY 1), w AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' "
+    "GROUP BY 1) SELECT r.k AS candidate, a::BIGINT AS shipped, b::BIGINT AS partial, c::BIGINT AS planned, coalesce(g.n, 0)::BIGINT AS open_gates, coalesce(w.n, 0)::BIGINT AS open_work, b = 0 AND c = 0 AND coalesce(g.n, "
     "0) = 0 AND coalesce(w.n, 0) = 0 AS go_eligible FROM r LEFT JOIN g USING (k) LEFT JOIN w USING (k)",
 )
 def gate_reconcile(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +159,7 @@ def gate_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     gates = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("candidate"), F.when(F.col("c_mktsegment") == "BUILDING", "open").otherwise("closed").alias("state")
     )
-    work = o.where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000").select(F.col("o_custkey").alias("candidate"))
+    work = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("candidate"))
     return T.gate_reconcile(rows, gates, work, ["candidate"])
 
 
@@ -198,12 +198,13 @@ _PLANS, _ROLES, _TENANTS = ["free", "pro", "team"], ["owner", "member"], ["singl
 @query(
     "scenario_matrix_gaps",
     f"WITH f AS (SELECT DISTINCT p_brand AS fixture FROM part), e AS (SELECT fixture, plan, role, tenant FROM f, (SELECT unnest({sql_list(_PLANS)}) AS plan), (SELECT unnest({sql_list(_ROLES)}) AS role), (SELECT "
-    f"unnest({sql_list(_TENANTS)}) AS tenant)) SELECT * FROM e EXCEPT SELECT p_brand, {sql_pick(_PLANS, 'p_partkey % 3')}, {sql_pick(_ROLES, 'p_size % 2')}, {sql_pick(_TENANTS, '(p_partkey // 7) % 2')} FROM part WHERE p_type = 'SMALL'",
+    f"unnest({sql_list(_TENANTS)}) AS tenant)) SELECT * FROM e EXCEPT SELECT p_brand, CASE WHEN p_type = 'SMALL' THEN {sql_pick(_PLANS, 'p_partkey % 3')} ELSE 'trial' END, {sql_pick(_ROLES, 'p_size % 2')}, {sql_pick(_TENANTS, '(p_partkey // 7) % 2')} FROM part",
 )
 def scenario_matrix_gaps(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    runs = p.where("p_type = 'SMALL'").select(
-        F.col("p_brand").alias("fixture"), pick(_PLANS, F.col("p_partkey") % 3).alias("plan"), pick(_ROLES, F.col("p_size") % 2).alias("role"),
+    plan = F.when(F.col("p_type") == "SMALL", pick(_PLANS, F.col("p_partkey") % 3)).otherwise("trial")
+    runs = p.select(
+        F.col("p_brand").alias("fixture"), plan.alias("plan"), pick(_ROLES, F.col("p_size") % 2).alias("role"),
         pick(_TENANTS, F.expr("p_partkey div 7") % 2).alias("tenant"),
     )
     return T.scenario_matrix_gaps(p.select(F.col("p_brand").alias("fixture")), _PLANS, _ROLES, _TENANTS, runs)
@@ -214,7 +215,7 @@ def scenario_matrix_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority < '3' AS high, CASE WHEN c_nationkey % 4 = 0 THEN 'holdout' ELSE 'train' END AS side, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey),
 r AS (SELECT o_orderkey AS k, o_orderdate AS at_t FROM orders WHERE o_orderstatus <> 'P'),
 a AS (SELECT o.k, side, at_t FROM o LEFT JOIN r USING (k) WHERE high),
-cx AS (SELECT l_partkey AS c, l_orderkey AS k, l_shipdate AS at_t FROM lineitem WHERE l_linenumber = 1),
+cx AS (SELECT l_partkey AS c, l_orderkey AS k, l_shipdate AS at_t FROM lineitem),
 u AS (SELECT cx.c, o.k IS NULL AS unknown, side, at_t FROM (SELECT c, CASE WHEN c % 97 = 0 THEN -1 ELSE k END AS k, at_t FROM cx) cx LEFT JOIN o USING (k))
 SELECT k::VARCHAR AS id, 'high-impact observation without review' AS issue FROM a WHERE at_t IS NULL UNION SELECT k::VARCHAR, 'training review after freeze' FROM a WHERE side = 'train' AND at_t > TIMESTAMP '1997-01-01' UNION
 SELECT k::VARCHAR, 'holdout review before freeze' FROM a WHERE side = 'holdout' AND at_t < TIMESTAMP '1997-01-01' UNION SELECT 'x' || c, 'correction references an unknown observation' FROM u WHERE unknown UNION
@@ -229,7 +230,7 @@ def holdout_leakage(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").alias("fixture"), F.when(F.col("c_nationkey") % 4 == 0, "holdout").otherwise("train").alias("side")
     )
     reviews = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("observation_id"), F.col("o_orderdate").alias("reviewed_at"))
-    corrections = table(spark, sf, "lineitem").where("l_linenumber = 1").select(
+    corrections = table(spark, sf, "lineitem").select(
         F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("correction_id"),
         F.when(F.col("l_partkey") % 97 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("l_orderkey")).alias("observation_id"),
         F.col("l_shipdate").alias("created_at"),

@@ -33,10 +33,11 @@ def dependencies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def advisories(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").where(F.col("p_type") == "ECONOMY")
+    """One advisory per part; only those of the economy type name a version that is in use."""
+    p = table(spark, sf, "part")
     return p.select(
         F.expr(_NAME).alias("name"),
-        F.expr(_VERSION).alias("version"),
+        F.when(F.col("p_type") == "ECONOMY", F.expr(_VERSION)).otherwise("0.0.0-none").alias("version"),
         F.concat(F.lit("ADV-"), F.col("p_partkey").cast("string")).alias("vuln_id"),
         pick(["CRITICAL", "moderate", "LOW", "", "HIGH"], F.pmod(F.col("p_partkey"), F.lit(5))).alias("raw_severity"),
         F.array(F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string"))).alias("aliases"),
@@ -53,8 +54,8 @@ def registry(spark: SparkSession, sf: str) -> DataFrame:
 
 _CTE = f"""pk AS (SELECT p_partkey, {_NAME} AS name, {_VERSION} AS version, p_size, p_type FROM part),
 deps AS (SELECT 's' || l_suppkey AS repo_id, name, version FROM lineitem JOIN pk ON l_partkey = p_partkey),
-adv AS (SELECT name, version, 'ADV-' || p_partkey AS vuln_id, 'CVE-' || p_partkey AS alias,
-  (['CRITICAL', 'moderate', 'LOW', '', 'HIGH'])[(p_partkey % 5)::INT + 1] AS raw FROM pk WHERE p_type = 'ECONOMY'),
+adv AS (SELECT name, CASE WHEN p_type = 'ECONOMY' THEN version ELSE '0.0.0-none' END AS version, 'ADV-' || p_partkey AS vuln_id, 'CVE-' || p_partkey AS alias,
+  (['CRITICAL', 'moderate', 'LOW', '', 'HIGH'])[(p_partkey % 5)::INT + 1] AS raw FROM pk),
 reg AS (SELECT name, p_size <> 7 AS exists_, p_partkey % 48 AS age FROM pk)"""
 _SEV = "CASE upper(raw) WHEN 'CRITICAL' THEN 'critical' WHEN 'HIGH' THEN 'high' WHEN 'MODERATE' THEN 'medium' WHEN 'LOW' THEN 'low' ELSE 'high' END"
 
