@@ -238,9 +238,9 @@ def observation_rows(df: DataFrame, **given: Column | str | None) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- CycloneDX, VEX, SPDX
-def _cyclonedx(docs: DataFrame) -> DataFrame:
+def _cyclonedx(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "subject_id")) -> DataFrame:
     d = F.from_json("raw", schemas.CYCLONEDX)
-    out = evaluate_once(docs, ["doc_id", "subject_id"], d=d)
+    out = evaluate_once(docs, list(keep), d=d)
     bad_component = F.exists(
         "d.components",
         lambda c: c.isNull() | c["type"].isNull() | (c["name"].isNull() & c["bom-ref"].isNull())
@@ -274,6 +274,14 @@ def cyclonedx_dependencies(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.col("e.ref").alias("ref"), F.explode("e.dependsOn").alias("depends_on"))
 
 
+def well_formed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` of CycloneDX and SPDX documents (``format`` tells which) without an issue; row by row, no shuffle."""
+    cyclonedx = _cyclonedx(docs.where(F.col("format") == "cyclonedx"), keep)
+    spdx = _spdx(docs.where(F.col("format") == "spdx"), keep)
+    good = [x.where(F.col("_issue").isNull()).select(*keep) for x in (cyclonedx, spdx)]
+    return good[0].union(good[1])
+
+
 def vex_assertions(docs: DataFrame) -> DataFrame:
     """Vulnerability assertions of a document; facts for people, never policy observations."""
     rows = _cyclonedx(docs).where(F.col("_issue").isNull()).select("doc_id", F.explode("d.vulnerabilities").alias("v"))
@@ -283,9 +291,9 @@ def vex_assertions(docs: DataFrame) -> DataFrame:
     )
 
 
-def _spdx(docs: DataFrame) -> DataFrame:
+def _spdx(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     d = F.from_json("raw", schemas.SPDX)
-    out = evaluate_once(docs, ["doc_id"], d=d)
+    out = evaluate_once(docs, list(keep), d=d)
 
     def bad(field: str, *members: str) -> Column:
         test = F.exists(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.digest import canonical_json, canonical_json_present
-from assayline.sources.evidence import canonical_document, cyclonedx_issues, spdx_issues
+from assayline.sources.evidence import canonical_document, well_formed
 
 REPORT_VERSION = "2.0.0"
 
@@ -77,13 +77,8 @@ def export_bom(docs: DataFrame) -> DataFrame:
     fmt = F.when(F.get_json_object("raw", "$.bomFormat") == "CycloneDX", "cyclonedx").when(
         F.get_json_object("raw", "$.spdxVersion").isNotNull(), "spdx"
     )
-    typed = docs.withColumn("format", fmt).where(F.col("format").isNotNull())
-    bad = cyclonedx_issues(typed.where(F.col("format") == "cyclonedx")).select("doc_id").union(
-        spdx_issues(typed.where(F.col("format") == "spdx")).select("doc_id")
-    )
-    return typed.join(bad, "doc_id", "left_anti").select(
-        "doc_id", "format", canonical_document(F.col("raw")).alias("document")
-    )
+    good = well_formed(docs.withColumn("format", fmt), ("doc_id", "format", "raw"))
+    return good.select("doc_id", "format", canonical_document(F.col("raw")).alias("document"))
 
 
 def release_statement(manifests: DataFrame, subjects: DataFrame, per_statement: int = 4096) -> DataFrame:

@@ -153,3 +153,11 @@ def test_a_repository_of_hidden_files_is_found_and_ignored_folders_stay_closed(s
     finally:
         for closed in ("hub/node_modules", "mono/dist", "mono/skip"):
             (tmp_path / closed).chmod(0o755)
+
+
+def test_bills_of_material_are_written_without_a_shuffle(spark, data):
+    import workloads
+
+    workloads.load_all()
+    plan = workloads.QUERIES["export_bom"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan parquet") <= 6
