@@ -128,11 +128,6 @@ def package_from_specifier(specifier: Column) -> Column:
     return F.when(own & safe & ~name.isin(BUILTIN_MODULES), name)
 
 
-def lock_path_name(path: Column) -> Column:
-    """Package of a lockfile path: everything behind the last ``node_modules/``."""
-    return F.element_at(F.split(path, "node_modules/"), -1)
-
-
 # --------------------------------------------------------------------------- URLs and paths
 _HOST = r"(?i)^https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)"
 

@@ -32,7 +32,7 @@ def evidence_issues(classification: Column, handling: Column, content: Column) -
     )
 
 
-_RULE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,255}$"
+_RULE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:/-]*$"
 _UUID_URN = r"^urn:uuid:[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 _UNSAFE_TEXT = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
@@ -44,8 +44,8 @@ def observation_issues() -> Column:
     def outside(name: str, allowed: list[str]) -> tuple[Column, str]:
         return ~F.coalesce(c(name).isin(allowed), F.lit(False)), f"{name} is not allowed"
 
-    def short(name: str, limit: int = 512) -> tuple[Column, str]:
-        ok = (F.length(c(name)).between(1, limit)) & ~c(name).rlike(_UNSAFE_TEXT)
+    def printable(name: str) -> tuple[Column, str]:
+        ok = (F.length(c(name)) > 0) & ~c(name).rlike(_UNSAFE_TEXT)
         return ~F.coalesce(ok, F.lit(False)), f"{name} is missing or out of bounds"
 
     expected = F.when(c("origin_kind") == "native", "native").when(c("origin_kind") == "adapter", "external").otherwise(
@@ -58,7 +58,7 @@ def observation_issues() -> Column:
         (~F.coalesce(c("rule").rlike(_RULE_ID), F.lit(False)), "rule is malformed"),
         ((c("origin_kind") != "native") & c("raw_digest").isNull(), "raw digest required"),
         (c("coverage_class") != expected, "coverage_class must match origin kind"),
-        short("category"), short("title"),
+        printable("category"), printable("title"),
         outside("severity", [*SEVERITIES, "unknown"]),
         outside("confidence_level", ["certain", "high", "medium", "low", "unknown"]),
         (F.coalesce(~c("confidence_score").between(0.0, 1.0), F.lit(False)), "confidence_score is out of range"),

@@ -42,7 +42,10 @@ def _lines_with(content: Column, pattern: str) -> Column:
 
 
 def surface_inventory(files: DataFrame) -> DataFrame:
-    """``repo_id, path, kind, name, detail, line``: packages, routes, tools and candidate sinks."""
+    """``repo_id, path, kind, name, detail, line``: packages, routes, tools and candidate sinks.
+
+    A route or tool whose name holds control characters is an ``unreadable`` item.
+    """
     content = F.col("content")
 
     def item(kind: Column | str, name: Column, detail: Column | None = None, line: Column | None = None) -> Column:
@@ -75,22 +78,31 @@ def surface_inventory(files: DataFrame) -> DataFrame:
             lambda r: item("route", r["p"], F.upper(r["m"])),
         ),
         F.transform(F.array_distinct(F.filter(tools, _safe)), lambda t: item("tool", t)),
+        F.transform(F.filter(routes, lambda r: ~_safe(r["p"])), lambda r: item("unreadable", F.lit("route"))),
+        F.transform(F.filter(tools, lambda t: ~_safe(t)), lambda t: item("unreadable", F.lit("tool"))),
         *[sinks(kind, p) for kind, p in SINK_SHAPES],
     )
     return files.where(F.col("path").rlike(SOURCE_FILE)).select("repo_id", "path", F.inline(rows))
 
 
 def surface_counts(files: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Per repository: files and bytes inspected, items per kind, status."""
+    """Per repository: files and bytes inspected, items per kind, status.
+
+    The status is ``incomplete`` if a source file has no content or an item is unreadable.
+    """
     source = files.where(F.col("path").rlike(SOURCE_FILE))
     sizes = source.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("files_inspected"), F.sum(F.octet_length("content").cast("bigint")).alias("bytes_inspected")
+        F.count(F.lit(1)).alias("files_inspected"), F.sum(F.octet_length("content").cast("bigint")).alias("bytes_inspected"),
+        F.count_if(F.col("content").isNull()).alias("_empty"),
     )
     kinds = inventory.groupBy("repo_id").agg(
-        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("package", "framework", "route", "tool", "sink")]
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("package", "framework", "route", "tool", "sink")],
+        F.count_if(F.col("kind") == "unreadable").alias("_unreadable"),
     )
     counts = [f"n_{k}" for k in ("package", "framework", "route", "tool", "sink")]
-    return sizes.join(kinds, "repo_id", "left").fillna(0, counts).withColumn("status", F.lit("complete"))
+    joined = sizes.join(kinds, "repo_id", "left").fillna(0, [*counts, "_unreadable"])
+    status = F.when((F.col("_empty") == 0) & (F.col("_unreadable") == 0), "complete").otherwise("incomplete")
+    return joined.withColumn("status", status).drop("_empty", "_unreadable")
 
 
 # Rewrites of predictable secrets.

@@ -39,14 +39,19 @@ def check_reason() -> Column:
 
 
 def policy_reasons(checks: DataFrame, evaluations: DataFrame | None = None) -> DataFrame:
-    """Rows ``(evaluation_id, check_id, code)``; identity reasons have no check."""
+    """Rows ``(evaluation_id, check_id, code)``; identity reasons have no check.
+
+    With ``evaluations`` given, one that passes has the reason ``requirements-satisfied``.
+    """
     rows = checks.select("evaluation_id", "check_id", check_reason().alias("code")).where(F.col("code").isNotNull())
     if evaluations is not None:
         code = F.when(F.col("subject_match") == "mismatched", "identity-mismatch").when(
             F.col("subject_match") == "unresolved", "identity-unresolved"
         )
         identity = evaluations.select("evaluation_id", F.lit(None).cast("string").alias("check_id"), code.alias("code"))
-        rows = identity.where(F.col("code").isNotNull()).unionByName(rows)
+        passed = policy_decision(checks, evaluations).where("decision = 'PASS'")
+        passed = passed.select("evaluation_id", F.lit(None).cast("string").alias("check_id"), F.lit("requirements-satisfied").alias("code"))
+        rows = identity.where(F.col("code").isNotNull()).unionByName(rows).unionByName(passed)
     return rows
 
 

@@ -215,7 +215,7 @@ def combine_signals(files: DataFrame, signals: DataFrame, prior: DataFrame) -> D
     combines on the map side and needs no list per file.
     """
     fired = signals.where("fired").groupBy("repo_id", "path").agg(
-        F.max("weight").alias("_max"), F.product(1 - F.col("weight")).alias("_not"), F.count(F.lit(1)).alias("n_signals")
+        F.max("weight").alias("_max"), combined_weight(F.col("weight")).alias("_any"), F.count(F.lit(1)).alias("n_signals")
     )
     joined = (
         files.select("repo_id", "path", "n_lines")
@@ -223,7 +223,7 @@ def combine_signals(files: DataFrame, signals: DataFrame, prior: DataFrame) -> D
         .join(prior.select("repo_id", "prior"), "repo_id", "left")
     )
     boost = F.coalesce("prior", F.lit(0.0))
-    raw = 1 - F.coalesce("_not", F.lit(1.0))
+    raw = F.coalesce("_any", F.lit(0.0))
     likelihood = F.when(F.col("_max") >= 1, F.lit(1.0)).otherwise(
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw + boost))
     )
@@ -236,6 +236,11 @@ def combine_signals(files: DataFrame, signals: DataFrame, prior: DataFrame) -> D
     )
 
 
+def combined_weight(weights: Column) -> Column:
+    """Noisy-or of a column of weights as an aggregate expression; a certain signal decides."""
+    return F.when(F.max(weights) >= 1, F.lit(1.0)).otherwise(1 - F.product(1 - weights))
+
+
 def provenance_bucket(likelihood: Column, has_evidence: Column) -> Column:
     return (
         F.when(~has_evidence, "unknown")

@@ -140,18 +140,16 @@ def stride_sample(df: DataFrame, keys: list[str], order: list[str], cap: int, se
     return ranked.where((F.col("n_rows") <= cap) | hit).drop("_p", "n_rows")
 
 
-def chunked(df: DataFrame, keys: list[str], row_id: Column, per_chunk: int) -> DataFrame:
+def chunked(df: DataFrame, key: str, row_id: Column, per_chunk: int) -> DataFrame:
     """Add ``chunk``: an even split of each key into pieces of about ``per_chunk`` rows.
 
-    The number of chunks follows the key's size, so a document built per chunk
-    stays bounded whatever the skew, and no row is left out.
+    The number of chunks follows the key's size, so a document built per chunk stays
+    bounded whatever the skew, and no row is left out.  The chunk comes from a
+    content hash that any engine can repeat.
     """
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_chunk).cast("bigint").alias("_chunks"))
-    return (
-        df.join(sizes, keys)
-        .withColumn("chunk", F.pmod(F.xxhash64(row_id), F.col("_chunks")))
-        .drop("_chunks")
-    )
+    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per_chunk).cast("bigint").alias("_n"))
+    place = F.conv(F.substring(F.sha2(row_id, 256), 1, 8), 16, 10).cast("bigint")
+    return df.join(sizes, key).withColumn("chunk", F.pmod(place, F.col("_n"))).drop("_n")
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 4096) -> DataFrame:

@@ -55,8 +55,3 @@ class Lookups:
 
     def at(self) -> Column:
         return F.current_timestamp() if self.now is None else self.now
-
-
-def combined_weight(weights: Column) -> Column:
-    """Noisy-or of a column of weights as an aggregate expression."""
-    return F.when(F.max(weights) >= 1, F.lit(1.0)).otherwise(1 - F.product(1 - weights))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assayline.functions.severity import DEFAULT_MIN_CONFIDENCE
 from assayline.operators import context, project, provenance, scan, score, supply
 from assayline.operators.rules import DEFAULT_DETECTORS, OPTIONAL_DETECTORS
-from assayline.plans.extension import Detector, Lookups
+from assayline.plans.extension import Detector, FileSignalSource, Lookups, RepoSignalSource
 from assayline.sources import packages
 from assayline.sources.files import AGENT_CONFIGS
 
@@ -27,6 +27,8 @@ class ProjectScan:
     strict: bool = False
     lookups: Lookups = field(default_factory=Lookups)
     extra: Sequence[Detector] = ()
+    file_signals: Sequence[FileSignalSource] = ()
+    repo_signals: Sequence[RepoSignalSource] = ()
 
     def __post_init__(self) -> None:
         known = set(DEFAULT_DETECTORS) | set(OPTIONAL_DETECTORS)
@@ -94,7 +96,10 @@ class ProjectScan:
         return scored.join(flags, "repo_id")
 
     def provenance(self, files: DataFrame, commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-        """``file_provenance`` from commit trailers, commit shape, code shape and agent artifacts."""
+        """``file_provenance`` from commit trailers, commit shape, code shape, agent artifacts and the plugged-in sources.
+
+        Of a repository's priors the largest counts.
+        """
         code = files.where(F.col("path").rlike(provenance.CODE_FILE)).select(
             "repo_id", "path", F.size(F.split("content", "\n", -1)).cast("bigint").alias("n_lines")
         )
@@ -103,7 +108,13 @@ class ProjectScan:
             .unionByName(provenance.commit_shape_signals(commits, commit_files))
             .unionByName(provenance.code_shape_signals(files))
         )
-        return provenance.combine_signals(code, signals, provenance.repo_prior(files))
+        for source in self.file_signals:
+            signals = signals.unionByName(source.detect(files))
+        priors = provenance.repo_prior(files).select("repo_id", "prior")
+        for prior in self.repo_signals:
+            priors = priors.unionByName(prior.detect(files).select("repo_id", "prior"))
+        largest = priors.groupBy("repo_id").agg(F.max("prior").alias("prior"))
+        return provenance.combine_signals(code, signals, largest)
 
 
 def check_snippets(documents: DataFrame) -> DataFrame:

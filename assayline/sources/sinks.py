@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.digest import canonical_json, canonical_json_present
+from assayline.operators.spread import chunked
 from assayline.sources.evidence import canonical_document, well_formed
 
 REPORT_VERSION = "2.0.0"
@@ -29,16 +30,6 @@ def write_json_report(findings: DataFrame, path: str, version: str = REPORT_VERS
     json_report(findings, version).write.mode("overwrite").partitionBy("repo_id").text(path)
 
 
-def _bucket(row_id: Column, n: Column) -> Column:
-    """Chunk number from a content hash; the same on any engine."""
-    return F.pmod(F.conv(F.substring(F.sha2(row_id, 256), 1, 8), 16, 10).cast("bigint"), n)
-
-
-def _with_chunks(df: DataFrame, key: str, row_id: Column, per_chunk: int) -> DataFrame:
-    sizes = df.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / per_chunk).cast("bigint").alias("_n"))
-    return df.join(sizes, key).withColumn("chunk", _bucket(row_id, F.col("_n"))).drop("_n")
-
-
 def sarif_result(rule: Column, level: Column, message: Column, uri: Column, line: Column, subject: Column) -> Column:
     region = F.when(line > 0, F.struct(line.alias("startLine")))
     place = F.when(
@@ -64,7 +55,7 @@ def export_sarif(findings: DataFrame, per_document: int = 10_000, tool_version:
         "subject_id",
         sarif_result(*[F.col(c) for c in ("rule", "level", "message", "uri", "line", "subject_id")]).alias("r"),
     )
-    parts = _with_chunks(rows, "subject_id", F.col("r"), per_document)
+    parts = chunked(rows, "subject_id", F.col("r"), per_document)
     head = '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"results":['
     tail = '],"tool":{"driver":{"name":"assayline","version":"' + tool_version + '"}}}],"version":"2.1.0"}'
     return parts.groupBy("subject_id", "chunk").agg(
@@ -91,7 +82,7 @@ def release_statement(manifests: DataFrame, subjects: DataFrame, per_statement:
     distinct = subjects.select("manifest_digest", "subject_id").distinct().join(
         manifests.select("manifest_digest").distinct(), "manifest_digest", "left_semi"
     )
-    parts = _with_chunks(distinct, "manifest_digest", F.col("subject_id"), per_statement)
+    parts = chunked(distinct, "manifest_digest", F.col("subject_id"), per_statement)
     digest = F.regexp_extract("subject_id", r":sha256:([a-f0-9]{64})$", 1)
     entry = F.struct(F.struct(digest.alias("sha256")).alias("digest"), F.col("subject_id").alias("name"))
     grouped = parts.groupBy("manifest_digest", "chunk").agg(

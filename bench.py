@@ -1,7 +1,7 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Each query is planned and run to the end once cold and once warm; the warm time
-counts.  ``noop`` consumes every row and column without writing them.
+Each query is planned and run to the end once cold and twice warm; the smaller warm
+time counts, and the cold times are printed beside it.  ``noop`` consumes every row and column without writing them.
 """
 
 from __future__ import annotations
@@ -29,18 +29,19 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     names = sys.argv[1:] or HEADLINE
     times: dict[str, float] = {}
+    cold: dict[str, float] = {}
     for name in names:
-        best = None
-        for _ in range(2):
+        runs = []
+        for _ in range(3):
             start = time.perf_counter()
             workloads.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = time.perf_counter() - start
-        times[name] = round(best, 3)
+            runs.append(round(time.perf_counter() - start, 3))
+        cold[name], times[name] = runs[0], min(runs[1:])
         print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
     print(
         json.dumps(
-            {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf_dir.rsplit("sf", 1)[-1]}
+            {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "cold": cold, "sf": sf_dir.rsplit("sf", 1)[-1]}
         )
     )
 

@@ -80,7 +80,7 @@ def test_running_total(spark):
 
 
 def test_chunks_keep_every_row(df, rows):
-    out = spread.chunked(df, ["k"], F.col("id"), 50).collect()
+    out = spread.chunked(df, "k", F.col("id").cast("string"), 50).collect()
     assert sorted(r.id for r in out) == sorted(r[2] for r in rows)
     sizes = {}
     for r in out:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from assayline.functions.digest import fingerprint_v1, sha256_tag
 from assayline.operators import evidence as E
 from assayline.sources import evidence as S
-from assayline.sources import sinks
 from workloads import query
-from workloads.bindings import pick, quote, rx, sql_pick, table
+from workloads.bindings import pick, sql_pick, table
 from workloads.findings_score import TABLE_FINDINGS_CTE, table_findings
 from workloads.scalars import FINGERPRINT_SQL
 
@@ -603,4 +602,3 @@ def redaction_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return E.redaction_coverage(members, entries)
 
 
-_ = (quote, rx, sinks)

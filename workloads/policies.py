@@ -61,7 +61,8 @@ def policy_decision(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "policy_reasons",
     f"WITH {_CHECKS_CTE}, {_EVAL_CTE} SELECT evaluation_id, check_id, code FROM (SELECT evaluation_id, check_id, {_CODE} AS code FROM checks UNION ALL SELECT evaluation_id, NULL, CASE m WHEN "
-    "'mismatched' THEN 'identity-mismatch' WHEN 'unresolved' THEN 'identity-unresolved' END FROM evals) WHERE code IS NOT NULL",
+    "'mismatched' THEN 'identity-mismatch' WHEN 'unresolved' THEN 'identity-unresolved' END FROM evals UNION ALL SELECT evaluation_id, NULL, 'requirements-satisfied' FROM evals WHERE m = 'matched' AND "
+    f"evaluation_id NOT IN (SELECT evaluation_id FROM checks WHERE {_CODE} IS NOT NULL)) WHERE code IS NOT NULL",
 )
 def policy_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return P.policy_reasons(policy_checks(spark, sf), _evaluations(spark, sf))

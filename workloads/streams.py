@@ -11,11 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.operators.rules import BY_ID
 from assayline.session import checkpoint_dir
 from assayline.streaming import flows
 from workloads import query
-from workloads.bindings import document_files, pick, sql_pick, table
+from workloads.bindings import pick, sql_pick, table
 from workloads.rule_pack import CRED, R, m
 
 
@@ -175,4 +174,3 @@ def score_momentum(spark: SparkSession, sf: str) -> DataFrame:
     return flows.score_momentum(rows)
 
 
-_ = (BY_ID, document_files)
