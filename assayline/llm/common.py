@@ -42,6 +42,22 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def shielded(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every column but ``own`` renamed out of the way, and what gives the names back.
+
+    A restored name that the result has for a column of its own is left to the result.
+    """
+    names = {f"_extra{i}": c for i, c in enumerate(docs.columns) if c not in own}
+    moved = {c: n for n, c in names.items()}
+
+    def restore(result: DataFrame) -> DataFrame:
+        taken = {c for c in result.columns if c not in names}
+        keep = [c for c in result.columns if names.get(c) not in taken]
+        return result.select(*keep).toDF(*[names.get(c, c) for c in keep])
+
+    return docs.toDF(*[moved.get(c, c) for c in docs.columns]), restore
+
+
 def batches(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = (), batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
     """``docs`` as (doc_id, text as bytes, kept columns, _batch), dealt out by ``_batch``; and the bytes of all texts.
 

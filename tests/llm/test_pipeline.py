@@ -69,3 +69,20 @@ def test_mix_comes_near_targets(steps):
 
 def test_run_gives_the_last_stage(spark, data, steps):
     assert sorted(map(str, corpus_pipeline.run(spark, data).collect())) == sorted(map(str, steps[-1].collect()))
+
+
+def test_stages_bear_awkward_rows(spark, data, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted int, n_words long, removed string, size int, copy string, _batch int, fp long"
+    rest = ("en", "s", 1, "sc", 7, 8, "r", 9, "c", 10, 11)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two three"), (4, "one two three"), (5, "word " * 20_000), (None, "some text"), (None, None)]
+    docs = spark.createDataFrame([(*r, *rest) for r in rows] + [(9, "nulls everywhere", *[None] * 11)], schema)
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), data).count() == 0
+        stage(spark, seen, data).write.parquet(str(tmp_path / name))
+        seen = spark.read.parquet(str(tmp_path / name))
+        if name == "simhash_near_dedup":
+            assert sorted(map(str, (r.doc_id for r in seen.collect()))) == ["1", "4", "4", "5", "9", "None", "None"]
+            assert {(r.score, r.predicted, r.size, r.copy, r._batch, r.fp) for r in seen.where("doc_id <> 9").collect()} == {("sc", 7, 9, "c", 10, 11)}
+    assert seen.columns == [c for c in docs.columns if c != "copy"] + ["copy"]
+    assert {r.doc_id for r in seen.where("doc_id in (4, 5, 9)").collect()} <= {4, 5, 9}
