@@ -8,9 +8,10 @@ Start: nodes are dealt, ``ROUNDS`` times, into cells by random hyperplanes (a ce
 is too large is dealt on by hash) and compared within their cell.
 Each round of NN-descent joins the graph with itself: reversed links meet their
 bucket; a bucket asks for the vectors of its nodes' neighbours and reversed
-neighbours; those, all neighbours of one node, are compared with each other, and pairs
-better than a list's last entry are sent to the list's bucket and merged.  Rounds end
-when few entries change, ``MAX_ROUNDS`` at the latest.
+neighbours; of those, all neighbours of one node, the ones whose link is new are compared
+with all, and pairs better than a list's last entry are sent to the list's bucket and
+merged.  So a round costs what the last one changed.  Rounds end when few entries
+change, ``MAX_ROUNDS`` at the latest.
 Search: a query starts from its own node's list and keeps a beam; each step its best
 nodes not yet expanded name their neighbours, whose buckets answer with similarity
 and neighbour list.
@@ -36,11 +37,11 @@ from assayline.operators.spread import top_n
 #: List length, nodes per bucket, cells of the start, rounds.
 K, BUCKET_NODES, CELL_NODES, ROUNDS, MAX_ROUNDS = 40, 2048, 2048, 3, 8
 #: Rounds end when less than this part of all list entries is new.
-SETTLED = 0.02
+SETTLED = 0.05
 #: Beam of the search, nodes expanded per step, steps.
-BEAM, EXPAND, STEPS = 120, 40, 5
+BEAM, EXPAND, STEPS = 120, 40, 4
 
-GRAPH = "bucket int, nodes binary, vecs binary, nbrs binary, sims binary"
+GRAPH = "bucket int, nodes binary, vecs binary, nbrs binary, sims binary, fresh binary"
 LINKS = "bucket int, a binary, b binary, s binary"
 
 
@@ -65,23 +66,21 @@ class Bucket:
     """The nodes of a bucket; lists are padded with -1 and minus infinity."""
 
     def __init__(self, rows: pa.Table):
-        one = {c: rows[c][0].as_py() for c in ("nodes", "vecs", "nbrs", "sims")}
+        one = {c: rows[c][0].as_py() for c in ("nodes", "vecs", "nbrs", "sims", "fresh")}
         self.number = rows["bucket"][0].as_py()
         self.nodes = np.frombuffer(one["nodes"], np.int64)
         self.vecs = np.frombuffer(one["vecs"], np.float32).reshape(len(self.nodes), -1)
         self.nbrs = np.frombuffer(one["nbrs"], np.int64).reshape(len(self.nodes), -1)
         self.sims = np.frombuffer(one["sims"], np.float32).reshape(len(self.nodes), -1)
+        self.fresh = np.frombuffer(one["fresh"], bool).reshape(self.nbrs.shape)
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         """Nodes are kept in ascending order."""
         return np.searchsorted(self.nodes, ids)
 
-    def row(self, nbrs: np.ndarray, sims: np.ndarray) -> pa.Table:
-        return graph_row(self.number, self.nodes, self.vecs, nbrs, sims)
 
-
-def graph_row(number: int, nodes: np.ndarray, vecs: np.ndarray, nbrs: np.ndarray, sims: np.ndarray) -> pa.Table:
-    arrays = {"nodes": nodes, "vecs": vecs.astype(np.float32), "nbrs": nbrs.astype(np.int64), "sims": sims.astype(np.float32)}
+def graph_row(number: int, nodes: np.ndarray, vecs: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.Table:
+    arrays = {"nodes": nodes, "vecs": vecs.astype(np.float32), "nbrs": nbrs.astype(np.int64), "sims": sims.astype(np.float32), "fresh": fresh}
     return pa.table({"bucket": pa.array([number], pa.int32())} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in arrays.items()})
 
 
@@ -147,7 +146,8 @@ def start_graph(nodes: DataFrame, n: int, n_buckets: int, k: int) -> DataFrame:
         ids = rows["node"].to_numpy()[order]
         vecs = np.frombuffer(b"".join(rows["vec"].to_pylist()), np.float32).reshape(len(ids), -1)[order]
         a, b, s = links_of(found)
-        return graph_row(rows["bucket"][0].as_py(), ids, vecs, *best(np.searchsorted(ids, a), b, s, len(ids), k))
+        nbrs, sims = best(np.searchsorted(ids, a), b, s, len(ids), k)
+        return graph_row(rows["bucket"][0].as_py(), ids, vecs, nbrs, sims, nbrs >= 0)
 
     def placed(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches:
@@ -158,14 +158,15 @@ def start_graph(nodes: DataFrame, n: int, n_buckets: int, k: int) -> DataFrame:
     return pin(homes.groupBy("bucket").cogroup(links.groupBy("bucket")).applyInArrow(fill, GRAPH))
 
 
-def sampled(owner: np.ndarray, other: np.ndarray, n: int, k: int, salt: int) -> np.ndarray:
-    """(n, k) of each owner's others, at most k by hash, padded with -1."""
-    luck = mixed(other.view(np.uint64) * np.uint64(31) + owner.astype(np.uint64) + np.uint64(salt)) >> np.uint64(40)
-    return best(owner, other, luck.astype(np.float32), n, k)[0]
+def sampled(owner: np.ndarray, other: np.ndarray, fresh: np.ndarray, n: int, k: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, k) of each owner's others, at most k, new ones first and then by hash, padded with -1; and which are new."""
+    luck = (mixed(other.view(np.uint64) * np.uint64(31) + owner.astype(np.uint64) + np.uint64(salt)) >> np.uint64(41)).astype(np.float32) / (1 << 23)
+    others, rank = best(owner, other, luck + (fresh > 0), n, k)
+    return others, rank >= 1
 
 
 def descend(graph: DataFrame, n_buckets: int, k: int, turn: int) -> DataFrame:
-    """One round of NN-descent.  Adds ``fresh``, the number of new list entries, to each bucket."""
+    """One round of NN-descent.  Adds ``n_fresh``, the number of new list entries, to each bucket."""
 
     def reverse(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches:
@@ -173,18 +174,23 @@ def descend(graph: DataFrame, n_buckets: int, k: int, turn: int) -> DataFrame:
                 g = Bucket(pa.Table.from_batches([batch.slice(i, 1)]))
                 have = g.nbrs >= 0
                 b = g.nbrs[have]
-                yield from link_rows(bucket_of(b, n_buckets), n_buckets, b, np.repeat(g.nodes, have.sum(axis=1)), g.sims[have]).to_batches()
+                yield from link_rows(bucket_of(b, n_buckets), n_buckets, b, np.repeat(g.nodes, have.sum(axis=1)), g.fresh[have]).to_batches()
 
     reversed_links = graph.mapInArrow(reverse, LINKS)
 
-    def members(g: Bucket, found: pa.Table) -> np.ndarray:
-        """(n, 2k + 1): the node, its neighbours, and a sample of those that it is a neighbour of."""
-        a, b, _ = links_of(found)
-        return np.concatenate([g.nodes[:, None], g.nbrs, sampled(g.place(a), b, len(g.nodes), k, turn)], axis=1)
+    def members(g: Bucket, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """(n, 2k + 1): the node, its neighbours, and a sample of those that it is a neighbour of, new ones first; and which are new."""
+        a, b, new = links_of(found)
+        back, back_new = sampled(g.place(a), b, new, len(g.nodes), k, turn)
+        lists = np.concatenate([g.nodes[:, None], g.nbrs, back], axis=1)
+        fresh = np.concatenate([np.zeros((len(lists), 1), bool), g.fresh, back_new], axis=1)
+        order = np.argsort(~fresh, axis=1, kind="stable")
+        return np.take_along_axis(lists, order, 1), np.take_along_axis(fresh, order, 1)
 
     def ask(rows: pa.Table, found: pa.Table) -> pa.Table:
         g = Bucket(rows)
-        wanted = np.unique(members(g, found))
+        lists, fresh = members(g, found)
+        wanted = np.unique(lists[fresh.any(axis=1)])
         wanted = wanted[wanted >= 0]
         return link_rows(bucket_of(wanted, n_buckets), n_buckets, wanted, np.full(len(wanted), g.number), np.zeros(len(wanted)))
 
@@ -208,8 +214,13 @@ def descend(graph: DataFrame, n_buckets: int, k: int, turn: int) -> DataFrame:
     def compare(rows: pa.Table, found: pa.Table) -> pa.Table:
         g = Bucket(rows)
         kind = np.array(found["kind"].to_pylist())
-        lists = members(g, found.filter(pa.array(kind == 0)))
+        lists, fresh = members(g, found.filter(pa.array(kind == 0)))
         got = found.filter(pa.array(kind == 1))
+        if not got.num_rows:
+            return link_rows(*[np.empty(0, np.int64), n_buckets, *[np.empty(0, np.int64)] * 3])
+        some = np.flatnonzero(fresh.any(axis=1))
+        some = some[np.argsort(fresh[some].sum(axis=1), kind="stable")]  # lists with as many new members together
+        lists, fresh = lists[some], fresh[some]
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in got["a"].to_pylist()])
         vecs = np.concatenate([np.frombuffer(x, np.float16).reshape(-1, g.vecs.shape[1]) for x in got["b"].to_pylist()]).astype(np.float32)
         least = np.concatenate([np.frombuffer(x, np.float32) for x in got["s"].to_pylist()])
@@ -219,14 +230,14 @@ def descend(graph: DataFrame, n_buckets: int, k: int, turn: int) -> DataFrame:
         at = np.where(lists >= 0, np.searchsorted(ids, lists), len(ids))
         a, b, s = [], [], []
         for i in range(0, len(at), 64):
-            p = at[i : i + 64]
-            v = vecs[p]
-            sim = v @ v.transpose(0, 2, 1)
-            good = (sim > least[p][:, :, None]) & (p < len(ids))[:, None, :] & (p[:, :, None] != p[:, None, :])
-            c, x, y = np.nonzero(good)
-            a.append(p[c, x])
-            b.append(p[c, y])
-            s.append(sim[c, x, y])
+            p, new = at[i : i + 64], int(fresh[i : i + 64].sum(axis=1).max())
+            q = p[:, :new]
+            sim = vecs[q] @ vecs[p].transpose(0, 2, 1)
+            pair = (p < len(ids))[:, None, :] & (q < len(ids))[:, :, None] & (q[:, :, None] != p[:, None, :])
+            for c, x, y in (np.nonzero(pair & (sim > least[q][:, :, None])), np.nonzero(pair & (sim > least[p][:, None, :]))):
+                a.append((q[c, x], p[c, y])[len(a) % 2])
+                b.append((p[c, y], q[c, x])[len(b) % 2])
+                s.append(sim[c, x, y])
         a, b, s = (np.concatenate(x) for x in (a, b, s))
         nbrs, sims = best(a, b, s, len(ids), k)
         who, where = np.nonzero(nbrs >= 0)
@@ -243,10 +254,10 @@ def descend(graph: DataFrame, n_buckets: int, k: int, turn: int) -> DataFrame:
         # An entry that is there already comes first, so that it keeps its similarity.
         nbrs, sims = best(np.concatenate([own, g.place(a)]), np.concatenate([g.nbrs[have], b]), np.concatenate([g.sims[have], s]), len(g.nodes), k)
         pair = lambda x: x + np.arange(len(g.nodes))[:, None] * np.int64(-7046029254386353131)
-        fresh = int((~np.isin(pair(nbrs), pair(g.nbrs)) & (nbrs >= 0)).sum())
-        return g.row(nbrs, sims).append_column("fresh", pa.array([fresh], pa.int64()))
+        fresh = ~np.isin(pair(nbrs), pair(g.nbrs)) & (nbrs >= 0)
+        return graph_row(g.number, g.nodes, g.vecs, nbrs, sims, fresh).append_column("n_fresh", pa.array([int(fresh.sum())], pa.int64()))
 
-    return pin(graph.groupBy("bucket").cogroup(better.groupBy("bucket")).applyInArrow(merge, GRAPH + ", fresh long"))
+    return pin(graph.groupBy("bucket").cogroup(better.groupBy("bucket")).applyInArrow(merge, GRAPH + ", n_fresh long"))
 
 
 def build_graph(nodes: DataFrame, k: int = K, bucket_nodes: int = BUCKET_NODES, max_rounds: int = MAX_ROUNDS) -> tuple[DataFrame, int]:
@@ -256,8 +267,8 @@ def build_graph(nodes: DataFrame, k: int = K, bucket_nodes: int = BUCKET_NODES,
     graph = start_graph(nodes, n, n_buckets, k)
     for turn in range(max_rounds):
         graph = descend(graph, n_buckets, k, turn)
-        fresh = graph.agg(F.sum("fresh")).first()[0] or 0
-        graph = graph.drop("fresh")
+        fresh = graph.agg(F.sum("n_fresh")).first()[0] or 0
+        graph = graph.drop("n_fresh")
         if fresh < SETTLED * n * min(k, n - 1):
             break
     return graph, n_buckets
