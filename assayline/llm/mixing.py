@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import WORD, pin
+from assayline.llm.common import WORD, pin, shielded
 
 #: Seeds tried per source; the one whose extra copies come nearest to the target is used.
 SEEDS = 32
+#: Sources up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def words_in(text: Column) -> Column:
@@ -58,15 +60,20 @@ def source_rates(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
     """
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = targets(sources, weights, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rates = pin(rates.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate")).drop("rate"))
+    rates = _sized(pin(rates.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.floor("rate")).drop("rate")))
     extra = [F.sum(F.when(_draw(F.lit(s)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(SEEDS)]
     off = F.array(*[F.struct(F.abs(F.col(f"s{s}") - F.col("want")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)])
     drawn = _with(docs, rates).groupBy("source").agg((F.first("part") * F.first("source_size")).alias("want"), *extra)
-    return pin(_with(rates, drawn.select("source", F.array_min(off)["seed"].alias("seed"))))
+    return _sized(pin(_with(rates, drawn.select("source", F.array_min(off)["seed"].alias("seed")))))
+
+
+def _sized(per_source: DataFrame) -> DataFrame:
+    """The table of sources, to be broadcast if it has at most ``BROADCAST_SOURCES`` rows (some ten megabytes); else joined by shuffle."""
+    return F.broadcast(per_source) if per_source.count() <= BROADCAST_SOURCES else per_source
 
 
 def _with(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    """A join on source that takes null as a source."""
+    """A join on source that takes null as a source; ``per_source`` is broadcast if it was counted and is small."""
     right = per_source.withColumnRenamed("source", "_source")
     return rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
@@ -99,8 +106,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) ->
     Decisions and edge cases as in :func:`plan_mix`.  Texts meet only the table of
     sources, so they are not shuffled while that table is small enough to broadcast.
     """
+    docs, restore = shielded(docs, ("doc_id", "text", "source"))
     sized = docs.withColumn("size", words_in(F.col("text")))
     rows = pin(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size"))
     copies = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int")))
     out = _with(sized, source_rates(rows, weights, cap)).withColumn("_copies", _copies())
-    return out.select(*docs.columns, F.explode(copies).alias("copy"))
+    return restore(out.select(*docs.columns, F.explode(copies).alias("copy")))
