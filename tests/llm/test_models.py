@@ -84,8 +84,9 @@ def test_class_factor_sums_to_one():
     h, c, sizes = language_model.tokens([b"a b c", b"", b"d " * 50])
     assert sizes.tolist() == [4, 1, 51] and c[3] == 0
     w = np.random.default_rng(1).standard_normal((language_model.ROWS * language_model.FEATURES, language_model.CLASSES)).astype(np.float32)
-    p = np.exp(language_model.log_softmax(w, language_model.histories(h, c, sizes)))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    rows = language_model.histories(h, c, sizes)
+    p = [np.exp(language_model.log_likelihood(w, rows, np.full(len(c), k))) for k in range(language_model.CLASSES)]
+    assert np.allclose(np.sum(p, axis=0), 1, atol=1e-5)
 
 
 def nearest(vectors, every, top):
