@@ -109,12 +109,13 @@ def crossed(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> I
         at = to
 
 
-def walk(node: np.ndarray, side: np.ndarray, value: np.ndarray, err: np.ndarray, budget: int) -> np.ndarray:
+def walk(node: np.ndarray, side: np.ndarray, value: np.ndarray, budget: int) -> np.ndarray:
     """Roots (places) after linking, in each node, values within the budget.
 
     Rows are sorted by (node, side, value).  A node with one side is joined with
     itself, one with two sides across.  Ranges of rows are subtrees: with the ones of
     a bit counted from the start, the split of any number of ranges is one subtraction.
+    Values are whole, so errors are counted from the first bit, whatever a node was split by.
     """
     n = len(value)
     forest = Forest(n)
@@ -127,7 +128,7 @@ def walk(node: np.ndarray, side: np.ndarray, value: np.ndarray, err: np.ndarray,
     a1 = np.concatenate((stop[lone], stop[two]))
     b0 = np.concatenate((key[lone], key[np.flatnonzero(two) + 1]))
     b1 = np.concatenate((stop[lone], stop[np.flatnonzero(two) + 1]))
-    e = err[a0] if n else np.empty(0, np.int64)
+    e = np.zeros(len(a0), np.int64)
     for bit in range(BITS - 1, -2, -1):
         small = ((a1 - a0) * (b1 - b0) <= 256) | (bit < 0)
         for i, j in crossed(a0[small], a1[small], b0[small], b1[small]):
@@ -186,7 +187,7 @@ def near_links(values: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -
         def links(rows: pa.Table) -> pa.RecordBatch:
             value = rows["value"].to_numpy().view(np.uint64)
             names = rows["node"].combine_chunks().dictionary_encode().indices.to_numpy()
-            root = walk(names, rows["side"].to_numpy(), value, rows["err"].to_numpy().astype(np.int64), budget)
+            root = walk(names, rows["side"].to_numpy(), value, budget)
             fp = rows["fp"].to_numpy()
             linked = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["u", "v"])
@@ -229,7 +230,7 @@ def near_links(values: DataFrame, budget: int = 3, node_rows: int = NODE_ROWS) -
     back = F.lit(None).cast("long")
     for r in range(budget + 1):
         back = F.when(turn == r * part, _rotated("value", (BITS - r * part) % BITS)).otherwise(back)
-    every = every.select("node", "side", "value", "err", back.alias("fp"))
+    every = every.select("node", "side", "value", back.alias("fp"))
     # In numpy values are unsigned, in Spark signed: the sort follows the unsigned order.
     dealt = every.repartition("node").sortWithinPartitions("node", "side", F.col("value").bitwiseXOR(F.lit(-(2**63)).cast("long")))
     return dealt.mapInArrow(forest, "u long, v long")

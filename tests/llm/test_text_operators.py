@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import xor
 
 import pytest
 from brute import contamination, fingerprint, groups, low, mix_targets, repeats, words
@@ -91,6 +93,18 @@ def test_near_duplicates(spark, node_rows):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("node_rows", [4096, 1000])
+def test_near_links_across_a_split_node(spark, node_rows):
+    """Pairs with one differing bit in each of three parts, so one large node alone can find them; all else is 4 or more bits apart."""
+    code = [c for c in range(1 << 16) if not c.bit_count() % 2 and not reduce(xor, (k for k in range(16) if c >> k & 1), 0)]
+    first = [0x1234 << 48 | c for c in code]
+    other = [f ^ (1 << 40 | 1 << 31 | 1 << 15) for f in first]
+    far = [f ^ 0xFE << 40 for f in first]
+    values = spark.createDataFrame([(f,) for f in first + other + far], "fp long")
+    links = simhash.near_links(values, node_rows=node_rows).distinct().collect()
+    assert len(code) == 2048 and {frozenset((r.u, r.v)) for r in links} == {frozenset(p) for p in zip(first, other, strict=True)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1400)] + [(5000, 5000), (None, 3), (6001, 6000), (6000, 6001)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
