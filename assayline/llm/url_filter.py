@@ -45,10 +45,13 @@ class Rule:
 
 @dataclass(frozen=True)
 class Pattern:
-    """A regular expression over host + path that blocks what no rule covers.  ``needs`` are tokens every match has whole."""
+    """A regular expression over host + path that blocks what no rule covers.
+
+    ``needs`` are sets of tokens: every url that matches has all tokens of one of them whole.
+    """
 
     expression: str
-    needs: tuple[str, ...]
+    needs: tuple[tuple[str, ...], ...] = ((),)
 
 
 def quoted(s: str) -> str:
@@ -63,6 +66,11 @@ def path_tokens(path: str) -> list[str]:
     return [f"p:{t}" for t in re.split(r"[^0-9A-Za-z]+", path) if t]
 
 
+def either(*words: str) -> tuple[tuple[str, ...], ...]:
+    """Needs of a pattern whose match has ``words`` whole, all in the host or all in the path (a ``/`` parts them)."""
+    return tuple(tuple(kind + w for w in words) for kind in ("h:", "p:"))
+
+
 #: The lists of the default filter.
 RULES = (
     Rule("allow", "org", "/"),
@@ -72,9 +80,9 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 PATTERNS = (
-    Pattern(r"(^|[.-])spam-farm\.", ("h:spam", "h:farm")),
-    Pattern(r"(^|[.-])cheap-pills\.", ("h:cheap", "h:pills")),
-    Pattern(r"(^|[.-])casino[.-]", ("h:casino",)),
+    Pattern(r"(^|[.-])spam-farm\.", either("spam", "farm")),
+    Pattern(r"(^|[.-])cheap-pills\.", either("cheap", "pills")),
+    Pattern(r"(^|[.-])casino[.-]", either("casino")),
 )
 
 
@@ -93,6 +101,10 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(mark(F.split(host, "[^0-9a-z]+"), "h:"), mark(F.split(path, "[^0-9A-Za-z]+"), "p:")))
 
 
+def needs_of(rule: Rule | Pattern) -> Sequence[Sequence[str]]:
+    return [rule.tokens] if isinstance(rule, Rule) else rule.needs
+
+
 def token_counts(urls: DataFrame, url: str, wanted: list[str]) -> dict[str, int]:
     """In how many urls each wanted token is; as many rows come back as the rules have tokens."""
     tokens = url_tokens(host_of(F.col(url)), path_of(F.col(url)))
@@ -101,11 +113,14 @@ def token_counts(urls: DataFrame, url: str, wanted: list[str]) -> dict[str, int]
 
 
 def rarest_token_index(rules: Sequence[Rule | Pattern], counts: dict[str, int]) -> dict[str, list[int]]:
-    """Rules (by position) under the token of theirs that the fewest urls have; ties go to the smaller token.  A rule without tokens is under ''."""
+    """Rules (by position) under the token of theirs that the fewest urls have; ties go to the smaller token.
+
+    A pattern is under one token of each of its sets.  A rule, or a set, without tokens is under ''.
+    """
     index: dict[str, list[int]] = {}
     for i, rule in enumerate(rules):
-        needs = rule.tokens if isinstance(rule, Rule) else rule.needs
-        index.setdefault(min(needs, key=lambda t: (counts.get(t, 0), t), default=""), []).append(i)
+        for token in sorted({min(needs, key=lambda t: (counts.get(t, 0), t), default="") for needs in needs_of(rule)}):
+            index.setdefault(token, []).append(i)
     return index
 
 
@@ -122,7 +137,7 @@ def judge_urls(urls: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES,
     every: list[Rule | Pattern] = [*rules, *patterns]
     if len(every) > MAX_RULES:
         raise ValueError(f"{len(every)} rules; at most {MAX_RULES} fit into a plan")
-    wanted = sorted({t for r in every for t in (r.tokens if isinstance(r, Rule) else r.needs)})
+    wanted = sorted({t for r in every for needs in needs_of(r) for t in needs})
     index = rarest_token_index(every, token_counts(urls, url, wanted) if wanted else {})
     cut = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
 

@@ -6,10 +6,12 @@ import random
 from functools import reduce
 from operator import xor
 
+import duckdb
 import pytest
 from brute import contamination, fingerprint, groups, low, mix_targets, repeats, words
 
 from assayline.llm import decontam, graph, mixing, simhash, substring_dedup, suffix_dedup, url_filter
+from assayline.llm.queries import OP1_SQL
 
 SCHEMA = "doc_id long, text string, source string, n_words string, _batch string"
 
@@ -163,6 +165,18 @@ def test_urls(spark):
     assert "Python" not in plan.split("Physical Plan")[1] and "Exchange" not in plan.split("Physical Plan")[1]
 
 
+def test_url_patterns_in_host_and_path(spark):
+    blocked = ["http://foo.net/best-casino-list", "http://foo.net/x/a-spam-farm.html", "http://foo.net/a.cheap-pills.b", "http://casino.net/", "http://x-spam-farm.net/cheap-pills"]
+    allowed = ["http://foo.net/casino-list", "http://foo.net/best-Casino-list", "http://foo.net/best-casinos-list", "http://casino/-x", "http://foo.net/?a-casino-b", "http://foo.net/farm-spam.", "http://foo.org/a-casino-b"]
+    rows = [(i, u) for i, u in enumerate(blocked + allowed)]
+    got = [tuple(r) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).select("page_id", "host", "path", "rule", "verdict").collect()]
+    assert [r[4] for r in sorted(got)] == ["block"] * len(blocked) + ["allow"] * len(allowed)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert sorted(got) == sorted(con.execute(OP1_SQL).fetchall())
+
+
 def test_rarest_token_leads():
     rule = url_filter.Rule("block", "shop.example.com", "/a/b")
     assert rule.tokens == ["h:shop", "h:example", "h:com", "p:a"]
