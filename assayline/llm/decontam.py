@@ -1,14 +1,16 @@
 """Benchmark decontamination over a positional inverted index of the training documents.
 
-The index is distributed by document: a task turns its documents into postings
-(term, position) of the test set's terms, so all lists of a document are in one place
-and nothing is shuffled.  How often each test term is in the whole training set is
+The index is distributed by document and not stored: a task turns its documents into
+postings (term, position) of the test set's terms, so all lists of a document are in
+one place and nothing is shuffled.  How often each test term is in the whole training set is
 counted first; a test phrase then starts from the postings of its rarest term, is cut
 by its second rarest with the offset between them, and what is left is compared word
-by word (exact phrases) or kept if the two terms are near each other (proximity).
+by word (exact phrases) or kept if the two terms are near each other in the same
+document (proximity).
 
-Test items come to the tasks in blocks of ``BLOCK_WORDS`` words, one broadcast each
-and one in memory at a time, so the test set may be of any size.
+Test items come to the tasks in blocks of ``BLOCK_WORDS`` words, one broadcast each.
+Each block reads the documents once more for its counts, and a task that judges
+documents holds all blocks, so the test set has to fit into a worker.
 """
 
 from __future__ import annotations
@@ -83,8 +85,12 @@ def block_of(names: list[str], texts: list[list[bytes]], window: int, counts: di
     return Block(terms, flat, at, size, rare, next_rare, first_phrase, phrases, first_item, items, names)
 
 
-def matches(block: Block, tokens: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, phrase) of exact occurrences and (start, phrase) of near ones.  ``tokens`` are term ids, -1 for other words and between documents."""
+def matches(block: Block, tokens: np.ndarray, begin: np.ndarray, n_words: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, phrase) of exact occurrences and (document, phrase) of near ones.
+
+    ``tokens`` are term ids, -1 for other words; document d has those from ``begin[d]``
+    on, ``n_words[d]`` of them, and both kinds are judged by what is in the document.
+    """
     exact: list[tuple[np.ndarray, np.ndarray]] = []
     near: list[tuple[np.ndarray, np.ndarray]] = []
     if not len(block.at):
@@ -101,17 +107,22 @@ def matches(block: Block, tokens: np.ndarray, slop: int) -> tuple[np.ndarray, np
         place = np.repeat(p, n)
         k = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
         phrase = block.phrases[np.repeat(block.first_phrase[tokens[p]], n) + k]
+        doc = np.searchsorted(begin, place, "right") - 1
+        low, high = begin[doc], begin[doc] + n_words[doc]
         start = place - block.rare[phrase]
-        fits = (start >= 0) & (start + block.size[phrase] <= len(tokens))
-        start, phrase = start[fits], phrase[fits]
         other = block.flat[block.at[phrase] + block.next_rare[phrase]]
         spot = start + block.next_rare[phrase]
+        lone = block.size[phrase] == 1
+        close = np.zeros(len(place), bool)
+        for d in range(-slop, slop + 1):
+            at = spot + d
+            # One posting is not two terms: a repeated term needs another place.
+            inside = (at >= low) & (at < high) & ((at != place) | lone)
+            close |= inside & (tokens[np.where(inside, at, 0)] == other)
+        near.append((doc[close], phrase[close]))
+        fits = (start >= low) & (start + block.size[phrase] <= high)
+        start, phrase, other, spot = (x[fits] for x in (start, phrase, other, spot))
         hit = tokens[spot] == other
-        close = hit.copy()
-        for d in range(1, slop + 1):
-            close |= tokens[np.maximum(spot - d, 0)] == other
-            close |= tokens[np.minimum(spot + d, len(tokens) - 1)] == other
-        near.append((start[close], phrase[close]))
         start, phrase = start[hit], phrase[hit]
         for j in range(int(block.size[phrase].max(initial=0))):
             inside = j < block.size[phrase]
@@ -148,8 +159,8 @@ def judge_documents(
     A phrase is ``window`` consecutive words of an item; an item with fewer words, but
     not none, is one phrase.  A word inside any occurrence of a phrase is hit.  items
     are the ids (as strings, sorted) of the items with an occurring phrase;
-    near_items those with none, of which a phrase's two rarest terms are within
-    ``slop`` words of their distance.  contaminated: n_hit > 0 and share * n_hit >= n_words.
+    near_items those with none, of which a phrase's two rarest terms are in the text
+    within ``slop`` words of their distance, wherever the phrase would start or end.  contaminated: n_hit > 0 and share * n_hit >= n_words.
 
     Null or empty texts have no words.  Items with null text have no phrase; a null
     item id is the empty string; items that share an id count once.  Repeated rows are
@@ -184,11 +195,11 @@ def judge_documents(
             tokens = np.full(length, -1, np.int64)
             for w, a in zip(each, begin, strict=True):
                 tokens[a : a + len(w)] = np.fromiter(map(block.terms.get, w, repeat(-1)), np.int64, len(w))
-            start, phrase, near_start, near_phrase = matches(block, tokens, slop)
+            start, phrase, near_doc, near_phrase = matches(block, tokens, begin, n_words, slop)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + block.size[phrase], -1)
             item_sets(block, np.searchsorted(begin, start, "right") - 1, phrase, found)
-            item_sets(block, np.searchsorted(begin, near_start, "right") - 1, near_phrase, close)
+            item_sets(block, near_doc, near_phrase, close)
         hits = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
         n_hit = hits[begin + n_words] - hits[begin] if len(begin) else n_words
         names = pa.list_(pa.string())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from xxhash import xxh64_intdigest
 
@@ -46,6 +46,22 @@ def contamination(text, items, window=13):
     return len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
+def near_items(text, texts, items, slop, window=13):
+    """Items without an occurring phrase, of which some phrase's two rarest terms are near their distance in ``text``."""
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    often, w, found = Counter(x for t in texts for x in tokens(t)), tokens(text), set()
+    for item_id, item in items:
+        v = tokens(item)
+        n = min(window, len(v))
+        for s in range(len(v) - n + 1 if n else 0):
+            p = v[s : s + n]
+            order = sorted(range(n), key=lambda k: often[p[k]])  # noqa: B023
+            a, b = order[0], order[min(1, n - 1)]
+            if any(w[i] == p[a] and w[j] == p[b] and (i != j or n == 1) and abs(j - i - b + a) <= slop for i in range(len(w)) for j in range(max(0, i + b - a - slop), min(len(w), i + b - a + slop + 1))):
+                found.add("" if item_id is None else str(item_id))
+    return sorted(found - set(contamination(text, items, window)[2]))
+
+
 def fingerprint(text):
     w = words(low(text))
     if not w:

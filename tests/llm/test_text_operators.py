@@ -8,7 +8,7 @@ from operator import xor
 
 import duckdb
 import pytest
-from brute import contamination, fingerprint, groups, low, mix_targets, repeats, words
+from brute import contamination, fingerprint, groups, low, mix_targets, near_items, repeats, words
 
 from assayline.llm import decontam, graph, mixing, simhash, substring_dedup, suffix_dedup, url_filter
 from assayline.llm.queries import OP1_SQL
@@ -74,6 +74,26 @@ def test_proximity(spark):
     assert {r.doc_id: (r.items, r.near_items) for r in got.collect()}[4] == (["1"], [])
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+@pytest.mark.parametrize("block_words", [30, 100_000])
+def test_proximity_within_each_document(spark, partitions, block_words):
+    """Near items by the document alone, however rows are put together."""
+    filler = [f"c{i}" for i in range(11)]
+    items = [(1, " ".join(["r1", *filler, "r2"])), (2, " ".join(["a", "a"])), (3, " ".join([*filler, "r3", "r4"])), (4, " ".join(["r5", "r6", *filler]))]
+    middle = " ".join(f"m{i}" for i in range(11))
+    texts = [
+        "r4", "r3 r4", "r5", "r6", "r6 x r5", f"r1 {middle} r2", f"r1 x x x {middle} r2", f"r1 x x x x {middle} r2", "r1", middle, "r2", "a", "a x a", "", None, "r5 r6", "r3", "r4",
+        *[" ".join(filler)] * 90, items[0][1],
+    ]
+    rng = random.Random(6)
+    texts += [" ".join(rng.choice(["r1", "r2", "r3", "r4", "r5", "r6", "a", "x", "c1"]) for _ in range(rng.randrange(12))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).repartition(partitions)
+    got = decontam.judge_documents(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
+    near = {r.doc_id: r.near_items for r in got}
+    assert [near[i] for i in range(len(texts))] == [near_items(t, texts, items, 3) for t in texts]
+    assert near[0] == near[11] == near[7] == [] and near[1] == ["3"] and near[5] == near[6] == ["1"] and near[15] == ["4"]
+
+
 @pytest.mark.parametrize("node_rows", [4096, 8])
 def test_near_duplicates(spark, node_rows):
     rng = random.Random(3)
