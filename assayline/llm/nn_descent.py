@@ -37,9 +37,9 @@ from assayline.operators.spread import top_n
 #: List length, nodes per bucket, cells of the start, rounds.
 K, BUCKET_NODES, CELL_NODES, ROUNDS, MAX_ROUNDS = 40, 2048, 2048, 3, 8
 #: Rounds end when less than this part of all list entries is new.
-SETTLED = 0.05
+SETTLED = 0.02
 #: Beam of the search, nodes expanded per step, steps.
-BEAM, EXPAND, STEPS = 120, 40, 4
+BEAM, EXPAND, STEPS = 120, 40, 5
 
 GRAPH = "bucket int, nodes binary, vecs binary, nbrs binary, sims binary, fresh binary"
 LINKS = "bucket int, a binary, b binary, s binary"
@@ -204,7 +204,7 @@ def descend(graph: DataFrame, n_buckets: int, k: int, turn: int) -> DataFrame:
             at = g.place(ids)
             out["bucket"].append(int(np.frombuffer(to, np.int64)[0]))
             out["a"].append(ids.tobytes())
-            out["b"].append(g.vecs[at].astype(np.float16).tobytes())
+            out["b"].append(g.vecs[at].tobytes())
             out["s"].append(g.sims[at, -1].tobytes())
         return pa.table({"bucket": pa.array(out["bucket"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in ("a", "b", "s")})
 
@@ -222,7 +222,7 @@ def descend(graph: DataFrame, n_buckets: int, k: int, turn: int) -> DataFrame:
         some = some[np.argsort(fresh[some].sum(axis=1), kind="stable")]  # lists with as many new members together
         lists, fresh = lists[some], fresh[some]
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in got["a"].to_pylist()])
-        vecs = np.concatenate([np.frombuffer(x, np.float16).reshape(-1, g.vecs.shape[1]) for x in got["b"].to_pylist()]).astype(np.float32)
+        vecs = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, g.vecs.shape[1]) for x in got["b"].to_pylist()])
         least = np.concatenate([np.frombuffer(x, np.float32) for x in got["s"].to_pylist()])
         order = np.argsort(ids)
         ids, vecs, least = ids[order], vecs[order], least[order]
@@ -390,12 +390,20 @@ def search(graph: DataFrame, n_buckets: int, wanted: DataFrame, k: int = K, beam
     return state.mapInArrow(found, "q long, node long").where("node >= 0")
 
 
+def scaled(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (node, vec) with all vectors times one power of two that brings the largest component to 0.5 to 1, so no product overflows and order stays."""
+    most = nodes.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x.cast("double")))))).first()[0]
+    by = F.lit(2.0 ** -math.frexp(most)[1])
+    return nodes.select("node", F.transform("vec", lambda x: (x.cast("double") * by).cast("float")).alias("vec"))
+
+
 def nearest(vectors: DataFrame, top: int = 20, every: int = 20, vec_id: str = "vec_id", vec: str = "embedding", k: int = K, bucket_nodes: int = BUCKET_NODES) -> DataFrame:
     """For rows whose id is divisible by ``every``: query_id, rank, vec_id and score of the ``top`` nearest found, by inner product.
 
     Candidates are all rows but the query's own; score is the inner product of the
     original vectors in double precision, ties go to the smaller id; with fewer
-    candidates all come, if the graph leads to them.
+    candidates all come, if the graph leads to them.  The graph compares in single
+    precision, all vectors scaled alike.
 
     Rows with a null id, and vectors that are null, empty, zero or hold null or
     non-finite components, take no part; vectors must have one length.  Repeated rows
@@ -412,7 +420,7 @@ def nearest(vectors: DataFrame, top: int = 20, every: int = 20, vec_id: str = "v
     if nodes.isEmpty():
         return nodes.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
     queries = pin(rows.where(F.col("vec_id") % every == 0).join(nodes.select("vec", "node"), "vec").select(F.col("vec_id").alias("query_id"), "node"))
-    graph, n_buckets = build_graph(nodes.select("node", "vec"), k, bucket_nodes)
+    graph, n_buckets = build_graph(scaled(nodes), k, bucket_nodes)
     pairs = search(graph, n_buckets, queries.select("node").distinct(), k)
     asked = queries.select(F.col("node").alias("q")).distinct()
     pairs = pairs.union(asked.select("q", F.col("q").alias("node")))  # a vector's copies are candidates too

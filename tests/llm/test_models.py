@@ -100,6 +100,18 @@ def nearest(vectors, every, top):
     return out
 
 
+@pytest.mark.parametrize("exponent", [20, 70])
+def test_nearest_of_large_components(spark, exponent):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((300, 8)) * 2.0**exponent
+    vectors = [(i, [float(np.float32(a)) for a in v]) for i, v in enumerate(x)]
+    got: dict = {}
+    for r in nn_descent.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), top=10, bucket_nodes=100).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = nearest(vectors, 20, 10)
+    assert got.keys() == want.keys() and np.mean([len({*got[q]} & {*want[q]}) / 10 for q in want]) >= 0.9
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(9)
     centre = rng.standard_normal((30, 16))
