@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
+#: The folders made for local sessions, by application.
+_FOLDERS: dict[str, str] = {}
+
 #: Settings that change results or plan quality.  Sizes are left to AQE.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,13 +43,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` wins.  Only where it is unset and the master is local is a
-    temporary folder made: on a cluster, other hosts could not read it.
+    temporary folder made, one per application and removed at exit: on a cluster, other
+    hosts could not read it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(_FOLDERS[app])
+        atexit.register(shutil.rmtree, _FOLDERS[app], ignore_errors=True)
+    return _FOLDERS[app]
