@@ -7,7 +7,9 @@ words in Spark, in Python and in the tests.
 
 from __future__ import annotations
 
+import atexit
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,10 +33,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders of pinned frames that are still there, by application.
+_PINNED: dict[str, list[str]] = {}
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that it outlives executors and is computed once."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written as Parquet to the shared checkpoint folder and read again.
+
+    So it outlives executors, is computed once, and the plan knows its real size: a
+    checkpointed frame keeps its *estimated* one, which joins multiply round by round.
+    The folder stays until :func:`unpin`, :func:`clear_pins` or the end of the program.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pins/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    app = spark.sparkContext.applicationId
+    if app not in _PINNED:
+        _PINNED[app] = []
+        atexit.register(_clear_at_exit, spark)
+    _PINNED[app].append(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._pinned = path
+    return kept
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark can reach."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unpin(*frames: DataFrame) -> None:
+    """Remove the folders of pinned ``frames`` that nothing reads any more."""
+    for df in frames:
+        pinned = _PINNED.get(df.sparkSession.sparkContext.applicationId, [])
+        if (path := getattr(df, "_pinned", None)) in pinned:
+            pinned.remove(path)
+            remove(df.sparkSession, path)
+
+
+def clear_pins(spark: SparkSession) -> None:
+    """Remove all pinned folders of this application: for callers that have written every result that they asked for."""
+    pinned = _PINNED.get(spark.sparkContext.applicationId, [])
+    while pinned:
+        remove(spark, pinned.pop())
+
+
+def _clear_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        clear_pins(spark)
 
 
 def remainder(doc_id: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import pin
+from assayline.llm.common import pin, unpin
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,11 +26,13 @@ def components(links: DataFrame) -> DataFrame:
         move = pin(near.select(F.col("u").alias("node"), F.least("near", ranked("u"))["id"].alias("root")))
         moves.append(move)
         moved = links.join(move.select(F.col("node").alias("u"), F.col("root").alias("p")), "u").join(move.select(F.col("node").alias("v"), F.col("root").alias("q")), "v")
-        links = pin(moved.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).where("u <> v").distinct())
+        left, links = links, pin(moved.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).where("u <> v").distinct())
+        unpin(left)
     if not moves:
         return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     where = moves[0]
     for move in moves[1:]:
         step = move.select(F.col("node").alias("root"), F.col("root").alias("_next"))
-        where = where.join(step, "root", "left").select("node", F.coalesce("_next", "root").alias("root"))
+        before, where = where, pin(where.join(step, "root", "left").select("node", F.coalesce("_next", "root").alias("root")))
+        unpin(before, move)
     return where

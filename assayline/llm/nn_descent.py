@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayline.llm.common import mixed, pin, runs, split_by
+from assayline.llm.common import mixed, pin, runs, split_by, unpin
 from assayline.operators.spread import top_n
 
 #: List length, nodes per bucket, cells of the start, rounds.
@@ -265,11 +265,10 @@ def build_graph(nodes: DataFrame, k: int = K, bucket_nodes: int = BUCKET_NODES,
     n = nodes.count()
     n_buckets = max(1, math.ceil(n / bucket_nodes))
     graph = start_graph(nodes, n, n_buckets, k)
-    for turn in range(max_rounds):
-        graph = descend(graph, n_buckets, k, turn)
-        fresh = graph.agg(F.sum("n_fresh")).first()[0] or 0
-        graph = graph.drop("n_fresh")
-        if fresh < SETTLED * n * min(k, n - 1):
+    for turn in range(max_rounds if n > 1 else 0):
+        before, graph = graph, descend(graph, n_buckets, k, turn)
+        unpin(before)
+        if (graph.agg(F.sum("n_fresh")).first()[0] or 0) <= SETTLED * n * min(k, n - 1):
             break
     return graph, n_buckets
 
@@ -379,7 +378,8 @@ def search(graph: DataFrame, n_buckets: int, wanted: DataFrame, k: int = K, beam
     state = pin(graph.groupBy("bucket").cogroup(queries.groupBy("bucket")).applyInArrow(begin, STATE))
     for _ in range(steps):
         told = graph.groupBy("bucket").cogroup(state.mapInArrow(ask, ASK).groupBy("bucket")).applyInArrow(tell, TOLD)
-        state = pin(state.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(step, STATE))
+        before, state = state, pin(state.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(step, STATE))
+        unpin(before)
 
     def found(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches:
