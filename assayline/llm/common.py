@@ -7,7 +7,6 @@ words in Spark, in Python and in the tests.
 
 from __future__ import annotations
 
-import atexit
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,16 +41,14 @@ def pin(df: DataFrame) -> DataFrame:
 
     So it outlives executors, is computed once, and the plan knows its real size: a
     checkpointed frame keeps its *estimated* one, which joins multiply round by round.
-    The folder stays until :func:`unpin`, :func:`clear_pins` or the end of the program.
+    The folder stays until :func:`unpin`, :func:`clear_pins` or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/pins/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    app = spark.sparkContext.applicationId
-    if app not in _PINNED:
-        _PINNED[app] = []
-        atexit.register(_clear_at_exit, spark)
-    _PINNED[app].append(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _PINNED.setdefault(spark.sparkContext.applicationId, []).append(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._pinned = path
     return kept
@@ -79,11 +76,6 @@ def clear_pins(spark: SparkSession) -> None:
         remove(spark, pinned.pop())
 
 
-def _clear_at_exit(spark: SparkSession) -> None:
-    if spark.sparkContext._jsc is not None:
-        clear_pins(spark)
-
-
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
