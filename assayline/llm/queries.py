@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import decontam, language_model, mixing, nn_descent, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from assayline.llm import code_compression, decontam, language_model, license_scan, mixing, nn_descent, quality, simhash, substring_dedup, suffix_dedup, toxicity, url_filter, whitening
 from assayline.llm.common import table
 
 
@@ -135,6 +135,86 @@ FROM words LEFT JOIN lost USING (doc_id) LEFT JOIN stay USING (doc_id)
 """.replace("WORDS", WORDS_SQL)
 OP10_SQL, OP7_SQL = REPEATS_SQL.replace("LENGTH", "20"), REPEATS_SQL.replace("LENGTH", "50")
 
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.coded(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql() -> str:
+    """The rounds of the quantiser one after another; products of integers are exact in doubles."""
+    steps = [r"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), pieces AS MATERIALIZED (
+  SELECT rid, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] AS y FROM kept, range(4) AS t(p)
+), measured AS MATERIALIZED (
+  SELECT *, list_inner_product(y, y) AS yy FROM pieces
+), b0 AS MATERIALIZED (
+  SELECT p, e, y, yy FROM measured JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM kept ORDER BY vec_id, x LIMIT 256) USING (rid)
+)"""]
+    for i in range(5):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT rid, p, min((d, e)) AS best FROM (SELECT m.rid, m.p, b.e, m.yy + b.yy - 2 * list_inner_product(m.y, b.y) AS d FROM measured m JOIN b{i} b USING (p)) GROUP BY rid, p
+)""")
+        if i < 4:
+            steps.append(f"""
+s{i} AS MATERIALIZED (
+  SELECT p, best[2] AS e, j, floor(sum(v) / count(*)) AS v FROM (SELECT a.p, a.best, unnest(range(len(y))) AS j, unnest(y) AS v FROM a{i} a JOIN pieces USING (rid, p)) GROUP BY ALL
+), n{i} AS MATERIALIZED (
+  SELECT p, e, list(v ORDER BY j) AS y FROM s{i} GROUP BY p, e
+), b{i + 1} AS MATERIALIZED (
+  SELECT p, e, y, list_inner_product(y, y) AS yy FROM (SELECT b.p, b.e, coalesce(n.y, b.y) AS y FROM b{i} b LEFT JOIN n{i} n USING (p, e))
+)""")
+    return f"""
+WITH {','.join(steps)}, book AS (
+  SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, unnest(range(len(y))) AS j, unnest(y) AS v FROM b4)
+), done AS (
+  SELECT rid, string_agg(lpad(lower(to_hex(best[2])), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a4 GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN done USING (rid), book
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("places")
+
+
+def _op12_sql() -> str:
+    """Every template against every text: words that agree at the same relative position, counted."""
+    rows = [
+        f"({t}, '{x.label}', {x.base}, {len(x.words)}, {len(x.key_words)}, {j}, '{w}', {x.key_at <= j < x.key_at + len(x.key_words)})"
+        for t, x in enumerate(license_scan.TEMPLATES)
+        for j, w in enumerate(x.words)
+    ]
+    return rf"""
+WITH t(t, label, base, n, k, j, w, key) AS (VALUES {', '.join(rows)}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {OP5_WORDS} AS ws FROM documents),
+words AS (SELECT rid, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM docs),
+agreed AS (SELECT rid, t, label, base, i - j AS start, count(*) / n AS part FROM words JOIN t USING (w) GROUP BY rid, t, label, base, n, k, i - j HAVING count(*) / n >= {license_scan.SHARE} AND count(*) FILTER (key) = k),
+found AS (
+  SELECT rid, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(part) AS score,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM agreed GROUP BY rid
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN found USING (rid)
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality": op2_quality,
@@ -146,5 +226,8 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_simhash": op9_simhash,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_license_scan": op12_license_scan,
+    "op13_whitening": op13_whitening,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op5_decontamination": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op5_decontamination": OP5_SQL, "op7_suffix_dedup": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op11_vector_codes": OP11_SQL, "op12_license_scan": OP12_SQL}
