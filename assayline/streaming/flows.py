@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from assayline.operators.scan import scan_files
 from assayline.operators.spread import previous_value
+from assayline.streaming.state import BucketedState, FirstDigest, InEventOrder, state_store
 
 IMMEDIATE = ["critical", "high"]
 SEVERITIES = ["critical", "high", "medium", "low"]
@@ -51,17 +52,53 @@ def fresh_lookup(names: DataFrame, registry: DataFrame, hours: int = 24) -> Data
     return joined.select(*names.columns, state.alias("state"))
 
 
-# --------------------------------------------------------------------------- tables as state
-# A batch body keeps one row per key in a state table with a folder per batch: batch n
-# reads what batch n - 1 left and writes its own, so a batch costs what it brings
-# plus one row per key, however long the stream has run, and repeating a batch
-# rewrites the same folders.
-def _state(spark: SparkSession, out: str, schema: str, batch_id: int) -> DataFrame:
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{out}_state/batch_id={batch_id - 1}")
+# --------------------------------------------------------------------------- keyed state
+def one_time_approval(receipts: DataFrame, rows_per_step: int = 10_000) -> DataFrame:
+    """``request_id, receipt_id, request_digest, accepted``: a receipt is accepted unless its request id was used before with another digest.
 
+    ``receipts`` (stream): ``request_id, receipt_id, request_digest, ts``.  The first digest of an
+    id is that of the earliest receipt by (ts, receipt_id) in the first batch that has the
+    id, and is never forgotten.  It is in Spark's state store, so a batch costs what it
+    brings.  Receipts are gathered per id and digest before they are dealt out, some
+    thousand at a time: a replayed id sends the state few rows, not one per receipt.
+    Start it inside :func:`assayline.streaming.state.state_store`.
+    """
+    import pyarrow as pa
+
+    kind = dict(receipts.dtypes)["request_id"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows_per_step):
+                rows = pa.Table.from_batches([batch.slice(i, rows_per_step)]).sort_by([("ts", "ascending"), ("receipt_id", "ascending")])
+                found = rows.group_by(["request_id", "request_digest"], use_threads=False).aggregate([("receipt_id", "list"), ("ts", "first"), ("receipt_id", "first")])
+                columns = [found[c].combine_chunks() for c in ("request_id", "request_digest", "receipt_id_list", "ts_first", "receipt_id_first")]
+                yield pa.RecordBatch.from_arrays(columns, ["request_id", "request_digest", "receipts", "ts", "receipt_id"])
+
+    gathered = receipts.select("request_id", F.col("receipt_id").cast("long"), F.col("request_digest").cast("string"), "ts").mapInArrow(
+        gather, f"request_id {kind}, request_digest string, receipts array<long>, ts timestamp, receipt_id long"
+    )
+    judged = gathered.groupBy("request_id").transformWithState(
+        FirstDigest(), f"request_id {kind}, request_digest string, receipts array<long>, first string", "Append", "None"
+    )
+    return judged.select("request_id", F.explode("receipts").alias("receipt_id"), "request_digest", F.col("request_digest").eqNullSafe(F.col("first")).alias("accepted"))
+
+
+def score_history(scores: DataFrame, delay: str = "7 days") -> DataFrame:
+    """``repo_id, ts, previous, current`` for every scored scan, previous being the score before it in event time.
 
+    ``scores`` (stream): ``repo_id, ts, score``.  A scan waits in the state store until the watermark,
+    ``delay`` behind the newest scan, has passed it, so scans may arrive in any order within
+    the delay; equal times go by score, nulls first.  Later ones are dropped and counted
+    in the query's progress, as the watermark's contract is.  Start it inside
+    :func:`assayline.streaming.state.state_store`.
+    """
+    rows = scores.select("repo_id", "ts", F.col("score").cast("int").alias("value")).withWatermark("ts", delay)
+    ordered = rows.groupBy("repo_id").transformWithState(InEventOrder(), "key string, ts timestamp, previous int, current int", "Append", "EventTime")
+    return ordered.withColumnRenamed("key", "repo_id")
+
+
+# --------------------------------------------------------------------------- batch bodies
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -90,75 +127,35 @@ def digest_of(added: DataFrame) -> DataFrame:
     return added.groupBy("repo_id", "week_start", "week_end").agg(*[F.sum(c).alias(c) for c in ("alerts", *SEVERITIES)])
 
 
-def one_time_approval(out: str) -> Body:
-    """``foreachBatch`` body: accept a receipt unless its request id was used before with another digest.
-
-    The batch has ``request_id, receipt_id, request_digest, ts``.  The first receipt of an
-    id is the earliest by (ts, receipt_id) of the first batch that has the id; its
-    digest is found by an aggregate that combines on the map side and compared by
-    column, so an id that is replayed any number of times is not one task.
-    """
-    schema = "request_id bigint, first string"
-
-    def body(batch: DataFrame, batch_id: int) -> None:
-        known = _state(batch.sparkSession, out, schema, batch_id)
-        own = batch.groupBy("request_id").agg(F.min_by("request_digest", F.struct("ts", "receipt_id")).alias("_own"))
-        firsts = own.join(known, "request_id", "full").select("request_id", F.coalesce("first", "_own").alias("first"))
-        _write(firsts, f"{out}_state", batch_id)
-        judged = batch.join(_read(batch, f"{out}_state", schema, batch_id), "request_id")
-        _write(judged.select("request_id", "receipt_id", "request_digest", (F.col("request_digest") == F.col("first")).alias("accepted")), out, batch_id)
-
-    return body
-
-
-def _read(batch: DataFrame, path: str, schema: str, batch_id: int) -> DataFrame:
-    return batch.sparkSession.read.schema(schema).parquet(f"{path}/batch_id={batch_id}")
-
-
-def _in_order(batch: DataFrame, out: str, batch_id: int, key: str, value: str, kind: str) -> DataFrame:
-    """The batch's rows of ``key, ts, value`` that are not older than their key's newest, with ``_prev``, the value before.
-
-    Older rows go to ``{out}_late``; the newest (ts, value) per key is the state.
-    """
-    schema = f"{key} string, _ts timestamp, _last {kind}"
-    known = _state(batch.sparkSession, out, schema, batch_id)
-    joined = batch.select(key, "ts", value).join(known, key, "left")
-    late = F.coalesce(F.col("ts") < F.col("_ts"), F.lit(False))
-    _write(joined.where(late).select(key, "ts", value), f"{out}_late", batch_id)
-    rows = joined.where(~late).select(key, "ts", value)
-    newest = rows.groupBy(key).agg(F.max(F.struct("ts", value)).alias("_n"))
-    state = newest.join(known, key, "full").select(key, F.coalesce("_n.ts", "_ts").alias("_ts"), F.when(F.col("_n").isNotNull(), F.col(f"_n.{value}")).otherwise(F.col("_last")).alias("_last"))
-    _write(state, f"{out}_state", batch_id)
-    first = F.struct(F.lit(False).alias("first"), F.col(value).alias("value"))
-    marked = previous_value(rows.withColumn("_v", first), [key], ["ts", value], "_v", F.to_date("ts"), "_p")
-    return marked.join(known.select(key, "_last"), key, "left").withColumn("_prev", F.when(F.col("_p").isNull(), F.col("_last")).otherwise(F.col("_p.value")))
-
-
-def deliver_if_changed(out: str) -> Body:
+def deliver_if_changed(out: str, buckets: int = 64) -> Body:
     """``foreachBatch`` body: write the payload of a key only when its digest differs from the one before.
 
-    The batch is ``key, ts, digest``.  A row older than what its key had already is not
-    delivered over it, but written to ``{out}_late``.
-    """
-
-    def body(batch: DataFrame, batch_id: int) -> None:
-        rows = _in_order(batch, out, batch_id, "key", "digest", "string")
-        _write(rows.where(~F.col("_prev").eqNullSafe(F.col("digest"))).select("key", "ts", "digest"), out, batch_id)
-
-    return body
-
-
-def score_history(out: str) -> Body:
-    """``foreachBatch`` body: ``repo_id, ts, previous, current`` for every scored scan.
-
-    The batch is ``repo_id, ts, score``; previous is the score before it, in the batch or
-    the newest of earlier batches.  A scan older than that newest has no previous one
-    to be read off, and is written to ``{out}_late``.
+    The batch is ``key, ts, digest``.  The newest (ts, digest) per key is kept in a
+    :class:`~assayline.streaming.state.BucketedState`, so a batch reads and rewrites the buckets of its
+    own keys.  A row older than what its key had already is not delivered over it, but
+    written to ``{out}_late``.
     """
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        rows = _in_order(batch, out, batch_id, "repo_id", "score", "int")
-        _write(rows.select("repo_id", "ts", F.col("_prev").alias("previous"), F.col("score").alias("current")), out, batch_id)
+        state = BucketedState(batch.sparkSession, f"{out}_state", "key", "key string, _ts timestamp, _last string", buckets)
+        batch = batch.select("key", "ts", "digest").persist()
+        try:
+            touched = state.touched(batch)
+            known = state.read(batch_id, touched).persist()
+            joined = batch.join(known, "key", "left")
+            late = F.coalesce(F.col("ts") < F.col("_ts"), F.lit(False))
+            _write(joined.where(late).select("key", "ts", "digest"), f"{out}_late", batch_id)
+            rows = joined.where(~late).select("key", "ts", "digest")
+            first = F.struct(F.lit(False).alias("first"), F.col("digest").alias("value"))
+            marked = previous_value(rows.withColumn("_v", first), ["key"], ["ts", "digest"], "_v", F.to_date("ts"), "_p")
+            before = marked.join(known.select("key", "_last"), "key", "left").withColumn("_prev", F.when(F.col("_p").isNull(), F.col("_last")).otherwise(F.col("_p.value")))
+            _write(before.where(~F.col("_prev").eqNullSafe(F.col("digest"))).select("key", "ts", "digest"), out, batch_id)
+            newest = rows.groupBy("key").agg(F.max(F.struct("ts", "digest")).alias("_n"))
+            after = newest.join(known, "key", "full").select("key", F.coalesce("_n.ts", "_ts").alias("_ts"), F.when(F.col("_n").isNotNull(), F.col("_n.digest")).otherwise(F.col("_last")).alias("_last"))
+            state.write(after, batch_id, touched)
+            known.unpersist()
+        finally:
+            batch.unpersist()
 
     return body
 
@@ -179,11 +176,12 @@ def run_available(
     """Process what is there and stop; to a Parquet folder or through a batch body."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query: StreamingQuery
-    if body is not None:
-        query = writer.foreachBatch(body).start()
-    else:
-        assert out is not None
-        query = writer.format("parquet").start(out)
+    with state_store(stream.sparkSession):
+        if body is not None:
+            query = writer.foreachBatch(body).start()
+        else:
+            assert out is not None
+            query = writer.format("parquet").start(out)
     query.awaitTermination()
 
 

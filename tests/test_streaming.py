@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from assayline.streaming import flows
+from assayline.streaming.state import BucketedState, state_store
 
 
 def source(spark, path, schema):
@@ -32,27 +35,17 @@ def test_deliver_if_changed_over_batches_and_restart(spark, tmp_path):
     assert got == {("a", "2024-01-01", "x"), ("b", "2024-01-01", "y"), ("a", "2024-01-04", "z"), ("c", "2024-01-05", "n")}
 
 
-def test_repeated_batch_writes_the_same(spark, tmp_path):
-    out = str(tmp_path / "out")
-    body = flows.score_history(out)
-    batch = spark.createDataFrame([("r", "2024-01-01", 5), ("r", "2024-01-02", 9)], "repo_id string, ts string, score int").withColumn("ts", F.to_timestamp("ts"))
-    body(batch, 0)
-    body(batch, 0)
-    later = spark.createDataFrame([("r", "2024-01-03", 4)], "repo_id string, ts string, score int").withColumn("ts", F.to_timestamp("ts"))
-    body(later, 1)
-    rows = sorted((str(r.ts.date()), r.previous, r.current) for r in spark.read.parquet(out).collect())
-    assert rows == [("2024-01-01", None, 5), ("2024-01-02", 5, 9), ("2024-01-03", 9, 4)]
-
-
 def test_one_time_approval_keeps_the_first_digest(spark, tmp_path):
     schema = "request_id bigint, receipt_id bigint, request_digest string, ts string"
     data = tmp_path / "in"
     write(spark, [(1, 1, "a", "2024-01-01"), (1, 2, "b", "2024-01-02"), (2, 3, "c", "2024-01-01")], schema, data, "1")
     write(spark, [(1, 4, "a", "2024-01-03"), (2, 5, "d", "2024-01-03")], schema, data, "2")
     src = spark.readStream.schema(schema.replace("ts string", "ts timestamp")).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(data))
-    flows.run_available(src, str(tmp_path / "cp"), body=flows.one_time_approval(str(tmp_path / "out")))
+    flows.run_available(flows.one_time_approval(src), str(tmp_path / "cp"), str(tmp_path / "out"))
+    write(spark, [(2, 6, "c", "2024-01-01"), (3, 7, None, "2024-01-01"), (3, 8, "e", "2024-01-02"), (None, 9, "f", "2024-01-02")], schema, data, "3")
+    flows.run_available(flows.one_time_approval(src), str(tmp_path / "cp"), str(tmp_path / "out"))
     got = {r.receipt_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: True, 2: False, 3: True, 4: True, 5: False}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: False, 9: True}
 
 
 def test_first_receipt_of_a_hot_id_is_the_earliest_of_all(spark, tmp_path):
@@ -61,7 +54,7 @@ def test_first_receipt_of_a_hot_id_is_the_earliest_of_all(spark, tmp_path):
     first = spark.createDataFrame([(1, 0, "a", "2024-01-01")], "request_id bigint, receipt_id bigint, request_digest string, ts string").withColumn("ts", F.to_timestamp("ts"))
     late.union(first).coalesce(1).write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    flows.run_available(src, str(tmp_path / "cp"), body=flows.one_time_approval(str(tmp_path / "out")))
+    flows.run_available(flows.one_time_approval(src), str(tmp_path / "cp"), str(tmp_path / "out"))
     got = spark.read.parquet(str(tmp_path / "out")).groupBy("accepted", "request_digest").count().collect()
     assert {(r.accepted, r.request_digest, r["count"]) for r in got} == {(True, "a", 1), (False, "b", 24_999)}
 
@@ -77,18 +70,63 @@ def test_late_rows_stand_aside_and_state_stays_one_row_per_key(spark, tmp_path):
     got = {(r.key, str(r.ts.date()), r.digest) for r in spark.read.parquet(out).collect()}
     assert got == {("a", "2024-01-04", "y"), ("a", "2024-01-05", "x"), ("a", "2024-01-07", "q")}
     assert [(r.key, r.digest) for r in spark.read.parquet(out + "_late").collect()] == [("a", "z")]
-    assert spark.read.parquet(out + "_state/batch_id=2").count() == 2
+    kept = BucketedState(spark, out + "_state", "key", "key string, _ts timestamp, _last string").read(3)
+    assert {(r.key, r._last) for r in kept.collect()} == {("a", "q"), ("b", None)}
 
 
-def test_scores_follow_their_predecessor_across_batches(spark, tmp_path):
+def test_a_batch_writes_the_buckets_of_its_keys_and_old_versions_go(spark, tmp_path):
+    """A large first batch, then small ones: they write a bucket each, and the table stays as large as its keys."""
     out = str(tmp_path / "out")
-    body = flows.score_history(out)
-    day = lambda rows: spark.createDataFrame(rows, "repo_id string, ts string, score int").withColumn("ts", F.to_timestamp("ts"))
-    body(day([("r", "2024-01-05", 5)]), 0)
-    body(day([("r", "2024-01-01", 1), ("r", "2024-01-09", 9), ("r", "2024-01-07", None)]), 1)
-    rows = sorted((str(r.ts.date()), r.previous, r.current) for r in spark.read.parquet(out).collect())
-    assert rows == [("2024-01-05", None, 5), ("2024-01-07", 5, None), ("2024-01-09", None, 9)]
-    assert [r.score for r in spark.read.parquet(out + "_late").collect()] == [1]
+    body = flows.deliver_if_changed(out, buckets=16)
+    day = lambda rows: spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.to_timestamp("ts"))
+    state = BucketedState(spark, out + "_state", "key", "key string, _ts timestamp, _last string", 16)
+    body(day([(f"k{i}", "2024-01-01", "x") for i in range(400)]), 0)
+    folders = lambda n: {p.name for p in (tmp_path / f"out_state/data/batch_id={n}").glob("bucket=*")}
+    assert len(folders(0)) == 16
+    for n in range(1, 5):
+        for _ in range(2):  # a repeated batch writes the same
+            body(day([("k1", f"2024-02-{n:02d}", f"d{n}"), ("k1", "2023-01-01", "old")]), n)
+        assert len(folders(n)) == 1
+    versions = sorted(p.name for p in (tmp_path / "out_state/data").iterdir())
+    assert versions == ["batch_id=0", "batch_id=3", "batch_id=4"] and len(list((tmp_path / "out_state/manifests").iterdir())) == 2
+    kept = {r.key: r._last for r in state.read(5).collect()}
+    assert len(kept) == 400 and kept["k1"] == "d4" and kept["k2"] == "x"
+    assert spark.read.parquet(out).where("key = 'k1'").count() == 5 and spark.read.parquet(out + "_late").count() == 4
+
+
+def test_approvals_cost_what_they_bring(spark, tmp_path):
+    """Fifty batches of their own ids: each updates its own keys only, while the store keeps all of them."""
+    schema = "request_id bigint, receipt_id bigint, request_digest string, ts timestamp"
+    rows = spark.range(50 * 20).select((F.col("id")).alias("request_id"), F.col("id").alias("receipt_id"), F.lit("d").alias("request_digest"), F.to_timestamp(F.lit("2024-01-01")).alias("ts"), F.floor(F.col("id") / 20).alias("n"))
+    rows.repartition(1).sortWithinPartitions("n").write.partitionBy("n").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with state_store(spark):
+        query = flows.one_time_approval(src).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+    query.awaitTermination()
+    steps = [p.stateOperators[0] for p in query.recentProgress if p.numInputRows]
+    assert len(steps) == 50 and {s.numRowsUpdated for s in steps} == {20} and steps[-1].numRowsTotal == 1000
+    assert spark.read.parquet(str(tmp_path / "out")).where("accepted").count() == 1000
+
+
+def test_scores_arriving_in_any_order_follow_their_predecessor(spark, tmp_path):
+    """Shuffled arrival over several batches and a restart gives the sorted answer."""
+    rng = random.Random(4)
+    rows = [(f"r{rng.randrange(3)}", f"2024-01-{d:02d} 00:00:{s:02d}.000{d:03d}", None if rng.random() < 0.1 else rng.randrange(100)) for d in range(1, 29) for s in range(4)]
+    want, last = [], {}
+    for repo, ts, score in sorted(rows, key=lambda r: r[1]):
+        want.append((repo, ts, last.get(repo), score))
+        last[repo] = score
+    arrival = sorted(rows, key=lambda r: int(r[1][8:10]) + rng.random() * 6)
+    schema, typed = "repo_id string, ts string, score int", "repo_id string, ts timestamp, score int"
+    (tmp_path / "in").mkdir()
+    src = spark.readStream.schema(typed).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    parts = [arrival[i : i + 16] for i in range(0, len(arrival), 16)] + [[("end", "2999-01-01", 0)]]
+    for i, part in enumerate(parts):
+        write(spark, part, schema, tmp_path / "in", str(i))
+        if i in (3, len(parts) - 1):
+            flows.run_available(flows.score_history(src, "10 days"), str(tmp_path / "cp"), str(tmp_path / "out"))
+    got = [(r.repo_id, r.t, r.previous, r.current) for r in spark.read.parquet(str(tmp_path / "out")).withColumn("t", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
 
 
 def test_a_raised_severity_alerts_whatever_comes_first(spark, tmp_path):

@@ -127,7 +127,7 @@ def one_time_approval(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("request_id"), F.col("event_id").alias("receipt_id"),
         F.concat(F.lit("d"), (F.col("event_id") % 3).cast("string")).alias("request_digest"), "ts",
     )
-    return _through(spark, receipts, flows.one_time_approval, "request_id bigint, receipt_id bigint, request_digest string, accepted boolean")
+    return _finish(spark, flows.one_time_approval(receipts))
 
 
 def _through(spark: SparkSession, stream: DataFrame, body_of: object, schema: str) -> DataFrame:
@@ -156,11 +156,14 @@ _SCORE = "(event_id * 7 % 101)::INT"
     f"SELECT 'u' || user_id AS repo_id, ts, lag({_SCORE}) OVER (PARTITION BY user_id ORDER BY ts, {_SCORE}) AS previous, {_SCORE} AS current FROM events",
 )
 def score_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The month arrives as it is; a closing row, far ahead, moves the watermark past all of it."""
     scores = _events(spark, sf).select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("repo_id"), "ts", (F.col("event_id") * 7 % 101).cast("int").alias("score")
     )
-    out = _through(spark, scores, flows.score_history, "repo_id string, ts timestamp, previous int, current int")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    closing = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}/closing"
+    spark.sql("SELECT CAST(NULL AS STRING) AS repo_id, TIMESTAMP '2999-01-01' AS ts, 0 AS score").write.parquet(closing)
+    end = spark.readStream.schema(scores.schema).parquet(closing)
+    return _finish(spark, flows.score_history(scores.union(end), "60 days")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(
