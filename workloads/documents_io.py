@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.plans import normalizers
 from assayline.sources import evidence as S
 from assayline.sources import sinks
 from workloads import query
@@ -151,6 +152,35 @@ def cyclonedx_components(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("hashes")
 
 
+@query(
+    "normalize_cyclonedx",
+    f"SELECT o_orderkey AS doc_id, 'library' AS type, 'a' || o_custkey AS name, (o_orderkey % 5)::VARCHAR AS version, 'ref' || o_orderkey AS bom_ref, 1::INT AS "
+    f"n_hashes {_OK} UNION ALL SELECT o_orderkey, 'file', NULL, NULL, 'f', 0 {_OK}",
+)
+def normalize_cyclonedx(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``cyclonedx_components`` through the pluggable table function."""
+    found = normalizers.normalized(_boms(spark, sf), normalizers.CYCLONEDX_COMPONENTS)
+    return found.withColumn("n_hashes", F.when(F.col("hashes").isNull(), 0).otherwise(F.size("hashes"))).drop("hashes")
+
+
+_BASELINE = (
+    "CASE o_orderkey % 8 WHEN 6 THEN '{\"version\":\"1\",\"results\":{\"a\":[{}]},\"plugins_used\":[]}' WHEN 7 THEN 'x' ELSE concat('{\"version\":\"1.4\",\"plugins_used\":[],\"results\":{\"src/a', "
+    "o_custkey, '.ts\":[{\"type\":\"AWS Access Key\",\"line_number\":', o_orderkey % 90, ',\"hashed_secret\":\"h', o_orderkey, '\"},{\"type\":\"JWT\",\"is_verified\":true}],\"b.env\":[]}}') END"
+)
+
+
+@query(
+    "normalize_detect_secrets",
+    f"SELECT o_orderkey AS doc_id, 'src/a' || o_custkey || '.ts' AS path, 'AWS Access Key' AS type, o_orderkey % 90 AS line, 'h' || o_orderkey AS hashed_secret, false AS verified {_OK} "
+    f"UNION ALL SELECT o_orderkey, 'src/a' || o_custkey || '.ts', 'JWT', NULL, NULL, true {_OK}",
+)
+def normalize_detect_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """A map of lists as rows, through SQL."""
+    normalizers.register_normalizers(spark)
+    documents_of(spark, sf, _sql_expr(_BASELINE)).createOrReplaceTempView("secret_baselines")
+    return spark.sql("SELECT d.doc_id, n.* FROM secret_baselines d, LATERAL normalize(d.raw, 'detect-secrets') n")
+
+
 @query(
     "cyclonedx_dependencies",
     f"SELECT o_orderkey AS doc_id, 'ref' || o_orderkey AS ref, 'f' AS depends_on {_OK} UNION ALL SELECT o_orderkey, 'ref' || o_orderkey, 'g' || (o_custkey % 3) {_OK}",
