@@ -52,11 +52,10 @@ def _signal(df: DataFrame, name: str, weight: float, detail: Column) -> DataFram
 def seconds_since_previous(commits: DataFrame, out: str = "gap_s") -> DataFrame:
     """Seconds to the repository's previous commit; NULL for the oldest.
 
-    Days are the segments, so a repository with most of the commits is still
-    ordered day by day.
+    A repository with most of the commits is cut into ranges, whatever their days.
     """
     seconds = commits.withColumn("_s", F.unix_timestamp("ts"))
-    prev = previous_value(seconds, ["repo_id"], ["_s", "sha"], "_s", F.floor(F.col("_s") / 86400), "_p")
+    prev = previous_value(seconds, ["repo_id"], ["_s", "sha"], "_s", None, "_p")
     return prev.withColumn(out, F.col("_s") - F.col("_p")).drop("_s", "_p")
 
 

@@ -11,7 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayline.session import checkpoint_dir
+
 DEFAULT_SALTS = 64
+#: Rows of a key that are ordered in one task; a key with more is cut into ranges.
+ROWS_PER_RANGE = 1_000_000
+#: A table of large keys of up to so many rows is broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def evaluate_once(df: DataFrame, keep: list[str | Column], **computed: Column) -> DataFrame:
@@ -52,28 +58,52 @@ def top_n(
     )
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Add ``_seg``, which does not decrease along ``order`` and cuts each key into runs of about ``rows_per_range`` rows.
+
+    Keys are counted first; all rows of an ordinary key are segment 0.  Rows of larger keys
+    are dealt out by ranges of (key, order), whose bounds Spark samples, and written
+    down with the number of their range, so every later pass sees the same cut.  A range
+    is cut between different values of ``order`` only: rows that tie in it stay together.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_range)
+    checkpoint_dir(df.sparkSession)
+    large = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n").checkpoint()
+    found = large.agg(F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("rows")).first()
+    if not found["keys"]:
+        return df.withColumn("_seg", F.lit(0))
+    large = F.broadcast(large.drop("_n")) if found["keys"] <= BROADCAST_KEYS else large.drop("_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    ranges = max(2, -(-found["rows"] // rows_per_range))
+    dealt = df.join(large, same, "left_semi").repartitionByRange(ranges, *keys, *order).withColumn("_seg", F.spark_partition_id()).checkpoint()
+    return df.join(large, same, "left_anti").withColumn("_seg", F.lit(0)).unionByName(dealt)
+
+
+def _cut(df: DataFrame, keys: list[str], order: list[str], segment: Column | None, rows_per_range: int) -> DataFrame:
+    """``df`` with ``_seg``: the caller's segment, or ranges of bounded size."""
+    return in_ranges(df, keys, order, rows_per_range) if segment is None else df.withColumn("_seg", segment)
+
+
 def previous_value(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     value: str,
-    segment: Column,
+    segment: Column | None,
     out: str,
     last: str = "_prev_last",
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """``lag(value)`` per key by ``order`` without one task per key.
 
-    ``segment`` must not decrease along ``order`` (for a timestamp: its day).  Each
-    (key, segment) is ordered on its own; only one row per segment, its last value,
-    goes through the window over the whole key.
+    ``segment`` must not decrease along ``order`` (for a timestamp: its day); without one,
+    large keys are cut by :func:`in_ranges`.  Each (key, segment) is ordered on its own;
+    only one row per segment, its last value, goes through the window over the whole key.
     """
     inner = Window.partitionBy(*keys, "_seg").orderBy(*order)
-    rows = df.withColumn("_seg", segment).withColumn("_rn", F.row_number().over(inner)).withColumn(
-        "_in", F.lag(value).over(inner)
-    )
-    tails = df.withColumn("_seg", segment).groupBy(*keys, "_seg").agg(
-        F.max_by(F.col(value), F.struct(*order)).alias(last)
-    )
+    df = _cut(df, keys, order, segment, rows_per_range)
+    rows = df.withColumn("_rn", F.row_number().over(inner)).withColumn("_in", F.lag(value).over(inner))
+    tails = df.groupBy(*keys, "_seg").agg(F.max_by(F.col(value), F.struct(*order)).alias(last))
     across = Window.partitionBy(*keys).orderBy("_seg")
     carried = tails.select(*keys, "_seg", F.lag(last).over(across).alias(last)).where(F.col(last).isNotNull())
     joined = rows.join(carried, [*keys, "_seg"], "left")
@@ -83,14 +113,14 @@ def previous_value(
 
 
 def carry_forward(
-    df: DataFrame, keys: list[str], order: list[str], value: str, segment: Column, out: str
+    df: DataFrame, keys: list[str], order: list[str], value: str, segment: Column | None, out: str, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
-    """Last non-null ``value`` up to and including each row, segment by segment."""
+    """Last non-null ``value`` up to and including each row, segment by segment; without ``segment`` in ranges of bounded size."""
     inner = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_seg", segment).withColumn("_in", F.last(value, ignorenulls=True).over(inner))
+    df = _cut(df, keys, order, segment, rows_per_range)
+    rows = df.withColumn("_in", F.last(value, ignorenulls=True).over(inner))
     tails = (
-        df.withColumn("_seg", segment)
-        .groupBy(*keys, "_seg")
+        df.groupBy(*keys, "_seg")
         .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_tail"))
     )
     across = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,13 +134,15 @@ def carry_forward(
     )
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], segment: Column, out: str = "pos") -> DataFrame:
+def positions(
+    df: DataFrame, keys: list[str], order: list[str], segment: Column | None = None, out: str = "pos", rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
     """0-based position of each row in its key plus the key's row count (``n_rows``).
 
     Counts per segment are summed in a window over segments, so the only window
     over a whole key is over one row per segment.
     """
-    seg = df.withColumn("_seg", segment)
+    seg = _cut(df, keys, order, segment, rows_per_range)
     inner = Window.partitionBy(*keys, "_seg").orderBy(*order)
     counts = seg.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_n"))
     by_seg = Window.partitionBy(*keys).orderBy("_seg")
@@ -128,13 +160,15 @@ def positions(df: DataFrame, keys: list[str], order: list[str], segment: Column,
     )
 
 
-def stride_sample(df: DataFrame, keys: list[str], order: list[str], cap: int, segment: Column) -> DataFrame:
+def stride_sample(
+    df: DataFrame, keys: list[str], order: list[str], cap: int, segment: Column | None = None, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
     """Evenly spaced ``cap`` rows per key when it has more, all rows otherwise.
 
     Row ``p`` of ``n`` is kept when some ``i < cap`` has ``floor(i * n / cap) = p``;
     the only candidate is ``i = ceil(p * cap / n)``, so no join with an index list is needed.
     """
-    ranked = positions(df, keys, order, segment, "_p")
+    ranked = positions(df, keys, order, segment, "_p", rows_per_range)
     i = F.expr(f"(_p * {cap} + n_rows - 1) div n_rows")
     hit = (i < cap) & (F.expr(f"(((_p * {cap} + n_rows - 1) div n_rows) * n_rows) div {cap}") == F.col("_p"))
     return ranked.where((F.col("n_rows") <= cap) | hit).drop("_p", "n_rows")
@@ -152,9 +186,11 @@ def chunked(df: DataFrame, key: str, row_id: Column, per_chunk: int) -> DataFram
     return df.join(sizes, key).withColumn("chunk", F.pmod(place, F.col("_n"))).drop("_n")
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 4096) -> DataFrame:
-    """Running sum of ``value`` per key along a numeric ``order``, in blocks of ``width`` positions."""
-    seg = df.withColumn("_seg", F.floor(F.col(order) / width))
+def running_total(
+    df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int | None = None, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """Running sum of ``value`` per key along a numeric ``order``, in blocks of ``width`` positions or else in ranges of bounded size."""
+    seg = _cut(df, keys, [order], None if width is None else F.floor(F.col(order) / width), rows_per_range)
     inner = Window.partitionBy(*keys, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = seg.groupBy(*keys, "_seg").agg(F.sum(value).alias("_s"))
     across = Window.partitionBy(*keys).orderBy("_seg")

@@ -120,21 +120,19 @@ def workspace_globs(root_files: DataFrame) -> DataFrame:
 def workspace_package_names(files: DataFrame) -> DataFrame:
     """``repo_id, name`` of packages inside the repository's own workspaces.
 
-    Globs of a repository become one alternation, so the join is one row per
-    repository against its manifests and multiplies nothing.
+    Globs are indexed by the folders that they name in full (``apps/*`` by ``apps/``): a
+    manifest looks up the folders above it and only the globs found there run their
+    pattern, so neither a repository with many globs nor one with many manifests is a
+    single row.
     """
-    pattern = workspace_globs(files).groupBy("repo_id").agg(
-        F.concat(F.lit("^(?:"), F.array_join(F.array_sort(F.collect_set(_glob_regex(F.col("glob")))), "|"), F.lit(")$"))
-        .alias("_rx")
-    )
+    glob = F.when(F.col("glob").endswith("/"), F.col("glob")).otherwise(F.concat("glob", F.lit("/")))
+    globs = workspace_globs(files).select("repo_id", F.regexp_extract(glob, r"^(?:[^*/]+/)*", 0).alias("_above"), F.concat(F.lit("^"), _glob_regex(F.col("glob")), F.lit("$")).alias("_rx"))
     manifests = files.where(F.col("path").rlike(r"(?:^|/)package\.json$") & ~F.col("path").rlike("(?:^|/)node_modules/"))
-    return (
-        manifests.select("repo_id", "path", F.get_json_object("content", "$.name").alias("name"))
-        .join(pattern, "repo_id")
-        .where(F.rlike("path", F.col("_rx")) & (F.length("name") > 0))
-        .select("repo_id", "name")
-        .distinct()
-    )
+    named = manifests.select("repo_id", "path", F.get_json_object("content", "$.name").alias("name")).where(F.length("name") > 0)
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+    found = named.withColumn("_above", F.explode(above)).join(globs, ["repo_id", "_above"]).where(F.rlike("path", F.col("_rx")))
+    return found.select("repo_id", "name").distinct()
 
 
 def read_agent_configs(configs: DataFrame, content: str = "content") -> DataFrame:

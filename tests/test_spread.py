@@ -86,3 +86,51 @@ def test_chunks_keep_every_row(df, rows):
     for r in out:
         sizes[(r.k, r.chunk)] = sizes.get((r.k, r.chunk), 0) + 1
     assert max(sizes.values()) < 120
+
+
+# --------------------------------------------------------------------------- ranges
+@pytest.fixture(scope="module")
+def busy(spark):
+    """3 000 rows of one key on one day (and of a null key), few of others."""
+    rng = random.Random(3)
+    rows = [("hot", 19_000, i, rng.choice([None, rng.randrange(50)])) for i in range(3000)] + [(None, 19_000, 3000 + i, i % 4 or None) for i in range(500)]
+    rows += [("a", 18_000 + i, 4000 + i, i) for i in range(90)]
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "k string, t int, id int, v int").repartition(5)
+
+
+def in_order(rows):
+    groups = {}
+    for r in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        groups.setdefault(r[0], []).append(r)
+    return groups.values()
+
+
+def test_a_busy_day_is_cut_into_ranges_over_all_tasks(busy):
+    rows, df = busy
+    cut = spread.in_ranges(df, ["k"], ["t", "id"], 200).groupBy("k", "_seg").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", "id")).alias("hi")).collect()
+    assert sum(r.n for r in cut) == len(rows) and max(r.n for r in cut) <= 600
+    assert len([r for r in cut if r.k == "hot"]) >= 10 and len([r for r in cut if r.k == "a"]) == 1
+    hot = sorted((r for r in cut if r.k == "hot"), key=lambda r: r["_seg"])
+    assert all(tuple(x.hi) < tuple(y.lo) for x, y in zip(hot, hot[1:]))
+
+
+def test_prefix_scans_over_ranges(busy):
+    rows, df = busy
+    want = {}
+    for g in in_order(rows):
+        last = None
+        for p, r in enumerate(g):
+            last = r[3] if r[3] is not None else last
+            want[r[2]] = (p, len(g), g[p - 1][2] if p else None, last, sum(x[3] or 0 for x in g[: p + 1]))
+    order = ["t", "id"]
+    got = {r.id: (r.pos, r.n_rows) for r in spread.positions(df, ["k"], order, rows_per_range=200).where("k IS NOT NULL").collect()}
+    assert got == {i: w[:2] for i, w in want.items() if i in got} and len(got) == 3090
+    got = {r.id: r.p for r in spread.previous_value(df, ["k"], order, "id", None, "p", rows_per_range=200).where("k IS NOT NULL").collect()}
+    assert got == {i: want[i][2] for i in got} and len(got) == 3090
+    got = {r.id: r.c for r in spread.carry_forward(df, ["k"], order, "v", None, "c", rows_per_range=200).where("k IS NOT NULL").collect()}
+    assert got == {i: want[i][3] for i in got} and len(got) == 3090
+    some = {r.id for r in spread.stride_sample(df.where("k = 'hot'"), ["k"], order, 7, rows_per_range=200).collect()}
+    assert some == {i for i, w in want.items() if i < 3000 and w[0] in {k * 3000 // 7 for k in range(7)}}
+    got = {r.id: r.s for r in spread.running_total(df.where("k = 'hot'").withColumn("v", F.coalesce("v", F.lit(0))), ["k"], "id", "v", "s", rows_per_range=200).collect()}
+    assert got == {i: want[i][4] for i in got} and len(got) == 3000

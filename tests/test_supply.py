@@ -84,3 +84,12 @@ def test_long_names_find_their_lookalike(spark):
     popular = spark.createDataFrame([(long, 1), ("abc", 2), ("a", 3)], "top string, pos int")
     got = {r.name: (r.top, r.distance) for r in supply.lookalikes_by_key(names, popular).collect()}
     assert got == {long[:40] + "x" + long[41:]: (long, 1), long[:-1]: (long, 1), "q" + long: (long, 1), "ab": ("abc", 1)}
+
+
+def test_a_hundred_thousand_workspace_globs_in_one_repository(spark):
+    many = spark.range(100_000).select(F.concat(F.lit('"packages/p'), F.col("id").cast("string"), F.lit('"')).alias("g")).agg(F.concat_ws(",", F.collect_list("g")).alias("g"))
+    root = many.select(F.lit("r").alias("repo_id"), F.lit("package.json").alias("path"), F.concat(F.lit('{"workspaces":["apps/*","**/lib/",'), "g", F.lit("]}")).alias("content"))
+    paths = ["packages/p7/package.json", "packages/p99999/package.json", "packages/p100000/package.json", "packages/p7/x/package.json", "apps/a/package.json", "apps/a/b/package.json", "x/y/lib/package.json", "lib/package.json", "apps/node_modules/package.json", "apps/.x/package.json"]
+    files = spark.createDataFrame([("r", p, f'{{"name":"{p}"}}') for p in paths] + [("other", "apps/a/package.json", '{"name":"no"}')], "repo_id string, path string, content string")
+    got = {(r.repo_id, r["name"]) for r in packages.workspace_package_names(root.unionByName(files)).collect()}
+    assert got == {("r", p) for p in ("packages/p7/package.json", "packages/p99999/package.json", "apps/a/package.json", "x/y/lib/package.json", "lib/package.json", "apps/.x/package.json")}

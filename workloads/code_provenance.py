@@ -118,7 +118,7 @@ def cap_per_repo(spark: SparkSession, sf: str) -> DataFrame:
 def carry_forward_(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     e = e.withColumn("mark", F.when(F.col("event_type") == "purchase", F.col("event_id")))
-    return carry_forward(e, ["user_id"], ["ts", "event_id"], "mark", F.to_date("ts"), "last_purchase").select(
+    return carry_forward(e, ["user_id"], ["ts", "event_id"], "mark", None, "last_purchase").select(
         "event_id", "user_id", "last_purchase"
     )
 

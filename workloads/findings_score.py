@@ -497,8 +497,7 @@ def union_findings(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stride_sample_(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    year = F.year("o_orderdate")
-    return stride_sample(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], 6, year).select(
+    return stride_sample(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], 6).select(
         "o_custkey", "o_orderkey"
     )
 
