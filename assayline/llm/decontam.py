@@ -1,35 +1,45 @@
-"""Benchmark decontamination over a positional inverted index of the training documents.
-
-The index is distributed by document and not stored: a task turns its documents into
-postings (term, position) of the test set's terms, so all lists of a document are in
-one place and nothing is shuffled.  How often each test term is in the whole training set is
-counted first; a test phrase then starts from the postings of its rarest term, is cut
-by its second rarest with the offset between them, and what is left is compared word
-by word (exact phrases) or kept if the two terms are near each other in the same
-document (proximity).
-
-Test items come to the tasks in blocks of ``BLOCK_WORDS`` words, one broadcast each.
-Each block reads the documents once more for its counts, and a task that judges
-documents holds all blocks, so the test set has to fit into a worker.
+"""Benchmark decontamination over a distributed positional inverted index of the training documents.
+
+Test phrases and training documents meet as tables.  How often each test term is in the
+whole training set is counted first, which gives each phrase its rarest and its second
+rarest term.  Then the index is written: postings (term, document, block of positions,
+positions) of the rarest terms, and of the test terms within reach of one, for no
+phrase reaches further.  Each posting of a phrase's rarest term proposes a place for the
+phrase; its second rarest term is looked up there with the offset between them
+subtracted (exact phrases) or near it (proximity), and the other terms of what is left
+are intersected by their offsets in the same way.
+
+A document in the index is a text, by its MD5: copies are one.  Lists are cut into
+blocks of ``SPAN`` positions, so neither a long text nor a frequent term makes a long
+list, and all joins are on (document, term, block).  Terms are told apart by 64-bit
+hashes.  The test set is never gathered: its terms filter the tokens in the tasks if there
+are at most ``broadcast_terms`` of them; with more, all tokens go into the same joins.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from assayline.llm.common import ALNUM, map_texts, pin, split_by
+from assayline.llm.common import ALNUM, pin, unpin
 
-#: Words of test items in one block (about a tenth of a kilobyte each as an index).
-BLOCK_WORDS = 200_000
-#: Postings times phrases looked at in one vector operation.
-PAIRS = 1 << 20
+#: A word of a lower-cased text, and of any text.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Positions of a text that one posting list covers.
+SPAN = 256
+#: Test terms that filter tokens in the tasks (about a hundred bytes each), and found texts that are broadcast.
+BROADCAST_TERMS, BROADCAST_TEXTS = 500_000, 100_000
+#: Bytes of text whose words a task looks at together; words it counts before it passes counts on.
+CHUNK_BYTES, COUNTED = 4 << 20, 1 << 20
+RESULTS = ("n_words", "n_hit", "items", "near_items", "contaminated")
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -37,109 +47,106 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(ALNUM).split()
 
 
-@dataclass
-class Block:
-    """Phrases of a block of items, indexed by their rarest term."""
-
-    terms: dict[bytes, int]
-    flat: np.ndarray  # term ids of all items
-    at: np.ndarray  # where in ``flat`` a phrase starts
-    size: np.ndarray
-    rare: np.ndarray  # offset of the rarest term
-    next_rare: np.ndarray
-    first_phrase: np.ndarray  # by term: bounds in ``phrases``
-    phrases: np.ndarray  # phrases by rarest term
-    first_item: np.ndarray  # by phrase: bounds in ``items``
-    items: np.ndarray  # places in ``names``
-    names: list[str]
-
-
-def phrases_of(names: list[str], texts: list[list[bytes]], window: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, their ids in a row, and the distinct phrases (start, size) with the items (bounds, places) that have them."""
-    terms: dict[bytes, int] = {}
-    flat = np.array([terms.setdefault(w, len(terms)) for t in texts for w in t], np.int64)
-    start = np.cumsum([0, *map(len, texts)])
-    at, size, item = [], [], []
-    for i, t in enumerate(texts):
-        n = min(window, len(t))
-        k = len(t) - n + 1 if n else 0
-        at.append(np.arange(start[i], start[i] + k))
-        size.append(np.full(k, n))
-        item.append(np.full(k, i))
-    at, size, item = (np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (at, size, item))
-    seen: dict[tuple[int, ...], int] = {}
-    phrase = np.array([seen.setdefault(tuple(flat[a : a + n].tolist()), len(seen)) for a, n in zip(at, size, strict=True)], np.int64)
-    first = np.unique(phrase, return_index=True)[1]
-    pairs = np.unique(np.stack([phrase, item], 1), axis=0) if len(phrase) else np.empty((0, 2), np.int64)
-    return terms, flat, at[first], size[first], np.searchsorted(pairs[:, 0], np.arange(len(seen) + 1)), pairs[:, 1]
-
-
-def block_of(names: list[str], texts: list[list[bytes]], window: int, counts: dict[bytes, int]) -> Block:
-    terms, flat, at, size, first_item, items = phrases_of(names, texts, window)
-    often = np.array([counts.get(t, 0) for t in terms], np.int64)
-    rare, next_rare = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for p, (a, n) in enumerate(zip(at, size, strict=True)):
-        order = np.argsort(often[flat[a : a + n]], kind="stable")
-        rare[p], next_rare[p] = order[0], order[min(1, n - 1)]
-    phrases, first_phrase = split_by(flat[at + rare] if len(at) else np.empty(0, np.int64), len(terms))
-    return Block(terms, flat, at, size, rare, next_rare, first_phrase, phrases, first_item, items, names)
-
-
-def matches(block: Block, tokens: np.ndarray, begin: np.ndarray, n_words: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, phrase) of exact occurrences and (document, phrase) of near ones.
-
-    ``tokens`` are term ids, -1 for other words; document d has those from ``begin[d]``
-    on, ``n_words[d]`` of them, and both kinds are judged by what is in the document.
-    """
-    exact: list[tuple[np.ndarray, np.ndarray]] = []
-    near: list[tuple[np.ndarray, np.ndarray]] = []
-    if not len(block.at):
-        none = np.empty(0, np.int64)
-        return none, none, none, none
-    many = np.append(np.diff(block.first_phrase), 0)  # the last is for -1
-    posting = np.flatnonzero(many[tokens])
-    load = np.cumsum(many[tokens[posting]])
-    lo = 0
-    while lo < len(posting):
-        hi = max(lo + 1, int(np.searchsorted(load, (load[lo - 1] if lo else 0) + PAIRS, "right")))
-        p = posting[lo:hi]
-        n = many[tokens[p]]
-        place = np.repeat(p, n)
-        k = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-        phrase = block.phrases[np.repeat(block.first_phrase[tokens[p]], n) + k]
-        doc = np.searchsorted(begin, place, "right") - 1
-        low, high = begin[doc], begin[doc] + n_words[doc]
-        start = place - block.rare[phrase]
-        other = block.flat[block.at[phrase] + block.next_rare[phrase]]
-        spot = start + block.next_rare[phrase]
-        lone = block.size[phrase] == 1
-        close = np.zeros(len(place), bool)
-        for d in range(-slop, slop + 1):
-            at = spot + d
-            # One posting is not two terms: a repeated term needs another place.
-            inside = (at >= low) & (at < high) & ((at != place) | lone)
-            close |= inside & (tokens[np.where(inside, at, 0)] == other)
-        near.append((doc[close], phrase[close]))
-        fits = (start >= low) & (start + block.size[phrase] <= high)
-        start, phrase, other, spot = (x[fits] for x in (start, phrase, other, spot))
-        hit = tokens[spot] == other
-        start, phrase = start[hit], phrase[hit]
-        for j in range(int(block.size[phrase].max(initial=0))):
-            inside = j < block.size[phrase]
-            same = ~inside | (tokens[np.where(inside, start + j, 0)] == block.flat[np.where(inside, block.at[phrase] + j, 0)])
-            start, phrase = start[same], phrase[same]
-        exact.append((start, phrase))
-        lo = hi
-    join = lambda x, i: np.concatenate([y[i] for y in x]) if x else np.empty(0, np.int64)
-    return join(exact, 0), join(exact, 1), join(near, 0), join(near, 1)
-
-
-def item_sets(block: Block, doc: np.ndarray, phrase: np.ndarray, found: list[set[str]]) -> None:
-    """Adds the items of each (document, phrase) to the document's set."""
-    if not len(doc):
-        return
-    for d, p in np.unique(np.stack([doc, phrase], 1), axis=0):
-        found[d].update(block.names[i] for i in block.items[block.first_item[p] : block.first_item[p + 1]])
+def term_hash(word: bytes) -> int:
+    """What ``F.xxhash64`` gives for the word."""
+    h = xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of some megabytes of text (the last column) or one row."""
+    for batch in batches:
+        sizes = np.cumsum([0, *(len(t) if (t := x.as_buffer()) is not None else 0 for x in batch.column(batch.num_columns - 1))])
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_BYTES, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def phrases_of(items: DataFrame, item_id: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct phrases (phrase, terms as hashes) and the items (phrase, name) that have them."""
+    lower = F.translate(F.coalesce(F.col(item_text).cast("string"), F.lit("")), UPPER, LOWER)
+    own = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)).alias("w"))
+    start = F.explode(F.sequence(F.lit(1), F.size("w") - F.least(F.size("w"), F.lit(window)) + 1))
+    each = own.where(F.size("w") > 0).select("name", "w", start.alias("i")).select("name", F.slice("w", F.col("i"), F.least(F.size("w"), F.lit(window))).alias("w"))
+    each = pin(each.select(F.unhex(F.md5(F.array_join("w", " "))).alias("phrase"), F.transform("w", lambda t: F.xxhash64(t)).alias("terms"), "w", "name").distinct())
+    return each, each.select("phrase", "name")
+
+
+def term_counts(texts: DataFrame, terms: DataFrame, filtered: bool) -> DataFrame:
+    """(term, n) for ``terms`` (term, word): how often each is in all ``texts`` (key, text)."""
+    only = {bytes(r["word"].encode()) for r in terms.collect()} if filtered else None
+    shared = texts.sparkSession.sparkContext.broadcast(only)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, found = shared.value, {}
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([term_hash(w) for w in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+
+        for chunk in chunks(batches):
+            for text in chunk.column(1).to_pylist():
+                for w in words(text) if own is None else filter(own.__contains__, words(text)):
+                    found[w] = found.get(w, 0) + 1
+            if len(found) >= COUNTED:
+                yield rows()
+                found = {}
+        if found:
+            yield rows()
+
+    counted = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counted if filtered else counted.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def postings(texts: DataFrame, rare: DataFrame, terms: DataFrame, reach: int, filtered: bool) -> DataFrame:
+    """The index: (key, term, block, at) of ``rare`` terms (term) and of ``terms`` within ``reach`` words of one, ``at`` being positions."""
+    spark = texts.sparkSession
+    known = spark.sparkContext.broadcast({r["word"].encode(): r["term"] for r in terms.collect()} if filtered else None)
+    seeds = spark.sparkContext.broadcast(np.sort(np.array([r["term"] for r in rare.collect()], np.int64)) if filtered else None)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            each = [words(t) for t in chunk.column(1).to_pylist()]
+            n = np.array([len(w) for w in each], np.int64)
+            begin = np.cumsum(n) - n
+            flat = [w for ws in each for w in ws]
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(flat)) - begin[row]
+            if filtered:
+                own, some = known.value, seeds.value
+                absent = -(1 << 63)
+                term = np.fromiter(map(own.get, flat, repeat(absent)), np.int64, len(flat))
+                is_term = term != absent
+                place = np.minimum(np.searchsorted(some, term), len(some) - 1) if len(some) else np.zeros(len(term), np.int64)
+                seed = np.flatnonzero(is_term & (some[place] == term)) if len(some) else np.empty(0, np.int64)
+                near = np.zeros(len(flat) + 1, np.int64)
+                np.add.at(near, np.maximum(seed - reach, begin[row[seed]]), 1)
+                np.add.at(near, np.minimum(seed + reach + 1, begin[row[seed]] + n[row[seed]]), -1)
+                take = np.flatnonzero(is_term & (np.cumsum(near[:-1]) > 0))
+            else:
+                term = np.fromiter(map(term_hash, flat), np.int64, len(flat))
+                take = np.arange(len(flat))
+            if not len(take):
+                continue
+            order = take[np.lexsort((at[take], at[take] // SPAN, term[take], row[take]))]
+            code = np.stack([row[order], term[order], at[order] // SPAN], 1)
+            first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]).any(1))))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column(0).take(pa.array(row[order[first]])), pa.array(term[order[first]]), pa.array((at[order[first]] // SPAN).astype(np.int32)), lists], ["key", "term", "block", "at"]
+            )
+
+    made = texts.mapInArrow(make, "key binary, term long, block int, at array<int>")
+    return pin(made.dropDuplicates(["key", "term", "block"]))
+
+
+def block_of(position: Column) -> Column:
+    return F.floor(position / SPAN).cast("int")
+
+
+def _broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def judge_documents(
@@ -152,7 +159,7 @@ def judge_documents(
     keep: tuple[str, ...] = ("doc_id",),
     item_id: str = "item_id",
     item_text: str = "text",
-    block_words: int = BLOCK_WORDS,
+    broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
     """Per row of ``docs``: the columns of ``keep``, n_words, n_hit, items, near_items, contaminated.
 
@@ -164,72 +171,47 @@ def judge_documents(
 
     Null or empty texts have no words.  Items with null text have no phrase; a null
     item id is the empty string; items that share an id count once.  Repeated rows are
-    judged one by one.  No documents give no rows, no items no hits.
+    judged alike.  No documents give no rows, no items no hits.  A kept column named like
+    a result is replaced by it.
     """
-    spark = docs.sparkSession
-    total = items.agg(F.sum(F.coalesce(F.regexp_count(F.col(item_text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)))).first()[0] or 0
-    n_blocks = max(1, math.ceil(total / block_words))
-    rows = items.select(
-        F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"),
-        F.col(item_text).cast("binary").alias("text"),
-        F.pmod(F.xxhash64(F.col(item_id), F.col(item_text)), F.lit(n_blocks)).alias("block"),
+    texts = docs.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("key"), F.col(text).cast("binary").alias("text"))
+    each, phrase_items = phrases_of(items, item_id, item_text, window)
+    terms = pin(each.select(F.explode(F.arrays_zip("terms", "w")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.w").alias("word")).distinct())
+    filtered = terms.count() <= broadcast_terms
+    counts = term_counts(texts, terms, filtered)
+    # By phrase: its terms from the rarest on, as (count, offset, term).
+    spread = each.select("phrase", "terms").dropDuplicates(["phrase"]).select("phrase", "terms", F.posexplode("terms").alias("j", "term"))
+    ranked = spread.join(counts, "term", "left").groupBy("phrase", "terms").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", "term"))).alias("rank"))
+    first, second = F.get("rank", F.lit(0)), F.coalesce(F.get("rank", F.lit(1)), F.get("rank", F.lit(0)))
+    phrases = pin(ranked.select("phrase", "terms", F.size("terms").alias("size"), first["term"].alias("term"), first["j"].alias("off"), second["term"].alias("next"), second["j"].alias("next_off")))
+    index = postings(texts, phrases.select("term").distinct(), terms, window + slop, filtered)
+    # Each posting of a rarest term proposes a start; the second rarest is looked up around its place.
+    rare = index.join(phrases, "term").select("key", "phrase", "size", "next", "next_off", F.explode("at").alias("pos"), "off").withColumn("start", F.col("pos") - F.col("off"))
+    spot = F.col("start") + F.col("next_off")
+    rare = rare.withColumn("block", F.explode(F.array_distinct(F.array(block_of(spot - slop), block_of(spot + slop)))))
+    other = index.select("key", F.col("term").alias("next"), "block", "at")
+    met = rare.join(other, ["key", "next", "block"])
+    # One posting is not two terms: a repeated term needs another place.
+    close = F.exists("at", lambda p: (F.abs(p - spot) <= slop) & ((p != F.col("pos")) | (F.col("size") == 1)))
+    met = pin(met.select("key", "phrase", "size", "start", close.alias("near"), (F.array_contains("at", spot) & (F.col("start") >= 0)).alias("fits")).where("near OR fits"))
+    # What is left is intersected with all other terms of its phrase.
+    wanted = met.where("fits").select("key", "phrase", "size", "start").distinct().join(phrases.select("phrase", "terms"), "phrase")
+    wanted = wanted.select("key", "phrase", "size", "start", F.posexplode("terms").alias("j", "term")).withColumn("pos", F.col("start") + F.col("j")).withColumn("block", block_of(F.col("pos")))
+    stand = wanted.join(index, ["key", "term", "block"]).where(F.array_contains("at", F.col("pos")))
+    exact = pin(stand.groupBy("key", "phrase", "size", "start").agg(F.count(F.lit(1)).alias("n")).where("n = size").drop("n"))
+    hit = exact.select("key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
+    found = exact.select("key", "phrase").distinct().join(phrase_items, "phrase").select("key", "name").distinct()
+    nearby = met.where("near").select("key", "phrase").distinct().join(phrase_items, "phrase").select("key", "name").distinct().join(found, ["key", "name"], "left_anti")
+    names = lambda df, c: df.groupBy("key").agg(F.sort_array(F.collect_list("name")).alias(c))
+    judged = pin(hit.join(names(found, "items"), "key", "left").join(names(nearby, "near_items"), "key", "full"))
+    unpin(met, exact, index, phrases, terms, each)
+    own = {c: f"_keep{i}" for i, c in enumerate(keep) if c not in RESULTS}
+    none = F.array().cast("array<string>")
+    n_words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(ANY_WORD)), F.lit(0)).cast("long")
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], n_words.alias("n_words"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_key"))
+    out = rows.join(_broadcast_if_few(judged, BROADCAST_TEXTS).withColumnRenamed("key", "_key"), "_key", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return out.select(
+        *[F.col(n).alias(c) for c, n in own.items()], "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"),
+        ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
-    rows = pin(rows) if n_blocks > 1 else rows
-    blocks = []
-    for b in range(n_blocks):
-        part = sorted((r["name"], words(r["text"])) for r in rows.where(F.col("block") == b).collect())
-        names, texts = [p[0] for p in part], [p[1] for p in part]
-        counts = term_counts(docs, text, {w for t in texts for w in t})
-        blocks.append(spark.sparkContext.broadcast(block_of(names, texts, window, counts)))
-
-    def judge(texts: list[bytes]) -> dict[str, pa.Array]:
-        each = [words(t) for t in texts]
-        n_words = np.array([len(w) for w in each], np.int64)
-        begin = np.cumsum(n_words + 1) - n_words - 1
-        length = int((n_words + 1).sum())
-        edge = np.zeros(length + 1, np.int64)
-        found: list[set[str]] = [set() for _ in texts]
-        close: list[set[str]] = [set() for _ in texts]
-        for shared in blocks:
-            block = shared.value
-            tokens = np.full(length, -1, np.int64)
-            for w, a in zip(each, begin, strict=True):
-                tokens[a : a + len(w)] = np.fromiter(map(block.terms.get, w, repeat(-1)), np.int64, len(w))
-            start, phrase, near_doc, near_phrase = matches(block, tokens, begin, n_words, slop)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + block.size[phrase], -1)
-            item_sets(block, np.searchsorted(begin, start, "right") - 1, phrase, found)
-            item_sets(block, near_doc, near_phrase, close)
-        hits = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
-        n_hit = hits[begin + n_words] - hits[begin] if len(begin) else n_words
-        names = pa.list_(pa.string())
-        return {
-            "n_words": pa.array(n_words),
-            "n_hit": pa.array(n_hit.astype(np.int64)),
-            "items": pa.array([sorted(f) for f in found], names),
-            "near_items": pa.array([sorted(c - f) for c, f in zip(close, found, strict=True)], names),
-            "contaminated": pa.array((n_hit > 0) & (share * n_hit >= n_words)),
-        }
-
-    return map_texts(docs, judge, "n_words long, n_hit long, items array<string>, near_items array<string>, contaminated boolean", text, keep)
-
-
-def term_counts(docs: DataFrame, text: str, terms: set[bytes]) -> dict[bytes, int]:
-    """How often each of ``terms`` (those of one block) is in all documents."""
-    if not terms:
-        return {}
-    names = sorted(terms)
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names)})
-
-    def count(texts: list[bytes]) -> dict[str, pa.Array]:
-        at = shared.value
-        n = np.zeros(len(at) + 1, np.int64)
-        for t in texts:
-            w = words(t)
-            n += np.bincount(np.fromiter(map(at.get, w, repeat(len(at))), np.int64, len(w)), minlength=len(n))
-        have = np.flatnonzero(n[:-1])
-        pad = [None] * (len(texts) - 1)
-        return {"counts": pa.array([[{"term": int(i), "n": int(n[i])} for i in have], *pad], pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int64())])))}
-
-    counted = map_texts(docs, count, "counts array<struct<term: long, n: long>>", text).select(F.inline("counts"))
-    return {names[r["term"]]: r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}

@@ -54,13 +54,14 @@ def test_repeats_of_one_hot_passage(spark):
         assert {(r.doc_id == 0, r.n_removed) for r in got} == {(True, 0), (False, 80)}
 
 
-@pytest.mark.parametrize("block_words", [30, 100_000])
-def test_contamination(spark, block_words):
+@pytest.mark.parametrize("broadcast_terms", [0, 100_000])
+def test_contamination(spark, broadcast_terms):
     rows = corpus(2, 13)
     items = [(i, (r[1] or "")[k : k + 120].upper()) for i, (r, k) in enumerate(zip(rows[:20], range(0, 40, 2), strict=True))]
     items += [(50, None), (51, ""), (None, "w1 w2"), (3, "W5 w6 w7"), (52, "w9")]
-    got = decontam.judge_documents(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), keep=("doc_id", "text"), block_words=block_words).collect()
+    got = decontam.judge_documents(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string"), keep=("doc_id", "text"), broadcast_terms=broadcast_terms).collect()
     assert [(r.n_words, r.n_hit, r.items, r.contaminated) for r in got] == [contamination(r.text, items) for r in got]
+    assert got[0].asDict().keys() == {"doc_id", "text", "n_words", "n_hit", "items", "near_items", "contaminated"}
     assert sum(r.contaminated for r in got) > 5 and len(got) == len(rows)
     none = decontam.judge_documents(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "item_id long, text string"))
     assert none.where("n_hit > 0 OR contaminated").count() == 0 and none.count() == len(rows)
@@ -75,8 +76,8 @@ def test_proximity(spark):
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
-@pytest.mark.parametrize("block_words", [30, 100_000])
-def test_proximity_within_each_document(spark, partitions, block_words):
+@pytest.mark.parametrize("broadcast_terms", [0, 100_000])
+def test_proximity_within_each_document(spark, partitions, broadcast_terms):
     """Near items by the document alone, however rows are put together."""
     filler = [f"c{i}" for i in range(11)]
     items = [(1, " ".join(["r1", *filler, "r2"])), (2, " ".join(["a", "a"])), (3, " ".join([*filler, "r3", "r4"])), (4, " ".join(["r5", "r6", *filler]))]
@@ -88,7 +89,7 @@ def test_proximity_within_each_document(spark, partitions, block_words):
     rng = random.Random(6)
     texts += [" ".join(rng.choice(["r1", "r2", "r3", "r4", "r5", "r6", "a", "x", "c1"]) for _ in range(rng.randrange(12))) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).repartition(partitions)
-    got = decontam.judge_documents(docs, spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).collect()
+    got = decontam.judge_documents(docs, spark.createDataFrame(items, "item_id long, text string"), broadcast_terms=broadcast_terms).collect()
     near = {r.doc_id: r.near_items for r in got}
     assert [near[i] for i in range(len(texts))] == [near_items(t, texts, items, 3) for t in texts]
     assert near[0] == near[11] == near[7] == [] and near[1] == ["3"] and near[5] == near[6] == ["1"] and near[15] == ["4"]
