@@ -85,10 +85,65 @@ def surface_inventory(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").rlike(SOURCE_FILE)).select("repo_id", "path", F.inline(rows))
 
 
+# What the path tells about a file.
+CONFIG_NAME = r"(?:^|/)(?:package\.json|tsconfig[^/]*|(?:[^/]*\.)?config\.[cm]?[jt]s)$"
+TEST_PATH = r"(?:^|[./_-])(?:test|tests|spec|__tests__)(?:[./_-]|$)|\.(?:test|spec)\.[^./]+$"
+DEPENDENCY_FIELDS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
+
+
+def entry_point_kind(path: Column) -> Column:
+    """config, test or source, by the path in lower case."""
+    low = F.lower(path)
+    return F.when(low.rlike(CONFIG_NAME), "config").when(low.rlike(TEST_PATH), "test").when(low.rlike(SOURCE_FILE), "source").otherwise("config")
+
+
+def manifest_inventory(files: DataFrame) -> DataFrame:
+    """``repo_id, path, kind, name, detail``: what the root manifests declare.
+
+    kind is ``script`` (an entry point), ``package`` or ``framework`` (detail: the field), or ``unreadable``
+    for a manifest that is no JSON object.  A name with control characters is left out.
+    """
+    raw = F.col("content")
+    names = lambda field: F.array_distinct(F.map_keys(F.from_json(F.get_json_object(raw, f"$.{field}"), "map<string, string>")))
+    item = lambda kind, name, detail=None: F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.lit(detail).cast("string").alias("detail"))
+    none = F.array().cast("array<struct<kind: string, name: string, detail: string>>")
+    safe = lambda found: F.filter(F.coalesce(found, F.array().cast("array<string>")), _safe)
+
+    def of_field(field: str) -> list[Column]:
+        found = safe(names(field))
+        return [F.transform(found, lambda n: item("package", n, field)), F.transform(F.filter(found, lambda n: n.isin(FRAMEWORKS)), lambda n: item("framework", n, field))]
+
+    declared = [F.coalesce(x, none) for f in DEPENDENCY_FIELDS for x in of_field(f)]
+    whole = F.get_json_object(raw, "$").startswith("{")
+    rows = F.when(F.coalesce(whole, F.lit(False)), F.concat(F.transform(safe(names("scripts")), lambda n: item("script", n)), *declared)).otherwise(
+        F.array(item("unreadable", F.lit("manifest")))
+    )
+    return files.where(F.col("path") == "package.json").select("repo_id", "path", F.inline(rows))
+
+
+def entry_points(files: DataFrame) -> DataFrame:
+    """``repo_id, path, kind, name``: every file by its kind (config, test, source), and every script of a root manifest."""
+    own = files.select("repo_id", "path", entry_point_kind(F.col("path")).alias("kind"), F.lit(None).cast("string").alias("name"))
+    scripts = manifest_inventory(files).where("kind = 'script'").select("repo_id", "path", "kind", "name")
+    return own.unionByName(scripts).distinct()
+
+
+def target_inventory(files: DataFrame) -> DataFrame:
+    """:func:`surface_inventory` with what root manifests declare and the entry points, each as ``repo_id, path, kind, name, detail, line``.
+
+    Entry points are of kind ``entry-point``, their own kind being the detail.
+    """
+    no_line = F.lit(None).cast("int").alias("line")
+    manifest = manifest_inventory(files).where("kind <> 'script'").select("repo_id", "path", "kind", "name", "detail", no_line)
+    points = entry_points(files).select("repo_id", "path", F.lit("entry-point").alias("kind"), "name", F.col("kind").alias("detail"), no_line)
+    return surface_inventory(files).unionByName(manifest).unionByName(points)
+
+
 def surface_counts(files: DataFrame, inventory: DataFrame) -> DataFrame:
     """Per repository: files and bytes inspected, items per kind, status.
 
-    The status is ``incomplete`` if a source file has no content or an item is unreadable.
+    ``inventory`` may be that of :func:`surface_inventory` or :func:`target_inventory`.  The status is
+    ``incomplete`` if a source file has no content or an item is unreadable.
     """
     source = files.where(F.col("path").rlike(SOURCE_FILE))
     sizes = source.groupBy("repo_id").agg(

@@ -11,7 +11,7 @@ from assayline.functions.digest import canonical_json, sha256_tag
 from assayline.functions.severity import lookup
 from assayline.functions.text import safe_https_url
 from assayline.operators.evidence import labels
-from assayline.operators.spread import running_total
+from assayline.operators.spread import positions, running_total
 
 EXIT_CODES = {"PASS": 0, "BLOCK": 1, "REVIEW": 2, "INCOMPLETE": 3}
 _UNAVAILABLE = ["missing", "stale", "unsupported", "error"]
@@ -83,6 +83,38 @@ def policy_decision(checks: DataFrame, evaluations: DataFrame | None = None) ->
     )
 
 
+# What a reason says that no check brings.
+SATISFIED_DETAIL = "All recorded policy checks are satisfied with current evidence for the exact subject."
+SATISFIED_ACTION = "Preserve the evaluation and its evidence bindings."
+IDENTITY_ACTION = "Resolve and evaluate the exact immutable subject before making a release decision."
+
+
+def decision_reasons(checks: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """``evaluation_id, position, code, check_id, detail, owner, next_action``: why each evaluation was decided as it was.
+
+    ``checks`` bring ``reason, owner, next_action`` besides what :func:`check_reason` reads, ``evaluations``
+    bring ``evaluation_id, subject_match, match_reason``.  An identity reason comes first, then the checks
+    by id; an evaluation without any has the one reason that it passes.  Positions count
+    from 0 and are exact for an evaluation of any size.
+    """
+    c, none = F.col, F.lit(None).cast("string")
+    own = checks.select(
+        "evaluation_id", F.lit(1).alias("_rank"), check_reason().alias("code"), "check_id", c("reason").alias("detail"), "owner", "next_action"
+    ).where(c("code").isNotNull())
+    code = F.when(c("subject_match") == "mismatched", "identity-mismatch").when(c("subject_match") == "unresolved", "identity-unresolved")
+    identity = evaluations.select(
+        "evaluation_id", F.lit(0).alias("_rank"), code.alias("code"), none.alias("check_id"), c("match_reason").alias("detail"),
+        F.lit("target-owner").alias("owner"), F.lit(IDENTITY_ACTION).alias("next_action"),
+    ).where(c("code").isNotNull())
+    given = identity.unionByName(own.join(evaluations.select("evaluation_id"), "evaluation_id", "left_semi"))
+    passed = evaluations.select("evaluation_id").join(given.select("evaluation_id").distinct(), "evaluation_id", "left_anti").select(
+        "evaluation_id", F.lit(2).alias("_rank"), F.lit("requirements-satisfied").alias("code"), none.alias("check_id"),
+        F.lit(SATISFIED_DETAIL).alias("detail"), F.lit("policy-owner").alias("owner"), F.lit(SATISFIED_ACTION).alias("next_action"),
+    )
+    ordered = positions(given.unionByName(passed), ["evaluation_id"], ["_rank", "check_id", "code", "detail"], out="position")
+    return ordered.select("evaluation_id", c("position").cast("bigint").alias("position"), "code", "check_id", "detail", "owner", "next_action")
+
+
 def policy_input_issues(checks: DataFrame) -> DataFrame:
     """``evaluation_id, check_id, issues`` of checks whose status, evidence and freshness disagree.
 
@@ -647,6 +679,73 @@ def audit_proof_binding(proofs: DataFrame, attempts: DataFrame, observations: Da
     )
 
 
+EXECUTION_KEYS = ["record_id", "subject_id", "observation_id", "finding_id", "rule", "recipe_digest", "trust_policy_digest", "approval_digest"]
+
+
+def audit_release_evidence(evidence: DataFrame, subjects: DataFrame, observations: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``evidence_id, record_id, status, matches, reasons``: does the whole release record bind this proof or retest?
+
+    ``evidence``: ``evidence_id, record_id, kind`` (proof or retest), ``subject_id`` (of a retest: the one after),
+    ``before_subject_id, observation_id, finding_id, rule, recipe_digest, trust_policy_digest, approval_digest,
+    executes, run_status, verdict, negative_control, outcome_finding_id, outcome_verdict, outcome_digest,
+    counter_verdict, counter_digest, retest_status, emitted_attempt_id``.  The record's members:
+    ``subjects`` (``record_id, subject_id``), ``observations`` (``record_id, observation_id, subject_id, rule``) and
+    ``attempts`` (``record_id, attempt_id``, the binding, ``executed, signature_status, approval_status, verdict,
+    evidence_digest``).  Members are joined on the record and their own id; attempts are
+    counted per binding first, so neither a large record nor a binding shared by many
+    attempts is one row's work.
+    """
+    c = F.col
+    fits = attempts.where(
+        c("executed") & (c("signature_status") == "verified") & (c("approval_status") == "approved")
+        & c("trust_policy_digest").isNotNull() & c("approval_digest").isNotNull()
+    ).withColumn("verdict", F.when(c("verdict") == "not_reproduced", "not-reproduced").otherwise(c("verdict"))).where(c("verdict").isin("confirmed", "not-reproduced"))
+    binding = [*EXECUTION_KEYS, "verdict", "outcome_digest"]
+    fits = fits.withColumnRenamed("evidence_digest", "outcome_digest")
+    counted = fits.groupBy(*binding).agg(F.count(F.lit(1)).alias("_m"))
+    emitted = fits.select(*binding, c("attempt_id").alias("emitted_attempt_id")).distinct().withColumn("_own", F.lit(True))
+    held = attempts.select("record_id", c("attempt_id").alias("emitted_attempt_id")).distinct().withColumn("_held", F.lit(True))
+    have = subjects.select("record_id", "subject_id").distinct()
+    seen = observations.groupBy("record_id", "observation_id").agg(F.min(F.struct(c("subject_id").alias("_os"), c("rule").alias("_or"))).alias("_o"))
+    j = (
+        evidence.join(have.withColumn("_target", F.lit(True)), ["record_id", "subject_id"], "left")
+        .join(have.withColumnRenamed("subject_id", "before_subject_id").withColumn("_before", F.lit(True)), ["record_id", "before_subject_id"], "left")
+        .join(seen, ["record_id", "observation_id"], "left")
+        .join(counted, binding, "left")
+        .join(emitted, [*binding, "emitted_attempt_id"], "left")
+        .join(held, ["record_id", "emitted_attempt_id"], "left")
+    )
+    m = F.coalesce("_m", F.lit(0))
+    no = lambda cond: ~F.coalesce(cond, F.lit(False))
+    retest, emits = c("kind") == "retest", c("emitted_attempt_id").isNotNull()
+    reasons = labels(
+        (retest & c("before_subject_id").eqNullSafe(c("subject_id")), "retest subjects are not distinct"),
+        (c("_target").isNull(), "target subject is not in the record"),
+        (retest & c("_before").isNull(), "subject before the retest is not in the record"),
+        (c("_o").isNull(), "observation is not in the record"),
+        (c("_o._os") != c("subject_id"), "observation does not bind the subject"),
+        (c("_o._or") != c("rule"), "rule does not match the observation"),
+        (no(c("executes") & (c("run_status") == "completed")), "proof was not executed to completion"),
+        (no(c("negative_control") == "passed"), "negative control did not pass"),
+        (no(c("verdict").isin("confirmed", "not-reproduced")), "verdict is not release-grade"),
+        (no(c("outcome_finding_id") == c("finding_id")), "outcome does not bind the finding"),
+        (no(c("outcome_verdict") == c("verdict")), "outcome does not match the verdict"),
+        (no(c("counter_verdict") == "not-reproduced"), "negative-control outcome is missing"),
+        (c("outcome_digest").isNull() | c("counter_digest").isNull(), "evidence digests of both controls are missing"),
+        (retest & c("retest_status").isin("inconclusive", "not-attemptable"), "retest is not release-grade"),
+        (retest & (c("retest_status") == "cleared") & no(c("verdict") == "not-reproduced"), "cleared retest binds another proof"),
+        (retest & (c("retest_status") == "still-reproduced") & no(c("verdict") == "confirmed"), "still-reproduced retest binds another proof"),
+        (m == 0, "no attempt with the exact binding"),
+        (m > 1, "several attempts with the exact binding"),
+        (emits & c("_own").isNull(), "emitted attempt does not match the binding"),
+        (emits & c("_held").isNull(), "emitted attempt is not in the record"),
+    )
+    return j.select(
+        "evidence_id", "record_id", m.cast("bigint").alias("matches"), reasons.alias("reasons"),
+        F.when(F.size(reasons) == 0, "auditable").otherwise("not-auditable").alias("status"),
+    )
+
+
 # --------------------------------------------------------------------------- projections
 def check_payload(decisions: DataFrame) -> DataFrame:
     """CI check payload per decision: external key, summary and digest, or the reason there is none.

@@ -85,6 +85,64 @@ def adjudication_summary(samples: DataFrame, min_valid: int = 100) -> DataFrame:
     )
 
 
+CONFIDENCES = ["low", "medium", "high"]
+
+
+def adjudicated_samples(samples: DataFrame, reviews: DataFrame, resolutions: DataFrame, author: str | None = None, required: int = 2) -> DataFrame:
+    """Per row of ``samples`` (``sample_id, detector``): ``final_label, disagreement, reviews, low, medium, high, changed, limited, issues``.
+
+    ``reviews``: ``sample_id, reviewer, label, reviewed_at, confidence, changed_finding, limitation, exclusion_reason``;
+    ``resolutions``: ``sample_id, resolved_label, resolved_at, method, reviewer, exclusion_reason``, one per sample.
+    A third reviewer has to be none of the sample's reviewers and not ``author``, who wrote what is
+    judged; a sample out of scope needs a reason from its resolution, or without one from
+    every review.  Reviews are aggregated to counts and extremes; that a resolver also reviewed
+    is a semi join, so a sample may have any number of reviews.
+    """
+    c = F.col
+    per = reviews.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.max("reviewed_at").alias("_last"),
+        F.count_if(c("exclusion_reason").isNull()).alias("_unexplained"), F.count_if("changed_finding").alias("changed"), F.count("limitation").alias("limited"),
+        *[F.count_if(c("confidence") == x).alias(x) for x in CONFIDENCES],
+    )
+    again = resolutions.select("sample_id", "reviewer").join(reviews.select("sample_id", "reviewer"), ["sample_id", "reviewer"], "left_semi")
+    by = resolutions.select("sample_id", "resolved_label", "resolved_at", "method", c("reviewer").alias("_by"), c("exclusion_reason").alias("_why"))
+    j = (
+        samples.select("sample_id", "detector").join(per, "sample_id", "left").join(by, "sample_id", "left")
+        .join(again.select("sample_id", F.lit(True).alias("_again")).distinct(), "sample_id", "left")
+    )
+    split = F.coalesce(c("_lo") != c("_hi"), F.lit(False))
+    final = F.when(split, c("resolved_label")).otherwise(c("_lo"))
+    resolved, n = c("resolved_at").isNotNull(), F.coalesce("_n", F.lit(0))
+    own = c("_again").isNotNull() | F.coalesce(c("_by") == F.lit(author), F.lit(False))
+    issues = labels(
+        (n != required, "wrong number of reviews"),
+        (split & ~resolved, "unresolved disagreement"),
+        (split & (c("resolved_at") <= c("_last")), "resolution before labels were frozen"),
+        (split & (c("method") == "third-reviewer") & own, "third reviewer is not independent"),
+        (~split & resolved, "resolution without disagreement"),
+        ((final == "out-of-scope") & F.when(split, c("_why").isNull()).otherwise(c("_unexplained") > 0), "exclusion without a reason"),
+    )
+    counts = [F.coalesce(x, F.lit(0)).cast("bigint").alias(x) for x in (*CONFIDENCES, "changed", "limited")]
+    return j.select("sample_id", "detector", final.alias("final_label"), split.alias("disagreement"), n.cast("bigint").alias("reviews"), *counts, issues.alias("issues"))
+
+
+def adjudication_report(adjudicated: DataFrame, min_valid: int = 100) -> DataFrame:
+    """Per detector and over all (``detector`` null): samples, the denominator, labels, disagreements, confidences, changes, limitations, issues, ``valid``.
+
+    Samples out of scope are no part of the denominator; a study is valid with enough others and no issue.
+    """
+    c = F.col
+    names = ["confirmed", "not-reproduced", "environment-failure", "out-of-scope"]
+    in_scope = F.count_if(~F.coalesce(c("final_label") == "out-of-scope", F.lit(False)))
+    broken = F.count_if(F.size("issues") > 0)
+    report = adjudicated.rollup("detector").agg(
+        F.grouping("detector").alias("_all"), F.count(F.lit(1)).alias("samples"), in_scope.alias("denominator"), *[F.count_if(c("final_label") == x).alias(x.replace("-", "_")) for x in names],
+        F.count_if("disagreement").alias("disagreements"), *[F.sum(x).cast("bigint").alias(x) for x in (*CONFIDENCES, "changed", "limited")], broken.alias("issues"),
+        ((in_scope >= min_valid) & (broken == 0)).alias("valid"),
+    )
+    return report.withColumn("scope", F.when(c("_all") == 1, "study").otherwise("detector")).drop("_all")
+
+
 def resolution_after_reviews(reviews: DataFrame, resolutions: DataFrame) -> DataFrame:
     """``sample_id, ok``: the resolution comes after the last review."""
     last = reviews.groupBy("sample_id").agg(F.max("reviewed_at").alias("_last"))

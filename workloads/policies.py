@@ -68,6 +68,20 @@ def policy_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return P.policy_reasons(policy_checks(spark, sf), _evaluations(spark, sf))
 
 
+@query(
+    "decision_reasons",
+    f"""WITH {_CHECKS_CTE}, {_EVAL_CTE}, r AS (SELECT evaluation_id, 1 AS rank, {_CODE} AS code, check_id, 'why ' || o_orderkey AS detail, 'team ' || (o_orderkey % 5) AS owner, 'do ' || (o_orderkey % 3) AS next_action FROM checks
+UNION ALL SELECT evaluation_id, 0, CASE m WHEN 'mismatched' THEN 'identity-mismatch' WHEN 'unresolved' THEN 'identity-unresolved' END, NULL, 'subject ' || evaluation_id, 'target-owner', {quote(P.IDENTITY_ACTION)} FROM evals),
+g AS (SELECT * FROM r WHERE code IS NOT NULL), a AS (SELECT * FROM g UNION ALL SELECT evaluation_id, 2, 'requirements-satisfied', NULL, {quote(P.SATISFIED_DETAIL)}, 'policy-owner', {quote(P.SATISFIED_ACTION)} FROM evals
+WHERE evaluation_id NOT IN (SELECT evaluation_id FROM g)) SELECT evaluation_id, (row_number() OVER (PARTITION BY evaluation_id ORDER BY rank, check_id) - 1)::BIGINT AS position, code, check_id, detail, owner, next_action FROM a""",
+)
+def decision_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    tag = lambda text, v: F.concat(F.lit(text), v.cast("string"))
+    checks = policy_checks(spark, sf).withColumns({"reason": tag("why ", k), "owner": tag("team ", k % 5), "next_action": tag("do ", k % 3)})
+    return P.decision_reasons(checks, _evaluations(spark, sf).withColumn("match_reason", tag("subject ", F.col("evaluation_id"))))
+
+
 _PI_SQL = f"""WITH {_CHECKS_CTE}, t AS (SELECT evaluation_id, check_id, requirement, on_failure, status, {sql_pick(_FRESH, 'o_orderkey % 3')} AS fresh, o_orderkey % 2 AS ne, o_orderkey % 4 AS no,
  least(o_orderkey % 4, 2) AS nd, o_orderdate AS ev, CASE WHEN o_orderkey % 8 = 1 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS ca, CASE WHEN o_orderkey % 5 = 1 THEN o_orderdate + INTERVAL 2 DAY END AS su,
  CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN o_orderdate - INTERVAL 1 DAY ELSE o_orderdate + INTERVAL 1 DAY END AS vu FROM checks),
@@ -643,6 +657,51 @@ def audit_proof_binding(spark: SparkSession, sf: str) -> DataFrame:
     return P.audit_proof_binding(proofs, attempts, observations)
 
 
+# what a proof or retest says, by the order's key; the SQL of each column, which Spark reads too
+_EVIDENCE = {
+    "evidence_id": "o_orderkey", "record_id": "o_custkey", "kind": "CASE WHEN o_orderkey % 3 = 0 THEN 'retest' ELSE 'proof' END", "subject_id": "concat('s', o_orderkey)",
+    "before_subject_id": "concat(CASE WHEN o_orderkey % 10 = 3 THEN 's' ELSE 'b' END, o_orderkey)", "observation_id": "concat('o', o_orderkey)", "finding_id": "concat('f', o_orderkey)",
+    "rule": "'D1'", "recipe_digest": "'rd'", "trust_policy_digest": "'td'", "approval_digest": "concat('ad', o_orderkey)", "executes": "o_orderkey % 11 <> 0",
+    "run_status": "CASE WHEN o_orderkey % 13 = 0 THEN 'failed' ELSE 'completed' END",
+    "verdict": "CASE WHEN o_orderkey % 7 = 0 THEN 'inconclusive' WHEN o_orderkey % 2 = 1 THEN 'confirmed' ELSE 'not-reproduced' END",
+    "negative_control": "CASE WHEN o_orderkey % 17 = 0 THEN 'failed' ELSE 'passed' END", "outcome_finding_id": "concat('f', CASE WHEN o_orderkey % 19 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END)",
+    "outcome_verdict": "CASE WHEN o_orderkey % 23 = 0 THEN 'other' WHEN o_orderkey % 7 = 0 THEN 'inconclusive' WHEN o_orderkey % 2 = 1 THEN 'confirmed' ELSE 'not-reproduced' END",
+    "outcome_digest": "CASE WHEN o_orderkey % 29 <> 0 THEN concat('ev', o_orderkey) END", "counter_verdict": "CASE WHEN o_orderkey % 31 <> 0 THEN 'not-reproduced' END",
+    "counter_digest": "'cd'", "retest_status": "CASE o_orderkey % 4 WHEN 0 THEN 'cleared' WHEN 1 THEN 'still-reproduced' WHEN 2 THEN 'inconclusive' ELSE 'not-attemptable' END",
+    "emitted_attempt_id": "CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey, '-1') WHEN 1 THEN 'none' END",
+}
+
+
+@query(
+    "audit_release_evidence",
+    "WITH e AS (SELECT o_orderkey AS k, " + ", ".join(f"{x} AS {n}" for n, x in _EVIDENCE.items()) + """ FROM orders),
+a AS (SELECT l_orderkey AS k, count(*) FILTER (l_quantity > 15 AND l_discount > 0.02) AS n, bool_or(l_linenumber = 1) AS one, bool_or(l_linenumber = 1 AND l_quantity > 15 AND l_discount > 0.02) AS one_fits FROM lineitem GROUP BY 1),
+j AS (SELECT e.*, CASE WHEN verdict <> 'inconclusive' AND outcome_digest IS NOT NULL THEN coalesce(n, 0) ELSE 0 END AS m, kind = 'retest' AS re, k % 5 = 0 AND coalesce(one, false) AS held,
+ k % 5 = 0 AND coalesce(one_fits, false) AND verdict <> 'inconclusive' AND outcome_digest IS NOT NULL AS own FROM e LEFT JOIN a USING (k)), l AS (SELECT *, """ + _list([
+        ("re AND k % 10 = 3", "retest subjects are not distinct"), ("k % 37 = 0", "target subject is not in the record"), ("re AND CASE WHEN k % 10 = 3 THEN k % 37 = 0 ELSE k % 41 = 0 END", "subject before the retest is not in the record"),
+        ("k % 43 = 0", "observation is not in the record"), ("k % 43 <> 0 AND k % 47 = 0", "observation does not bind the subject"), ("k % 43 <> 0 AND k % 53 = 0", "rule does not match the observation"),
+        ("NOT executes OR run_status <> 'completed'", "proof was not executed to completion"), ("negative_control <> 'passed'", "negative control did not pass"), ("verdict = 'inconclusive'", "verdict is not release-grade"),
+        ("k % 19 = 0", "outcome does not bind the finding"), ("k % 23 = 0", "outcome does not match the verdict"), ("k % 31 = 0", "negative-control outcome is missing"), ("k % 29 = 0", "evidence digests of both controls are missing"),
+        ("re AND k % 4 > 1", "retest is not release-grade"), ("re AND k % 4 = 0 AND verdict <> 'not-reproduced'", "cleared retest binds another proof"), ("re AND k % 4 = 1 AND verdict <> 'confirmed'", "still-reproduced retest binds another proof"),
+        ("m = 0", "no attempt with the exact binding"), ("m > 1", "several attempts with the exact binding"), ("k % 5 < 2 AND NOT own", "emitted attempt does not match the binding"), ("k % 5 < 2 AND NOT held", "emitted attempt is not in the record"),
+    ]) + " AS reasons FROM j) SELECT evidence_id, record_id, m::BIGINT AS matches, reasons, CASE WHEN len(reasons) = 0 THEN 'auditable' ELSE 'not-auditable' END AS status FROM l",
+)
+def audit_release_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """A record per customer: proofs and retests per order, attempts per line item; gaps by keys that differ."""
+    o = table(spark, sf, "orders")
+    evidence = o.select(*[F.expr(x).alias(n) for n, x in _EVIDENCE.items()])
+    record, k = F.col("o_custkey").alias("record_id"), F.col("o_orderkey")
+    named = lambda text, gap: F.concat(F.lit(text), F.when(k % gap == 0, -k - 1).otherwise(k).cast("string"))
+    subjects = o.select(record, named("s", 37).alias("subject_id")).unionByName(o.select(record, named("b", 41).alias("subject_id")))
+    observations = o.select(record, named("o", 43).alias("observation_id"), named("s", 47).alias("subject_id"), F.when(k % 53 == 0, "D9").otherwise("D1").alias("rule"))
+    binding = [*P.EXECUTION_KEYS, "verdict"]
+    attempts = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").join(o.select("o_orderkey", "o_custkey"), "o_orderkey").select(
+        *[F.expr(_EVIDENCE[n]).alias(n) for n in binding], F.concat("o_orderkey", F.lit("-"), "l_linenumber").alias("attempt_id"), (F.col("l_quantity") > 15).alias("executed"),
+        F.when(F.col("l_discount") > 0.02, "verified").otherwise("invalid").alias("signature_status"), F.lit("approved").alias("approval_status"), F.concat(F.lit("ev"), "o_orderkey").alias("evidence_digest"),
+    ).withColumn("verdict", F.when(F.col("verdict") == "not-reproduced", "not_reproduced").otherwise(F.col("verdict")))
+    return P.audit_release_evidence(evidence, subjects, observations, attempts)
+
+
 # --------------------------------------------------------------------------- projections
 @query(
     "check_payload",

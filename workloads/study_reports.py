@@ -92,6 +92,51 @@ def adjudication_summary(spark: SparkSession, sf: str) -> DataFrame:
     return T.adjudication_summary(T.adjudicate_reviews(_reviews(spark, sf), _resolutions(spark, sf)))
 
 
+# the same reviews with what a study records of them
+_DET = ["injection", "secrets", "deep-auth"]
+_REV2 = f"""w AS (SELECT doc_id, {sql_pick(_DET, 'doc_id % 3')} AS detector, a, b, a <> b AS split FROM (SELECT doc_id, {sql_pick(_L, 'quality + doc_id % 3')} AS a, {sql_pick(_L, 'toxic + doc_id % 3')} AS b FROM labels)),
+r AS (SELECT doc_id, 'quality' AS reviewer, doc_id * 10 + 1 AS t, 1 AS h FROM labels UNION ALL SELECT doc_id, 'toxic', doc_id * 10 + 2, 2 FROM labels),
+per AS (SELECT doc_id, count(*) AS reviews, {', '.join(f"count(*) FILTER ((doc_id + h) % 3 = {i})::BIGINT AS {c}" for i, c in enumerate(T.CONFIDENCES))}, count(*) FILTER (doc_id % 5 = h)::BIGINT AS changed,
+ count(*) FILTER (doc_id % 6 = h)::BIGINT AS limited, count(*) FILTER (doc_id % 8 = h) AS unexplained FROM r WHERE NOT (h = 2 AND doc_id % 97 = 5) GROUP BY 1),
+res AS (SELECT doc_id, doc_id * 10 + CASE WHEN doc_id % 7 = 1 THEN 2 ELSE 5 END AS t, CASE WHEN doc_id % 9 = 0 THEN 'out-of-scope' ELSE 'confirmed' END AS lab, doc_id % 2 = 0 AS third, doc_id % 3 > 0 AND NOT (doc_id % 3 = 2 AND doc_id % 97 = 5) AS own, doc_id % 4 = 0 AS bare FROM labels WHERE quality <> toxic OR doc_id % 11 = 1),
+adj AS (SELECT w.doc_id AS sample_id, detector, CASE WHEN sp THEN lab ELSE a END AS final_label, sp AS disagreement, reviews::BIGINT AS reviews, low, medium, high, changed, limited, {_list([
+    ("reviews <> 2", "wrong number of reviews"), ("sp AND t IS NULL", "unresolved disagreement"), ("sp AND t <= w.doc_id * 10 + 2", "resolution before labels were frozen"), ("sp AND third AND own", "third reviewer is not independent"),
+    ("NOT sp AND t IS NOT NULL", "resolution without disagreement"), ("CASE WHEN sp THEN lab ELSE a END = 'out-of-scope' AND CASE WHEN sp THEN bare ELSE unexplained > 0 END", "exclusion without a reason"),
+])} AS issues FROM (SELECT *, split AND doc_id % 97 <> 5 AS sp FROM w) w JOIN per USING (doc_id) LEFT JOIN res USING (doc_id))"""
+
+
+def _adjudicated(spark: SparkSession, sf: str) -> DataFrame:
+    d, lab = F.col("sample_id"), table(spark, sf, "labels")
+    hour = F.when(F.col("reviewer") == "quality", 1).otherwise(2)
+    reviews = _reviews(spark, sf).where(~((F.col("reviewer") == "toxic") & (d % 97 == 5))).select(
+        "*", pick(T.CONFIDENCES, F.pmod(d + hour, F.lit(3)).cast("int")).alias("confidence"), (d % 5 == hour).alias("changed_finding"),
+        F.when(d % 6 == hour, "cut off").alias("limitation"), F.when(d % 8 != hour, "why").alias("exclusion_reason"),
+    )
+    resolutions = _resolutions(spark, sf).select(
+        "sample_id", F.when(d % 9 == 0, "out-of-scope").otherwise("confirmed").alias("resolved_label"), "resolved_at",
+        F.when(d % 2 == 0, "third-reviewer").otherwise("documented-consensus").alias("method"), pick(["r3", "author", "toxic"], (d % 3).cast("int")).alias("reviewer"),
+        F.when(d % 4 != 0, "w").alias("exclusion_reason"),
+    )
+    samples = lab.select(F.col("doc_id").alias("sample_id"), pick(_DET, (F.col("doc_id") % 3).cast("int")).alias("detector"))
+    return T.adjudicated_samples(samples, reviews, resolutions, author="author")
+
+
+@query("adjudicated_samples", f"WITH {_REV2} SELECT * FROM adj")
+def adjudicated_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return _adjudicated(spark, sf)
+
+
+@query(
+    "adjudication_report",
+    f"WITH {_REV2} SELECT detector, count(*)::BIGINT AS samples, count(*) FILTER (final_label IS DISTINCT FROM 'out-of-scope')::BIGINT AS denominator, "
+    + ", ".join(f"count(*) FILTER (final_label = '{n}')::BIGINT AS {n.replace('-', '_')}" for n in _L) + ", count(*) FILTER (disagreement)::BIGINT AS disagreements, "
+    + ", ".join(f"sum({c})::BIGINT AS {c}" for c in (*T.CONFIDENCES, "changed", "limited"))
+    + ", count(*) FILTER (len(issues) > 0)::BIGINT AS issues, denominator >= 100 AND count(*) FILTER (len(issues) > 0) = 0 AS valid, CASE WHEN grouping(detector) = 1 THEN 'study' ELSE 'detector' END AS scope FROM adj GROUP BY ROLLUP (detector)",
+)
+def adjudication_report(spark: SparkSession, sf: str) -> DataFrame:
+    return T.adjudication_report(_adjudicated(spark, sf))
+
+
 @query("resolution_after_reviews", f"WITH {_REV} SELECT doc_id AS sample_id, at_t > doc_id * 10 + 2 AS ok FROM res")
 def resolution_after_reviews(spark: SparkSession, sf: str) -> DataFrame:
     return T.resolution_after_reviews(_reviews(spark, sf), _resolutions(spark, sf))

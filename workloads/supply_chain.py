@@ -483,6 +483,36 @@ def surface_counts(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.surface_counts(files, inventory.surface_inventory(files))
 
 
+# root manifests, one per supplier, beside the generated code
+_MANIFEST = (
+    "CASE s_suppkey % 5 WHEN 4 THEN '[1]' WHEN 3 THEN '{\"name\":\"plain\"}' ELSE concat('{\"scripts\":{\"build\":\"x\",\"test', s_suppkey, '\":\"y\"},\"dependencies\":{\"express\":\"4\",\"p', s_suppkey, '\":\"1\"},\"devDependencies\":{\"vue\":\"3\"}}') END"
+)
+_MAN_OK = "FROM supplier WHERE s_suppkey % 5 < 3"
+_POINTS_SQL = f"""points AS (SELECT repo_id, path, CASE WHEN regexp_matches(lower(path), {rx(inventory.CONFIG_NAME)}) THEN 'config' WHEN regexp_matches(lower(path), {rx(inventory.TEST_PATH)}) THEN 'test'
+WHEN regexp_matches(lower(path), {rx(inventory.SOURCE_FILE)}) THEN 'source' ELSE 'config' END AS kind, NULL::VARCHAR AS name FROM (SELECT DISTINCT repo_id, path FROM code_files)
+UNION ALL SELECT 's' || s_suppkey, 'package.json', 'config', NULL FROM supplier UNION ALL SELECT 's' || s_suppkey, 'package.json', 'script', 'build' {_MAN_OK} UNION ALL SELECT 's' || s_suppkey, 'package.json', 'script', 'test' || s_suppkey {_MAN_OK})"""
+
+
+def _with_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    manifests = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("repo_id"), F.lit("package.json").alias("path"), F.expr(_MANIFEST).alias("content"))
+    return code_files(spark, sf).unionByName(manifests)
+
+
+@query("entry_points", _INV_SQL + f", {_POINTS_SQL} SELECT * FROM points")
+def entry_points(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.entry_points(_with_manifests(spark, sf))
+
+
+@query(
+    "target_inventory",
+    _INV_SQL + f""", {_POINTS_SQL}, m AS (SELECT 's' || s_suppkey AS repo_id, unnest([('package', 'express', 'dependencies'), ('framework', 'express', 'dependencies'), ('package', 'p' || s_suppkey, 'dependencies'),
+('package', 'vue', 'devDependencies'), ('framework', 'vue', 'devDependencies')]) AS x {_MAN_OK} UNION ALL SELECT 's' || s_suppkey, ('unreadable', 'manifest', NULL) FROM supplier WHERE s_suppkey % 5 = 4)
+SELECT * FROM inv UNION ALL SELECT repo_id, 'package.json', x[1], x[2], x[3], NULL FROM m UNION ALL SELECT repo_id, path, 'entry-point', name, kind, NULL FROM points""",
+)
+def target_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    return inventory.target_inventory(_with_manifests(spark, sf))
+
+
 _FIX_LINES = [
     "const otp = Math.floor(100000 + Math.random() * 900000);",
     "const token = Math.random().toString(36).slice(2);",
