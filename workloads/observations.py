@@ -197,15 +197,16 @@ def coverage_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return E.coverage_rollup(rows, ["o_custkey"])
 
 
-_COV = "SELECT 'c' || (l_suppkey % 20) AS repo_id, 'p' || l_linenumber AS producer, CASE WHEN max(l_quantity) > {q} THEN 'complete' ELSE 'incomplete' END AS state, count(*)::BIGINT AS observation_count FROM lineitem WHERE {w} GROUP BY ALL"
+_COV = "SELECT 'c' || (l_suppkey % 20) AS repo_id, CASE WHEN {w} THEN 'p' ELSE '{o}' END || l_linenumber AS producer, CASE WHEN max(l_quantity) > {q} THEN 'complete' ELSE 'incomplete' END AS state, count(*)::BIGINT AS observation_count FROM lineitem GROUP BY ALL"
 
 
-def _coverage(spark: SparkSession, sf: str, where: str, q: int) -> DataFrame:
+def _coverage(spark: SparkSession, sf: str, both: str, other: str, q: int) -> DataFrame:
+    """Every row counts: for a producer that both snapshots have, or for one of this snapshot's own."""
     return (
-        table(spark, sf, "lineitem").where(where)
+        table(spark, sf, "lineitem")
         .groupBy(
             F.concat(F.lit("c"), (F.col("l_suppkey") % 20).cast("string")).alias("repo_id"),
-            F.concat(F.lit("p"), F.col("l_linenumber").cast("string")).alias("producer"),
+            F.concat(F.when(F.expr(both), "p").otherwise(other), F.col("l_linenumber").cast("string")).alias("producer"),
         )
         .agg(
             F.when(F.max("l_quantity") > q, "complete").otherwise("incomplete").alias("state"),
@@ -219,13 +220,13 @@ _CW = ("l_returnflag = 'A' AND l_linenumber < 7", "l_returnflag = 'R' AND l_line
 
 @query(
     "coverage_delta",
-    f"WITH b AS ({_COV.format(q=49, w=_CW[0])}), h AS ({_COV.format(q=48, w=_CW[1])}) SELECT coalesce(b.repo_id, h.repo_id) AS repo_id, "
+    f"WITH b AS ({_COV.format(q=49, w=_CW[0], o='q')}), h AS ({_COV.format(q=48, w=_CW[1], o='r')}) SELECT coalesce(b.repo_id, h.repo_id) AS repo_id, "
     "coalesce(b.producer, h.producer) AS producer, b.state AS before_state, b.observation_count AS before_observation_count, h.state AS "
     "after_state, h.observation_count AS after_observation_count, NOT (b.state IS NOT DISTINCT FROM h.state AND b.observation_count IS NOT "
     "DISTINCT FROM h.observation_count) AS changed FROM b FULL JOIN h ON b.repo_id = h.repo_id AND b.producer = h.producer",
 )
 def coverage_delta(spark: SparkSession, sf: str) -> DataFrame:
-    return E.coverage_delta(_coverage(spark, sf, _CW[0], 49), _coverage(spark, sf, _CW[1], 48), ["repo_id"])
+    return E.coverage_delta(_coverage(spark, sf, _CW[0], "q", 49), _coverage(spark, sf, _CW[1], "r", 48), ["repo_id"])
 
 
 # --------------------------------------------------------------------------- lineage
@@ -254,10 +255,10 @@ def declarations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
+    # A subject that no declaration names stands in for each one that is not known.
     subjects = (
-        table(spark, sf, "orders").where("o_orderstatus <> 'P'")
-        .select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("subject_id"))
-        .union(table(spark, sf, "part").where("p_size > 10").select(F.concat(F.lit("v"), F.col("p_partkey").cast("string"))))
+        table(spark, sf, "orders").select(F.concat(F.when(F.col("o_orderstatus") != "P", "u").otherwise("other u"), F.col("o_orderkey").cast("string")).alias("subject_id"))
+        .union(table(spark, sf, "part").select(F.concat(F.when(F.col("p_size") > 10, "v").otherwise("other v"), F.col("p_partkey").cast("string"))))
     )
     return E.resolve_lineage(subjects, declarations(spark, sf).drop("repo_id", "l_shipdate"))
 
@@ -297,13 +298,12 @@ def lineage_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "gap_delta",
-    "WITH b AS (SELECT DISTINCT 'gap ' || p_brand || p_size AS gap FROM part WHERE p_size < 25), h AS (SELECT DISTINCT 'gap ' || p_brand || p_size FROM part WHERE p_size > "
-    "20), x AS (SELECT gap, 'removed' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM h) UNION ALL SELECT gap, 'added' FROM "
+    "WITH b AS (SELECT DISTINCT 'gap ' || p_brand || least(p_size, 24) AS gap FROM part), h AS (SELECT DISTINCT 'gap ' || p_brand || greatest(p_size, 21) FROM part), x AS (SELECT gap, 'removed' AS side FROM (SELECT * FROM b EXCEPT SELECT * FROM h) UNION ALL SELECT gap, 'added' FROM "
     "(SELECT * FROM h EXCEPT SELECT * FROM b) t(gap)) SELECT 'sha256:' || sha256(gap) AS gap_digest, side FROM x",
 )
 def gap_delta(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").withColumn("gap", F.concat(F.lit("gap "), "p_brand", F.col("p_size").cast("string")))
-    return E.gap_delta(p.where("p_size < 25"), p.where("p_size > 20"))
+    gap = lambda size: table(spark, sf, "part").select(F.concat(F.lit("gap "), "p_brand", F.expr(size).cast("string")).alias("gap"))
+    return E.gap_delta(gap("least(p_size, 24)"), gap("greatest(p_size, 21)"))
 
 
 @query(
@@ -392,15 +392,15 @@ def compare_baseline(spark: SparkSession, sf: str) -> DataFrame:
     )
     # s6 has no baseline; s5 a second one, sooner over, that accepts everything.
     early = F.col("l_shipdate") < F.lit(SPLIT).cast("timestamp_ntz")
-    second = o.where(repo == "s5").select(
-        repo.alias("subject_id"), repo.alias("baseline_subject_id"), F.lit("old").alias("policy_digest"), F.lit("2023-06-01").cast("timestamp").alias("expires_at"),
+    second = o.select(
+        F.when(repo == "s5", repo).otherwise("nobody").alias("subject_id"), repo.alias("baseline_subject_id"), F.lit("old").alias("policy_digest"), F.lit("2023-06-01").cast("timestamp").alias("expires_at"),
         F.col("fingerprint").alias("accepted"),
     )
-    base = o.where(early & (repo != "s6")).select(
-        repo.alias("subject_id"), F.when(repo == "s2", "elsewhere").otherwise(repo).alias("baseline_subject_id"),
+    base = o.select(
+        F.when(repo == "s6", "nobody").otherwise(repo).alias("subject_id"), F.when(repo == "s2", "elsewhere").otherwise(repo).alias("baseline_subject_id"),
         F.lit("pol").alias("policy_digest"),
         F.when(repo == "s3", F.lit("2023-01-01").cast("timestamp")).when(repo == "s4", F.lit("2030-01-01").cast("timestamp")).alias("expires_at"),
-        F.col("fingerprint").alias("accepted"),
+        F.when(early, F.col("fingerprint")).otherwise("later").alias("accepted"),
     )
     return E.compare_baseline(current, base.unionByName(second), F.lit("2024-01-01").cast("timestamp"))
 
@@ -494,8 +494,8 @@ def match_provenance_digest(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2((F.col("l_partkey") % 1500).cast("string"), 256).alias("value"),
     )
     o = table(spark, sf, "orders")
-    own = o.where("o_orderstatus = 'F'").select(
-        F.col("o_orderkey").alias("doc_id"), F.lit("sha256").alias("algorithm"),
+    own = o.select(
+        F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "F", "sha256").otherwise("sha512").alias("algorithm"),
         F.upper(F.sha2(F.col("o_custkey").cast("string"), 256)).alias("value"),
     )
     expected = o.select(F.col("o_orderkey").alias("doc_id"), sha256_tag(F.col("o_custkey").cast("string")).alias("expected"))

@@ -249,16 +249,17 @@ def applicable_exceptions(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_partkey") % 5 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("o_custkey")).alias("subject_id"),
         F.concat(F.lit("ob"), (F.col("l_partkey") % 9).cast("string")).alias("observation_id"), F.col("l_shipdate").alias("at"),
     )
-    # Some requests name no known exception, some exceptions have no approval, some two.
+    # Some requests name no known exception, some exceptions have no approval, some two: keys without a partner, no row is left out.
     key = F.col("exception_id")
-    first, o = _approvals(spark, sf), table(spark, sf, "orders").where("o_orderkey % 29 = 7")
+    off = lambda cond: F.when(cond, -key - 1).otherwise(key)
+    first, o = _approvals(spark, sf), table(spark, sf, "orders")
     second = o.select(
-        F.col("o_orderkey").alias("exception_id"), F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("approval_id"),
+        F.expr("CASE WHEN o_orderkey % 29 = 7 THEN o_orderkey ELSE -o_orderkey - 1 END").alias("exception_id"), F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("approval_id"),
         F.col("o_orderkey").alias("target_exception_id"), F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("target_digest"),
         F.expr("o_orderdate + INTERVAL 3 DAY").alias("decided_at"), F.expr("o_orderdate + INTERVAL 20 DAY").alias("valid_until"), F.lit("denied").alias("decision"),
     )
-    approvals = first.where(key % 23 != 5).unionByName(second)
-    return P.applicable_exceptions(requests, _exceptions(spark, sf).where(key % 19 != 0), approvals)
+    approvals = first.withColumn("exception_id", off(key % 23 == 5)).unionByName(second)
+    return P.applicable_exceptions(requests, _exceptions(spark, sf).withColumn("exception_id", off(key % 19 == 0)), approvals)
 
 
 @query(
@@ -290,8 +291,9 @@ _RC = {
 
 def _receipts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    base = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(
-        k.alias("request_id"), pick(_ACTIONS, F.pmod("o_orderkey", F.lit(len(_ACTIONS)))).alias("real"),
+    # A receipt of a pending order answers no request.
+    base = table(spark, sf, "orders").select(
+        F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_orderkey ELSE -o_orderkey - 1 END").alias("request_id"), pick(_ACTIONS, F.pmod("o_orderkey", F.lit(len(_ACTIONS)))).alias("real"),
         F.lit("agent").alias("actor"), F.concat(F.lit("t"), F.col("o_custkey").cast("string")).alias("target"),
         F.array(F.lit("src/a.ts"), F.concat(F.lit("src/f"), (k % 4).cast("string"))).alias("files"), F.lit("none").alias("policy_effect"),
         F.when(k % 9 == 2, F.array(F.lit("https://x"))).otherwise(F.array().cast("array<string>")).alias("network"),
@@ -349,13 +351,13 @@ def resolve_org_policy(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     k = F.col("c_custkey")
     policy = F.concat(F.lit("policy of "), k.cast("string"))
-    env = c.where(k % 6 != 1).select(
-        F.col("c_nationkey").alias("organization_id"), k.alias("repository_id"), policy.alias("policy"),
+    env = c.select(
+        F.col("c_nationkey").alias("organization_id"), F.when(k % 6 == 1, -k - 1).otherwise(k).alias("repository_id"), policy.alias("policy"),
         F.when(k % 11 == 2, "sha256:forged").otherwise(sha256_tag(policy)).alias("policy_digest"), (k % 7).alias("key_id"),
         F.when(k % 5 == 4, F.lit("2020-01-01")).otherwise(F.lit("2030-01-01")).cast("timestamp").alias("expires_at"),
     )
-    keys = c.select((k % 7).alias("key_id")).distinct().where("key_id < 6").select(
-        "key_id", F.when(F.col("key_id") == 5, "revoked").otherwise("active").alias("status")
+    keys = c.select((k % 7).alias("key_id")).distinct().select(
+        F.when(F.col("key_id") < 6, F.col("key_id")).otherwise(-1).alias("key_id"), F.when(F.col("key_id") == 5, "revoked").otherwise("active").alias("status")
     )
     repos = c.select(F.col("c_nationkey").alias("organization_id"), k.alias("repository_id"))
     return P.resolve_org_policy(repos, env, keys, F.lit("2024-01-01").cast("timestamp"))
@@ -581,7 +583,7 @@ def plan_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     """Findings from ``events`` against the inventory of the generated code."""
     inv = inventory.surface_inventory(code_files(spark, sf))
     findings = _hypothesis_findings(spark, sf)
-    books = findings.select("rule").distinct().where("rule <> 'D1-008'")
+    books = findings.select(F.when(F.col("rule") == "D1-008", "none").otherwise(F.col("rule")).alias("rule")).distinct()
     coverage = findings.select("repo_id").distinct().select(
         "repo_id", F.when(F.length("repo_id") == 2, "incomplete").otherwise("complete").alias("status")
     )

@@ -204,7 +204,7 @@ def gate_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     gates = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("candidate"), F.when(F.col("c_mktsegment") == "BUILDING", "open").otherwise("closed").alias("state")
     )
-    work = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("candidate"))
+    work = o.select(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")).otherwise(-F.col("o_custkey") - 1).alias("candidate"))
     return T.gate_reconcile(rows, gates, work, ["candidate"])
 
 
@@ -274,7 +274,7 @@ def holdout_leakage(spark: SparkSession, sf: str) -> DataFrame:
     split = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("fixture"), F.when(F.col("c_nationkey") % 4 == 0, "holdout").otherwise("train").alias("side")
     )
-    reviews = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("observation_id"), F.col("o_orderdate").alias("reviewed_at"))
+    reviews = o.select(F.expr("CASE WHEN o_orderstatus <> 'P' THEN o_orderkey ELSE -o_orderkey - 2 END").alias("observation_id"), F.col("o_orderdate").alias("reviewed_at"))
     corrections = table(spark, sf, "lineitem").select(
         F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("correction_id"),
         F.when(F.col("l_partkey") % 97 == 0, F.lit(-1).cast("bigint")).otherwise(F.col("l_orderkey")).alias("observation_id"),
@@ -296,9 +296,10 @@ def missing_surfaces(spark: SparkSession, sf: str) -> DataFrame:
 
     part = table(spark, sf, "part")
     stories = part.select(key.alias("story_id"), F.array(tag("L", size), tag("L", size + key % 9), tag("M", key % 3)).alias("required"))
-    li = table(spark, sf, "lineitem").where("l_discount > 0.09 AND l_tax > 0.07 AND l_returnflag = 'A' AND l_quantity < 30")
-    executed = li.select(tag("L", F.col("l_quantity").cast("int")).alias("label")).union(
-        part.where("p_partkey % 3 = 1").select(tag("M", key % 3).alias("label"))
+    # What was not executed has a label that no story asks for.
+    ran = F.expr("l_discount > 0.09 AND l_tax > 0.07 AND l_returnflag = 'A' AND l_quantity < 30")
+    executed = table(spark, sf, "lineitem").select(F.when(ran, tag("L", F.col("l_quantity").cast("int"))).otherwise("idle").alias("label")).union(
+        part.select(F.when(key % 3 == 1, tag("M", key % 3)).otherwise("idle").alias("label"))
     )
     return T.missing_surfaces(stories, executed)
 

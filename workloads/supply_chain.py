@@ -201,7 +201,8 @@ def package_verdict(spark: SparkSession, sf: str) -> DataFrame:
     reg = table(spark, sf, "part").select(
         F.expr(_NAME).alias("name"), F.expr("CASE WHEN p_partkey % 10 = 1 THEN NULL ELSE p_size <> 7 END").alias("exists")
     )
-    latest = table(spark, sf, "part").where("p_size <> 9").select(F.expr(_NAME).alias("name"), F.expr(_VERSION).alias("version"))
+    known = F.when(F.col("p_size") != 9, F.expr(_NAME)).otherwise(F.concat(F.expr(_NAME), F.lit("-unlisted")))
+    latest = table(spark, sf, "part").select(known.alias("name"), F.expr(_VERSION).alias("version"))
     return supply.package_verdict(requests, reg, advisories(spark, sf), latest)
 
 
@@ -255,13 +256,14 @@ def license_inventory(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "license_inventory_gaps",
-    f"WITH {_CTE}, l AS (SELECT DISTINCT name, version FROM pk WHERE p_size <> 3), f AS (SELECT DISTINCT name, version FROM deps) "
+    f"WITH {_CTE}, l AS (SELECT DISTINCT CASE WHEN p_size = 3 THEN name || '-gone' ELSE name END AS name, version FROM pk), f AS (SELECT DISTINCT name, version FROM deps) "
     "SELECT coalesce(l.name, f.name) AS name, coalesce(l.version, f.version) AS version, CASE WHEN l.name IS NULL THEN "
     "'unexpected' ELSE 'missing' END AS side FROM l FULL JOIN f ON l.name = f.name AND l.version = f.version WHERE l.name IS "
     "NULL OR f.name IS NULL",
 )
 def license_inventory_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    locked = table(spark, sf, "part").where("p_size <> 3").select(F.expr(_NAME).alias("name"), F.expr(_VERSION).alias("version"))
+    name = F.when(F.col("p_size") == 3, F.concat(F.expr(_NAME), F.lit("-gone"))).otherwise(F.expr(_NAME))
+    locked = table(spark, sf, "part").select(name.alias("name"), F.expr(_VERSION).alias("version"))
     return supply.license_inventory_gaps(locked, dependencies(spark, sf))
 
 
