@@ -8,6 +8,7 @@ malformed as a whole come out of the matching ``*_issues`` function instead.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -95,50 +96,102 @@ JSON_LIMITS = {
 }
 
 
+def _reject(constant: str) -> None:
+    raise ValueError(constant)
+
+
 def _structure_code(text: str | None, limits: dict[str, int]) -> str:
+    """The first limit that a walk from the root meets, each container's last member first."""
     if text is None:
         return "INVALID_JSON"
     try:
-        root = json.loads(text)
-    except (ValueError, RecursionError):
+        root = json.loads(text, parse_constant=_reject)
+    except RecursionError:
+        return "TOO_DEEP"
+    except ValueError:
         return "INVALID_JSON"
-    nodes = 0
-    stack = [(root, 1)]
+    nodes = properties = items = 0
+    stack = [(root, 0)]
     while stack:
         value, depth = stack.pop()
         nodes += 1
-        if depth > limits["max_depth"]:
-            return "TOO_DEEP"
         if nodes > limits["max_nodes"]:
             return "TOO_MANY_NODES"
-        if isinstance(value, dict):
-            if len(value) > limits["max_properties"]:
-                return "TOO_MANY_PROPERTIES"
-            stack.extend((v, depth + 1) for v in value.values())
-        elif isinstance(value, list):
-            if len(value) > limits["max_items"]:
+        if depth > limits["max_depth"]:
+            return "TOO_DEEP"
+        if isinstance(value, list):
+            items += len(value)
+            if items > limits["max_items"]:
                 return "TOO_MANY_ITEMS"
             stack.extend((v, depth + 1) for v in value)
+        elif isinstance(value, dict):
+            properties += len(value)
+            if properties > limits["max_properties"]:
+                return "TOO_MANY_PROPERTIES"
+            whole = sorted((k for k in value if re.fullmatch("0|[1-9][0-9]{0,9}", k) and int(k) < 2**32 - 1), key=int)  # such names come first
+            stack.extend((value[k], depth + 1) for k in dict.fromkeys([*whole, *value]))
     return "OK"
 
 
+def json_structure(raw: Column) -> Column:
+    """``struct(valid, nodes, depth, properties, items)`` of a JSON text, in columns.
+
+    Strings become a letter and empty containers too; what is left has a comma between
+    members, a colon for each property, and brackets whose running sum is the depth (of
+    the root 0).  ``valid`` is false where the text is no JSON, or one that repeats a
+    name or nests deeper than the parser goes: such texts have to be walked.
+    """
+    bare = F.regexp_replace(raw, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "s")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\s+", ""), r"\[\]|\{\}", "e")
+    count = lambda text, mark: (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))).cast("bigint")
+    opened = lambda text: count(text, "[") + count(text, "{")
+    steps = F.split(F.translate(F.regexp_replace(bare, r"[^\[\]{}]+", ""), "{}", "[]"), "")
+    # Runs of brackets as one step each would be the same sum; texts without nesting have no step at all.
+    walk = F.aggregate(
+        steps, F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")),
+        lambda s, b: F.struct(
+            (s["at"] + F.when(b == "[", 1).when(b == "]", -1).otherwise(0)).alias("at"),
+            F.greatest(s["most"], s["at"] + F.when(b == "[", 1).when(b == "]", -1).otherwise(0)).alias("most"),
+        ),
+    )
+    members = count(bare, ",") + opened(bare)
+    properties = count(bare, ":")
+    return F.struct(
+        (F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), raw, F.lit("}"))).isNotNull()).alias("valid"), (members + 1).alias("nodes"),
+        F.when(opened(bare) <= 1, opened(bare).cast("int")).otherwise(walk["most"]).alias("depth"),
+        properties.alias("properties"), (members - properties).alias("items"),
+    )
+
+
 def json_bounds(docs: DataFrame, **limits: int) -> DataFrame:
-    """Add ``bounds_code``: size is tested on the column, structure in Arrow batches.
+    """Add ``bounds_code``: OK, TOO_LARGE, INVALID_JSON, TOO_MANY_NODES, TOO_DEEP, TOO_MANY_ITEMS or TOO_MANY_PROPERTIES.
 
-    Only documents inside the byte limit reach Python.
+    Limits are ``max_bytes, max_nodes, max_depth`` (the root has depth 0), and ``max_items`` and
+    ``max_properties`` of the whole document.  A valid document that keeps all of them, or
+    breaks one, is judged in columns.  Which of several comes first, and whether a text that the
+    column parser refuses is JSON all the same, is found by walking it: those rows alone
+    go to Python.
     """
     lim = {**JSON_LIMITS, **limits}
+    rows = docs.withColumn("_small", F.coalesce(F.octet_length("raw") <= lim["max_bytes"], F.lit(True)))
+    rows = evaluate_once(rows, [*docs.columns, "_small"], _s=F.when(F.col("_small"), json_structure(F.col("raw"))))
+    broken = F.array_compact(F.array(*[
+        F.when(F.col(f"_s.{name}") > lim[f"max_{name}"], code)
+        for name, code in (("nodes", "TOO_MANY_NODES"), ("depth", "TOO_DEEP"), ("items", "TOO_MANY_ITEMS"), ("properties", "TOO_MANY_PROPERTIES"))
+    ]))
+    code = F.when(~F.col("_small"), "TOO_LARGE").when(F.col("raw").isNull(), "INVALID_JSON").when(
+        F.col("_s.valid"), F.when(F.size(broken) == 0, "OK").when(F.size(broken) == 1, F.get(broken, F.lit(0)))
+    )
+    judged = rows.select(*docs.columns, code.alias("bounds_code"))
 
     @F.pandas_udf("string")
-    def structure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def walked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda t: _structure_code(t, lim))
 
-    small = F.octet_length("raw") <= lim["max_bytes"]
-    checked = docs.withColumn("_raw", F.when(small, F.col("raw"))).withColumn("_code", structure(F.col("_raw")))
-    return checked.withColumn(
-        "bounds_code", F.when(small, F.col("_code")).otherwise("TOO_LARGE")
-    ).drop("_raw", "_code")
+    plain = judged.where(F.col("bounds_code").isNotNull())
+    doubtful = judged.where(F.col("bounds_code").isNull()).drop("bounds_code")
+    return plain.unionByName(doubtful.withColumn("bounds_code", walked(F.col("raw"))))
 
 
 # --------------------------------------------------------------------------- SARIF

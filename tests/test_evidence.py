@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 
 import pytest
@@ -140,3 +141,52 @@ def test_subject_without_baseline_is_all_new(spark):
     base = spark.createDataFrame([("s", "s", "p", None, "f1"), ("s", "s", "p", "2020-01-01", "f2")], "subject_id string, baseline_subject_id string, policy_digest string, expires_at string, accepted string")
     got = {(r.subject_id, r.fingerprint): (r.baseline_status, r.verdict) for r in evidence.compare_baseline(current, base.withColumn("expires_at", F.to_timestamp("expires_at")), F.to_timestamp(F.lit("2024-01-01"))).collect()}
     assert got == {("s", "f1"): ("matched", "accepted"), ("s", "f2"): ("matched", "new"), ("t", "f1"): ("unavailable", "new")}
+
+
+def walk_of(value, depth=0):
+    """nodes, depth, properties, items by recursion."""
+    members = list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else []
+    below = [walk_of(v, depth + 1) for v in members]
+    return (1 + sum(b[0] for b in below), max([depth, *(b[1] for b in below)]), (len(members) if isinstance(value, dict) else 0) + sum(b[2] for b in below), (len(members) if isinstance(value, list) else 0) + sum(b[3] for b in below))
+
+
+def random_json(rng, depth):
+    kind = rng.randrange(8) if depth else rng.randrange(4)
+    if kind > 5:
+        return [random_json(rng, depth - 1) for _ in range(rng.randrange(4))]
+    if kind > 3:
+        return {rng.choice(["a", "b:,{", 'q"]', "\\", "7", "é", "x\n"]) + str(i): random_json(rng, depth - 1) for i in range(rng.randrange(4))}
+    return [None, True, -1.5e3, 'a "quoted", {text}: [\\]'][kind]
+
+
+def test_json_structure_in_columns(spark):
+    rng = random.Random(12)
+    values = [random_json(rng, rng.randrange(6)) for _ in range(400)] + [[], {}, [[]], [{}], {"a": []}, "[[[", 3]
+    texts = [json.dumps(v, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2])) for v in values]
+    texts += ['"' + "x" * 200_000 + '"', "[" + ",".join(['"\\\\\\""'] * 20_000) + "]"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, raw string")
+    got = {r.doc_id: r.s for r in docs.select("doc_id", S.json_structure(F.col("raw")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert tuple(got[i])[1:] == walk_of(json.loads(t)) and got[i].valid, t[:100]
+
+
+def test_json_bounds_agree_with_a_walk(spark):
+    rng = random.Random(13)
+    texts = [json.dumps(random_json(rng, 6)) for _ in range(300)] + [None, "", "{", "[1,]", "NaN", '{"a":1,"a":[1,2,3,4]}', "[" * 1500 + "]" * 1500, '["\u0001"]', " [1] ", "1 2", '{"a": Infinity}', "x" * 500]
+    docs, seen = spark.createDataFrame(list(enumerate(texts)), "doc_id int, raw string"), set()
+    for limits in ({}, {"max_depth": 2}, {"max_nodes": 6, "max_items": 3}, {"max_properties": 2, "max_items": 2, "max_depth": 3, "max_bytes": 400}):
+        lim = {**S.JSON_LIMITS, **limits}
+        got = {r.doc_id: r.bounds_code for r in S.json_bounds(docs, **limits).collect()}
+        want = {i: "TOO_LARGE" if t is not None and len(t.encode()) > lim["max_bytes"] else S._structure_code(t, lim) for i, t in enumerate(texts)}
+        assert got == want
+        seen |= {*want.values()}
+    assert seen >= {"OK", "TOO_LARGE", "INVALID_JSON", "TOO_DEEP", "TOO_MANY_ITEMS", "TOO_MANY_PROPERTIES"}
+
+
+def test_plain_documents_do_not_reach_python(spark):
+    docs = spark.createDataFrame([(1, '{"a":[1,2]}')], "doc_id int, raw string")
+    judged = S.json_bounds(docs)
+    assert [r.bounds_code for r in judged.collect()] == ["OK"]
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Union", 1)
+    assert "Python" not in above and below.count("ArrowEvalPython") == 1 and "isnull" in below.split("ArrowEvalPython", 1)[1]

@@ -369,7 +369,8 @@ def json_bounds(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"p":"'), F.repeat(F.lit("x"), 300), F.lit('"}')))
     )
     docs = table(spark, sf, "events").select("event_id", raw.alias("raw"))
-    return S.json_bounds(docs, max_bytes=256, max_depth=4, max_items=8).select("event_id", "bounds_code")
+    # the root has depth 0, so the nested text is one level too deep
+    return S.json_bounds(docs, max_bytes=256, max_depth=3, max_items=8).select("event_id", "bounds_code")
 
 
 # --------------------------------------------------------------------------- sinks
