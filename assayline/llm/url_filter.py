@@ -2,22 +2,27 @@
 
 Everything on the path of a url is built-in column functions in one projection: cut
 the url, look its tokens up in the index, run the patterns of the fetched rules,
-take the longest.  Nothing is shuffled but the counts of the rules' own tokens.
+take the longest.  Nothing is shuffled but the counts of the tokens.
 
-The rules are a list in the program, so index and patterns are literals of the plan,
-bounded by ``MAX_RULES``.
+The rules are a list in the program.  Index and patterns are two literals of the plan,
+whose shape does not depend on how many rules there are: a hash table of tokens, of
+which a token reads one bucket, and an array of patterns, of which a fetched rule reads
+its own.  So a url's cost follows its tokens and the rules that they fetch.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 10_000
+#: Tokens in a bucket of the index, on average.
+PER_BUCKET = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -107,9 +112,15 @@ def needs_of(rule: Rule | Pattern) -> Sequence[Sequence[str]]:
 
 def token_counts(urls: DataFrame, url: str, wanted: list[str]) -> dict[str, int]:
     """In how many urls each wanted token is; as many rows come back as the rules have tokens."""
-    tokens = url_tokens(host_of(F.col(url)), path_of(F.col(url)))
-    hits = urls.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("token"))
-    return {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tokens = urls.select(F.explode(url_tokens(host_of(F.col(url)), path_of(F.col(url)))).alias("token"))
+    rows = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(rows, "token", "left_semi")
+    return {r["token"]: r["n"] for r in counted.collect()}
+
+
+def bucket_of(token: str, n: int) -> int:
+    """The bucket of a token, as the columns compute it."""
+    return zlib.crc32(token.encode()) % n
 
 
 def rarest_token_index(rules: Sequence[Rule | Pattern], counts: dict[str, int]) -> dict[str, list[int]]:
@@ -135,24 +146,24 @@ def judge_urls(urls: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES,
     need no care.  Columns of ``urls`` named as the results are replaced.
     """
     every: list[Rule | Pattern] = [*rules, *patterns]
-    if len(every) > MAX_RULES:
-        raise ValueError(f"{len(every)} rules; at most {MAX_RULES} fit into a plan")
     wanted = sorted({t for r in every for needs in needs_of(r) for t in needs})
     index = rarest_token_index(every, token_counts(urls, url, wanted) if wanted else {})
+    n = max(1, len(index) // PER_BUCKET)
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for token, at in sorted(index.items()):
+        buckets[bucket_of(token, n)].append({"t": token, "r": at})
+    told = [
+        {"p": r.pattern, "s": len(r.name), "n": r.name, "v": r.verdict} if isinstance(r, Rule) else {"p": r.expression, "s": -1, "v": "block"}  # patterns come after all rules
+        for r in every
+    ]
+    # One foldable literal each: parsed once, when the plan is optimised.
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<t: string, r: array<int>>>>")
+    rule_list = F.from_json(F.lit(json.dumps(told)), "array<struct<p: string, s: int, n: string, v: string>>")
     cut = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-
-    def fit(i: int, text: Column) -> Column:
-        """(length, name, verdict) if rule i fits; patterns come after all rules."""
-        rule = every[i]
-        if isinstance(rule, Rule):
-            got = F.struct(F.lit(len(rule.name)).alias("size"), F.lit(rule.name).alias("name"), F.lit(rule.verdict).alias("verdict"))
-            return F.when(F.regexp_like(text, F.lit(rule.pattern)), got)
-        got = F.struct(F.lit(-1).alias("size"), F.lit(None).cast("string").alias("name"), F.lit("block").alias("verdict"))
-        return F.when(F.regexp_like(text, F.lit(rule.expression)), got)
-
-    text, tokens = F.concat("host", "path"), url_tokens(F.col("host"), F.col("path"))
-    # A when() without otherwise() is null, and its patterns do not run, unless the url has the token.
-    fetched = [F.when(F.array_contains("_tokens", token) if token else F.lit(True), fit(i, text)) for token, at in index.items() for i in at]
-    best = F.array_max(F.array(*fetched)) if fetched else F.lit(None).cast("struct<size: int, name: string, verdict: string>")
-    judged = cut.withColumn("_tokens", tokens).withColumn("_best", best)
-    return judged.withColumns({"rule": F.col("_best.name"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit("allow"))}).drop("_tokens", "_best")
+    text, tokens = F.concat("host", "path"), F.array_append(url_tokens(F.col("host"), F.col("path")), F.lit(""))
+    bucket = lambda t: F.get(table, F.pmod(F.crc32(F.encode(t, "UTF-8")), F.lit(n)).cast("int"))
+    fetched = F.flatten(F.transform(tokens, lambda t: F.flatten(F.transform(F.filter(bucket(t), lambda x: x["t"] == t), lambda x: x["r"]))))
+    fits = F.filter(F.transform(F.array_distinct(fetched), lambda i: F.get(rule_list, i)), lambda r: F.regexp_like(text, r["p"]))
+    best = F.array_max(F.transform(fits, lambda r: F.struct(r["s"].alias("size"), r["n"].alias("rule"), r["v"].alias("verdict"))))
+    judged = F.struct(best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit("allow")).alias("verdict"))
+    return cut.select(*[F.col(f"`{c}`") for c in cut.columns if c not in ("rule", "verdict")], F.inline(F.array(judged)))
