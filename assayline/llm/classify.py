@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import map_texts, remainder
+from assayline.llm.common import map_texts, pin, remainder, unpin
 
 #: Labelled rows that a model is fitted on at most (as expected size of a hash sample), and rows per shard.
 SAMPLE_ROWS = 24_000
@@ -46,17 +46,19 @@ def length(features: np.ndarray) -> float:
 
 
 def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], np.ndarray], size: int) -> np.ndarray:
-    """Mean of the weights that ``fit`` learns on each shard; one sparse vector per shard reaches the driver."""
+    """Mean of the weights that ``fit`` learns on each shard, all shards at once; one sparse vector for each of the few shards reaches the driver."""
 
     def shard(group: pa.Table) -> pa.Table:
         w = fit(*shard_rows(group))
         at = np.flatnonzero(w)
-        return pa.table({"at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "w": pa.array([w[at].astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"shard": group["shard"].slice(0, 1).cast(pa.int64()), "at": pa.array([at.astype(np.int32).tobytes()], pa.binary()), "w": pa.array([w[at].astype(np.float32).tobytes()], pa.binary())})
 
     total, n = np.zeros(size), 0
-    for r in rows.groupBy("shard").applyInArrow(shard, "at binary, w binary").toLocalIterator():
+    learned = pin(rows.groupBy("shard").applyInArrow(shard, "shard long, at binary, w binary"))
+    for r in sorted(learned.collect(), key=lambda r: r["shard"]):
         total[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["w"], np.float32)
         n += 1
+    unpin(learned)
     return total / max(n, 1)
 
 
