@@ -23,8 +23,8 @@ def words_in(text: Column) -> Column:
 
 
 def _draw(seed: Column) -> Column:
-    """A number in [0, 1) fixed by the document and the seed."""
-    h = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), seed)
+    """A number in [0, 1) fixed by the document (id, content, its number among equal ones) and the seed."""
+    h = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), F.col("content"), F.col("number"), seed)
     return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
 
 
@@ -56,7 +56,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
 def source_rates(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """One row per source: source, source_size, target, whole (copies of every document), part (chance of one more), seed.
 
-    ``docs`` has doc_id, source and size.
+    ``docs`` has doc_id, source, size, content (a hash) and number.
     """
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = targets(sources, weights, cap).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -92,10 +92,13 @@ def plan_mix(
     seeds a source uses the one that comes nearest to its target (ties: the smallest).
 
     Null text: size 0, and size 0 takes no words.  Null source is a source of its own,
-    last in order.  Rows with the same id and size share their draw.  Only the three
-    named columns are read; no documents give no rows.
+    last in order.  Rows that share an id draw by their text, and equal rows by their
+    number: they are counted and numbered from 1, so each has a draw of its own.  Only the
+    three named columns are read; no documents give no rows.
     """
-    rows = pin(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size")))
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("content"))
+    equal = sized.groupBy("doc_id", "source", "size", "content").agg(F.count(F.lit(1)).alias("n"))
+    rows = pin(equal.select("doc_id", "source", "size", "content", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number")))
     mixed = _with(rows, source_rates(rows, weights, cap)).withColumn("copies", _copies())
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -103,12 +106,13 @@ def plan_mix(
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """The documents of the mix: every column of ``docs`` (doc_id, text and source among them) and ``copy``, one row per copy.
 
-    Decisions and edge cases as in :func:`plan_mix`.  Texts meet only the table of
-    sources, so they are not shuffled while that table is small enough to broadcast.
+    Decisions and edge cases as in :func:`plan_mix`, but that rows with the same id and text share
+    a draw: to number them, texts would have to be shuffled.  Texts meet only the table of
+    sources, so they stay where they are while that table is small enough to broadcast.
     """
     docs, restore = shielded(docs, ("doc_id", "text", "source"))
-    sized = docs.withColumn("size", words_in(F.col("text")))
-    rows = pin(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size"))
+    sized = docs.withColumns({"size": words_in(F.col("text")), "content": F.xxhash64("text"), "number": F.lit(1).cast("long")})
+    rows = pin(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "content", "number"))
     copies = F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int")))
     out = _with(sized, source_rates(rows, weights, cap)).withColumn("_copies", _copies())
     return restore(out.select(*docs.columns, F.explode(copies).alias("copy")))

@@ -8,6 +8,7 @@ from operator import xor
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from brute import contamination, fingerprint, groups, low, mix_targets, near_items, repeats, words
 
 from assayline.llm import decontam, graph, mixing, simhash, substring_dedup, suffix_dedup, url_filter
@@ -147,8 +148,9 @@ def test_mixing(spark):
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source]) and r.taken == r.copies * r.size <= 3 * r.size
     assert sorted(map(str, got)) == sorted(map(str, mixing.plan_mix(docs.repartition(3)).collect()))
-    copies = mixing.mix(docs).collect()
-    assert len(copies) == sum(r.copies for r in got)
+    once = docs.dropDuplicates(["doc_id", "text"])
+    copies = mixing.mix(once).collect()
+    assert len(copies) == sum(r.copies for r in mixing.plan_mix(once).collect())
     assert mixing.plan_mix(spark.createDataFrame([], SCHEMA)).count() == 0 == mixing.mix(spark.createDataFrame([], SCHEMA)).count()
 
 
@@ -159,6 +161,28 @@ def test_mixing_reaches_targets(spark):
     assert all(abs(r["sum(taken)"] - r["max(target)"]) < 0.02 * r["max(target)"] for r in got)
 
 
+def test_mixing_reaches_targets_on_ties(spark):
+    """Sources whose documents share id and size, or are all one document."""
+    rows = [(None, f"w{i} w w w", "a") for i in range(1000)] + [(7, "w w w w", "b")] * 1000 + [(i, "w w w w", "c") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.plan_mix(docs)
+    got = {r.source: (r.t, r.g, r.n) for r in plan.groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g"), F.count("*").alias("n")).collect()}
+    assert {n for _, _, n in got.values()} == {1000} and all(abs(t - g) < 0.02 * g for t, g, _ in got.values())
+    assert sorted(map(str, plan.collect())) == sorted(map(str, mixing.plan_mix(docs.repartition(7)).collect()))
+
+
+def test_many_rules_make_no_longer_plan(spark):
+    """100 000 rules: the plan has as many lines as with five, and a url runs the patterns that its tokens fetch."""
+    many = [*url_filter.RULES, *(url_filter.Rule("block" if i % 2 else "allow", f"host{i}.example.com", f"/p{i}/") for i in range(100_000))]
+    urls = [(i, f"http://www.host{i}.example.com/p{i}/x") for i in range(0, 100_000, 9973)] + [(-1, "http://host5.example.com/p6/"), (-2, "http://a.org/")]
+    table = spark.createDataFrame(urls, "page_id long, url string").withColumn("_tokens", F.lit("mine"))
+    judged = url_filter.judge_urls(table, rules=many)
+    got = {r.page_id: (r.rule, r.verdict, r["_tokens"]) for r in judged.collect()}
+    assert got == {i: (f"host{i}.example.com/p{i}/", "block" if i % 2 else "allow", "mine") for i in range(0, 100_000, 9973)} | {-1: (None, "allow", "mine"), -2: ("org/", "allow", "mine")}
+    lines = lambda df: len(df._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert lines(judged) == lines(url_filter.judge_urls(table))
+
+
 def test_urls(spark):
     urls = [
         None, "", "no scheme", "http://", "https://A.Example.ORG/es/x?y=/en/1", "https://example.org/en/12", "https://example.org/en/2", "http://xexample.org/en/1",
