@@ -27,11 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from assayline.llm.common import ALNUM, pin, unpin
+from assayline.llm.common import ALNUM, map_texts, pin, unpin
 
-#: A word of a lower-cased text, and of any text.
+#: A word of a lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Positions of a text that one posting list covers.
 SPAN = 256
@@ -207,8 +206,8 @@ def judge_documents(
     unpin(met, exact, index, phrases, terms, each)
     own = {c: f"_keep{i}" for i, c in enumerate(keep) if c not in RESULTS}
     none = F.array().cast("array<string>")
-    n_words = F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(ANY_WORD)), F.lit(0)).cast("long")
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], n_words.alias("n_words"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_key"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.unhex(F.md5(F.col(text).cast("binary"))).alias("_key"), F.col(text).alias("_text"))
+    rows = map_texts(rows, lambda texts: {"n_words": pa.array([len(words(t)) for t in texts], pa.int64())}, "n_words long", "_text", (*own.values(), "_key"))
     out = rows.join(_broadcast_if_few(judged, BROADCAST_TEXTS).withColumnRenamed("key", "_key"), "_key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
