@@ -166,15 +166,13 @@ def safe_https_url(url: Column) -> Column:
 
 def safe_relative_path(path: Column) -> Column:
     """Relative POSIX path without escapes, empty or dot segments, within size bounds."""
-    segments = F.split(path, "/")
+    short = F.octet_length(path) <= 255
     return (
         (F.length(path) > 0)
         & (F.octet_length(path) <= 4096)
-        & ~path.rlike(r"[\x00-\x1f\x7f]")
-        & ~F.contains(path, F.lit("\\"))
-        & ~path.startswith("/")
-        & ~path.rlike("^[A-Za-z]:")
-        & F.forall(segments, lambda s: ~s.isin("", ".", "..") & (F.octet_length(s) <= 255))
+        & ~path.rlike(r"[\x00-\x1f\x7f\\]|^/|^[A-Za-z]:|(?:^|/)\.{0,2}(?:/|\z)")
+        # Only a long path can have a long segment.
+        & F.when(short, True).otherwise(F.forall(F.split(path, "/"), lambda s: F.octet_length(s) <= 255))
     )
 
 

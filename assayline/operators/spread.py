@@ -31,6 +31,14 @@ def evaluate_once(df: DataFrame, keep: list[str | Column], **computed: Column) -
     return df.select(*keep, F.inline(F.array(fields)))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out over all tasks by ``keys``, for operators whose rows cost far more to work on than to move.
+
+    Else a file of few row groups, or one with long documents, leaves most tasks idle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def top_n(
     df: DataFrame,
     keys: list[str],

@@ -20,7 +20,7 @@ from assayline.functions.digest import sha256_tag, uuid_from_text
 from assayline.functions.regex import js_trim
 from assayline.functions.severity import SEVERITIES, SEVERITY_SYNONYMS, lookup
 from assayline.functions.text import safe_relative_path
-from assayline.operators.spread import evaluate_once
+from assayline.operators.spread import dealt, evaluate_once
 
 _CONTROL = r"[\x00-\x1f\x7f]"
 
@@ -204,14 +204,15 @@ def imported_path(uri: Column) -> Column:
 
 
 def _unsafe_uri(uri: Column) -> Column:
-    https = uri.rlike(r"^https://[^/@]+(?:/|$)")
-    shape = uri.startswith("/") | F.array_contains(F.split(uri, "/"), "..") | uri.rlike(r"^[A-Za-z]:[\\/]")
-    return (uri == "") | (~https & shape)
+    # The cheap tests first: most locations have none of these shapes, and end there.
+    drive = (F.substring(uri, 2, 1) == ":") & uri.rlike(r"^[A-Za-z]:[\\/]")
+    shape = uri.startswith("/") | (F.contains(uri, F.lit("..")) & F.array_contains(F.split(uri, "/"), "..")) | drive
+    return (uri == "") | (shape & ~uri.rlike(r"^https://[^/@]+(?:/|$)"))
 
 
 def _sarif(docs: DataFrame) -> DataFrame:
     doc = F.from_json("raw", schemas.SARIF)
-    parsed = evaluate_once(docs, ["doc_id", "subject_id", "raw"], d=doc)
+    parsed = evaluate_once(dealt(docs.select("doc_id", "subject_id", "raw"), "doc_id", "raw"), ["doc_id", "subject_id", "raw"], d=doc)
     results = F.flatten(F.transform("d.runs", lambda r: F.coalesce(r["results"], F.array())))
     uris = F.flatten(
         F.transform(
@@ -236,17 +237,19 @@ def sarif_issues(docs: DataFrame) -> DataFrame:
 
 
 def _sarif_rows(docs: DataFrame) -> DataFrame:
-    rows = _sarif(docs).where(F.col("_issue").isNull()).select(
-        "doc_id", "subject_id", sha256_tag(F.col("raw")).alias("raw_digest"), F.posexplode("_r").alias("_i", "r")
-    )
-    places = F.transform(
-        F.coalesce("r.locations", F.array()),
-        lambda loc: F.struct(
+    good = _sarif(docs).where(F.col("_issue").isNull())
+    good = evaluate_once(good, ["doc_id", "subject_id", "_r"], raw_digest=sha256_tag(F.col("raw")))
+    rows = good.select("doc_id", "subject_id", "raw_digest", F.posexplode("_r").alias("_i", "r"))
+    def place(loc: Column) -> Column:
+        return F.struct(
             imported_path(loc["physicalLocation"]["artifactLocation"]["uri"]).alias("path"),
             loc["physicalLocation"]["region"]["startLine"].alias("line"),
-        ),
-    )
-    first = F.get(F.filter(places, lambda p: p["path"].isNotNull()), F.lit(0))
+        )
+
+    # Nearly always the first location will do; only then are the others looked at, in a lambda.
+    rows = evaluate_once(rows, ["doc_id", "subject_id", "raw_digest", "_i", "r"], _head=place(F.get("r.locations", F.lit(0))))
+    others = F.transform(F.coalesce("r.locations", F.array()), place)
+    first = F.when(F.col("_head.path").isNotNull(), F.col("_head")).otherwise(F.get(F.filter(others, lambda p: p["path"].isNotNull()), F.lit(0)))
     rule = _text(F.col("r.ruleId"))
     return evaluate_once(
         rows, ["doc_id", "subject_id", "raw_digest", (F.col("_i") + 1).alias("examined")],
@@ -471,25 +474,19 @@ _TRIVY_RULE = r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,255}$"
 
 def _trivy_items(docs: DataFrame) -> DataFrame:
     d = F.from_json("raw", schemas.TRIVY)
+    docs = dealt(docs.select("doc_id", "subject_id", "raw"), "doc_id", "raw")
     base = evaluate_once(docs, ["doc_id", "subject_id"], raw_digest=sha256_tag(F.col("raw")), d=d).where(
         F.col("d.Results").isNotNull()
     )
     null = F.lit(None).cast("string")
     no_line = F.lit(None).cast("bigint")
 
+    # Lambdas only gather members; what costs is done row by row behind the explode, where it is compiled.
     def item(kind: str, target: Column, rule: Column, title: Column, severity: Column, pkg: Column, version: Column,
              fixed: Column, line: Column) -> Column:
-        decoded = F.when(target != ".", F.try_url_decode(F.replace(target, F.lit("+"), F.lit("%2B"))))
         return F.struct(
-            F.lit(kind).alias("kind"),
-            F.when(safe_relative_path(decoded), decoded).alias("target"),
-            F.when(rule.rlike(_TRIVY_RULE), rule).alias("rule"),
-            _text(title).alias("title"),
-            F.when(F.lower(severity).isin(SEVERITIES), F.lower(severity)).otherwise("unknown").alias("severity"),
-            _text(pkg).alias("package"),
-            _text(version).alias("version"),
-            _text(fixed).alias("fixed"),
-            F.when(line > 0, line).alias("line"),
+            F.lit(kind).alias("kind"), target.alias("target"), rule.alias("rule"), title.alias("title"), severity.alias("severity"),
+            pkg.alias("package"), version.alias("version"), fixed.alias("fixed"), line.alias("line"),
         )
 
     def of_result(r: Column) -> Column:
@@ -513,9 +510,27 @@ def _trivy_items(docs: DataFrame) -> DataFrame:
         # flatten() is NULL when a member is NULL, so absent lists are left out first
         return F.flatten(F.filter(F.array(*parts), lambda p: p.isNotNull()))
 
-    rows = base.select(
+    raw = base.select(
         "doc_id", "subject_id", "raw_digest",
-        F.posexplode(F.flatten(F.transform("d.Results", of_result))).alias("pos", "x"),
+        F.posexplode(F.flatten(F.transform("d.Results", of_result))).alias("pos", "i"),
+    )
+    i = F.col
+    target = i("i.target")
+    plain = ~target.rlike("[%+]")
+    decoded = F.when(target != ".", F.when(plain, target).otherwise(F.try_url_decode(F.replace(target, F.lit("+"), F.lit("%2B")))))
+    rows = raw.select("doc_id", "subject_id", "raw_digest", "pos", "i", decoded.alias("_target")).select(
+        "doc_id", "subject_id", "raw_digest", "pos",
+        F.struct(
+            i("i.kind").alias("kind"),
+            F.when(safe_relative_path(F.col("_target")), F.col("_target")).alias("target"),
+            F.when(i("i.rule").rlike(_TRIVY_RULE), i("i.rule")).alias("rule"),
+            _text(i("i.title")).alias("title"),
+            F.when(F.lower("i.severity").isin(SEVERITIES), F.lower("i.severity")).otherwise("unknown").alias("severity"),
+            _text(i("i.package")).alias("package"),
+            _text(i("i.version")).alias("version"),
+            _text(i("i.fixed")).alias("fixed"),
+            F.when(i("i.line") > 0, i("i.line")).alias("line"),
+        ).alias("x"),
     )
     vulnerability = F.col("x.kind") == "vulnerability"
     complete = F.col("x.rule").isNotNull() & F.when(
