@@ -140,6 +140,7 @@ def tree_digest(
     member: Column,
     out: str = "digest",
     levels: tuple[int, ...] = (6, 3),
+    sums: dict[str, Column] | None = None,
 ) -> DataFrame:
     """One digest per key over a *set* of member strings, by a fixed hash tree.
 
@@ -148,20 +149,25 @@ def tree_digest(
     holds about ``n / 16**levels[0]`` hashes and every inner node at most 4096
     children.  One key holding a third of a huge table therefore still spreads
     over all tasks.  The result depends on the members and on ``levels`` only.
+    ``sums`` are added up over all rows on the same way, repeated members too.
     """
-    nodes = rows.select(*keys, F.sha2(member, 256).alias("_h")).distinct()
+    carried = [*(sums or {})]
+    up = [F.sum(c).alias(c) for c in carried]
+    hashed = rows.select(*keys, F.sha2(member, 256).alias("_h"), *[col.alias(c) for c, col in (sums or {}).items()])
+    nodes = hashed.groupBy(*keys, "_h").agg(*up) if carried else hashed.distinct()
     for width in levels:
         nodes = (
             nodes.groupBy(*keys, F.substring("_h", 1, width).alias("_b"))
-            .agg(F.array_sort(F.collect_list("_h")).alias("_hs"))
+            .agg(F.array_sort(F.collect_list("_h")).alias("_hs"), *up)
             .select(
                 *keys,
                 # the bucket name is kept in front so that the next level can cut it shorter
                 F.concat("_b", F.sha2(F.array_join("_hs", ""), 256)).alias("_h"),
+                *carried,
             )
         )
     return (
         nodes.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_h")).alias("_hs"))
-        .select(*keys, sha256_tag(F.array_join("_hs", "")).alias(out))
+        .agg(F.array_sort(F.collect_list("_h")).alias("_hs"), *up)
+        .select(*keys, sha256_tag(F.array_join("_hs", "")).alias(out), *carried)
     )

@@ -263,11 +263,10 @@ def snapshot_digest(groups: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def create_snapshot(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Snapshot header per key: digest, observation count, disagreements."""
-    head = groups.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_observations"), F.count_if("disagreement").alias("n_disagreements")
-    )
-    return head.join(snapshot_digest(groups, keys), keys)
+    """Snapshot header per key: digest, observation count, disagreements; the counts go up the digest's tree, so groups are read once."""
+    member = canonical_json(**{c: F.col(c) for c in groups.columns if c not in keys})
+    counts = {"n_observations": F.lit(1).cast("bigint"), "n_disagreements": F.coalesce(F.col("disagreement"), F.lit(False)).cast("bigint")}
+    return tree_digest(groups, keys, member, "snapshot_digest", sums=counts)
 
 
 def file_tree_digest(files: DataFrame) -> DataFrame:
