@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -12,9 +13,12 @@ from assayline.functions.severity import DEFAULT_MIN_CONFIDENCE
 from assayline.operators import context, project, provenance, scan, score, supply
 from assayline.operators.rules import DEFAULT_DETECTORS, OPTIONAL_DETECTORS
 from assayline.plans.extension import Detector, FileSignalSource, Lookups, RepoSignalSource
+from assayline.session import checkpoint_dir
 from assayline.sources import packages
 from assayline.sources.files import AGENT_CONFIGS
 
+#: Files that a detector reads by name: manifests, lockfiles, workspaces, environment and ignore files, framework and agent configurations.
+NAMED_FILES = r"(?:^|/)package\.json$|^(?:package-lock\.json|pnpm-workspace\.yaml|\.gitignore|" + "|".join(re.escape(x) for x in scan.ENV_FILES) + r")$|next\.config\.(?:js|ts|mjs)$|" + AGENT_CONFIGS
 LINE_DETECTORS = {"secrets", "injection", "misconfig", "ai-patterns", "api-hardening", "deep-auth"}
 
 
@@ -42,36 +46,50 @@ class ProjectScan:
     def lock_dependencies(self, files: DataFrame) -> DataFrame:
         return packages.flatten_lockfile(files.where(F.col("path") == "package-lock.json"))
 
-    def repo_facts(self, files: DataFrame) -> DataFrame:
-        return project.auth_facts(self.manifest_dependencies(files), files)
+    def named_files(self, files: DataFrame) -> DataFrame:
+        """The files that detectors read by name, routed out in one pass and written to the checkpoint folder.
+
+        They are few and small beside the sources; without this every detector would read all
+        contents again to find its own.
+        """
+        checkpoint_dir(files.sparkSession)
+        return files.where(F.col("path").rlike(NAMED_FILES)).checkpoint()
+
+    def repo_facts(self, files: DataFrame, named: DataFrame | None = None) -> DataFrame:
+        return project.auth_facts(self.manifest_dependencies(files if named is None else named), files)
 
     # ------------------------------------------------------------------ findings
     def raw_findings(
         self, files: DataFrame, diffs: DataFrame | None = None, agent_configs: DataFrame | None = None
     ) -> DataFrame:
-        """All detectors before any filter, in one union."""
-        facts = self.repo_facts(files)
+        """All detectors before any filter, in one union.
+
+        Contents are read twice: for the files with a name of their own (now), and for the lines
+        (when the result is used); what needs paths only reads no contents.
+        """
+        named = self.named_files(files)
+        facts = self.repo_facts(files, named)
         chosen = set(self.detectors)
         lines = [d for d in self.detectors if d in LINE_DETECTORS]
         parts = [scan.scan_files(files, detectors=lines, repo_facts=facts)] if lines else []
         if "misconfig" in chosen:
-            parts += [scan.missing_headers(files), scan.env_file_exposed(files)]
+            parts += [scan.missing_headers(named), scan.env_file_exposed(named)]
         if "api-hardening" in chosen:
             parts.append(scan.express_without_helmet(files))
         if "git-history" in chosen and diffs is not None:
             parts.append(scan.history_secrets(diffs))
         if "agent-surface" in chosen:
-            configs = files.where(F.col("path").rlike(AGENT_CONFIGS)) if agent_configs is None else agent_configs
+            configs = named.where(F.col("path").rlike(AGENT_CONFIGS)) if agent_configs is None else agent_configs
             parts.append(supply.agent_findings_of_servers(packages.read_agent_configs(configs)))
         advisories, registry = self.lookups.advisories, self.lookups.registry
         if advisories is not None:
             if "dependencies" in chosen:
-                parts.append(supply.vulnerable_dependencies(self.lock_dependencies(files), advisories))
+                parts.append(supply.vulnerable_dependencies(self.lock_dependencies(named), advisories))
             if "vendored-cves" in chosen:
                 parts.append(supply.vendored_vulnerabilities(files, advisories))
         if registry is not None and "slopsquat" in chosen:
-            names = packages.union_distinct_dependencies(self.manifest_dependencies(files), self.lock_dependencies(files))
-            own = packages.workspace_package_names(files)
+            names = packages.union_distinct_dependencies(self.manifest_dependencies(named), self.lock_dependencies(named))
+            own = packages.workspace_package_names(named)
             external = supply.external_dependencies(names, own)
             parts += [
                 supply.missing_packages(external, registry, self.lookups.at()),

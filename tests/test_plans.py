@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from assayline.operators import context, score
@@ -161,3 +163,15 @@ def test_bills_of_material_are_written_without_a_shuffle(spark, data):
     workloads.load_all()
     plan = workloads.QUERIES["export_bom"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Scan parquet") <= 6
+
+
+def test_contents_are_read_once_for_lines(spark, tmp_path):
+    """One scan of the plan reads contents; the files with a name of their own were routed out before."""
+    files = [("r", "package.json", '{"dependencies":{"express":"4"},"workspaces":["p/*"]}'), ("r", "p/a/package.json", '{"name":"own"}'), ("r", ".env", "X=1"), ("r", "src/a.js", "eval(userInput)"), ("r", "next.config.js", "x")]
+    spark.createDataFrame(files, "repo_id string, path string, content string").write.parquet(str(tmp_path / "files"))
+    scan = ProjectScan(lookups=lookups(spark))
+    found = scan.raw_findings(spark.read.parquet(str(tmp_path / "files")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: (struct<[^\n]*)", plan)
+    assert len(schemas) >= 2 and sum("content" in s for s in schemas) == 1
+    assert {"D5-001", "D5-004"} <= {r.rule for r in found.collect()}
