@@ -486,7 +486,7 @@ def surface_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # root manifests, one per supplier, beside the generated code
-_MANIFEST = (
+_ROOT_MANIFEST = (
     "CASE s_suppkey % 5 WHEN 4 THEN '[1]' WHEN 3 THEN '{\"name\":\"plain\"}' ELSE concat('{\"scripts\":{\"build\":\"x\",\"test', s_suppkey, '\":\"y\"},\"dependencies\":{\"express\":\"4\",\"p', s_suppkey, '\":\"1\"},\"devDependencies\":{\"vue\":\"3\"}}') END"
 )
 _MAN_OK = "FROM supplier WHERE s_suppkey % 5 < 3"
@@ -496,7 +496,7 @@ UNION ALL SELECT 's' || s_suppkey, 'package.json', 'config', NULL FROM supplier
 
 
 def _with_manifests(spark: SparkSession, sf: str) -> DataFrame:
-    manifests = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("repo_id"), F.lit("package.json").alias("path"), F.expr(_MANIFEST).alias("content"))
+    manifests = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("repo_id"), F.lit("package.json").alias("path"), F.expr(_ROOT_MANIFEST).alias("content"))
     return code_files(spark, sf).unionByName(manifests)
 
 
