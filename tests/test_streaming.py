@@ -162,3 +162,15 @@ def test_checkpoint_folder_is_not_made_up_on_a_cluster():
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
     with pytest.raises(ValueError):
         checkpoint_dir(far)
+
+
+def test_a_streamed_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    from workloads.streams import _source
+
+    spark.range(10).repartition(2).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    part = next((tmp_path / "folder" / "events.parquet").glob("part-*.parquet"))
+    (tmp_path / "file").mkdir()
+    (tmp_path / "file" / "events.parquet").write_bytes(part.read_bytes())
+    for form, rows in (("folder", 10), ("file", spark.read.parquet(str(part)).count())):
+        flows.run_available(_source(spark, str(tmp_path / form), "events"), str(tmp_path / f"cp_{form}"), str(tmp_path / f"out_{form}"))
+        assert spark.read.parquet(str(tmp_path / f"out_{form}")).count() == rows

@@ -19,9 +19,12 @@ from workloads.rule_pack import CRED, R, m
 
 
 def _source(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table as a file stream with its own schema."""
+    """A table, one file or a folder of files, as a file stream with its own schema.
+
+    The braces make the path a pattern: a stream takes a plain path for a folder.
+    """
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}}}.parquet")
 
 
 def _folders(spark: SparkSession) -> tuple[str, str]:
