@@ -77,6 +77,11 @@ def test_no_plan_pairs_everything_with_everything(spark, data):
     assert bad == []
 
 
+def test_dangling_references_broadcasts_no_exploded_observations(spark, data):
+    plan = workloads.QUERIES["dangling_references"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
+
+
 def patterns():
     out = []
     for name, value in vars(R).items():
