@@ -29,15 +29,48 @@ def monitor_alerts(advisories: DataFrame, dependencies: DataFrame, delay: str =
     ``dependencies`` (static): ``repo_id, name, version``.  Critical and high alerts are
     immediate, the rest goes to the digest.  A repeated (repository, package, version,
     advisory, severity, fixed version) within the delay is dropped; a changed severity
-    or fix is an alert of its own, whatever the order of arrival.
+    or fix is an alert of its own, whatever the order of arrival.  Repeated advisories of
+    a batch are one before they meet the dependencies, so the join makes alerts, not
+    repeats of them; ``discovered_at`` is the newest of the batch.
     """
-    hits = advisories.withWatermark("ts", delay).join(dependencies, ["name", "version"])
+    once = _newest_in_batch(advisories, ["name", "version", "vuln_id", "severity", "fixed_version"])
+    hits = once.withWatermark("ts", delay).join(dependencies.select("repo_id", "name", "version"), ["name", "version"])
     alerts = hits.select(
         "repo_id", F.col("name").alias("package"), F.col("version").alias("installed_version"), "fixed_version",
         F.col("vuln_id").alias("cve_id"), "severity", F.col("ts").alias("discovered_at"),
-        F.col("severity").isin(IMMEDIATE).alias("immediate"),
     )
-    return alerts.dropDuplicatesWithinWatermark(["repo_id", "package", "installed_version", "cve_id", "severity", "fixed_version"])
+    news = alerts.dropDuplicatesWithinWatermark(["repo_id", "package", "installed_version", "cve_id", "severity", "fixed_version"])
+    return news.withColumn("immediate", F.col("severity").isin(IMMEDIATE))
+
+
+def _newest_in_batch(rows: DataFrame, keys: list[str], held: int = 200_000) -> DataFrame:
+    """``keys`` and ``ts``: the repeats that meet in a micro-batch become their newest row; keeps no state.
+
+    Repeats shrink in the tasks that read them and once more beside their equals, so a hot key moves few
+    rows.  A task holds some ``held`` keys; beyond, it passes on what it has, so that repeats may
+    remain, but no key is lost.
+    """
+    import pyarrow as pa
+
+    rows = rows.select(*keys, "ts")
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            found = pa.concat_tables(kept).group_by(keys, use_threads=False).aggregate([("ts", "max")])
+            return found.rename_columns([*keys, "ts"] if found.column_names[0] == keys[0] else ["ts", *keys]).select([*keys, "ts"])
+
+        for batch in batches:
+            kept.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in kept) > held:
+                kept = [merged()]
+                if kept[0].num_rows > held // 2:
+                    yield from kept.pop().combine_chunks().to_batches()
+        if kept:
+            yield from merged().combine_chunks().to_batches()
+
+    return rows.mapInArrow(shrink, rows.schema).repartition(*keys).mapInArrow(shrink, rows.schema)
 
 
 def fresh_lookup(names: DataFrame, registry: DataFrame, hours: int = 24) -> DataFrame:

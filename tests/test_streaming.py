@@ -174,3 +174,15 @@ def test_a_streamed_table_may_be_a_file_or_a_folder(spark, tmp_path):
     for form, rows in (("folder", 10), ("file", spark.read.parquet(str(part)).count())):
         flows.run_available(_source(spark, str(tmp_path / form), "events"), str(tmp_path / f"cp_{form}"), str(tmp_path / f"out_{form}"))
         assert spark.read.parquet(str(tmp_path / f"out_{form}")).count() == rows
+
+
+def test_repeated_advisories_of_a_batch_meet_the_dependencies_once(spark):
+    schema = "name string, version string, ts timestamp"
+    rows = spark.range(3_000).selectExpr("IF(id % 7 = 0, NULL, concat('p', id % 7)) AS name", "'1' AS version", "timestamp_seconds(id) AS ts").repartition(3)
+    want = {(None if k == 0 else f"p{k}"): max(i for i in range(3_000) if i % 7 == k) for k in range(7)}
+    got = flows._newest_in_batch(rows, ["name", "version"])
+    assert got.schema.simpleString() == spark.createDataFrame([], schema).schema.simpleString()
+    found = got.select("name", F.unix_timestamp("ts").alias("ts")).collect()
+    assert len(found) == 7 and {r.name: r.ts for r in found} == want
+    tight = flows._newest_in_batch(rows, ["name", "version"], held=2).groupBy("name").agg(F.unix_timestamp(F.max("ts")).alias("ts")).collect()
+    assert {r.name: r.ts for r in tight} == want
