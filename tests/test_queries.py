@@ -82,6 +82,11 @@ def test_dangling_references_broadcasts_no_exploded_observations(spark, data):
     assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
 
 
+def test_policy_profiles_shuffle_no_findings(spark, data):
+    plan = workloads.QUERIES["policy_profiles"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def patterns():
     out = []
     for name, value in vars(R).items():
