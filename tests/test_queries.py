@@ -87,6 +87,11 @@ def test_policy_profiles_shuffle_no_findings(spark, data):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+def test_rows_are_checked_for_both_parts_in_one_pass(spark, data):
+    plan = workloads.QUERIES["valid_and_quarantined"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("sha2(") == 1
+
+
 def patterns():
     out = []
     for name, value in vars(R).items():

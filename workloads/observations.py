@@ -475,9 +475,7 @@ def validate_rows(spark: SparkSession, sf: str) -> DataFrame:
 )
 def valid_and_quarantined(spark: SparkSession, sf: str) -> DataFrame:
     checked = E.validate_rows(_table_observations(spark, sf))
-    valid = E.valid_rows(checked).select(F.lit("valid").alias("part"))
-    bad = E.quarantined_rows(checked).select(F.lit("quarantined").alias("part"))
-    return valid.union(bad).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    return checked.groupBy(E.row_part().alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --------------------------------------------------------------------------- provenance, binding, linkage
