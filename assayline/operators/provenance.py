@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.regex import matches, portable
-from assayline.operators.spread import previous_value, top_n
+from assayline.operators.spread import evaluate_once, previous_value, top_n
 
 # Agents, shapes and thresholds of the signals.
 AI_AGENTS = [
@@ -137,35 +137,37 @@ def trailer_signals(commits: DataFrame, commit_files: DataFrame, n: int = 20) ->
 def code_shape_metrics(files: DataFrame) -> DataFrame:
     """Comment density, documented functions, open work and indent spread per code file.
 
-    One file is one row; all metrics are folds over its line array.
+    One file is one row; all metrics are folds over its line array.  Each array is computed once:
+    copied into the folds, the mean would be taken anew for every line.
     """
-    lines = F.split("content", "\n", -1)
-    base = files.where(F.col("path").rlike(CODE_FILE)).select("repo_id", "path", lines.alias("_l"))
-    filled = F.filter("_l", lambda x: ~x.rlike(r"^\s*$"))
-    base = base.withColumn("_f", filled).withColumn("_c", F.filter("_f", lambda x: ~x.rlike(COMMENT_LINE)))
-    indents = F.transform("_c", lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1)).cast("double"))
+    code = files.where(F.col("path").rlike(CODE_FILE))
+    key = ["repo_id", "path"]
+    base = evaluate_once(code, key, _l=F.split("content", "\n", -1))
     heads = F.filter(
         F.transform("_l", lambda x, i: F.when(x.rlike(FUNCTION_LINE), i)), lambda i: i.isNotNull()
     )
-    base = base.withColumn("_i", indents).withColumn("_h", heads)
+    base = evaluate_once(base, [*key, "_l"], _f=F.filter("_l", lambda x: ~x.rlike(r"^\s*$")), _h=heads)
+    base = evaluate_once(base, [*key, "_l", "_f", "_h"], _c=F.filter("_f", lambda x: ~x.rlike(COMMENT_LINE)))
+    indents = F.transform("_c", lambda x: F.length(F.regexp_extract(x, r"^(\s*)", 1)).cast("double"))
+    base = evaluate_once(base, [*key, "_l", "_f", "_h", F.size("_c").alias("_n")], _i=indents)
+    n = F.col("_n")
+    mean = F.aggregate("_i", F.lit(0.0), lambda a, x: a + x) / n
+    base = evaluate_once(base, [*key, "_l", "_f", "_h", "_n", "_i"], _m=F.when(n > 0, mean).otherwise(0.0))
 
     def above(i: Column) -> Column:
         first = F.greatest(i - 4, F.lit(0))
         return F.array_join(F.slice("_l", first + 1, i - first), "\n")
 
     documented = F.size(F.filter("_h", lambda i: above(i).rlike(DOC_ABOVE)))
-    n = F.size("_c")
-    mean = F.aggregate("_i", F.lit(0.0), lambda a, x: a + x) / n
-    base = base.withColumn("_m", F.when(n > 0, mean).otherwise(0.0))
     spread = F.sqrt(F.aggregate("_i", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))) / n)
-    return base.select(
-        "repo_id", "path",
-        n.alias("code_lines"),
-        F.when(F.size("_f") > 0, (F.size("_f") - n) / F.size("_f")).otherwise(0.0).alias("comment_density"),
-        F.size("_h").alias("functions"),
-        documented.alias("documented"),
-        F.size(F.filter("_f", lambda x: matches(x, OPEN_WORK))).alias("open_work"),
-        F.when(n > 0, spread).otherwise(0.0).alias("indent_stddev"),
+    return evaluate_once(
+        base, key,
+        code_lines=n,
+        comment_density=F.when(F.size("_f") > 0, (F.size("_f") - n) / F.size("_f")).otherwise(0.0),
+        functions=F.size("_h"),
+        documented=documented,
+        open_work=F.size(F.filter("_f", lambda x: matches(x, OPEN_WORK))),
+        indent_stddev=F.when(n > 0, spread).otherwise(0.0),
     )
 
 
