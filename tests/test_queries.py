@@ -92,6 +92,16 @@ def test_rows_are_checked_for_both_parts_in_one_pass(spark, data):
     assert plan.count("FileScan parquet") == 1 and plan.count("sha2(") == 1
 
 
+def test_indents_of_a_file_are_measured_once(spark, data):
+    plan = workloads.QUERIES["code_shape_signals"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1
+
+
+def test_evidence_is_parsed_once_to_tell_its_format(spark, data):
+    plan = workloads.QUERIES["classify_evidence_format"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1
+
+
 def patterns():
     out = []
     for name, value in vars(R).items():
