@@ -97,12 +97,15 @@ def normalizer(formats: tuple[Format, ...]) -> type:
 
 def register_normalizers(spark: SparkSession, *formats: Format, name: str = FUNCTION) -> None:
     """Make ``name(document, format)`` a table function of the session, for the built-in formats and ``formats``."""
-    spark.udtf.register(name, F.udtf(normalizer((*BUILT_IN, *formats)), useArrow=True))  # type: ignore[call-overload]
+    spark.udtf.register(name, F.udtf(normalizer((*BUILT_IN, *formats)), useArrow=False))  # type: ignore[call-overload]
 
 
 def normalized(docs: DataFrame, format: Format, raw: str = "raw", keep: tuple[str | Column, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and the format's columns for every row that its documents give: the lateral join as a DataFrame."""
-    table = F.udtf(normalizer((format,)), useArrow=True)  # type: ignore[call-overload]
+    """``keep`` and the format's columns for every row that its documents give: the lateral join as a DataFrame.
+
+    Rows go over as pickled tuples: with ``useArrow`` each document would become a pandas frame of its own.
+    """
+    table = F.udtf(normalizer((format,)), useArrow=False)  # type: ignore[call-overload]
     names = StructType.fromDDL(format.columns).names
     kept = docs.select(*keep, F.col(raw).alias("_raw"))
     out = kept.lateralJoin(table(F.col("_raw").outer(), F.lit(format.name)))
