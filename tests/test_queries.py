@@ -102,6 +102,12 @@ def test_evidence_is_parsed_once_to_tell_its_format(spark, data):
     assert plan.count("parseJson(") == 1
 
 
+def test_the_table_function_makes_no_frame_per_document(spark, data):
+    for name in ("normalize_cyclonedx", "normalize_detect_secrets"):
+        plan = workloads.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+
+
 def patterns():
     out = []
     for name, value in vars(R).items():
