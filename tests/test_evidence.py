@@ -190,3 +190,27 @@ def test_plain_documents_do_not_reach_python(spark):
     plan = judged._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Union", 1)
     assert "Python" not in above and below.count("ArrowEvalPython") == 1 and "isnull" in below.split("ArrowEvalPython", 1)[1]
+
+
+def test_archives_are_judged_in_one_exchange_by_archive(spark):
+    rows = [
+        # the size is passed before a bad link, though a negative size brings the total back
+        ("a", 1, "x", "file", 200, None), ("a", 2, "l", "symlink", 0, "../../t"), ("a", 3, "y", "file", -150, None),
+        # a member without a path is a member
+        ("b", 1, "x", "file", 1, None), ("b", 2, None, "file", 1, None),
+        ("c", 1, "x", "file", 1, None), ("c", 2, "y", "file", 1, None), ("c", 3, "x", "file", 1, None), ("c", 4, "x", "file", 1, None),
+        ("d", 1, "x", "file", 1, None),
+        *[("e", i, f"p{i}", "file", 1, None) for i in range(6)],
+    ]
+    df = spark.createDataFrame(rows, "archive_id string, pos int, path string, kind string, size long, link_target string")
+    found = P.archive_issues(df.repartition(4), 5, 120)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the counts of the largest, and the members
+    assert plan.count("Exchange hashpartitioning(archive_id") <= 3 and "SortMergeJoin" not in plan
+    assert {r.archive_id: r.code for r in found.collect()} == {"a": "LIMIT", "b": "TRAVERSAL", "c": "DUPLICATE", "d": None, "e": "LIMIT"}
+
+
+def test_archives_beyond_the_ordered_size_are_over_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(P, "ROWS_PER_RANGE", 10)
+    df = spark.range(40).selectExpr("CASE WHEN id < 30 THEN 'big' ELSE 'small' END AS archive_id", "id AS pos", "concat('p', id) AS path", "'file' AS kind", "1L AS size", "CAST(NULL AS string) AS link_target")
+    assert {r.archive_id: r.code for r in P.archive_issues(df, 10, 100).collect()} == {"big": "LIMIT", "small": None}
