@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from assayline.operators.spread import dealt
+
 FUNCTION = "normalize"
 
 
@@ -108,5 +110,7 @@ def normalized(docs: DataFrame, format: Format, raw: str = "raw", keep: tuple[st
     table = F.udtf(normalizer((format,)), useArrow=False)  # type: ignore[call-overload]
     names = StructType.fromDDL(format.columns).names
     kept = docs.select(*keep, F.col(raw).alias("_raw"))
+    # A table function runs where its documents lie: those of one row group would be one task.
+    kept = dealt(kept, *[f.name for f in kept.schema if "map<" not in f.dataType.simpleString()])
     out = kept.lateralJoin(table(F.col("_raw").outer(), F.lit(format.name)))
     return out.select(*[c for c in kept.columns if c != "_raw"], *names)

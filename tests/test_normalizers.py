@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from assayline.plans.normalizers import CYCLONEDX_COMPONENTS, Format, normalized, normalizer, register_normalizers
+from assayline.plans.normalizers import CYCLONEDX_COMPONENTS, DETECT_SECRETS, Format, normalized, normalizer, register_normalizers
 from assayline.sources import evidence
 
 
@@ -42,3 +42,10 @@ def test_plugged_in_twin_of_a_built_in_importer(spark):
     ).withColumn("subject_id", F.lit("s"))
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(normalized(docs, CYCLONEDX_COMPONENTS)) == rows(evidence.cyclonedx_components(docs))
+
+
+def test_documents_of_one_row_group_are_dealt_out(spark):
+    docs = spark.range(400).coalesce(1).selectExpr("id AS doc_id", """concat('{"version":"1","plugins_used":[],"results":{"a', id, '":[{"type":"t"}]}}') AS raw""", "map('k', id) AS m")
+    found = normalized(docs, DETECT_SECRETS, keep=("doc_id", "m"))
+    assert found.where("path = concat('a', doc_id) AND m['k'] = doc_id").count() == 400
+    assert "Exchange hashpartitioning" in found._jdf.queryExecution().executedPlan().toString()
