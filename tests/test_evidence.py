@@ -214,3 +214,42 @@ def test_archives_beyond_the_ordered_size_are_over_the_limit(spark, monkeypatch)
     monkeypatch.setattr(P, "ROWS_PER_RANGE", 10)
     df = spark.range(40).selectExpr("CASE WHEN id < 30 THEN 'big' ELSE 'small' END AS archive_id", "id AS pos", "concat('p', id) AS path", "'file' AS kind", "1L AS size", "CAST(NULL AS string) AS link_target")
     assert {r.archive_id: r.code for r in P.archive_issues(df, 10, 100).collect()} == {"big": "LIMIT", "small": None}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_digest_tree_moves_its_members_once(spark):
+    df = spark.range(300).selectExpr("id % 3 AS k", "concat('m', id % 90) AS m")
+    tree = digest.tree_digest(df, ["k"], F.col("m"), sums={"n": F.lit(1).cast("bigint")})
+    assert _plan(tree).count("Exchange ") == 2
+    assert {r.k: r.n for r in tree.collect()} == {0: 100, 1: 100, 2: 100}
+
+
+def test_facts_of_baselines_are_joined_without_moving_fingerprints_by_subject(spark):
+    current = spark.range(50).selectExpr("concat('s', id % 2) AS subject_id", "'p' AS policy_digest", "concat('f', id) AS fingerprint")
+    base = spark.range(60).selectExpr(
+        "concat('s', id % 2) AS subject_id", "'s0' AS baseline_subject_id", "'p' AS policy_digest", "CAST(NULL AS timestamp) AS expires_at", "concat('f', id * 2) AS accepted"
+    )
+    found = E.compare_baseline(current, base, F.lit("2024-01-01").cast("timestamp"))
+    # the facts' size is known when the join is planned
+    assert "FileScan parquet [subject_id" in _plan(found)
+    assert {(r.baseline_status, r.verdict) for r in found.collect()} == {("matched", "accepted"), ("matched", "new"), ("mismatched", "new")}
+
+
+def test_observations_are_judged_without_a_list_of_issues(spark):
+    docs = spark.createDataFrame(
+        [(1, "s", '{"version":"2.1.0","runs":[{"results":[' + ",".join(
+            '{"ruleId":"r%d","locations":[{"physicalLocation":{"artifactLocation":{"uri":"%s"},"region":{"startLine":1}}}]}' % (i, u)
+            for i, u in enumerate(["a%20b", "a+b", "x%2", "%zz", "100%", "%C3%A9", "plain", "%2e%2e/x"])
+        ) + "]}]}")], "doc_id int, subject_id string, raw string",
+    )
+    found = S.import_sarif(docs)
+    assert sorted(r.path for r in found.collect()) == ["a b", "a+b", "plain", "é"]
+    # what a generator's argument computes is interpreted, so it is a column
+    generators = [line for line in _plan(found).split("\n") if "Generate inline(" in line]
+    assert generators and all("Generate inline(array(_computed" in g for g in generators)
+    odd = found.unionByName(found.withColumns({"severity": F.lit(None).cast("string"), "path": F.lit("../x")})).unionByName(found.withColumn("confidence_score", F.lit(2.0)))
+    same = E.validate_rows(odd).select(((F.size("issues") == 0) == E.observation_is_valid()).alias("same"), E.observation_is_valid().alias("ok")).collect()
+    assert all(r.same for r in same) and {r.ok for r in same} == {True, False}
