@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayline.functions.regex import matches, portable
-from assayline.operators.spread import evaluate_once, previous_value, top_n
+from assayline.operators.spread import dealt, evaluate_once, previous_value, top_n
 
 # Agents, shapes and thresholds of the signals.
 AI_AGENTS = [
@@ -105,10 +105,12 @@ def file_trailers(commits: DataFrame, commit_files: DataFrame, n: int | None = N
     """Per file, over all its commits or its newest ``n``: how many carry a trailer, which agents, bot, header.
 
     Bodies are reduced to a label before the join, so text is never shuffled; agents
-    come from a fixed list, so the collected set is bounded.
+    come from a fixed list, so the collected set is bounded.  Files are dealt out by commit, once for
+    the distinct rows and the join: narrow rows compress so well that partitions cut by size hold too many.
     """
     labels = commits.select("repo_id", "sha", "ts", trailer_label(F.col("body")).alias("label"))
-    touched = commit_files.select("repo_id", "sha", "path").distinct().join(labels, ["repo_id", "sha"])
+    files = dealt(commit_files.select("repo_id", "sha", "path"), "repo_id", "sha")
+    touched = files.distinct().join(labels, ["repo_id", "sha"])
     newest = touched if n is None else recent_n_per_key(touched, ["repo_id", "path"], n)
     return (
         newest.groupBy("repo_id", "path")

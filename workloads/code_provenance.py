@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.operators import provenance as P
-from assayline.operators.spread import carry_forward
+from assayline.operators.spread import carry_forward, dealt
 from assayline.sources import history
 from workloads import query
 from workloads.bindings import pick, quote, rx, sql_pick, table
@@ -33,9 +33,9 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
 
 def commit_files(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    files = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     return (
-        table(spark, sf, "lineitem")
-        .select("l_orderkey", "l_partkey", "l_quantity")
+        dealt(files, "l_orderkey")
         .join(o, "l_orderkey")
         .select(
             F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("repo_id"),
