@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from assayline.operators.evidence import labels
 from assayline.operators.rules import RULES
+from assayline.operators.spread import dealt
 
 
 def rules_table(df: DataFrame) -> DataFrame:
@@ -321,8 +322,13 @@ def flatten_targets(manifests: DataFrame) -> DataFrame:
 
 
 def missing_entrypoints(manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """``package, field, issue`` for manifest targets that are not relative, escape, or do not exist."""
-    t = flatten_targets(manifests)
+    """``package, field, issue`` for manifest targets that are not relative, escape, or do not exist.
+
+    Manifests are dealt out before they are parsed.  A target whose file is there leaves in an anti join, for
+    which the files need not be made distinct; both sides are dealt out, for their narrow rows
+    compress so well that partitions cut by size hold too many.
+    """
+    t = flatten_targets(dealt(manifests, "package"))
     path = F.substring("target", F.lit(3), F.length("target"))
     segments = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
     shape = (
@@ -330,9 +336,10 @@ def missing_entrypoints(manifests: DataFrame, files: DataFrame) -> DataFrame:
         .when((path == "") | path.startswith("/") | F.arrays_overlap(segments, F.array(F.lit(".."), F.lit("."))), "escapes the package root")
     )
     checked = t.select("package", "field", path.alias("path"), shape.alias("_shape"))
-    known = files.select("package", "path", F.lit(True).alias("_have")).distinct()
-    issue = F.coalesce("_shape", F.when(F.col("_have").isNull(), F.concat(F.lit("missing file "), "path")))
-    return checked.join(known, ["package", "path"], "left").select("package", "field", issue.alias("issue")).where(F.col("issue").isNotNull())
+    known = dealt(files.select(F.col("package").alias("_package"), F.col("path").alias("_path")), "_package", "_path")
+    there = (F.col("package") == F.col("_package")) & (F.col("path") == F.col("_path")) & F.col("_shape").isNull()
+    issue = F.coalesce("_shape", F.concat(F.lit("missing file "), "path"))
+    return dealt(checked, "package", "path").join(known, there, "left_anti").select("package", "field", issue.alias("issue"))
 
 
 def checklist_rows(docs: DataFrame) -> DataFrame:
