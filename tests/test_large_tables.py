@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from assayline.operators import provenance, studies
+from pyspark.sql import functions as F
+
+from assayline.functions.digest import packed, unpacked
+from assayline.operators import evidence, provenance, studies
 
 
 def plan_of(df) -> str:
@@ -33,3 +36,22 @@ def test_entrypoints_meet_files_without_distinct_rows(spark):
         ("", "main", "missing file a.js"), ("p", "bin", "must be a package-relative path"), ("p", "exports[0]", "missing file c.js"),
         ("p", "exports[1]", "escapes the package root"), ("p", "types", "missing file b.ts"),
     ]
+
+
+def test_packed_keys_are_as_different_as_their_texts(spark):
+    digest = "sha256:" + "0a" * 32
+    texts = [digest, digest.upper(), digest + "0", digest[:-1], "sha256:same", "sha256:", "", "\x01", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packed(F.col("t")).alias("k"))
+    got = rows.select("t", F.length("k").alias("n"), F.hex("k").alias("h"), unpacked(F.col("k")).alias("back")).collect()
+    assert all(r.back == r.t for r in got) and len({r.h for r in got}) == len(texts)
+    assert {r.t: r.n for r in got}[digest] == 33
+
+
+def test_groups_are_shuffled_by_packed_fingerprints(spark):
+    digest = "sha256:" + "ab" * 32
+    rows = [(digest, "p", "1"), (digest, "q", "2"), ("other", "p", "1"), ("other", "p", "1"), (None, "p", None)]
+    found = evidence.correlate(spark.createDataFrame(rows, "fingerprint string, producer_id string, payload string"), F.col("payload"))
+    assert "hashpartitioning(_f" in plan_of(found)
+    assert {(r.fingerprint, tuple(r.producer_ids), r.n_payloads, r.disagreement) for r in found.collect()} == {
+        (digest, ("p", "q"), 2, True), ("other", ("p",), 2, False), (None, ("p",), 1, None),
+    }
