@@ -55,3 +55,12 @@ def test_groups_are_shuffled_by_packed_fingerprints(spark):
     assert {(r.fingerprint, tuple(r.producer_ids), r.n_payloads, r.disagreement) for r in found.collect()} == {
         (digest, ("p", "q"), 2, True), ("other", ("p",), 2, False), (None, ("p",), 1, None),
     }
+
+
+def test_evidence_meets_attempts_by_a_digest_of_the_binding(spark, data):
+    import workloads
+
+    workloads.load_all()
+    plan = plan_of(workloads.QUERIES["audit_release_evidence"](spark, data))
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert any("_b#" in j for j in joins)
