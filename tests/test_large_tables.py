@@ -64,3 +64,26 @@ def test_evidence_meets_attempts_by_a_digest_of_the_binding(spark, data):
     plan = plan_of(workloads.QUERIES["audit_release_evidence"](spark, data))
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert any("_b#" in j for j in joins)
+
+
+def test_results_of_a_subject_are_shuffled_once(spark, data):
+    import workloads
+
+    workloads.load_all()
+    plan = plan_of(workloads.QUERIES["export_sarif"](spark, data))
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_bill_of_material_is_parsed_in_one_pass(spark, data):
+    import workloads
+
+    workloads.load_all()
+    plan = plan_of(workloads.QUERIES["export_bom"](spark, data))
+    assert "Exchange" not in plan and plan.count("Scan parquet") == 2
+
+
+def test_fuzzy_groups_without_subject_or_producer_make_no_pairs(spark):
+    rows = [("s", None, "p", "a", 1), ("s", "", "q", "b", 2), (None, "r", "p", "a", 3), (None, "r", "q", "b", 4), ("s", None, None, "c", 5), ("s", None, "p", None, 6)]
+    found = evidence.fuzzy_duplicates(spark.createDataFrame(rows, "subject_id string, rule string, producer_id string, location string, pos long"))
+    assert "Aggregate" not in plan_of(found).split("Join", 1)[1]
+    assert {tuple(r) for r in found.collect()} == {("p", "q"), ("q", "p"), ("p", "p")}
