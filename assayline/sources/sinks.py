@@ -69,7 +69,7 @@ def export_bom(docs: DataFrame) -> DataFrame:
     fmt = F.when(F.get_json_object("raw", "$.bomFormat") == "CycloneDX", "cyclonedx").when(
         F.get_json_object("raw", "$.spdxVersion").isNotNull(), "spdx"
     )
-    good = well_formed(docs.withColumn("format", fmt), ("doc_id", "format", "raw"))
+    good = well_formed(evaluate_once(docs, ["doc_id", "raw"], format=fmt), ("doc_id", "format", "raw"))
     return good.select("doc_id", "format", canonical_document(F.col("raw")).alias("document"))
 
 
