@@ -87,3 +87,16 @@ def test_fuzzy_groups_without_subject_or_producer_make_no_pairs(spark):
     found = evidence.fuzzy_duplicates(spark.createDataFrame(rows, "subject_id string, rule string, producer_id string, location string, pos long"))
     assert "Aggregate" not in plan_of(found).split("Join", 1)[1]
     assert {tuple(r) for r in found.collect()} == {("p", "q"), ("q", "p"), ("p", "p")}
+
+
+def test_records_are_joined_by_packed_digests(spark):
+    members = spark.createDataFrame(
+        [(1, "a", "sha256:x", 1, False, "none"), (1, "b", "sha256:x", 1, False, "none"), (1, "c", "sha256:y", 1, False, "none"), (1, "d", None, 1, False, "none"), (1, "e", "sha256:z", 1, False, "none")],
+        "record_id long, path string, digest string, size long, required boolean, redaction string",
+    )
+    payloads = spark.createDataFrame([(1, "sha256:y", "p")], "record_id long, digest string, payload string")
+    found = evidence.record_integrity(members, payloads)
+    assert "_d#" in "".join(line for line in plan_of(found).splitlines() if "Join" in line)
+    assert {(r.path, r.error) for r in found.collect()} == {
+        ("a", "member digest is duplicated"), ("b", "member digest is duplicated"), ("c", "digest mismatch"), ("e", "payload is missing"),
+    }
