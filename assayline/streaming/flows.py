@@ -127,8 +127,12 @@ def score_history(scores: DataFrame, delay: str = "7 days") -> DataFrame:
     :func:`assayline.streaming.state.state_store`.
     """
     rows = scores.select("repo_id", "ts", F.col("score").cast("int").alias("value")).withWatermark("ts", delay)
-    ordered = rows.groupBy("repo_id").transformWithState(InEventOrder(), "key string, ts timestamp, previous int, current int", "Append", "EventTime")
-    return ordered.withColumnRenamed("key", "repo_id")
+    ordered = rows.groupBy("repo_id").transformWithState(
+        InEventOrder(), "key string, at array<long>, previous array<long>, current array<long>", "Append", "EventTime"
+    )
+    each = ordered.select(F.col("key").alias("repo_id"), F.explode(F.arrays_zip("at", "previous", "current")).alias("r"))
+    values = [F.nullif(F.col(f"r.{c}"), F.lit(InEventOrder.NONE)).cast("int").alias(c) for c in ("previous", "current")]
+    return each.select("repo_id", F.timestamp_micros("r.at").alias("ts"), *values)
 
 
 # --------------------------------------------------------------------------- batch bodies

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from assayline.streaming import flows
-from assayline.streaming.state import BucketedState, state_store
+from assayline.streaming.state import BucketedState, InEventOrder, state_store
 
 
 def source(spark, path, schema):
@@ -129,6 +129,35 @@ def test_scores_arriving_in_any_order_follow_their_predecessor(spark, tmp_path):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_scores_are_held_in_blocks_and_only_late_ones_are_dropped(spark, tmp_path):
+    """The store is asked per key and block, not per score; blocks that the watermark cuts keep their rest."""
+    n, at = InEventOrder.BLOCK + 100, "timestamp_micros(1704067200000000 + {} * 7000001L)".format
+    value = "CAST(CASE WHEN id % 5 > 0 THEN id % 11 - 5 END AS INT)"
+    big = spark.range(n).selectExpr("'big' AS repo_id", f"{at('(id * 1237 % ' + str(n) + ') div 2')} AS ts", f"{value} AS score")
+    small = spark.range(40).selectExpr("'s' || id % 4 AS repo_id", f"{at('id')} AS ts", f"{value} AS score")
+    scores = big.union(small)
+    one = lambda repo, ts: spark.sql(f"SELECT '{repo}' AS repo_id, {ts} AS ts, CAST(9 AS INT) AS score")
+    arriving = [scores, one("s0", at(n // 3) + " + INTERVAL 1 HOUR"), one("big", at(1)), one("end", "TIMESTAMP '2999-01-01'")]
+    (tmp_path / "in").mkdir()
+    src = spark.readStream.schema(scores.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    progress = []
+    for i, rows in enumerate(arriving):
+        rows.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        with state_store(spark):
+            writer = flows.score_history(src, "1 hour").writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+            query = writer.format("parquet").start(str(tmp_path / "out"))
+        query.awaitTermination()
+        progress.append([p.stateOperators[0] for p in query.recentProgress])
+        if i == 2:
+            assert 0 < spark.read.parquet(str(tmp_path / "out")).where("repo_id = 'big'").count() < n
+    assert progress[0][0].numRowsUpdated <= 2 * 5 + 1
+    assert sum(s.numRowsDroppedByWatermark for steps in progress for s in steps) == 1
+    want = scores.union(arriving[1]).selectExpr("repo_id", "ts", "lag(score) OVER (PARTITION BY repo_id ORDER BY ts, score) AS previous", "score AS current")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.dtypes == want.dtypes and got.count() == n + 41
+    assert got.exceptAll(want).count() == 0
+
+
 def test_a_raised_severity_alerts_whatever_comes_first(spark, tmp_path):
     schema = "name string, version string, vuln_id string, severity string, fixed_version string, ts string"
     for i, order in enumerate((["medium", "critical"], ["critical", "medium"])):
