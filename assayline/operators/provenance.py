@@ -30,6 +30,8 @@ SHAPE_MIN_LINES, SHAPE_MIN_FILES, SHAPE_MAX_GAP = 400, 3, 300
 TRAILER_WEIGHT, COMMIT_WEIGHT, CODE_WEIGHT = 1.0, 0.7, 0.4
 AI_LIKELY, MIXED = 0.7, 0.4
 RATIO_MIN_LOC = 200
+#: A likelihood without the noise of its double, for exact sums.
+LIKELIHOOD = "decimal(13,12)"
 CODE_MIN_LINES = 40
 CODE_FILE = r"\.(?:m?[jt]sx?|mts|cts)$"
 FUNCTION_LINE = (
@@ -267,7 +269,8 @@ def repo_provenance(provenance: DataFrame, findings: DataFrame) -> DataFrame:
     """Share of machine-authored lines and finding densities per repository.
 
     Findings are counted per file before they meet the files, so the join is one
-    row per file on both sides whatever the number of findings.
+    row per file on both sides whatever the number of findings.  Lines are weighed in decimals: as
+    doubles, 0.7 + 0.1 is less than 0.8 and a sum depends on its order, which moves shares that end in a half.
     """
     per_file = findings.groupBy("repo_id", F.col("file").alias("path")).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col("severity") == "critical").alias("_crit")
@@ -278,7 +281,7 @@ def repo_provenance(provenance: DataFrame, findings: DataFrame) -> DataFrame:
     crit = F.coalesce("_crit", F.lit(0))
     agg = rows.groupBy("repo_id").agg(
         F.sum(F.coalesce("n_lines", F.lit(0))).alias("loc"),
-        F.sum(F.coalesce(F.col("n_lines") * F.col("ai_likelihood"), F.lit(0.0))).alias("weighted"),
+        F.sum(F.coalesce(F.col("n_lines") * F.col("ai_likelihood").cast(LIKELIHOOD), F.lit(0))).cast("double").alias("weighted"),
         F.sum(F.when(ai, F.col("n_lines")).otherwise(0)).alias("ai_loc"),
         F.sum(F.when(human, F.col("n_lines")).otherwise(0)).alias("human_loc"),
         F.sum(F.when(ai, n).otherwise(0)).alias("ai_findings"),

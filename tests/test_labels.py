@@ -106,6 +106,18 @@ def test_plugged_in_signals_count(spark):
     assert (likelihood(), likelihood(repo_signals=[Repos()]), likelihood(file_signals=[Files()])) == (0.0, 0.2, 1.0)
 
 
+def test_a_share_that_ends_in_a_half_is_rounded_from_exact_lines(spark):
+    from assayline.operators import provenance
+
+    files = spark.createDataFrame([("r", "a.ts", 215), ("r", "b.ts", 785)], "repo_id string, path string, n_lines long")
+    signals = spark.createDataFrame([("r", "a.ts", provenance.COMMIT_WEIGHT, True)], "repo_id string, path string, weight double, fired boolean")
+    prior = spark.createDataFrame([("r", provenance.ARTIFACT_BOOST)], "repo_id string, prior double")
+    found = provenance.combine_signals(files, signals, prior)
+    findings = spark.createDataFrame([], "repo_id string, file string, severity string")
+    # (215 * 0.8 + 785 * 0.1) / 1000 = 25.05 %
+    assert provenance.repo_provenance(found, findings).first().ai_authored_percent == 25.1
+
+
 def test_entry_points_and_manifests(spark):
     files = [
         ("r", "package.json", '{"scripts":{"a":"1","b\\u0001":"2"},"dependencies":{"koa":"1"},"optionalDependencies":{"x":"1"},"peerDependencies":[]}'), ("r", "sub/package.json", '{"scripts":{"no":"1"}}'), ("r", "src/a.TS", ""),
